@@ -63,6 +63,8 @@ _LOWER[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
+#: Bytes that are hashed at once.
+_BLOCK = 4 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +124,26 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     if len(firsts) and bounds[-1] == n:
         ends[n - 1] = solid[n - 1]
     begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _powers(n)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[_LOWER[raw]] * up[:n], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin]), np.searchsorted(begin, bounds)
+    out = np.empty(len(begin), np.uint64)
+    i = 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + _BLOCK)))
+        lo, hi = begin[i], end[j - 1]
+        up, down = _powers(hi - lo)
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTE[_LOWER[raw[lo:hi]]] * up[: hi - lo], out=total[1:])
+        out[i:j] = (total[end[i:j] - lo] - total[begin[i:j] - lo]) * down[begin[i:j] - lo]
+        i = j
+    return mix(out), np.searchsorted(begin, bounds)
+
+
+def pieces(batches, text: str, most: int = 4 << 20):
+    """Slices of record batches whose texts have ``most`` bytes at most, or a single row."""
+    for batch in batches:
+        column = batch.column(text)
+        _, bounds = utf8(column)
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, side="right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
