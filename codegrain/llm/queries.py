@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from codegrain.llm import decontaminate, near_dup, quality_rules
+from codegrain.llm import decontaminate, near_dup, packing, quality_rules
 
 MODULES = {
     "op2_quality_rules": quality_rules,
     "op4_decontaminate": decontaminate,
+    "op8_packing": packing,
     "op9_near_dup": near_dup,
 }
 
