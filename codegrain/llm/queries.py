@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from codegrain.llm import decontaminate, near_dup, packing, quality_rules, token_counts
+from codegrain.llm import (
+    decontaminate,
+    near_dup,
+    packing,
+    pii,
+    quality_rules,
+    token_counts,
+)
 
 MODULES = {
     "op2_quality_rules": quality_rules,
     "op3_token_counts": token_counts,
     "op4_decontaminate": decontaminate,
+    "op6_pii": pii,
     "op8_packing": packing,
     "op9_near_dup": near_dup,
 }
