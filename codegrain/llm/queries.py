@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from codegrain.llm import (
     decontaminate,
+    language_id,
     near_dup,
     packing,
     pii,
@@ -12,6 +13,7 @@ from codegrain.llm import (
 )
 
 MODULES = {
+    "op1_language_id": language_id,
     "op2_quality_rules": quality_rules,
     "op3_token_counts": token_counts,
     "op4_decontaminate": decontaminate,
