@@ -9,6 +9,7 @@ from codegrain.llm import (
     packing,
     pii,
     quality_rules,
+    suffix_tree,
     token_counts,
 )
 
@@ -18,6 +19,7 @@ MODULES = {
     "op3_token_counts": token_counts,
     "op4_decontaminate": decontaminate,
     "op6_pii": pii,
+    "op7_suffix_tree": suffix_tree,
     "op8_packing": packing,
     "op9_near_dup": near_dup,
 }
