@@ -9,6 +9,7 @@ from codegrain.llm import (
     packing,
     pii,
     quality_rules,
+    repeats,
     suffix_tree,
     token_counts,
 )
@@ -22,6 +23,7 @@ MODULES = {
     "op7_suffix_tree": suffix_tree,
     "op8_packing": packing,
     "op9_near_dup": near_dup,
+    "op10_repeats": repeats,
 }
 
 
