@@ -8,6 +8,7 @@ from codegrain.llm import (
     near_dup,
     packing,
     pii,
+    quality_model,
     quality_rules,
     repeats,
     suffix_tree,
@@ -19,6 +20,7 @@ MODULES = {
     "op2_quality_rules": quality_rules,
     "op3_token_counts": token_counts,
     "op4_decontaminate": decontaminate,
+    "op5_quality_model": quality_model,
     "op6_pii": pii,
     "op7_suffix_tree": suffix_tree,
     "op8_packing": packing,
