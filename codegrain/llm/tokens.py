@@ -1,20 +1,28 @@
 """Token ids of whole texts, word by word from a cache.
 
 The tokenizer drops white space and never joins what white space separates, so
-the ids of a text are those of its space-separated parts in a row. A part is
-encoded once for each worker and kept, which is many times faster than encoding
-every text anew and gives the same ids; tests hold one against the other.
+the ids of a text are those of its space-separated parts in a row. Nor does it
+join a run of letters with its neighbours, so a part of plain characters is cut
+into such runs, which recur far more often than parts do; the vocabulary's own
+merging encodes a run once and it is kept. Parts with any other character go
+through the whole tokenizer. Ids and places are the same as those of encoding
+every text as a whole; tests hold one against the other.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Parts kept at most, and characters of a part that is kept.
-_KEPT, _LONG = 300_000, 64
+#: Parts and runs kept at most, and characters of one that is kept.
+_KEPT, _LONG = 400_000, 64
+#: A part of printable ASCII but the apostrophe, and of Latin letters with accents, which normalising leaves but for case.
+_PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*", re.ASCII)
+_RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _OPEN: dict[str, "PartEncoder"] = {}
 
 
@@ -23,11 +31,17 @@ class PartEncoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
+        self._model = self._tokenizer.model
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        chars = [chr(c) for c in (*range(33, 127), *range(192, 256))]
+        self._bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in chars}
         self._ids: dict[str, bytes] = {"": b""}
         self._spans: dict[str, bytes] = {"": b""}
+        self._runs: dict[str, bytes] = {}
+        self._run_spans: dict[str, list[tuple[int, int]]] = {}
 
     @classmethod
     def of(cls, path: str | None) -> "PartEncoder":
@@ -40,32 +54,61 @@ class PartEncoder:
             _OPEN[path] = cls(path)
         return _OPEN[path]
 
-    def _parts(self, text: str, cache: dict[str, bytes], value) -> list[bytes]:
-        parts = text.replace("\n", " ").split(" ")
+    def _run_ids(self, run: str) -> bytes:
+        got = self._runs.get(run)
+        if got is None:
+            ids = [t.id for t in self._model.tokenize(run.translate(self._bytes))]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+            if len(run) <= _LONG and len(self._runs) < _KEPT:
+                self._runs[run] = got
+        return got
+
+    def _places(self, run: str) -> list[tuple[int, int]]:
+        got = self._run_spans.get(run)
+        if got is None:
+            # One symbol for each byte; a token that has part of a character has it.
+            of_byte = [i for i, c in enumerate(run) for _ in self._bytes[ord(c)]]
+            at, got = 0, []
+            for t in self._model.tokenize(run.translate(self._bytes)):
+                n = len(t.value.removesuffix("</w>"))
+                got.append((of_byte[at], of_byte[at + n - 1] + 1))
+                at += n
+            if len(run) <= _LONG and len(self._run_spans) < _KEPT:
+                self._run_spans[run] = got
+        return got
+
+    def _part_ids(self, part: str) -> bytes:
+        if _PLAIN.fullmatch(part) and "<|" not in part:
+            return b"".join(map(self._run_ids, _RUNS.findall(part.lower())))
+        ids = self._tokenizer.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _part_spans(self, part: str) -> bytes:
+        if _PLAIN.fullmatch(part) and "<|" not in part:
+            flat = [x + m.start() for m in _RUNS.finditer(part.lower()) for ab in self._places(m[0]) for x in ab]
+        else:
+            flat = [x for ab in self._tokenizer.encode(part, add_special_tokens=False).offsets for x in ab]
+        return struct.pack(f"<{len(flat)}q", *flat)
+
+    @staticmethod
+    def _cached(parts: list[str], cache: dict[str, bytes], value) -> list[bytes]:
         new = set(parts).difference(cache)
         if new:
-            if len(cache) + len(new) > _KEPT:
-                cache.clear()
-                cache[""] = b""
-                new = set(parts)
-                new.discard("")
-            new = list(new)
-            for part, coded in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False)):
-                cache[part] = value(coded)
-            out = [cache[p] for p in parts]
-            for part in new:
-                if len(part) > _LONG:
-                    del cache[part]
+            own = {part: value(part) for part in new}
+            out = [cache[p] if p in cache else own[p] for p in parts]
+            if len(cache) < _KEPT:  # what is frequent came early; a full cache stays as it is
+                cache.update(own if len(max(new, key=len)) <= _LONG else {k: v for k, v in own.items() if len(k) <= _LONG})
             return out
         return list(map(cache.__getitem__, parts))
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
-        return b"".join(self._parts(text, self._ids, lambda c: np.array(c.ids, "<u4").tobytes()))
+        return b"".join(self._cached(text.replace("\n", " ").split(" "), self._ids, self._part_ids))
 
     def spans(self, text: str) -> np.ndarray:
         """First and end character of every token, in order."""
-        parts = self._parts(text, self._spans, lambda c: np.array(c.offsets, "<i8").tobytes())
-        at = np.cumsum([0] + [len(p) + 1 for p in text.replace("\n", " ").split(" ")])[:-1]
-        spans = np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)
-        return spans + np.repeat(at, [len(p) // 16 for p in parts])[:, None]
+        parts = text.replace("\n", " ").split(" ")
+        found = self._cached(parts, self._spans, self._part_spans)
+        at = np.cumsum([0] + [len(p) + 1 for p in parts])[:-1]
+        spans = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+        return spans + np.repeat(at, [len(f) // 16 for f in found])[:, None]
