@@ -142,7 +142,7 @@ def next_fit(items: DataFrame, order_col: str, size_col: str, cap: int, blocks:
         block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order_col)))
     dealt = items.withColumn("_block", block)
 
-    def effect(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def effect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf.sort_values(order_col)[size_col].to_numpy()
         rows = _passage(sizes, cap)
         return pd.DataFrame({"block": key[0], "least": [r[0] for r in rows], "fill": [r[1] for r in rows], "closed": [r[2] for r in rows], "total": int(sizes.sum())})
@@ -156,7 +156,7 @@ def next_fit(items: DataFrame, order_col: str, size_col: str, cap: int, blocks:
 
     names = [f.name for f in items.schema.fields]
 
-    def assign(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fill, first = starts[key[0]]
         pdf = pdf.sort_values(order_col)
         offsets, _ = _walk(pdf[size_col].to_numpy(), cap, fill)
