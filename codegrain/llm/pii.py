@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents
+from codegrain.llm.common import documents, pieces
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -343,7 +343,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     field = docs.sparkSession.sparkContext.broadcast(fit())
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             cols: list[list] = [[] for _ in range(6)]
             for base, spans in all_spans([t or "" for t in batch.column("text").to_pylist()], field.value):
                 kinds = [s[0] for s in base]
@@ -372,7 +372,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text_col):
             texts = batch.column(at).to_pylist()
             clean = [None if t is None else redacted(t, spans) for t, (_, spans) in zip(texts, all_spans([t or "" for t in texts], field.value))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(clean, batch.schema.field(at).type), *batch.columns[at + 1 :]], batch.schema.names)
