@@ -11,10 +11,11 @@ agree by chance, estimates the similarity; what could still be a link is
 verified on the full shingle sets.
 
 Documents with the same set are one node. In a bucket of a band every member is
-compared with the bucket's smallest and largest node instead of with everyone;
-after these links are joined to components, members outside the component of
-their bucket's smallest node are compared with all members of other components,
-so no link is lost and a group of copies never becomes all of its pairs.
+compared with the bucket's smallest and its most central node instead of with
+everyone; after these links are joined to components, members outside the
+component of their bucket's central node are compared with those members of other
+components that an exact bound leaves, so no link is lost and a group of copies
+never becomes all of its pairs.
 
 Defined results: null or blank text has an empty set and is linked with nothing;
 rows of one id are one document for linking; rows without an id stay alone, with
@@ -155,6 +156,12 @@ def _likely(batches):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """node, shingles of a staged table of nodes."""
+    found = texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, texts["doc_id"] == ids["node"])
+    return found.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"])
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """The links among ``pairs`` (a, b): by size and registers first, then by the full sets."""
     a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
@@ -162,14 +169,46 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
     likely = staged(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long"), "likely")
     ids = staged(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "ids")
-    sets = texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, texts["doc_id"] == ids["node"], "inner")
-    sets = staged(sets.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"]), "sets")
+    sets = staged(_sets_of(ids, texts), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = likely.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
     return both.where(100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def _beyond_hubs(near: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) that may be links between components, among members of buckets whose central node doesn't reach all.
+
+    Shingles are ordered by how many such members have them, rarest first. Two
+    sets that agree on enough share one among their first ones, and what stands
+    before the first that they share bounds how much they can share at all. Both
+    bounds are exact; they leave few pairs of members far from the centre, whose
+    rare shingles are their own. Of those with a shingle only members outside the
+    component that most of them are in are paired with the others.
+    """
+    of_mid = found.select(F.col("node").alias("mid"), F.col("component").alias("mid_c"))
+    many = near.where("n > 2").join(found, "node", "left").join(of_mid, "mid", "left")
+    many = many.select("key", "node", F.coalesce("component", "node").alias("c"), F.coalesce("mid_c", "mid").alias("mid_c"))
+    mixed = many.where("c <> mid_c").select("key").distinct()
+    ids = staged(many.join(mixed, "key", "left_semi").select("node", "c").distinct(), "mixed")
+    shingles = _sets_of(ids.select("node"), texts).select("node", F.explode("shingles").alias("s"))
+    shingles = staged(shingles, "mixed-shingles")
+    shared = shingles.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
+    first = shingles.join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
+    first = first.join(nodes.select("node", F.col("n_shingles").alias("n")), "node").join(ids, "node")
+    own = F.col("n") - F.size("l")  # they come first and can't be shared
+    length = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1 - own
+    first = first.where(length > 0).select("node", "n", "c", own.alias("own"), F.posexplode(F.slice("l", F.lit(1), length.cast("int"))).alias("i", "x"))
+    first = staged(first.select("node", "c", F.col("x.s").alias("s"), "n", (F.col("own") + F.col("i")).alias("i")), "prefixes")
+    most = first.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1")
+    both = first.join(most, "s")
+    mine = both.where("c <> most").select("s", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    rest = both.select(F.col("s").alias("t"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), (F.col("c") == F.col("most")).alias("inside"))
+    m = F.expr("least(nx - ix, ny - iy)")
+    may = F.expr("s = t and cx <> cy and (inside or x < y)") & (100 * m >= PERCENT * (F.col("nx") + F.col("ny") - m))
+    return mine.join(rest, may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (long), kept (boolean)."""
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -179,21 +218,17 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     s = signed.select(F.col("doc_id").alias("node"), "d1", "d2", "n_shingles", "bands", "regs")
     nodes = staged(s.join(named, ["node", "d1", "d2"]).dropDuplicates(["node"]), "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
-    near = staged(members.join(hubs, "key"), "members")
-    pairs = near.select(F.col("low").alias("a"), F.col("node").alias("b")).union(near.select(F.col("node").alias("a"), F.col("high").alias("b")))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    near = staged(members.join(sizes, "key"), "members")
+    # The node that shares most buckets with most others is the most central one.
+    central = near.groupBy("node").agg(F.sum("n").alias("weight"))
+    middle = near.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("mid"))
+    near = staged(near.join(middle, "key"), "near")
+    pairs = near.select(F.col("low").alias("a"), F.col("node").alias("b")).union(near.select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")))
     links = staged(_verified(pairs.where("a < b").distinct(), nodes, texts), "verified")
     found = components(links)
-
-    # Members that the bucket's smallest node doesn't reach meet all members of other components.
-    many = near.where("n > 2").join(found, "node", "left").select("key", "node", "low", "high", F.coalesce("component", "node").alias("c"))
-    of_low = found.select(F.col("node").alias("low"), F.col("component").alias("low_c"))
-    many = staged(many.join(of_low, "low", "left").withColumn("low_c", F.coalesce("low_c", "low")), "many")
-    mine = many.where("c <> low_c and node <> high").select("key", F.col("node").alias("x"), F.col("c").alias("cx"))
-    rest = many.where("node <> low and node <> high").select("key", F.col("node").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("low_c")).alias("inside"))
-    more = mine.join(rest, "key").where("cx <> cy and (inside or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    more = staged(more, "more")
-    if more.count():
+    more = staged(_beyond_hubs(near, found, nodes, texts), "more")
+    if not more.isEmpty():
         found = components(links.union(_verified(more, nodes, texts)))
 
     named = named.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
