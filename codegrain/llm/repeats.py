@@ -21,6 +21,9 @@ documents. Inserting one symbol of each document a round takes as many rounds as
 the longest document has bytes, each over the whole transform so far, which for
 texts of 100,000 bytes and more can't be done in any useful time.
 
+Candidates and spans grow with the corpus, so they meet their texts by a shuffle
+whatever their size.
+
 An anchor of more than HOT sequences isn't dealt to one task: of its sequences
 every 400-byte string is fingerprinted and counted, which adds up before it is
 shuffled.
@@ -46,8 +49,6 @@ LENGTH = 400
 GRAM = 32
 #: Sequences of an anchor that one task sorts at most.
 HOT = 50_000
-#: So many places of anchors or spans, 32 bytes each, are broadcast; more are joined by a shuffle.
-MOST_BROADCAST = 1_000_000
 #: Bytes of columns that are kept in memory; more go to a temporary file.
 IN_MEMORY = 64 << 20
 
@@ -241,8 +242,7 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     often = found.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
     per_row = staged(found.join(often, "code").groupBy("k").agg(F.collect_list(F.struct("code", "place", "first", "last")).alias("found")), "candidates")
     hot_codes = staged(often.where(F.col("n") > hot).select("code"), "hot")
-    few = F.broadcast(per_row) if (per_row.agg(F.sum(F.size("found"))).first()[0] or 0) <= MOST_BROADCAST else per_row
-    cut = rows.join(few, "k").select("k", "text", "found").mapInArrow(_cut(length), "code long, k long, first long, before int, bytes binary")
+    cut = rows.join(per_row, "k").select("k", "text", "found").mapInArrow(_cut(length), "code long, k long, first long, before int, bytes binary")
     if hot_codes.isEmpty():
         cold, spans = cut, None
     else:
@@ -290,8 +290,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:  # rows get numbers of their own, written down so that they stay
         rows = staged(rows.withColumn("k", F.monotonically_increasing_id()), "numbered")
     spans = staged(repeated_spans(rows.select("k", "text"), length, gram, hot), "spans")
-    few = F.broadcast(spans) if (spans.agg(F.sum(F.size("starts"))).first()[0] or 0) <= MOST_BROADCAST else spans
-    both = rows.join(few, "k", "left").select("doc_id", "text", "starts")
+    both = rows.join(spans, "k", "left").select("doc_id", "text", "starts")
     return both.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
