@@ -64,7 +64,7 @@ _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 #: Bytes that are hashed at once.
-_BLOCK = 4 << 20
+_BLOCK = 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(out), np.searchsorted(begin, bounds)
 
 
-def pieces(batches, text: str, most: int = 4 << 20):
+def pieces(batches, text: str, most: int = 2 << 20):
     """Slices of record batches whose texts have ``most`` bytes at most, or a single row."""
     for batch in batches:
         column = batch.column(text)

@@ -19,7 +19,7 @@ import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
 #: Parts and runs kept at most, and characters of one that is kept.
-_KEPT, _LONG = 400_000, 64
+_KEPT, _LONG = 150_000, 64
 #: A part of printable ASCII but the apostrophe, and of Latin letters with accents, which normalising leaves but for case.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*", re.ASCII)
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
