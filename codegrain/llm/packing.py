@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codegrain.llm.common import documents, pieces, staged
-from codegrain.llm.tokens import PartEncoder
+from codegrain.llm.tokens import KEPT, PartEncoder
 
 CAPACITY = 2048
 END = b"\0\0\0\0"
@@ -40,11 +40,11 @@ END = b"\0\0\0\0"
 SHARD = 200_000
 
 
-def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
-    """The pieces of all documents: doc_id, piece, start, length, ids_crc32."""
+def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, kept: int = KEPT) -> DataFrame:
+    """The pieces of all documents: doc_id, piece, start, length, ids_crc32. ``kept``: token parts that a worker keeps."""
 
     def run(batches):
-        encoder = PartEncoder.of(tokenizer)
+        encoder = PartEncoder.of(tokenizer, kept)
         for batch in pieces(batches, "text"):
             ids, cols = batch.column("doc_id"), [[], [], [], [], []]
             for row, text in enumerate(batch.column("text").to_pylist()):
@@ -120,9 +120,9 @@ def best_fit(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, kept: int = KEPT) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return best_fit(staged(cut(docs, capacity, tokenizer), "pieces"), capacity)
+    return best_fit(staged(cut(docs, capacity, tokenizer, kept), "pieces"), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

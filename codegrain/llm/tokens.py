@@ -18,8 +18,8 @@ import struct
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Parts and runs kept at most, and characters of one that is kept.
-_KEPT, _LONG = 150_000, 64
+#: Parts and runs kept at most, some 400 bytes for both, and characters of one that is kept.
+KEPT, _LONG = 400_000, 64
 #: A part of printable ASCII but the apostrophe, and of Latin letters with accents, which normalising leaves but for case.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*", re.ASCII)
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -38,13 +38,14 @@ class PartEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         chars = [chr(c) for c in (*range(33, 127), *range(192, 256))]
         self._bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in chars}
+        self._kept = KEPT
         self._ids: dict[str, bytes] = {"": b""}
         self._spans: dict[str, bytes] = {"": b""}
         self._runs: dict[str, bytes] = {}
         self._run_spans: dict[str, list[tuple[int, int]]] = {}
 
     @classmethod
-    def of(cls, path: str | None) -> "PartEncoder":
+    def of(cls, path: str | None, kept: int = KEPT) -> "PartEncoder":
         """The worker's encoder for a vocabulary file; None: the public one."""
         if path is None:
             import public_tokenizers
@@ -52,6 +53,7 @@ class PartEncoder:
             path = public_tokenizers.path(TOKENIZER)
         if path not in _OPEN:
             _OPEN[path] = cls(path)
+        _OPEN[path]._kept = kept
         return _OPEN[path]
 
     def _run_ids(self, run: str) -> bytes:
@@ -59,7 +61,7 @@ class PartEncoder:
         if got is None:
             ids = [t.id for t in self._model.tokenize(run.translate(self._bytes))]
             got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(run) <= _LONG and len(self._runs) < _KEPT:
+            if len(run) <= _LONG and len(self._runs) < self._kept:
                 self._runs[run] = got
         return got
 
@@ -73,7 +75,7 @@ class PartEncoder:
                 n = len(t.value.removesuffix("</w>"))
                 got.append((of_byte[at], of_byte[at + n - 1] + 1))
                 at += n
-            if len(run) <= _LONG and len(self._run_spans) < _KEPT:
+            if len(run) <= _LONG and len(self._run_spans) < self._kept:
                 self._run_spans[run] = got
         return got
 
@@ -90,13 +92,12 @@ class PartEncoder:
             flat = [x for ab in self._tokenizer.encode(part, add_special_tokens=False).offsets for x in ab]
         return struct.pack(f"<{len(flat)}q", *flat)
 
-    @staticmethod
-    def _cached(parts: list[str], cache: dict[str, bytes], value) -> list[bytes]:
+    def _cached(self, parts: list[str], cache: dict[str, bytes], value) -> list[bytes]:
         new = set(parts).difference(cache)
         if new:
             own = {part: value(part) for part in new}
             out = [cache[p] if p in cache else own[p] for p in parts]
-            if len(cache) < _KEPT:  # what is frequent came early; a full cache stays as it is
+            if len(cache) < self._kept:  # what is frequent came early; a full cache stays as it is
                 cache.update(own if len(max(new, key=len)) <= _LONG else {k: v for k, v in own.items() if len(k) <= _LONG})
             return out
         return list(map(cache.__getitem__, parts))
