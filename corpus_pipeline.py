@@ -34,8 +34,8 @@ def _redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, placed in sequences."""
-    return packing.pack(docs)
+    """The documents' pieces, placed in sequences; the workers' memory is shared with what earlier stages left there."""
+    return packing.pack(docs, kept=150_000)
 
 
 STAGES = [("quality_rules", _quality), ("near_dup", _near_dup), ("decontaminate", _decontaminate), ("pii", _redact), ("packing", _pack)]
