@@ -9,10 +9,14 @@ next-symbol distribution is smoothed towards that of its parent, the empty
 context's by a half for each symbol. A symbol is scored by the longest retained
 suffix of what stands before it.
 
-A context needs a share of LEAST of all training symbols to be looked at, so at
-most DEPTH / LEAST contexts reach the driver and the tree's size is bounded
-whatever the corpus. Counts are made in blocks of text, added up by task and
-shuffled by symbol run or word.
+A context is looked at from LEAST_COUNT occurrences on, whatever the size of the
+corpus, so the tree grows with it and stays in staged tables, one for each
+context length, that are joined level by level; the driver gets single numbers
+of it. Counts are made in blocks of text, added up by task and shuffled by symbol
+run or word. Runs of held-out documents are in these tables too, with a count of
+0, so that every run has its score there. Documents are scored in blocks of
+BLOCK bytes: a block asks for its distinct runs, and what it asked for meets its
+texts again.
 
 The base score needs every word's count. Up to MOST_WORDS distinct words the
 counts are broadcast; beyond, each document's words are joined with them.
@@ -26,15 +30,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codegrain.llm.common import _LOWER, documents, fold, pieces, row_key, staged, utf8, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
-DEPTH = 4
-#: Least share of the training symbols, least count, and least count times divergence (bits; or that share of all symbols) of a context.
-LEAST, LEAST_COUNT, GAIN, GAIN_SHARE = 2e-6, 8, 24.0, 1e-6
+DEPTH = 5
+#: Least count, and least count times divergence (bits) of a context.
+LEAST_COUNT, GAIN = 8, 24.0
+#: Bytes of text that are scored together.
+BLOCK = 8 << 20
 #: Pseudo-counts that a context takes from its parent.
 TRUST = 16.0
 MOST_WORDS = 6_000_000
@@ -71,7 +79,7 @@ def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
 
 
 def _counts(batches):
-    """Counts of words (kind 0) and symbol runs (kind 1), merged while they fit and sent on."""
+    """Counts of words (kind 0) and symbol runs (kind 1), merged while they fit and sent on; held-out rows count 0 and give no words."""
     held = ([], []), ([], [])
     size = 0
 
@@ -86,6 +94,16 @@ def _counts(batches):
                 n.clear()
 
     for batch in pieces(batches, "text", 2 << 20):
+        if "held_out" in batch.schema.names:
+            away = batch.filter(batch.column("held_out"))
+            batch = batch.filter(pc.invert(batch.column("held_out")))
+            if away.num_rows:
+                k = np.unique(_runs(_symbols(away.column("text"))[0]))
+                held[1][0].append(k)
+                held[1][1].append(np.zeros(len(k), np.int64))
+                size += len(k)
+            if not batch.num_rows:
+                continue
         words, _ = word_hashes(*utf8(batch.column("text")))
         for (keys, n), code in zip(held, (words.view(np.int64), _runs(_symbols(batch.column("text"))[0]))):
             k, c = np.unique(code, return_counts=True)
@@ -102,7 +120,7 @@ def _counts(batches):
 
 
 class Tree:
-    """Child table and next-symbol scores of the retained contexts.
+    """Child table and next-symbol scores of the retained contexts: the plain form, for what fits in one process.
 
     ``child[i, b]`` leads from context i to the one that has b in front of it; a
     missing child leads to i's twin, size + i, which only leads to itself.
@@ -119,7 +137,6 @@ class Tree:
         base[code] = n
         probs = [(base + 0.5) / (total + 128.0)]
         where: dict[int, int] = {1: 0}  # context with a leading 1 byte -> index
-        need = max(GAIN, GAIN_SHARE * total)
         smooth: dict[int, np.ndarray] = {1: probs[0].astype(np.float32)}
         retained: set[int] = set()
         for depth in range(1, len(levels)):
@@ -136,7 +153,7 @@ class Tree:
                 now[symbol] += count
                 now /= count.sum() + TRUST
                 smooth[key] = now.astype(np.float32)
-                if (count * np.log2(now[symbol] / p[symbol])).sum() >= need:
+                if (count * np.log2(now[symbol] / p[symbol])).sum() >= GAIN:
                     while key not in retained and key != 1:
                         retained.add(key)
                         key = 1 << 8 * (d := key.bit_length() // 8 - 1) | key & (1 << 8 * d) - 1
@@ -165,20 +182,76 @@ class Tree:
         return np.add.reduceat(own, starts - DEPTH)
 
 
-def fit(counts: DataFrame) -> Tree:
-    """The tree from a staged table of counts (kind, key, n)."""
-    runs = counts.where("kind = 1").select("key", "n")
+def run_scores(runs: DataFrame) -> DataFrame:
+    """key, score: log10 of the probability of each run's last symbol, from a staged table of runs (key, n)."""
     total = runs.agg(F.sum("n")).first()[0] or 0
-    least = max(LEAST_COUNT, LEAST * total)
-    levels = []
-    for depth in range(DEPTH + 1):
-        by = runs.groupBy((F.col("key") % (1 << 8 * (depth + 1))).alias("key")).agg(F.sum("n").alias("n"))
-        often = by.groupBy(F.shiftright("key", 8).alias("context")).agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("context")
-        got = by.join(often, F.shiftright(by["key"], 8) == often["context"], "left_semi") if depth else by
-        table = got.toArrow()
-        key, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-        levels.append((key[o := np.argsort(key)], n[o]))
-    return Tree.fit(levels, total)
+    cut = lambda c, symbols: F.col(c) % F.lit(1 << 8 * symbols)
+    own = [runs]
+    for depth in range(DEPTH - 1, -1, -1):
+        own.insert(0, staged(own[0].groupBy(cut("key", depth + 1).alias("key")).agg(F.sum("n").alias("n")), f"runs-{depth}"))
+    levels = [own[0].select("key", "n", ((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("p"))]
+    telling = [None]
+    for depth in range(1, DEPTH + 1):
+        by = own[depth].withColumn("context", F.shiftright("key", 8))
+        often = by.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= LEAST_COUNT)
+        above = levels[-1].select(F.col("key").alias("low"), F.col("p").alias("up"))
+        both = by.join(often, "context").join(above, cut("key", depth) == F.col("low"))
+        p = (F.col("n") + TRUST * F.col("up")) / (F.col("m") + TRUST)
+        levels.append(staged(both.select("context", "key", "n", "up", p.alias("p")), f"level-{depth}"))
+        gain = F.sum(F.col("n") * F.log2(F.col("p") / F.col("up")))
+        telling.append(levels[-1].groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= GAIN).select("context"))
+    retained = {DEPTH + 1: None}
+    for depth in range(DEPTH, 0, -1):
+        longer = retained[depth + 1]
+        here = telling[depth] if longer is None else telling[depth].union(longer.select(cut("context", depth)))
+        retained[depth] = staged(here.distinct(), f"retained-{depth}")
+    scores = levels[0].select("key", F.log10("p").alias("score"))
+    for depth in range(1, DEPTH + 1):
+        mine = levels[depth].join(retained[depth], "context", "left_semi").select("key", F.log10("p").alias("mine"))
+        above = scores.select(F.col("key").alias("low"), F.col("score").alias("up"))
+        both = own[depth].select("key").join(above, cut("key", depth) == F.col("low")).join(mine, "key", "left")
+        scores = both.select("key", F.coalesce("mine", "up").alias("score"))
+    return staged(scores.select("key", F.col("score").cast("float").alias("score")), "run-scores")
+
+
+def _blocked(batches):
+    """The rows with a block's number in front; a block has BLOCK bytes of text at most, or a single row."""
+    block, size = TaskContext.get().partitionId() << 32, 0
+    for batch in pieces(batches, "text", BLOCK >> 2):
+        own = int(utf8(batch.column("text"))[1][-1])
+        if size and size + own > BLOCK:
+            block, size = block + 1, 0
+        size += own
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), *batch.columns], ["block", *batch.schema.names])
+
+
+def _asked(batches):
+    """block, key: the distinct runs of each block."""
+    at, keys = None, []
+
+    def out():
+        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        for i in range(0, len(key), 100_000):
+            part = key[i : i + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), pa.array(part)], ["block", "key"])
+
+    for batch in pieces(batches, "text", 2 << 20):
+        blocks = batch.column("block").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
+        for a, b in zip(first, [*first[1:], len(blocks)]):
+            if blocks[a] != at:
+                yield from out()
+                at, keys = int(blocks[a]), []
+            keys.append(np.unique(_runs(_symbols(batch.column("text").slice(a, b - a))[0])))
+    yield from out()
+
+
+def _sums(column: pa.Array, key: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """The sum of each text's run scores; ``key`` is sorted and has all of its runs."""
+    symbols, starts = _symbols(column)
+    own = np.zeros(len(symbols) - DEPTH)
+    own[symbols[DEPTH:] != _START] = score[np.searchsorted(key, _runs(symbols))]
+    return np.add.reduceat(own, starts - DEPTH)
 
 
 _SCORED = "doc_id long, held_out boolean, k long, n_tokens long, n_known long, logs double, score double"
@@ -203,12 +276,14 @@ def _joined(rows: DataFrame, words: DataFrame) -> DataFrame:
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, most_words: int = MOST_WORDS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
-    counts = rows.where("not held_out").select("text").mapInArrow(_counts, "kind int, key long, n long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == held_out).alias("held_out"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
+    rows = staged(rows.mapInArrow(_blocked, "block long, doc_id long, held_out boolean, k long, text string"), "blocks")
+    counts = rows.select("held_out", "text").mapInArrow(_counts, "kind int, key long, n long")
     counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("kind = 0").select("key", "n")
     n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    tree = context.broadcast(fit(counts))
+    scores = run_scores(counts.where("kind = 1").select("key", "n"))
+    asked = rows.select("block", "text").mapInArrow(_asked, "block long, key long").join(scores, "key").select("block", "key", "score")
     few = n_words <= most_words
     known = context.broadcast(_table(words)) if few else None
 
@@ -222,7 +297,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
         there = key[at] == one
         return np.log10(np.where(there, n[at], 0) + 1.0)[back], there[back]
 
-    def run(batches):
+    names = _SCORED.replace(",", "").split()[::2]
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        key, value = found.column("key").to_numpy(), found.column("score").to_numpy()
+        order = np.argsort(key)
+        own = list(scored_batches(texts.to_batches(), key[order], value[order]))
+        return pa.Table.from_batches(own) if own else pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))})
+
+    def scored_batches(batches, keys, scores):
         for batch in pieces(batches, "text", 2 << 20):
             codes, bounds = word_hashes(*utf8(batch.column("text")))
             n = np.diff(bounds) + 1
@@ -235,11 +318,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     held[full] = np.add.reduceat(there[:-1].astype(np.int64), bounds[:-1][full])
                 value += own[-1]
                 held += int(there[-1])
-            score = tree.value.scores(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "k")), *map(pa.array, (n, held, value, score))], _SCORED.replace(",", "").split()[::2])
+            score = _sums(batch.column("text"), keys, scores)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "k")), *map(pa.array, (n, held, value, score))], names)
 
-    rows = rows.withColumn("k", F.lit(0).cast("long") if few else row_key("doc_id", "text"))
-    scored = rows.mapInArrow(run, _SCORED)
+    scored = rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, _SCORED)
     if not few:
         scored = scored.drop("logs", "n_known").join(_joined(rows, words), "k")
     share = float(np.log10(n_tokens + n_words + 1))

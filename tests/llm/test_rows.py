@@ -189,3 +189,42 @@ def test_suffix_tree_is_a_distribution_and_uses_the_longest_suffix():
                 at = child[at, sym[i - d]]
             total += float(tree.score.reshape(-1, 256)[at, sym[i]])
         assert abs(total - tree.scores(pa.array([text]))[0]) < 1e-4
+
+
+def test_suffix_tree_in_tables_equals_the_plain_one(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_tree, "BLOCK", 4000)
+    listed = [*rows(), *[(9000 + i, f"id {i} " + "zyx wvu tsr " * 3, None, None, 0, 0, "", 0, "", 0) for i in range(30)]]
+    own = [r[1] or "" for r in listed if r[0] is None or zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    (runs,) = [[b for b in suffix_tree._counts([pa.RecordBatch.from_arrays([pa.array(own)], ["text"])]) if b.column("kind")[0].as_py() == 1]]
+    key, n = (np.concatenate([b.column(c).to_numpy() for b in runs]) for c in ("key", "n"))
+    levels = []
+    for d in range(suffix_tree.DEPTH + 1):
+        k, c = suffix_tree._added([key % (1 << 8 * (d + 1))], [n])
+        _, at, m = np.unique(k >> 8, return_inverse=True, return_counts=True)
+        often = (np.bincount(at, c)[at] >= suffix_tree.LEAST_COUNT) | (d == 0)
+        levels.append((k[often], c[often]))
+    tree = suffix_tree.Tree.fit(levels, int(n.sum()))
+    want = sorted((str(r[0]), float(tree.scores(pa.array([r[1] or ""]))[0])) for r in listed)
+    got = sorted((str(r.doc_id), r.score) for r in suffix_tree.lm_scores(frame(spark, listed)).collect())
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert np.allclose([x[1] for x in got], [x[1] for x in want], rtol=1e-5, atol=1e-3)
+
+
+def test_suffix_tree_keeps_contexts_at_any_share(spark):
+    # 40 occurrences tell a context in 3,000 symbols and in 300 million alike.
+    common = [(i, i, 0) for i in range(97, 100)]
+    q = 0xFE
+    def run(*symbols):
+        code = 0
+        for s in ([q] * suffix_tree.DEPTH + list(symbols))[-suffix_tree.DEPTH - 1 :]:
+            code = code << 8 | s
+        return code
+    gained = []
+    for many in (1_000, 100_000_000):
+        runs = [(run(98, 97), 40), (run(99, 97), 0), *[(run(a), many) for a, _, _ in common]]
+        gained.append({r.key: r.score for r in suffix_tree.run_scores(spark.createDataFrame(runs, "key long, n long")).collect()})
+    assert all(g[run(98, 97)] > -0.5 and g[run(99, 97)] < -0.4 for g in gained)
+    assert gained[1][run(98, 97)] > gained[1][run(99, 97)] + 0.1
