@@ -6,10 +6,9 @@ host's limit are boilerplate and count as removed; a document of which too
 little is left is depleted and rejected. Besides, a few base counts of the text
 reject documents that are too short or repeat themselves.
 
-Near copies must not condemn each other, so documents are told apart by their
-smallest line hash (the smallest one besides the line in question): copies of
-one text count once for a line, documents that only share boilerplate count
-severally.
+Copies must not condemn each other, so documents are told apart by the whole set
+of their lines: copies of one text count once for a line, documents that share
+any number of lines and differ in one count severally.
 
 DataFrame functions only. Lines are hashed once, into a staged table of a row per
 line (host, row key, hash, length, document hash); it is pre-aggregated by host
@@ -68,9 +67,9 @@ def base_counts() -> dict[str, str]:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """A row for each line of a document: host, k, line, chars, doc (how the document is told from others)."""
-    hashed = f"transform({_LINES}, l -> named_struct('h', md5(lower(btrim(l, '{_TRIM}'))), 'n', cast(length(l) as bigint)))"
-    one = "named_struct('line', l.h, 'chars', l.n, 'doc', if(low[0] = l.h, coalesce(get(low, 1), l.h), low[0]))"
-    each = _let("ls", hashed, _let("low", "slice(array_sort(array_distinct(transform(ls, l -> l.h))), 1, 2)", f"transform(ls, l -> {one})"))
+    hashed = f"transform({_LINES}, l -> named_struct('h', md5(lower(regexp_replace(btrim(l, '{_TRIM}'), '{_RX}', ' '))), 'n', cast(length(l) as bigint)))"
+    one = "named_struct('line', l.h, 'chars', l.n, 'doc', d)"
+    each = _let("ls", hashed, _let("d", "md5(array_join(array_sort(array_distinct(transform(ls, l -> l.h))), ''))", f"transform(ls, l -> {one})"))
     return docs.select("host", "k", F.explode(F.expr(each)).alias("l")).select("host", "k", "l.*")
 
 

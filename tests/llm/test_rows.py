@@ -228,3 +228,15 @@ def test_suffix_tree_keeps_contexts_at_any_share(spark):
         gained.append({r.key: r.score for r in suffix_tree.run_scores(spark.createDataFrame(runs, "key long, n long")).collect()})
     assert all(g[run(98, 97)] > -0.5 and g[run(99, 97)] < -0.4 for g in gained)
     assert gained[1][run(98, 97)] > gained[1][run(99, 97)] + 0.1
+
+
+def test_quality_counts_distinct_documents_of_a_host(spark):
+    # Ten shared lines and one own: the smallest hash is nearly always a shared one.
+    shared = "\n".join(f"Shared line number {i} of the host's frame, on each of its pages." for i in range(10))
+    listed = [(i, f"{shared}\nOwn  line {i}", "en", "hot", 0, 0, "", 0, "", 0) for i in range(100)]
+    listed += [(200 + i, listed[0][1], "en", "cold", 0, 0, "", 0, "", 0) for i in range(100)]
+    listed += [(400 + i, f"White {' ' * (1 + i % 3)}space between\n{' '.join(str(i * 100 + j) for j in range(60))}", "en", "gaps", 0, 0, "", 0, "", 0) for i in range(30)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, listed)).collect()}
+    assert all(got[i].n_removed_lines == 10 and got[i].depleted for i in range(100))
+    assert all(got[200 + i].n_removed_lines == 0 for i in range(100))
+    assert all(got[400 + i].n_removed_lines == 1 for i in range(30))
