@@ -3,11 +3,12 @@
 The corpus is turned into postings (term, document, position), counted for every
 term of the benchmark and stored for the terms that are looked up. A window of
 an item (13 consecutive words, or a shorter item as a whole) is looked up by its
-two rarest terms: a posting's position less the term's offset in the item is the
-place where the item would begin, and only places on which both lists agree are
-candidates. Those few are compared with the item word by word; a run of equal
-words as long as a window is an exact phrase, a stretch with at most two
-differing words a proximity match.
+three rarest terms: a posting's position less the term's offset in the item is the
+place where the item would begin, a candidate. It is compared with the item word
+by word; a run of equal words as long as a window is an exact phrase, a stretch as
+long with at most two differing words, and two equal ones, a proximity match. Two
+words can't take all three terms away, so no match is lost. Words are compared
+place by place: a word put in or left out splits an item.
 
 DataFrame functions only. Texts are split where they lie; what moves is a row
 for each posting of a looked-up term. The lookup table is broadcast while it has
@@ -64,13 +65,13 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
 
 
 def _lookups(items: DataFrame, frequency: DataFrame) -> DataFrame:
-    """term, item, at: the places of the two rarest terms of every window, where a shorter list comes first."""
+    """term, item, at: the places of the NEAR_MISSES + 1 rarest terms of every window, where a shorter list comes first."""
     places = items.select("item", "n", "len", F.posexplode("words").alias("at", "word")).withColumn("term", F.lower("word"))
     places = places.join(frequency, "term", "left").withColumn("f", F.coalesce("f", F.lit(0)))
     first, last = F.greatest(F.lit(0), F.col("at") - F.col("len") + 1), F.least(F.col("at"), F.col("n") - F.col("len"))
     inside = places.select("item", "term", "at", "f", F.explode(F.sequence(first, last)).alias("window"))
-    two = inside.groupBy("item", "window").agg(F.slice(F.sort_array(F.collect_list(F.struct("f", "at", "term"))), 1, 2).alias("two"))
-    return two.select("item", F.explode("two").alias("t")).select("t.term", "item", F.col("t.at").alias("at")).distinct()
+    rare = inside.groupBy("item", "window").agg(F.slice(F.sort_array(F.collect_list(F.struct("f", "at", "term"))), 1, NEAR_MISSES + 1).alias("rare"))
+    return rare.select("item", F.explode("rare").alias("t")).select("t.term", "item", F.col("t.at").alias("at")).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text="text", window_misses: int = NEAR_MISSES) -> DataFrame:
@@ -82,19 +83,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="te
     frequency = postings.select("term").join(_limited(terms), "term").groupBy("term").agg(F.count("*").alias("f"))
     lookups = staged(_lookups(items, frequency), "lookups")
 
-    found = postings.join(_limited(lookups), "term").select("k", "item", (F.col("place") - F.col("at")).alias("begin"), "at").distinct()
-    both = found.groupBy("k", "item", "begin").agg(F.count("*").alias("lists")).join(_limited(items), "item").where("lists >= least(2, n)")
-    per_doc = staged(both.groupBy("k").agg(F.collect_set(F.struct("item_id", "begin", "words", "n", "len")).alias("places")), "places")
+    sizes = items.select("item", "n")
+    found = postings.join(_limited(lookups), "term").select("k", "item", (F.col("place") - F.col("at")).alias("begin")).join(_limited(sizes), "item")
+    per_doc = staged(found.groupBy("k").agg(F.collect_set(F.struct("item", "begin", "n")).alias("places")), "places")
 
     rows = texts.join(_limited(per_doc), "k").dropDuplicates(["k"]).select("k", _exact(F.col("text")).alias("w"), "places")
+    # Of each place the words that stand there; an item that begins before the text has its first words cut.
+    there = "transform(places, p -> named_struct('item', p.item, 'begin', p.begin, 's', slice(w, greatest(p.begin, 0) + 1, p.n + least(p.begin, 0))))"
+    rows = rows.select("k", F.explode(F.expr(f"transform(array(w), w -> {there})[0]")).alias("r")).select("k", "r.*").join(_limited(items), "item")
     # Places at which the item and the text differ, with the item's ends; between two of them words are equal.
-    differ = "filter(sequence(-1, p.n), j -> j < 0 or j = p.n or not (get(w, p.begin + j) <=> p.words[j]) or p.begin + j < 0)"
-    runs = """transform(places, p -> named_struct('p', p, 'd', {d}))""".format(d=differ)
-    rows = rows.select("k", F.explode(F.expr(f"transform(array(w), w -> {runs})[0]")).alias("r")).select("k", "r.p.item_id", "r.p.begin", "r.p.len", "r.d")
-    spans = f"""concat(
+    differ = "filter(sequence(-1, n), j -> j < 0 or j = n or not (get(s, j + least(begin, 0)) <=> words[j]))"
+    misses = F.greatest(F.lit(0), F.least(F.lit(window_misses), F.col("len") - 2))
+    rows = rows.select("k", "item_id", "begin", "len", F.expr(differ).alias("d"), misses.alias("misses"))
+    spans = """concat(
         transform(filter(sequence(0, size(d) - 2), i -> d[i + 1] - d[i] > len), i -> named_struct('first', begin + d[i] + 1, 'last', begin + d[i + 1] - 1, 'exact', true)),
-        transform(filter(sequence(0, size(d) - 2), i -> d[least(i + {window_misses + 1}, size(d) - 1)] - d[i] > len and d[i + 1] - d[i] <= len), i ->
-            named_struct('first', begin + d[i] + 1, 'last', begin + d[least(i + {window_misses + 1}, size(d) - 1)] - 1, 'exact', false)))"""
+        transform(filter(sequence(0, size(d) - 2), i -> d[least(i + misses + 1, size(d) - 1)] - d[i] > len and d[i + 1] - d[i] <= len), i ->
+            named_struct('first', begin + d[i] + 1, 'last', begin + d[least(i + misses + 1, size(d) - 1)] - 1, 'exact', false)))"""
     return rows.select("k", "item_id", F.explode(F.expr(spans)).alias("s")).select("k", "item_id", "s.*").distinct()
 
 

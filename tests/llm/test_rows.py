@@ -240,3 +240,31 @@ def test_quality_counts_distinct_documents_of_a_host(spark):
     assert all(got[i].n_removed_lines == 10 and got[i].depleted for i in range(100))
     assert all(got[200 + i].n_removed_lines == 0 for i in range(100))
     assert all(got[400 + i].n_removed_lines == 1 for i in range(30))
+
+
+def brute_near_items(text, bench):
+    """Items with an aligned window that has at most two differing words and two equal ones, and with no exact one."""
+    w = _W.findall(ascii_lower(text))
+    for item, t in bench:
+        b = _W.findall(ascii_lower(t))
+        n = min(13, len(b))
+        most = max(0, min(2, n - 2))
+        best = min((sum(not (0 <= g + i + j < len(w) and w[g + i + j] == b[i + j]) for j in range(n)) for g in range(-len(b), len(w) + 1) for i in range(len(b) - n + 1)), default=99)
+        if 0 < best <= most:
+            yield item
+
+
+def test_proximity_against_brute_force(spark):
+    import itertools
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu".split()
+    bench = [(1, " ".join(item)), (2, "one two three"), (3, "p q r s t u v"), (4, "solo"), (5, " ".join(item) + " xi omikron pi rho")]
+    texts = []
+    for n in (1, 2, 3):
+        for at in itertools.combinations(range(13), n):
+            texts.append("so it is " + " ".join("other" if i in at else x for i, x in enumerate(item)) + " it was")
+    texts += ["one two four", "one four five", "p q x s t y v", "p q x s z y v", " ".join(item[2:]), " ".join(item[3:]), "solo", "xi " + bench[4][1]]
+    docs = frame(spark, [(i, t, None, None, 0, 0, "", 0, "", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.n_near for r in decontaminate.decontaminate(docs, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == {i: len(list(brute_near_items(t, bench))) for i, t in enumerate(texts)}
+    assert sum(v > 0 for v in got.values()) >= 91
