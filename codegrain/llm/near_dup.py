@@ -4,9 +4,9 @@ A document's set of 5-word shingles is hashed once. The hash's top bits choose
 one of 128 buckets; a bucket keeps the leading-zero count and ten mantissa bits
 of the smallest remainder seen, 16 bits in all. Empty buckets borrow from others
 in an order fixed for each bucket, which keeps the chance that two documents
-agree in a bucket at their Jaccard similarity. Five registers make a band, 25
-bands find candidates: at a similarity of 0.85 a pair is missed with a chance of
-4e-7. For candidates the share of equal registers, corrected for registers that
+agree in a bucket at their Jaccard similarity. Registers make bands, which find
+candidates: as wide ones as miss a pair at the threshold with a chance of 1e-6 at
+most (at 0.85 five registers in 25 bands and 4e-7, at 0.8 four in 32 and 5e-8). For candidates the share of equal registers, corrected for registers that
 agree by chance, estimates the similarity; what could still be a link is
 verified on the full shingle sets.
 
@@ -37,8 +37,8 @@ WORDS = 5
 PERCENT = 85
 BUCKET_BITS, MANTISSA_BITS = 7, 10
 BUCKETS = 1 << BUCKET_BITS
-BAND_ROWS = 5
-BANDS = BUCKETS // BAND_ROWS
+#: The chance that bands may miss a pair at the threshold.
+MISSED = 1e-6
 #: A candidate whose estimate is this far under the threshold is dropped: over five standard deviations for sets of SMALL and more.
 MARGIN, SMALL = 0.25, 64
 #: So many ids of candidates are broadcast; more are joined by a shuffle.
@@ -46,7 +46,11 @@ MOST_BROADCAST = 1_000_000
 
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _ORDER = np.array([np.random.Generator(np.random.PCG64(b)).permutation(BUCKETS) for b in range(BUCKETS)]).T
-_BAND_MULT = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (BANDS, BAND_ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_rows(percent: int) -> int:
+    """Registers of a band for a threshold, 1 at least."""
+    return max((r for r in range(1, BUCKETS + 1) if (1 - (percent / 100) ** r) ** (BUCKETS // r) <= MISSED), default=1)
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -97,9 +101,11 @@ def registers(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return filled.astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
-    used = regs[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS).astype(np.uint64) + np.uint64(1)
-    total = (used * _BAND_MULT).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def band_keys(regs: np.ndarray, rows: int) -> np.ndarray:
+    bands = BUCKETS // rows
+    mult = np.random.Generator(np.random.PCG64(11)).integers(1, 2**63, (bands, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    used = regs[:, : bands * rows].reshape(-1, bands, rows).astype(np.uint64) + np.uint64(1)
+    total = (used * mult).sum(axis=2, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return mix(total).view(np.int64)
 
 
@@ -116,22 +122,23 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, regs binary"
 
 
-def _sign(batches):
+def _sign(batches, rows: int):
+    bands_of = BUCKETS // rows
     for batch in pieces(batches, "text"):
         hashes, bounds = shingle_sets(batch.column("text"))
         n = np.diff(bounds)
         full = np.flatnonzero(n)
         sums = [np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)]
-        keys, regs = np.zeros((len(n), BANDS), np.int64), [b""] * len(n)
+        keys, regs = np.zeros((len(n), bands_of), np.int64), [b""] * len(n)
         if len(full):
             starts = bounds[:-1][full]
             sums[0][full] = np.add.reduceat(mix(hashes), starts)
             sums[1][full] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
             r = registers(hashes, np.append(starts, bounds[-1]))
-            keys[full] = band_keys(r)
+            keys[full] = band_keys(r, rows)
             for i, one in zip(full, r):
                 regs[i] = one.tobytes()
-        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1)))
+        bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands_of), pa.array(keys.reshape(-1)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands, pa.array(regs, pa.binary())],
             ["doc_id", "n_shingles", "d1", "d2", "bands", "regs"],
@@ -145,14 +152,14 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "shingles"])
 
 
-def _likely(batches):
+def _likely(batches, percent: int):
     """Pairs that the registers don't rule out."""
     for batch in batches:
         if not batch.num_rows:
             continue
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS) for c in ("ra", "rb"))
         least = np.minimum(batch.column("na").to_numpy(), batch.column("nb").to_numpy())
-        keep = (estimate(a, b) >= PERCENT / 100 - MARGIN) | (least < SMALL)
+        keep = (estimate(a, b) >= percent / 100 - MARGIN) | (least < SMALL)
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -162,21 +169,21 @@ def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return found.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The links among ``pairs`` (a, b): by size and registers first, then by the full sets."""
     a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
     b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
-    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-    likely = staged(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely, "a long, b long"), "likely")
+    sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    likely = staged(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda x: _likely(x, percent), "a long, b long"), "likely")
     ids = staged(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "ids")
     sets = staged(_sets_of(ids, texts), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = likely.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
-    return both.where(100 * F.col("i") >= PERCENT * (F.col("s") - F.col("i"))).select("a", "b")
+    return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _beyond_hubs(near: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+def _beyond_hubs(near: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that may be links between components, among members of buckets whose central node doesn't reach all.
 
     Shingles are ordered by how many such members have them, rarest first. Two
@@ -197,7 +204,7 @@ def _beyond_hubs(near: DataFrame, found: DataFrame, nodes: DataFrame, texts: Dat
     first = shingles.join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
     first = first.join(nodes.select("node", F.col("n_shingles").alias("n")), "node").join(ids, "node")
     own = F.col("n") - F.size("l")  # they come first and can't be shared
-    length = F.col("n") - F.expr(f"({PERCENT} * n + 99) div 100") + 1 - own
+    length = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 - own
     first = first.where(length > 0).select("node", "n", "c", own.alias("own"), F.posexplode(F.slice("l", F.lit(1), length.cast("int"))).alias("i", "x"))
     first = staged(first.select("node", "c", F.col("x.s").alias("s"), "n", (F.col("own") + F.col("i")).alias("i")), "prefixes")
     most = first.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1")
@@ -205,14 +212,15 @@ def _beyond_hubs(near: DataFrame, found: DataFrame, nodes: DataFrame, texts: Dat
     mine = both.where("c <> most").select("s", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
     rest = both.select(F.col("s").alias("t"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), (F.col("c") == F.col("most")).alias("inside"))
     m = F.expr("least(nx - ix, ny - iy)")
-    may = F.expr("s = t and cx <> cy and (inside or x < y)") & (100 * m >= PERCENT * (F.col("nx") + F.col("ny") - m))
+    may = F.expr("s = t and cx <> cy and (inside or x < y)") & (100 * m >= percent * (F.col("nx") + F.col("ny") - m))
     return mine.join(rest, may).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id (long), kept (boolean)."""
+def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id (long), kept (boolean); linked from ``percent`` of similarity on."""
+    rows = band_rows(percent)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(texts.mapInArrow(_sign, _SIGNED), "signed")
+    signed = staged(texts.mapInArrow(lambda x: _sign(x, rows), _SIGNED), "signed")
     named = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     named = staged(named, "named")
     s = signed.select(F.col("doc_id").alias("node"), "d1", "d2", "n_shingles", "bands", "regs")
@@ -225,11 +233,11 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     middle = near.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("mid"))
     near = staged(near.join(middle, "key"), "near")
     pairs = near.select(F.col("low").alias("a"), F.col("node").alias("b")).union(near.select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")))
-    links = staged(_verified(pairs.where("a < b").distinct(), nodes, texts), "verified")
+    links = staged(_verified(pairs.where("a < b").distinct(), nodes, texts, percent), "verified")
     found = components(links)
-    more = staged(_beyond_hubs(near, found, nodes, texts), "more")
+    more = staged(_beyond_hubs(near, found, nodes, texts, percent), "more")
     if not more.isEmpty():
-        found = components(links.union(_verified(more, nodes, texts)))
+        found = components(links.union(_verified(more, nodes, texts, percent)))
 
     named = named.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
     # Rows of one id are one document: what any of them is linked with, all are.
@@ -239,9 +247,9 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without the documents that another one stands for; of rows with one id, one stays."""
-    gone = staged(near_dup(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    gone = staged(near_dup(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     ids = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
     names = docs.columns
     left = docs.join(ids, docs["doc_id"] == ids["__gone"], "left_anti").select(*[docs[f"`{c}`"] for c in names])

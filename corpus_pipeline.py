@@ -19,8 +19,8 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    return near_dup.keep(spark, docs)
+    """One document, that with the smallest id, of each group of near duplicates, from a similarity of 0.8 on."""
+    return near_dup.keep(spark, docs, percent=80)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

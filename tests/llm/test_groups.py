@@ -231,3 +231,19 @@ def test_repeats_numbers_by_production_parameters(spark):
     assert as_multiset(got) == as_multiset(brute_repeats(listed, 400))
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
     assert SCHEMA.startswith("doc_id long")
+
+
+def test_near_dup_at_another_threshold(spark):
+    # Two words changed far apart in 110: 96 of 116 shingles are shared, a similarity of 0.83.
+    fill = ("en", "s", 0, 7, "z", 1, "h", 0)
+    listed = []
+    for g in range(20):
+        w = prose(110, 300 + g).split()
+        listed.append((10 * g, " ".join(w), *fill))
+        w[30], w[70] = f"x{g}", f"y{g}"
+        listed.append((10 * g + 1, " ".join(w), *fill))
+    docs = frame(spark, listed)
+    assert near_dup.near_dup(docs).where("not kept").count() == 0
+    assert near_dup.near_dup(docs, percent=80).where("not kept").count() == 20
+    assert near_dup.keep(spark, docs, percent=80).count() == 20
+    assert [near_dup.band_rows(p) for p in (85, 80)] == [5, 4]
