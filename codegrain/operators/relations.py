@@ -5,23 +5,48 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RESOLUTIONS = ("INDIRECT_OR_DYNAMIC", "MACRO_OR_FUNCTION_AMBIGUOUS", "MEMBER_OR_QUALIFIED", "UNIQUE_FILE_LOCAL", "AMBIGUOUS", "UNIQUE_REPOSITORY", "UNRESOLVED_EXTERNAL")
-
+# What a call's and an include's candidates amount to.
+CALL_RESOLUTIONS = (
+    "INDIRECT_OR_DYNAMIC",
+    "MACRO_OR_FUNCTION_AMBIGUOUS",
+    "MEMBER_OR_QUALIFIED",
+    "UNIQUE_FILE_LOCAL_CANDIDATE",
+    "AMBIGUOUS",
+    "UNIQUE_REPOSITORY_CANDIDATE",
+    "UNRESOLVED_EXTERNAL",
+)
+INCLUDE_RESOLUTIONS = ("UNRESOLVED_WITHOUT_BUILD_CONFIG", "UNIQUE_PATH_CANDIDATE", "AMBIGUOUS_PATH_CANDIDATES")
+#: Candidates that a call or include carries itself; all of them are in the pools' tables.
+FIRST = 3
+
+
+def pools(symbols: DataFrame) -> DataFrame:
+    """The candidates of every name: via ('name' or 'qualified'), pool, use, symbol_id, path, start_byte, linkage.
+
+    ``symbols``: symbol_id, name, qualified_name, symbol_kind, role, linkage, path,
+    start_byte. A use is DEFINITION or DECLARATION of a function, or MACRO; other
+    symbols are no candidates. One row for each symbol and name: calls refer to
+    their pool, so that a name that many symbols and many calls share never
+    becomes their product.
+    """
+    use = F.when((F.col("symbol_kind") == "FUNCTION") & F.col("role").isin("DEFINITION", "DECLARATION"), F.col("role")).when((F.col("symbol_kind") == "MACRO") & (F.col("role") == "DEFINITION"), "MACRO")
+    named = F.array(*[F.struct(F.lit(via).alias("via"), F.col(c).alias("pool")) for via, c in (("name", "name"), ("qualified", "qualified_name"))])
+    return symbols.select(F.explode(named).alias("n"), use.alias("use"), "symbol_id", "path", "start_byte", "linkage").where("use is not null").select("n.*", "use", "symbol_id", "path", "start_byte", "linkage")
 
-def name_pool(symbols: DataFrame, name: str = "name") -> DataFrame:
-    """A row for each name: how many definitions, declarations and macros bear it.
 
-    Candidates are counted per name before any join, so that a name that many
-    symbols and many calls share never becomes their product.
-    """
-    count = lambda role: F.sum((F.col("role") == role).cast("long"))
-    return symbols.groupBy(F.col(name).alias("pool_name")).agg(count("DEFINITION").alias("n_def"), count("DECLARATION").alias("n_decl"), count("MACRO").alias("n_macro"))
+def _firsts(rows: DataFrame, key: list[str], order: list[str], value: str, n: int = FIRST) -> DataFrame:
+    """The first ``n`` values of each key as an array; a key's other rows are dropped before they move."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    listed = F.array_sort(F.collect_list(F.struct("_n", value)))
+    return rows.withColumn("_n", rank).where(F.col("_n") <= n).groupBy(*key).agg(F.transform(listed, lambda x: x[value]).alias("first"))
 
 
-def local_pool(symbols: DataFrame, name: str = "name") -> DataFrame:
-    """Definitions that only their own file sees, counted by file and name."""
-    inner = symbols.where((F.col("role") == "DEFINITION") & (F.col("linkage") == "INTERNAL"))
-    return inner.groupBy(F.col("path").alias("local_path"), F.col(name).alias("local_name")).agg(F.count("*").alias("n_local"))
+def _pool_counts(rows: DataFrame) -> DataFrame:
+    """By via and pool: how many symbols of each use, and the first definitions by place."""
+    count = lambda use: F.sum((F.col("use") == use).cast("long"))
+    n = rows.groupBy("via", "pool").agg(F.count("*").alias("n_all"), count("DEFINITION").alias("n_def"), count("DECLARATION").alias("n_decl"), count("MACRO").alias("n_macro"))
+    firsts = _firsts(rows.where("use = 'DEFINITION'"), ["via", "pool"], ["path", "start_byte", "symbol_id"], "symbol_id")
+    return n.join(firsts, ["via", "pool"], "left")
 
 
 def ladder(kind: Column, name: Column, n_def: Column, n_decl: Column, n_macro: Column, n_local: Column) -> Column:
@@ -30,77 +55,165 @@ def ladder(kind: Column, name: Column, n_def: Column, n_decl: Column, n_macro: C
         F.when((kind == "INDIRECT") | name.isNull(), "INDIRECT_OR_DYNAMIC")
         .when((n_macro > 0) & (n_def + n_decl > 0), "MACRO_OR_FUNCTION_AMBIGUOUS")
         .when(kind.isin("MEMBER", "QUALIFIED"), "MEMBER_OR_QUALIFIED")
-        .when(n_local == 1, "UNIQUE_FILE_LOCAL")
+        .when(n_local == 1, "UNIQUE_FILE_LOCAL_CANDIDATE")
         .when(n_local > 1, "AMBIGUOUS")
-        .when(n_def == 1, "UNIQUE_REPOSITORY")
+        .when(n_def == 1, "UNIQUE_REPOSITORY_CANDIDATE")
         .when(n_def > 1, "AMBIGUOUS")
         .otherwise("UNRESOLVED_EXTERNAL")
     )
 
 
 def resolve_calls(calls: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``calls`` (kind, callee_name, callee_expression, path) with resolution and n_candidates.
+    """``calls`` (kind, callee_name, callee_expression, path) with their candidates and resolution.
 
-    Candidates are the symbols whose qualified name is the callee's expression,
-    or, when there is none, those of the callee's name; macros always by name.
+    Candidates are the functions whose qualified name is the callee's expression,
+    or, when no symbol has it, those of the callee's name; macros always by name.
+    Adds resolution, via and pool (where pools() lists the candidates; null for
+    none), local_symbol_id (the only candidate, where the file's own one decides),
+    n_candidates, n_declarations, and first_candidates, by place.
     """
-    plain, qualified = name_pool(symbols), name_pool(symbols, "qualified_name")
-    local, qualified_local = local_pool(symbols), local_pool(symbols, "qualified_name")
-    q = lambda df, s: df.select([F.col(c).alias(f"{c}_{s}") for c in df.columns])
-    out = calls.join(q(plain, "p"), F.col("callee_name") == F.col("pool_name_p"), "left")
-    out = out.join(q(qualified, "q"), F.col("callee_expression") == F.col("pool_name_q"), "left")
-    out = out.join(q(local, "p"), (F.col("callee_name") == F.col("local_name_p")) & (F.col("path") == F.col("local_path_p")), "left")
-    out = out.join(q(qualified_local, "q"), (F.col("callee_expression") == F.col("local_name_q")) & (F.col("path") == F.col("local_path_q")), "left")
-    exact = F.col("pool_name_q").isNotNull()
-    n = lambda c: F.coalesce(F.when(exact, F.col(f"{c}_q")).otherwise(F.col(f"{c}_p")), F.lit(0))
-    macro = F.coalesce("n_macro_p", F.lit(0))
-    resolution = ladder(F.col("kind"), F.col("callee_name"), n("n_def"), n("n_decl"), macro, n("n_local"))
-    candidates = F.when(resolution == "UNIQUE_FILE_LOCAL", F.lit(1)).when(F.col("callee_name").isNull(), F.lit(0)).otherwise(n("n_def"))
-    return out.select(*[F.col(c) for c in calls.columns], resolution.alias("resolution"), candidates.cast("long").alias("n_candidates"))
-
-
-def resolve_links(links: DataFrame, paths: DataFrame, max_paths: int = 3) -> DataFrame:
-    """``links`` (path, target) with n_candidates, first_path and resolution.
+    rows = pools(symbols)
+    counts = _pool_counts(rows)
+    # Whether any symbol at all has a qualified name decides between the pools.
+    known = symbols.select(F.col("qualified_name").alias("known")).distinct()
+    own = rows.where("use = 'DEFINITION' and linkage = 'INTERNAL'").groupBy("via", "pool", "path").agg(F.count("*").alias("n_local"), F.min("symbol_id").alias("local_id"))
+    # Calls without a name match nothing; they are dealt out instead of meeting in one task.
+    nothing = lambda c: F.coalesce(c, F.concat(F.lit("\0"), F.pmod(F.xxhash64(*calls.columns), F.lit(4096)).cast("string")))
+    out = calls.join(known, nothing(F.col("callee_expression")) == F.col("known"), "left")
+    via = F.when(F.col("known").isNotNull(), "qualified").when(F.col("callee_name").isNotNull(), "name")
+    out = out.withColumn("_via", via).withColumn("_pool", F.when(F.col("_via") == "qualified", F.col("callee_expression")).otherwise(F.col("callee_name")))
+    c = counts.select(F.col("via").alias("c_via"), F.col("pool").alias("c_pool"), "n_def", "n_decl", "first")
+    out = out.join(c, (F.coalesce("_via", F.lit("")) == F.col("c_via")) & (nothing(F.col("_pool")) == F.col("c_pool")), "left")
+    m = counts.where("via = 'name' and n_macro > 0").select(F.col("pool").alias("m_pool"), "n_macro")
+    out = out.join(m, nothing(F.col("callee_name")) == F.col("m_pool"), "left")
+    o = own.select(F.col("via").alias("o_via"), F.col("pool").alias("o_pool"), F.col("path").alias("o_path"), "n_local", "local_id")
+    out = out.join(o, (F.coalesce("_via", F.lit("")) == F.col("o_via")) & (nothing(F.col("_pool")) == F.col("o_pool")) & (F.col("path") == F.col("o_path")), "left")
+    n = lambda col: F.coalesce(col, F.lit(0).cast("long"))
+    resolution = ladder(F.col("kind"), F.col("callee_name"), n("n_def"), n("n_decl"), n("n_macro"), n("n_local"))
+    local = F.when(resolution == "UNIQUE_FILE_LOCAL_CANDIDATE", F.col("local_id"))
+    found = n("n_def") + n("n_decl") > 0
+    none = F.array().cast(f"array<{symbols.schema['symbol_id'].dataType.simpleString()}>")
+    return out.select(
+        *[F.col(c) for c in calls.columns],
+        resolution.alias("resolution"),
+        F.when(found, F.col("_via")).alias("via"),
+        F.when(found, F.col("_pool")).alias("pool"),
+        local.alias("local_symbol_id"),
+        F.when(local.isNotNull(), F.lit(1).cast("long")).otherwise(n("n_def")).alias("n_candidates"),
+        n("n_decl").alias("n_declarations"),
+        F.when(local.isNotNull(), F.array(local)).otherwise(F.coalesce("first", none)).alias("first_candidates"),
+    )
+
+
+def call_candidates(resolved: DataFrame, symbols: DataFrame, use: str = "DEFINITION") -> DataFrame:
+    """A row for each call of resolve_calls() and candidate: the calls' columns and symbol_id. As large as the product of calls and candidates."""
+    pool = pools(symbols).where(F.col("use") == use).select(F.col("via").alias("p_via"), F.col("pool").alias("p_pool"), "symbol_id")
+    same = (F.col("via") == F.col("p_via")) & (F.col("pool") == F.col("p_pool"))
+    if use == "DEFINITION":
+        same &= F.col("local_symbol_id").isNull() | (F.col("local_symbol_id") == F.col("symbol_id"))
+    return resolved.join(pool, same).drop("p_via", "p_pool")
+
+
+def resolve_links(links: DataFrame, paths: DataFrame) -> DataFrame:
+    """``links`` (path, target) with n_candidates, first_paths (the first in order), base (where link_paths() looks) and resolution.
 
     Candidates: the target beside the including file, the target from the root,
     and every path of the same base name; none for absolute targets or ``..``.
-    A base name that many paths share is joined as its count and first paths.
+    The first two have that base name themselves. A base name that many paths
+    share is joined as its count and first paths.
+    """
+    files = paths.select(F.col("path").alias("file")).distinct().withColumn("b_name", F.regexp_extract("file", r"([^/]*)$", 1))
+    by_base = files.groupBy("b_name").agg(F.count("*").alias("b_n")).join(_firsts(files, ["b_name"], ["file"], "file"), "b_name")
+    parts = F.filter(F.split("target", "/"), lambda x: ~x.isin("", "."))
+    safe = ~F.col("target").startswith("/") & ~F.array_contains(parts, "..") & (F.size(parts) > 0)
+    out = links.withColumn("base", F.when(safe, F.element_at(parts, -1)))
+    nothing = F.coalesce("base", F.concat(F.lit("\0"), F.pmod(F.xxhash64(*links.columns), F.lit(4096)).cast("string")))
+    out = out.join(by_base, nothing == F.col("b_name"), "left")
+    n = F.coalesce("b_n", F.lit(0).cast("long"))
+    resolution = F.when(n == 0, INCLUDE_RESOLUTIONS[0]).when(n == 1, INCLUDE_RESOLUTIONS[1]).otherwise(INCLUDE_RESOLUTIONS[2])
+    none = F.array().cast("array<string>")
+    return out.select(*[F.col(c) for c in links.columns], n.alias("n_candidates"), F.coalesce("first", none).alias("first_paths"), F.when(n > 0, F.col("base")).alias("base"), resolution.alias("resolution"))
+
+
+def link_paths(resolved: DataFrame, paths: DataFrame) -> DataFrame:
+    """A row for each link of resolve_links() and candidate: the links' columns and file. As large as the product of links and paths of one base name."""
+    files = paths.select(F.col("path").alias("file")).distinct().withColumn("b_name", F.regexp_extract("file", r"([^/]*)$", 1))
+    return resolved.join(files, F.col("base") == F.col("b_name")).drop("b_name")
+
+
+def outgoing(resolved: DataFrame, caller: str = "caller_symbol_id") -> DataFrame:
+    """The calls of each caller, counted, with the distinct pools that they go to."""
+    return resolved.groupBy(F.col(caller).alias("symbol_id")).agg(F.count("*").alias("n_calls"), F.countDistinct("via", "pool").alias("n_pools"))
+
+
+def symbol(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The symbols of the wanted ids."""
+    return symbols.join(wanted.select("symbol_id").distinct(), "symbol_id")
+
+
+def callees(resolved: DataFrame, batch: str, of_symbol: DataFrame) -> DataFrame:
+    """The first candidates of a batch's calls that are outside it: ``batch``, symbol_id, resolution, each once.
+
+    ``of_symbol``: symbol_id, home (the batch that a symbol is in).
     """
-    base = F.regexp_extract("file", r"([^/]*)$", 1)
-    files = paths.select(F.col("path").alias("file")).distinct()
-    by_base = files.groupBy(base.alias("b_name")).agg(F.count("*").alias("b_n"), F.slice(F.sort_array(F.collect_set("file")), 1, max_paths).alias("b_first"))
-    safe = ~F.col("target").startswith("/") & ~F.array_contains(F.split("target", "/"), "..") & (F.col("target") != "")
-    folder = F.regexp_extract("path", r"^(.*/)", 1)
-    out = links.withColumn("_local", F.when(safe, F.concat(folder, F.col("target")))).withColumn("_root", F.when(safe, F.col("target")))
-    out = out.withColumn("_base", F.when(safe, F.regexp_extract("target", r"([^/]*)$", 1)))
-    out = out.join(files.select(F.col("file").alias("_hit_local")), F.col("_local") == F.col("_hit_local"), "left")
-    out = out.join(files.select(F.col("file").alias("_hit_root")), F.col("_root") == F.col("_hit_root"), "left")
-    out = out.join(by_base, F.col("_base") == F.col("b_name"), "left")
-    # Both exact hits have the target's base name, so they are among those of the base name.
-    n = F.coalesce("b_n", F.lit(0))
-    resolution = F.when(~safe, "UNSAFE").when(n == 0, "UNRESOLVED").when(n > 1, "AMBIGUOUS").when(F.col("_hit_local").isNotNull(), "UNIQUE_LOCAL").when(F.col("_hit_root").isNotNull(), "UNIQUE_ROOT").otherwise("UNIQUE_BASENAME")
-    return out.select(*[F.col(c) for c in links.columns], n.alias("n_candidates"), F.coalesce(F.get("b_first", F.lit(0)), F.lit("")).alias("first_path"), resolution.alias("resolution"))
-
-
-def asof(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, size: str) -> DataFrame:
-    """Each point with the span that holds it; a point at the very end belongs to the last byte's span."""
-    p = points.withColumn("_at", F.when(F.col(at) == F.col(size), F.col(at) - 1).otherwise(F.col(at)))
-    s = spans.withColumnRenamed(key, "_key")
-    return p.join(s, (p[key] == s["_key"]) & (p["_at"] >= s[start]) & (p["_at"] < s[end])).drop("_key", "_at")
-
-
-def overlaps(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Pairs of spans (a_start, a_end) and (b_start, b_end) of one key that share something; a semi join for how='left_semi'."""
-    other = b.withColumnRenamed(key, "_key")
-    joined = a.join(other, (a[key] == other["_key"]) & (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start")), how)
-    return joined if how == "left_semi" else joined.drop("_key")
-
-
-def suffixes(names: DataFrame, name: str) -> DataFrame:
-    """A row for each ``::`` suffix of a name, lower case: turns the search for endings into an equality."""
-    parts = F.split(F.lower(name), "::")
+    each = resolved.select(batch, "resolution", F.explode("first_candidates").alias("symbol_id")).distinct()
+    return each.join(of_symbol, "symbol_id").where(~F.col("home").eqNullSafe(F.col(batch))).select(batch, "symbol_id", "resolution")
+
+
+def callers(wanted: DataFrame, resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The calls that have a wanted symbol among their candidates: the wanted rows' columns and the calls'.
+
+    Goes by the names of the wanted symbols: a call without a candidate of its
+    own file has all of its pool.
+    """
+    pool = pools(symbols).where("use = 'DEFINITION'").select("via", "pool", "symbol_id")
+    found = wanted.join(pool, "symbol_id")
+    joined = found.join(resolved, ["via", "pool"])
+    return joined.where(F.col("local_symbol_id").isNull() | (F.col("local_symbol_id") == F.col("symbol_id")))
+
+
+#: Characters of a cell that points and spans are dealt to before they are compared.
+CELL = 4096
+
+
+def _cells(start: Column, end: Column, cell: int) -> Column:
+    return F.explode(F.sequence(F.floor(start / cell), F.floor(F.greatest(start, end - 1) / cell)))
+
+
+def asof(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, size: str, cell: int = CELL) -> DataFrame:
+    """Each point with the span that holds it; a point at the very end belongs to the last byte's span.
+
+    Points and spans meet by key and cell of ``cell`` places, so that the work
+    grows with the spans of a cell, not with those of a file.
+    """
+    p = points.withColumn("_at", F.when(F.col(at) == F.col(size), F.col(at) - 1).otherwise(F.col(at))).withColumn("_cell", F.floor(F.col("_at") / cell))
+    s = spans.withColumnRenamed(key, "_key").withColumn("_of", _cells(F.col(start), F.col(end), cell))
+    return p.join(s, (p[key] == s["_key"]) & (p["_cell"] == s["_of"]) & (p["_at"] >= s[start]) & (p["_at"] < s[end])).drop("_key", "_at", "_cell", "_of")
+
+
+def overlaps(a: DataFrame, b: DataFrame, key: str, how: str = "inner", cell: int = CELL) -> DataFrame:
+    """Pairs of spans (a_start, a_end) and (b_start, b_end) of one key that share something; a semi join for how='left_semi'.
+
+    Spans meet by key and cell; a pair that shares several cells is taken in the
+    one in which the later of the two begins.
+    """
+    touch = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start"))
+    mine = a.withColumn("_cell", _cells(F.col("a_start"), F.col("a_end"), cell))
+    other = b.withColumnRenamed(key, "_key").withColumn("_of", _cells(F.col("b_start"), F.col("b_end"), cell))
+    first = F.col("_cell") == F.floor(F.greatest("a_start", "b_start") / cell)
+    joined = mine.join(other, (mine[key] == other["_key"]) & (F.col("_cell") == F.col("_of")) & touch & first, how)
+    if how != "left_semi":
+        return joined.drop("_key", "_cell", "_of")
+    # A span may be kept in several cells, by several others; equal spans are in the same cells.
+    per = joined.groupBy(*a.columns, "_cell").agg(F.count("*").alias("_n")).groupBy(*a.columns).agg(F.max("_n").alias("_n"))
+    return per.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
+
+
+def suffixes(names: DataFrame, qualified: str = "qualified_name", name: str = "name") -> DataFrame:
+    """A row for each ``::`` suffix of a qualified name and for the name itself, lower case: turns the search for endings into an equality."""
+    parts = F.split(F.lower(qualified), "::")
     each = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "::"))
-    return names.withColumn("suffix", F.explode(each))
+    return names.withColumn("suffix", F.explode(F.array_distinct(F.concat(each, F.array(F.lower(name))))))
 
 
 def search_exact(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -109,9 +222,17 @@ def search_exact(symbols: DataFrame, wanted: DataFrame) -> DataFrame:
     return both.join(wanted, "wanted").distinct()
 
 
-def incoming(calls: DataFrame) -> DataFrame:
-    """The reverse of calls (caller, candidates): a row for each candidate with its callers counted."""
-    return calls.select("caller", F.explode(F.array_distinct("candidates")).alias("symbol_id")).groupBy("symbol_id").agg(F.count("*").alias("n_calls"), F.countDistinct("caller").alias("n_callers"))
+def incoming(resolved: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The reverse of calls: symbol_id, n_calls of each symbol that is a candidate of some call.
+
+    Calls are counted by pool before they meet its symbols; callers() gives the
+    calls themselves for symbols that are wanted.
+    """
+    per = resolved.where("via is not null").groupBy("via", "pool", "local_symbol_id").agg(F.count("*").alias("n"))
+    own = per.where("local_symbol_id is not null").select(F.col("local_symbol_id").alias("symbol_id"), "n")
+    pool = pools(symbols).where("use = 'DEFINITION'").select("via", "pool", "symbol_id")
+    all_ = per.where("local_symbol_id is null").groupBy("via", "pool").agg(F.sum("n").alias("n")).join(pool, ["via", "pool"]).select("symbol_id", "n")
+    return own.unionByName(all_).groupBy("symbol_id").agg(F.sum("n").alias("n_calls"))
 
 
 def first_of(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

@@ -75,24 +75,37 @@ def _(spark, d):
     return _scored_calls(spark, d).where("is_cross").groupBy("l_orderkey").agg(F.countDistinct("target").alias("n_targets"))
 
 
+#: Calls with their candidates, straight from the rules: one pool of the callee's name, one of its expression.
 _RESOLVE_SQL = f"""{t.SYMBOLS_SQL}, {t.CALLS_SQL},
-pool AS (SELECT nm, via, sum((role = 'DEFINITION')::INT) AS d, sum((role = 'DECLARATION')::INT) AS e, sum((role = 'MACRO')::INT) AS m FROM (SELECT name AS nm, 'p' AS via, role FROM symbols UNION ALL SELECT qualified_name, 'q', role FROM symbols) GROUP BY nm, via),
-loc AS (SELECT nm, path, via, count(*) AS l FROM (SELECT name AS nm, 'p' AS via, path, role, linkage FROM symbols UNION ALL SELECT qualified_name, 'q', path, role, linkage FROM symbols) WHERE role = 'DEFINITION' AND linkage = 'INTERNAL' GROUP BY ALL),
-j AS (SELECT c.*, q.nm IS NOT NULL AS x, coalesce(CASE WHEN q.nm IS NOT NULL THEN q.d ELSE p.d END, 0) AS d, coalesce(CASE WHEN q.nm IS NOT NULL THEN q.e ELSE p.e END, 0) AS e, coalesce(p.m, 0) AS m,
-  coalesce(CASE WHEN q.nm IS NOT NULL THEN lq.l ELSE lp.l END, 0) AS l FROM calls c LEFT JOIN pool p ON p.via = 'p' AND p.nm = callee_name LEFT JOIN pool q ON q.via = 'q' AND q.nm = callee_expression
-  LEFT JOIN loc lp ON lp.via = 'p' AND lp.nm = callee_name AND lp.path = c.path LEFT JOIN loc lq ON lq.via = 'q' AND lq.nm = callee_expression AND lq.path = c.path),
+u AS (SELECT * FROM (SELECT s.*, via, CASE via WHEN 'name' THEN name ELSE qualified_name END AS pool,
+  CASE WHEN symbol_kind = 'FUNCTION' AND role IN ('DEFINITION', 'DECLARATION') THEN role WHEN symbol_kind = 'MACRO' AND role = 'DEFINITION' THEN 'MACRO' END AS use FROM symbols s, (VALUES ('name'), ('qualified')) v(via)) WHERE use IS NOT NULL),
+pool AS (SELECT via, pool, count(*) FILTER (use = 'DEFINITION') AS d, count(*) FILTER (use = 'DECLARATION') AS e, count(*) FILTER (use = 'MACRO') AS m, (list(symbol_id ORDER BY path, start_byte, symbol_id) FILTER (use = 'DEFINITION'))[1:3] AS firsts FROM u GROUP BY ALL),
+loc AS (SELECT via, pool, path, count(*) AS l, min(symbol_id) AS id FROM u WHERE use = 'DEFINITION' AND linkage = 'INTERNAL' GROUP BY ALL),
+c AS (SELECT *, CASE WHEN callee_expression IN (SELECT qualified_name FROM symbols) THEN 'qualified' WHEN callee_name IS NOT NULL THEN 'name' END AS v FROM calls),
+j AS (SELECT c.caller, c.target, c.line, c.kind, c.path, c.callee_name, v, CASE v WHEN 'qualified' THEN callee_expression ELSE callee_name END AS q FROM c),
+k AS (SELECT j.*, coalesce(p.d, 0) AS d, coalesce(p.e, 0) AS e, coalesce(n.m, 0) AS m, coalesce(l, 0) AS l, id, p.firsts FROM j LEFT JOIN pool p ON p.via = v AND p.pool = q LEFT JOIN pool n ON n.via = 'name' AND n.pool = callee_name
+  LEFT JOIN loc ON loc.via = v AND loc.pool = q AND loc.path = j.path),
 r AS (SELECT *, CASE WHEN kind = 'INDIRECT' OR callee_name IS NULL THEN 'INDIRECT_OR_DYNAMIC' WHEN m > 0 AND d + e > 0 THEN 'MACRO_OR_FUNCTION_AMBIGUOUS' WHEN kind IN ('MEMBER', 'QUALIFIED') THEN 'MEMBER_OR_QUALIFIED'
-  WHEN l = 1 THEN 'UNIQUE_FILE_LOCAL' WHEN l > 1 THEN 'AMBIGUOUS' WHEN d = 1 THEN 'UNIQUE_REPOSITORY' WHEN d > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED_EXTERNAL' END AS resolution FROM j),
-resolved AS (SELECT caller, target, kind, resolution, (CASE WHEN resolution = 'UNIQUE_FILE_LOCAL' THEN 1 WHEN callee_name IS NULL THEN 0 ELSE d END)::BIGINT AS n_candidates FROM r)"""
+  WHEN l = 1 THEN 'UNIQUE_FILE_LOCAL_CANDIDATE' WHEN l > 1 THEN 'AMBIGUOUS' WHEN d = 1 THEN 'UNIQUE_REPOSITORY_CANDIDATE' WHEN d > 1 THEN 'AMBIGUOUS' ELSE 'UNRESOLVED_EXTERNAL' END AS resolution FROM k),
+resolved AS (SELECT caller, target, line, path, kind, resolution, CASE WHEN d + e > 0 THEN v END AS via, CASE WHEN d + e > 0 THEN q END AS pool, CASE WHEN resolution = 'UNIQUE_FILE_LOCAL_CANDIDATE' THEN id END AS local_symbol_id,
+  (CASE WHEN resolution = 'UNIQUE_FILE_LOCAL_CANDIDATE' THEN 1 ELSE d END)::BIGINT AS n_candidates, e::BIGINT AS n_declarations, CASE WHEN resolution = 'UNIQUE_FILE_LOCAL_CANDIDATE' THEN [id] ELSE coalesce(firsts, []) END AS firsts FROM r),
+edges AS (SELECT DISTINCT caller, r.via, r.pool, r.resolution, r.path, symbol_id FROM resolved r JOIN u ON u.via = r.via AND u.pool = r.pool AND use = 'DEFINITION' AND (local_symbol_id IS NULL OR local_symbol_id = symbol_id))"""
 
 
 def _resolved(spark, d):
     return rel.resolve_calls(t.calls(spark, d), t.symbols(spark, d))
 
 
-@query("resolve_calls", f"WITH {_RESOLVE_SQL} SELECT caller, target, kind, resolution, n_candidates, count(*) AS n FROM resolved GROUP BY ALL")
+@query("resolve_calls", f"WITH {_RESOLVE_SQL} SELECT caller, target, line, kind, resolution, via, pool, local_symbol_id, n_candidates, n_declarations, array_to_string(firsts, ',') AS first_ids FROM resolved")
 def _(spark, d):
-    return _resolved(spark, d).groupBy("caller", "target", "kind", "resolution", "n_candidates").agg(F.count("*").alias("n"))
+    ids = F.array_join(F.col("first_candidates").cast("array<string>"), ",").alias("first_ids")
+    return _resolved(spark, d).select("caller", "target", "line", "kind", "resolution", "via", "pool", "local_symbol_id", "n_candidates", "n_declarations", ids)
+
+
+@query("call_candidates", f"WITH {_RESOLVE_SQL} SELECT via, pool, use, count(*) AS n, string_agg(symbol_id::VARCHAR, ',' ORDER BY path, start_byte, symbol_id) AS ids FROM u GROUP BY ALL")
+def _(spark, d):
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("path", "start_byte", "symbol_id"))), lambda x: x["symbol_id"].cast("string"))
+    return rel.pools(t.symbols(spark, d)).groupBy("via", "pool", "use").agg(F.count("*").alias("n"), F.array_join(listed, ",").alias("ids"))
 
 
 @query("resolution_counts", f"WITH {_RESOLVE_SQL} SELECT resolution, count(*) AS n, sum(n_candidates)::BIGINT AS candidates FROM resolved GROUP BY resolution")
@@ -105,10 +118,9 @@ def _(spark, d):
     return _resolved(spark, d).rollup("kind", "resolution").agg(F.count("*").alias("n"))
 
 
-@query("dangling_callers", "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') GROUP BY l_orderkey")
+@query("dangling_callers", "SELECT user_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT doc_id FROM labels) GROUP BY user_id")
 def _(spark, d):
-    kept = t.table(spark, d, "orders").where("o_orderstatus <> 'P'")
-    return validate.dangling(t.table(spark, d, "lineitem"), "l_orderkey", kept, "o_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return validate.dangling(t.table(spark, d, "events"), "user_id", t.table(spark, d, "labels"), "doc_id").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 _PATHS_SQL = """paths AS (SELECT DISTINCT unnest([p_brand || '/' || p_type || '/' || p_name || '_' || p_partkey || '.h', p_brand || '/' || p_type || '/' || p_name || '.h']) AS file FROM part),
@@ -118,27 +130,46 @@ links AS (SELECT p_brand || '/' || p_type || '/x.c' AS path, CASE l_linenumber %
 
 @query(
     "resolve_links",
-    f"""WITH {_PATHS_SQL}, l AS (SELECT path, target, count(*) AS n FROM links GROUP BY ALL), b AS (SELECT regexp_extract(file, '([^/]*)$', 1) AS nm, count(*) AS c, min(file) AS f FROM paths GROUP BY 1),
-x AS (SELECT l.*, NOT starts_with(target, '/') AND NOT list_contains(string_split(target, '/'), '..') AND target <> '' AS safe, regexp_extract(path, '^(.*/)', 1) || target AS loc, regexp_extract(target, '([^/]*)$', 1) AS nm FROM l)
-SELECT path, target, n, CASE WHEN safe THEN coalesce(c, 0) ELSE 0 END AS n_candidates, CASE WHEN safe THEN coalesce(f, '') ELSE '' END AS first_path, CASE WHEN NOT safe THEN 'UNSAFE' WHEN coalesce(c, 0) = 0 THEN 'UNRESOLVED' WHEN c > 1 THEN 'AMBIGUOUS'
-  WHEN loc IN (SELECT file FROM paths) THEN 'UNIQUE_LOCAL' WHEN target IN (SELECT file FROM paths) THEN 'UNIQUE_ROOT' ELSE 'UNIQUE_BASENAME' END AS resolution FROM x LEFT JOIN b USING (nm)""",
+    f"""WITH {_PATHS_SQL}, l AS (SELECT path, target, count(*) AS n FROM links GROUP BY ALL), x AS (SELECT *, NOT starts_with(target, '/') AND NOT list_contains(string_split(target, '/'), '..') AS safe, regexp_extract(path, '^(.*/)', 1) || target AS loc FROM l),
+h AS (SELECT DISTINCT x.path, x.target, file FROM x JOIN paths ON safe AND (file = loc OR file = target OR regexp_extract(file, '([^/]*)$', 1) = regexp_extract(target, '([^/]*)$', 1))),
+g AS (SELECT path, target, count(*) AS c, array_to_string((list(file ORDER BY file))[1:3], ',') AS firsts FROM h GROUP BY ALL)
+SELECT l.path, l.target, n, coalesce(c, 0) AS n_candidates, coalesce(firsts, '') AS first_paths, CASE WHEN c IS NULL THEN 'UNRESOLVED_WITHOUT_BUILD_CONFIG' WHEN c = 1 THEN 'UNIQUE_PATH_CANDIDATE' ELSE 'AMBIGUOUS_PATH_CANDIDATES' END AS resolution
+FROM l LEFT JOIN g ON l.path = g.path AND l.target = g.target""",
+)
+def _(spark, d):
+    return rel.resolve_links(*_links(spark, d)).select("path", "target", "n", "n_candidates", F.array_join("first_paths", ",").alias("first_paths"), "resolution")
+
+
+@query(
+    "link_paths",
+    f"""WITH {_PATHS_SQL}, l AS (SELECT DISTINCT path, target FROM links WHERE NOT list_contains(string_split(target, '/'), '..')) SELECT path, target, file FROM l JOIN paths ON regexp_extract(file, '([^/]*)$', 1) = regexp_extract(target, '([^/]*)$', 1)
+UNION SELECT path, target, file FROM l JOIN paths ON file = regexp_extract(path, '^(.*/)', 1) || target UNION SELECT path, target, file FROM l JOIN paths ON file = target""",
 )
 def _(spark, d):
+    links, paths = _links(spark, d)
+    return rel.link_paths(rel.resolve_links(links, paths), paths).select("path", "target", "file")
+
+
+def _links(spark, d):
     p, li = t.table(spark, d, "part"), t.table(spark, d, "lineitem")
     folder, one = F.concat_ws("/", "p_brand", "p_type"), F.concat_ws("_", "p_name", "p_partkey")
     paths = p.select(F.explode(F.array(F.concat(folder, F.lit("/"), one, F.lit(".h")), F.concat(folder, F.lit("/"), F.col("p_name"), F.lit(".h")))).alias("path")).distinct()
     form = F.col("l_linenumber") % 4
     target = F.when(form == 0, F.concat(one, F.lit(".h"))).when(form == 1, F.concat("p_name", F.lit(".h"))).when(form == 2, F.concat(folder, F.lit("/"), one, F.lit(".h"))).otherwise(F.concat(F.lit("../"), F.col("p_name"), F.lit(".h")))
     links = li.join(p, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.concat(folder, F.lit("/x.c")).alias("path"), target.alias("target")).agg(F.count("*").alias("n"))
-    return rel.resolve_links(links, paths)
+    return links, paths
 
 
-_POINTS_SQL = "pts AS (SELECT doc_id, k, (k * 977) % (length(text) + 1) AS pos, length(text) AS size FROM documents, range(0, 5) r(k) WHERE length(text) > 0)"
+#: Where every line of every text begins, the place behind the last newline included.
+_POINTS_SQL = """pts AS (SELECT doc_id, k, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos, size, l
+  FROM (SELECT doc_id, length(text) AS size, unnest(string_split(text, chr(10))) AS l, unnest(range(0, len(string_split(text, chr(10))))) AS k FROM documents WHERE length(text) > 0))"""
 
 
 def _points(spark, d):
-    docs = t.table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("size")).where("size > 0")
-    return docs.select("doc_id", "size", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).withColumn("k", F.col("k").cast("long")).withColumn("pos", F.col("k") * 977 % (F.col("size") + 1))
+    docs = t.table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("size"), F.split("text", "\n").alias("ls")).where("size > 0")
+    rows = docs.select("doc_id", "size", F.posexplode("ls").alias("k", "l"))
+    before = F.sum(F.length("l") + 1).over(Window.partitionBy("doc_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.select("doc_id", F.col("k").cast("long").alias("k"), F.coalesce(before, F.lit(0)).cast("long").alias("pos"), "size", "l")
 
 
 @query("asof_chunk", f"WITH RECURSIVE {t.CHUNKS_SQL}, {_POINTS_SQL} SELECT p.doc_id, k, pos, ordinal FROM pts p JOIN chunks c ON p.doc_id = c.doc_id AND CASE WHEN pos = size THEN pos - 1 ELSE pos END >= start_char AND CASE WHEN pos = size THEN pos - 1 ELSE pos END < end_char")
@@ -159,9 +190,10 @@ def _(spark, d):
     return rel.overlaps(_spans(spark, d), _as_b(spark, d), "doc_id").groupBy("doc_id", "k").agg(F.count("*").alias("n"), F.min("ordinal").alias("first_ordinal"), F.max("ordinal").alias("last_ordinal"))
 
 
-@query("enclosing_semi", f"WITH RECURSIVE {t.CHUNKS_SQL}, {_POINTS_SQL} SELECT doc_id, k FROM pts p WHERE EXISTS (SELECT 1 FROM chunks c WHERE p.doc_id = c.doc_id AND pos < end_char AND pos + 300 > start_char AND ordinal % 3 = 1)")
+@query("enclosing_semi", f"WITH RECURSIVE {t.CHUNKS_SQL}, {_POINTS_SQL} SELECT doc_id, k FROM pts p WHERE EXISTS (SELECT 1 FROM chunks c WHERE p.doc_id = c.doc_id AND pos < end_char AND pos + 300 > start_char AND n_bytes > end_char - start_char)")
 def _(spark, d):
-    return rel.overlaps(_spans(spark, d), _as_b(spark, d).where("ordinal % 3 = 1"), "doc_id", "left_semi").select("doc_id", "k")
+    wide = t.chunks(spark, d).where("n_bytes > end_char - start_char").select("doc_id", F.col("start_char").alias("b_start"), F.col("end_char").alias("b_end"))
+    return rel.overlaps(_spans(spark, d), wide, "doc_id", "left_semi").select("doc_id", "k")
 
 
 @query(
@@ -181,9 +213,24 @@ def _(spark, d):
     return t.table(spark, d, "documents").select("doc_id").join(facts.distinct(), "doc_id", "left_anti")
 
 
-@query("incoming_edges", "SELECT l_partkey AS symbol_id, count(*) AS n_calls, count(DISTINCT l_orderkey) AS n_callers FROM lineitem GROUP BY l_partkey")
+@query("incoming_edges", f"WITH {_RESOLVE_SQL}, n AS (SELECT via, pool, local_symbol_id, count(*) AS c FROM resolved WHERE via IS NOT NULL GROUP BY ALL) SELECT symbol_id, sum(c)::BIGINT AS n_calls FROM n JOIN u USING (via, pool) WHERE use = 'DEFINITION' AND (local_symbol_id IS NULL OR local_symbol_id = symbol_id) GROUP BY symbol_id")
 def _(spark, d):
-    return rel.incoming(t.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("caller"), F.array("l_partkey").alias("candidates")))
+    return rel.incoming(_resolved(spark, d), t.symbols(spark, d))
+
+
+@query("outgoing_edges", f"WITH {_RESOLVE_SQL} SELECT caller AS symbol_id, count(*) AS n_calls, count(DISTINCT via || ':' || pool) AS n_pools FROM resolved GROUP BY caller")
+def _(spark, d):
+    return rel.outgoing(_resolved(spark, d), "caller")
+
+
+_DRAWN_SQL = f"drawn AS (SELECT symbol_id FROM symbols ORDER BY sha256('{t.DOMAIN}' || chr(0) || '{t.SEED}' || chr(0) || symbol_id), symbol_id LIMIT 20)"
+
+
+@query("called_by", f"WITH {_RESOLVE_SQL}, {_DRAWN_SQL} SELECT symbol_id, caller, resolution FROM edges JOIN drawn USING (symbol_id) GROUP BY ALL")
+def _(spark, d):
+    symbols = t.symbols(spark, d)
+    drawn = scoring.hash_sample(symbols.select("symbol_id"), "symbol_id", t.DOMAIN, t.SEED, 20).select("symbol_id")
+    return rel.callers(drawn, _resolved(spark, d), symbols).select("symbol_id", "caller", "resolution").distinct()
 
 
 @query("search_exact", f"WITH {t.SYMBOLS_SQL} SELECT DISTINCT w AS wanted, symbol_id FROM symbols, (VALUES ('cold widget'), ('Brand#5::small widget'), ('none')) v(w) WHERE name = w OR qualified_name = w")
@@ -191,27 +238,21 @@ def _(spark, d):
     return rel.search_exact(t.symbols(spark, d), spark.createDataFrame([("cold widget",), ("Brand#5::small widget",), ("none",)], "wanted string"))
 
 
-@query("suffix_lookup", f"WITH {t.SYMBOLS_SQL} SELECT w AS suffix, symbol_id FROM symbols, (VALUES ('cold widget'), ('brand#5::small widget'), ('widget')) v(w) WHERE lower(qualified_name) = w OR ends_with(lower(qualified_name), '::' || w)")
+@query("suffix_lookup", f"WITH {t.SYMBOLS_SQL} SELECT w AS suffix, symbol_id FROM symbols, (VALUES ('cold widget'), ('brand#5::small widget'), ('widget')) v(w) WHERE lower(name) = w OR lower(qualified_name) = w OR ends_with(lower(qualified_name), '::' || w)")
 def _(spark, d):
     wanted = F.broadcast(spark.createDataFrame([("cold widget",), ("brand#5::small widget",), ("widget",)], "suffix string"))
-    return rel.suffixes(t.symbols(spark, d).select("symbol_id", "qualified_name"), F.col("qualified_name")).join(wanted, "suffix").select("suffix", "symbol_id").distinct()
+    return rel.suffixes(t.symbols(spark, d).select("symbol_id", "name", "qualified_name")).join(wanted, "suffix").select("suffix", "symbol_id").distinct()
 
 
-@query(
-    "one_hop",
-    """WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem), c AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS i FROM e),
-n AS (SELECT l_partkey, count(*) AS callers FROM e GROUP BY l_partkey) SELECT l_orderkey, count(*) AS n_candidates, sum(callers - 1)::BIGINT AS n_neighbours FROM c JOIN n USING (l_partkey) WHERE i <= 3 GROUP BY l_orderkey""",
-)
+@query("one_hop", f"WITH {_RESOLVE_SQL} SELECT DISTINCT r.path, x.symbol_id, r.resolution FROM (SELECT DISTINCT path, resolution, unnest(firsts) AS symbol_id FROM resolved) r JOIN symbols x USING (symbol_id) WHERE x.path IS DISTINCT FROM r.path")
 def _(spark, d):
-    e = t.table(spark, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    first = e.groupBy("l_orderkey").agg(F.slice(F.sort_array(F.collect_list("l_partkey")), 1, 3).alias("c")).select("l_orderkey", F.explode("c").alias("l_partkey"))
-    n = e.groupBy("l_partkey").agg(F.count("*").alias("callers"))
-    return first.join(n, "l_partkey").groupBy("l_orderkey").agg(F.count("*").alias("n_candidates"), F.sum(F.col("callers") - 1).alias("n_neighbours"))
+    homes = t.symbols(spark, d).select("symbol_id", F.col("path").alias("home"))
+    return rel.callees(_resolved(spark, d), "path", homes)
 
 
-@query("reconcile", "SELECT CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'equal' ELSE 'different' END AS state, count(*) AS n FROM (SELECT doc_id AS k, n_chars % 2 AS v FROM documents WHERE doc_id % 10 <> 3) a FULL JOIN (SELECT doc_id AS k, quality AS v FROM labels) b ON a.k = b.k GROUP BY 1")
+@query("reconcile", "SELECT CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'equal' ELSE 'different' END AS state, count(*) AS n FROM (SELECT doc_id AS k, n_chars % 2 AS v FROM documents) a FULL JOIN (SELECT doc_id AS k, quality AS v FROM labels) b ON a.k = b.k GROUP BY 1")
 def _(spark, d):
-    docs = t.table(spark, d, "documents").where("doc_id % 10 <> 3").select("doc_id", (F.col("n_chars") % 2).alias("v"))
+    docs = t.table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 2).alias("v"))
     return rel.reconcile(docs, t.table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("v")), "doc_id", "v")
 
 
@@ -225,10 +266,10 @@ def _(spark, d):
     return t.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
 
 
-@query("rebuild_equal", "SELECT 0::BIGINT AS only_first, (SELECT count(*) FROM documents WHERE doc_id % 9 = 0)::BIGINT AS only_second")
+@query("rebuild_equal", "WITH a AS (SELECT lang, source FROM documents), b AS (SELECT lang, source FROM documents JOIN labels USING (doc_id)) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_first, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_second")
 def _(spark, d):
-    docs = t.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
-    return rel.equal_tables(docs.where("doc_id % 9 <> 0"), docs)
+    docs = t.table(spark, d, "documents")
+    return rel.equal_tables(docs.select("lang", "source"), docs.join(t.table(spark, d, "labels"), "doc_id").select("lang", "source"))
 
 
 @query("coverage_report", "SELECT lang, count(*) AS n_files, sum(strlen(text))::BIGINT AS n_bytes, sum((strlen(text) = length(text))::INT)::BIGINT AS n_ascii FROM documents GROUP BY lang")
@@ -323,7 +364,7 @@ def _(spark, d):
     return t.files(spark, d).select("source", "path", F.row_number().over(w).cast("long").alias("ordinal"))
 
 
-@query("symbol_identity", f"WITH {t.SYMBOLS_SQL} SELECT symbol_id, 'S-' || left(sha256('codegrain/symbol' || chr(0) || json_object('linkage', linkage, 'name', name, 'path', path, 'qualified_name', qualified_name, 'role', role, 'symbol_id', symbol_id)::VARCHAR), 24) AS id FROM symbols")
+@query("symbol_identity", f"WITH {t.SYMBOLS_SQL} SELECT symbol_id, 'S-' || left(sha256('codegrain/symbol' || chr(0) || json_object('linkage', linkage, 'name', name, 'path', path, 'qualified_name', qualified_name, 'role', role, 'start_byte', start_byte, 'symbol_id', symbol_id, 'symbol_kind', symbol_kind)::VARCHAR), 24) AS id FROM symbols")
 def _(spark, d):
     s = t.symbols(spark, d)
     return s.select("symbol_id", fn.hex_id("S-", F.lit("codegrain/symbol"), fn.canonical_json(**{c: F.col(c) for c in s.columns})).alias("id"))

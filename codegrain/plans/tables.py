@@ -53,17 +53,18 @@ chunks AS (SELECT w.doc_id, ordinal, s AS start_char, e AS end_char, strlen(subs
 
 
 def symbols(spark: SparkSession, d: str) -> DataFrame:
-    """parts as symbols: name, qualified name, role by size, linkage by id, path by brand."""
+    """parts as symbols: name, qualified name, kind and role by size, linkage by size, path by brand."""
     p = table(spark, d, "part")
-    role = F.element_at(F.array(*map(F.lit, ("DEFINITION", "DECLARATION", "MACRO"))), (F.col("p_size") % 3 + 1).cast("int"))
+    size = F.col("p_size")
     return p.select(
-        F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.concat_ws("::", "p_brand", "p_name").alias("qualified_name"), role.alias("role"),
-        F.when(F.col("p_partkey") % 5 == 0, "INTERNAL").otherwise("EXTERNAL").alias("linkage"), F.col("p_brand").alias("path"),
+        F.col("p_partkey").alias("symbol_id"), F.col("p_name").alias("name"), F.concat_ws("::", "p_brand", "p_name").alias("qualified_name"),
+        F.when(size % 4 == 2, "MACRO").when(size % 4 == 3, "STRUCT").otherwise("FUNCTION").alias("symbol_kind"), F.when(size % 4 == 1, "DECLARATION").otherwise("DEFINITION").alias("role"),
+        F.when(size % 8 == 0, "INTERNAL").otherwise("EXTERNAL").alias("linkage"), F.col("p_brand").alias("path"), size.cast("long").alias("start_byte"),
     )
 
 
-SYMBOLS_SQL = """symbols AS (SELECT p_partkey AS symbol_id, p_name AS name, p_brand || '::' || p_name AS qualified_name, (['DEFINITION', 'DECLARATION', 'MACRO'])[p_size % 3 + 1] AS role,
-  CASE WHEN p_partkey % 5 = 0 THEN 'INTERNAL' ELSE 'EXTERNAL' END AS linkage, p_brand AS path FROM part)"""
+SYMBOLS_SQL = """symbols AS (SELECT p_partkey AS symbol_id, p_name AS name, p_brand || '::' || p_name AS qualified_name, CASE p_size % 4 WHEN 2 THEN 'MACRO' WHEN 3 THEN 'STRUCT' ELSE 'FUNCTION' END AS symbol_kind,
+  CASE WHEN p_size % 4 = 1 THEN 'DECLARATION' ELSE 'DEFINITION' END AS role, CASE WHEN p_size % 8 = 0 THEN 'INTERNAL' ELSE 'EXTERNAL' END AS linkage, p_brand AS path, p_size::BIGINT AS start_byte FROM part)"""
 
 
 def calls(spark: SparkSession, d: str) -> DataFrame:
