@@ -1,19 +1,25 @@
 """Structure of C and C++ sources by a scanner of our own.
 
 It knows comments, strings, directives with continued lines, and brackets, and
-tells top-level items apart by their first words and their bodies. What it finds
-is an exact partition of the file, kinds and names, not a compiler's view: names
-are candidates. A file whose brackets don't close falls back to line windows.
-Another scanner may be passed wherever ``scan`` is taken.
+tells items apart by their first words and their bodies. What it finds is an
+exact partition of the file, kinds and names, not a compiler's view: names are
+candidates. Conditionals, namespaces and linkage blocks are transparent: what
+they hold are the units, and their own text goes to the unit that follows, or to
+the last one. Items above the cap are split by their parts, then by line windows.
+Where brackets don't close, only the units that hold the fault fall back to line
+windows. Another scanner may be passed wherever ``scan`` is taken.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -29,6 +35,10 @@ _TOKEN = re.compile(
 _DIRECTIVE = re.compile(r"[ \t]*#[ \t]*(\w*)((?:\\\r?\n|/\*.*?\*/|[^\n])*)", re.S)
 _KEYWORDS = set("if for while switch return sizeof do else case goto break continue catch throw new delete alignof defined static_assert typeof __attribute__ __declspec".split())
 _TAGS = {"struct": "struct_specifier", "union": "union_specifier", "enum": "enum_specifier", "class": "class_specifier"}
+_CPP_ONLY = {"class", "namespace", "template", "typename", "public", "private", "protected", "virtual", "operator", "using", "constexpr", "nullptr"}
+_TYPE_WORDS = set("int char void short long float double unsigned signed bool size_t const struct union enum auto".split())
+#: Item types whose own text belongs to the units inside them.
+TRANSPARENT = ("preproc_if", "preproc_ifdef", "preproc_elif", "preproc_else", "preproc_endif", "namespace_definition", "linkage_specification")
 _LEAD = {"static", "const", "extern", "inline", "volatile", "register", "constexpr", "virtual", "friend"}
 
 
@@ -49,6 +59,7 @@ class Item:
     body: int = -1  # index of the token that opens the body
     scope: tuple[str, ...] = ()
     depth: int = 0  # of #if
+    dirty: bool = False  # holds a fault
 
     @property
     def kind(self) -> str:
@@ -58,7 +69,9 @@ class Item:
 @dataclass
 class Parsed:
     items: list[Item] = field(default_factory=list)
-    errors: int = 0
+    errors: int = 0  # stretches that can't be read
+    missing: int = 0  # brackets that aren't there
+    error_spans: list[tuple[int, int]] = field(default_factory=list)
 
 
 def lex(text: str) -> list[Token]:
@@ -96,70 +109,167 @@ def _directive(t: Token) -> str:
     name = _DIRECTIVE.match(t.text)[1]
     if name == "define":
         return "preproc_function_def" if re.match(r"[ \t]*#[ \t]*define[ \t]+\w+\(", t.text) else "preproc_def"
-    return {"include": "preproc_include", "if": "preproc_if", "ifdef": "preproc_ifdef", "ifndef": "preproc_ifdef", "elif": "preproc_elif", "else": "preproc_else"}.get(name, "preproc_call")
+    return {"include": "preproc_include", "if": "preproc_if", "ifdef": "preproc_ifdef", "ifndef": "preproc_ifdef", "elif": "preproc_elif", "else": "preproc_else", "endif": "preproc_endif"}.get(name, "preproc_call")
 
 
-def scan(text: str) -> Parsed:
-    """The top-level items of a source; those in namespaces and linkage blocks are top-level too."""
+def _regions(text: str) -> list[tuple[int, int]]:
+    """Stretches that are read on their own where a file's brackets don't nest: each begins in column 0 after a blank line, a directive or a closing brace."""
+    cuts, at, open_ = [0], 0, True
+    for line in text.splitlines(keepends=True):
+        if open_ and line[:1].strip() and line[0] not in "{}" and at:
+            cuts.append(at)
+        open_ = not line.strip() or line.startswith(("}", "#")) and not line.rstrip().endswith("\\")
+        at += len(line)
+    return [(a, b) for a, b in zip(cuts, [*cuts[1:], len(text)]) if a < b]
+
+
+def scan(text: str, language: str = "cpp") -> Parsed:
+    """The items of a source, those in namespaces and linkage blocks included; heads of transparent ones are items of their own.
+
+    As ``c``, words that only C++ has are errors where they stand.
+    """
     tokens = lex(text)
     pairs = _matching(tokens)
-    if pairs is None:
-        return Parsed(errors=1)
-    out, depth = Parsed(), 0
-
-    def walk(i: int, end: int, scope: tuple[str, ...]) -> None:
-        nonlocal depth
-        while i < end:
-            t = tokens[i]
-            if t.kind == "directive":
-                kind = _directive(t)
-                if kind in ("preproc_if", "preproc_ifdef"):
-                    depth += 1
-                out.items.append(Item(kind, t.start, t.end, [t], scope=scope, depth=depth))
-                if re.match(r"\s*#\s*endif", t.text):
-                    depth = max(0, depth - 1)
-                i += 1
-                continue
-            words = [x.text for x in tokens[i : i + 4]]
-            block = None
-            if words[:1] == ["namespace"] or words[:1] == ["extern"] and len(words) > 2 and tokens[i + 1].kind == "string" and words[2] == "{":
-                block = next((j for j in range(i, min(end, i + 12)) if tokens[j].text == "{"), None)
-            if block is not None:
-                name = "".join(x.text for x in tokens[i + 1 : block] if x.kind == "word" or x.text == "::") if words[0] == "namespace" else ""
-                out.items.append(Item("namespace_definition" if words[0] == "namespace" else "linkage_specification", t.start, tokens[block].end, tokens[i : block + 1], scope=scope, depth=depth))
-                walk(block + 1, pairs[block], scope + ((name,) if name else ()))
-                i = pairs[block] + 1
-                if i < end and tokens[i].text == ";":
-                    i += 1
+    out = Parsed()
+    if pairs is not None:
+        _walk(tokens, pairs, 0, len(tokens), (), out, 0)
+    else:
+        for a, b in _regions(text):
+            own = [Token(t.kind, t.text, t.start + a, t.end + a) for t in lex(text[a:b])]
+            if not own:
                 continue
-            j, body, assigned = i, -1, False
-            while j < end:
-                x = tokens[j]
-                if x.kind == "directive" and body < 0 and j > i:
-                    break
-                if x.kind == "punct" and x.text in "([":
-                    j = pairs[j]
-                elif x.text == "=" and x.kind == "punct":
-                    assigned = True
-                elif x.text == "{" and x.kind == "punct":
-                    body = j if body < 0 else body
-                    j = pairs[j]
-                    if not assigned and _is_function(tokens, i, body):
-                        break
-                elif x.text == ";" and x.kind == "punct":
+            pairs = _matching(own)
+            if pairs is not None:
+                _walk(own, pairs, 0, len(own), (), out, 0)
+            else:
+                out.items.append(Item(_item_type(own, -1, False), own[0].start, own[-1].end, own, dirty=True))
+                out.missing += 1
+                out.error_spans.append((own[0].start, own[-1].end))
+    if language == "c":
+        for item in out.items:
+            bad = [t for t in item.tokens if t.kind == "word" and t.text in _CPP_ONLY or t.text == "::"]
+            if bad:
+                item.dirty = True
+                out.error_spans += [(t.start, t.end) for t in bad]
+    out.errors = len(out.error_spans)
+    return out
+
+
+def _walk(tokens: list[Token], pairs: dict[int, int], i: int, end: int, scope: tuple[str, ...], out: Parsed, depth: int) -> int:
+    """Adds the items of tokens i to end; gives the depth of #if behind them."""
+    while i < end:
+        t = tokens[i]
+        if t.kind == "directive":
+            kind = _directive(t)
+            if kind in ("preproc_if", "preproc_ifdef"):
+                depth += 1
+            out.items.append(Item(kind, t.start, t.end, [t], scope=scope, depth=depth))
+            if kind == "preproc_endif":
+                depth = max(0, depth - 1)
+            i += 1
+            continue
+        if t.text in ("public", "private", "protected") and i + 1 < end and tokens[i + 1].text == ":":
+            i += 2
+            continue
+        words = [x.text for x in tokens[i : i + 4]]
+        block = None
+        if words[:1] == ["namespace"] or words[:1] == ["extern"] and len(words) > 2 and tokens[i + 1].kind == "string" and words[2] == "{":
+            block = next((j for j in range(i, min(end, i + 12)) if tokens[j].text == "{"), None)
+        if block is not None:
+            name = "".join(x.text for x in tokens[i + 1 : block] if x.kind == "word" or x.text == "::") if words[0] == "namespace" else ""
+            out.items.append(Item("namespace_definition" if words[0] == "namespace" else "linkage_specification", t.start, tokens[block].end, tokens[i : block + 1], scope=scope, depth=depth))
+            depth = _walk(tokens, pairs, block + 1, pairs[block], scope + ((name,) if name else ()), out, depth)
+            i = pairs[block] + 1
+            if i < end and tokens[i].text == ";":
+                i += 1
+            continue
+        j, body, assigned = i, -1, False
+        while j < end:
+            x = tokens[j]
+            if x.kind == "directive" and body < 0 and j > i:
+                break
+            if x.kind == "punct" and x.text in "([":
+                j = pairs[j]
+            elif x.text == "=" and x.kind == "punct":
+                assigned = True
+            elif x.text == "{" and x.kind == "punct":
+                body = j if body < 0 else body
+                j = pairs[j]
+                if not assigned and _is_function(tokens, i, body):
                     break
-                j += 1
-            stop = min(j, end - 1)
-            if tokens[stop].kind == "directive" and stop > i:
-                stop -= 1
-            own = tokens[i : stop + 1]
-            out.items.append(Item(_item_type(own, body - i if body >= 0 else -1, assigned), t.start, tokens[stop].end, own, body - i if body >= 0 else -1, scope, depth))
-            i = stop + 1
-
-    walk(0, len(tokens), ())
+            elif x.text == ";" and x.kind == "punct":
+                break
+            j += 1
+        stop = min(j, end - 1)
+        if tokens[stop].kind == "directive" and stop > i:
+            stop -= 1
+        own = tokens[i : stop + 1]
+        out.items.append(Item(_item_type(own, body - i if body >= 0 else -1, assigned), t.start, tokens[stop].end, own, body - i if body >= 0 else -1, scope, depth))
+        i = stop + 1
+    return depth
+
+
+def members(item: Item, scope: tuple[str, ...]) -> list[Item]:
+    """The items in the body of a class or struct."""
+    if item.body < 0:
+        return []
+    pairs = _matching(item.tokens)
+    out = Parsed()
+    if pairs is not None:
+        _walk(item.tokens, pairs, item.body + 1, pairs[item.body], scope, out, item.depth)
+    return out.items
+
+
+def parts(tokens: list[Token], pairs: dict[int, int], i: int, end: int) -> list[tuple[int, int]]:
+    """What a stretch of tokens falls into (first and last token): the statements or entries of a block, else its blocks and what is between."""
+    if i < end and tokens[i].text == "{" and pairs.get(i) == end - 1:
+        inside = range(i + 1, end - 1)
+        marks = {t.text for t in _shallow(tokens, pairs, inside)}
+        stop = ";" if ";" in marks or "{" in marks else ","
+        out, at, j = [], i + 1, i + 1
+        while j < end - 1:
+            t = tokens[j]
+            if t.kind == "directive":
+                if at < j:
+                    out.append((at, j - 1))
+                out.append((j, j))
+                at = j + 1
+            elif t.kind == "punct" and t.text in "([{":
+                j = pairs[j]
+                goes = j + 1 < end - 1 and tokens[j + 1].text in ("else", "while", ";", ",", ")", "=")
+                if t.text == "{" and not goes and stop == ";":
+                    out.append((at, j))
+                    at = j + 1
+            elif t.text == stop:
+                out.append((at, j))
+                at = j + 1
+            j += 1
+        if at < end - 1:
+            out.append((at, end - 2))
+        return out
+    out, at, j = [], i, i
+    while j < end:
+        if tokens[j].text == "{" and tokens[j].kind == "punct":
+            if at < j:
+                out.append((at, j - 1))
+            out.append((j, pairs[j]))
+            j = pairs[j]
+            at = j + 1
+        elif tokens[j].kind == "punct" and tokens[j].text in "([":
+            j = pairs[j]
+        j += 1
+    if at < end and out:
+        out.append((at, end - 1))
     return out
 
 
+def _shallow(tokens: list[Token], pairs: dict[int, int], inside: range) -> Iterator[Token]:
+    j = inside.start
+    while j < inside.stop:
+        yield tokens[j]
+        j = pairs.get(j, j) + 1
+
+
 def _is_function(tokens: list[Token], i: int, body: int) -> bool:
     head = [x.text for x in tokens[i:body]]
     lead = [w for w in head if w not in _LEAD]
@@ -193,44 +303,97 @@ def _item_type(own: list[Token], body: int, assigned: bool) -> str:
     return "declaration" if own[-1].text == ";" else "expression_statement"
 
 
-def spans(text: str, cap: int = CAP, scan=scan) -> tuple[str, list[dict]]:
-    """(outcome, spans) of a source: an exact partition of its bytes.
+def grammar(text: str, extension: str, scan=scan) -> tuple[str, Parsed, list[dict]]:
+    """(language, what it reads, attempts): C++ for .cpp, C for .c, and for .h the one with the least score, C of equals.
 
-    Space before an item belongs to it, space after the last one to the last.
-    Items above ``cap`` are cut into line windows; touching spans are merged
-    while they fit, parts of one item with each other, others if none of them is
-    of a protected kind.
+    A score is (bytes that can't be read, brackets missing, errors, order of trial).
     """
+    tried = []
+    for order, language in enumerate({".cpp": ["cpp"], ".h": ["c", "cpp"]}.get(extension, ["c"])):
+        parsed = scan(text, language)
+        covered, behind = 0, -1
+        for a, b in sorted(parsed.error_spans):
+            covered += max(0, len(text[max(a, behind) : b].encode()))
+            behind = max(behind, b)
+        tried.append(([covered, parsed.missing, parsed.errors, order], language, parsed))
+    score, language, parsed = min(tried, key=lambda x: x[0])
+    return language, parsed, [{"grammar": lang, "status": "OK", "score": s} for s, lang, _ in tried]
+
+
+def _windows(text: str, byte: int, cap: int, kind: str, item: Item, mode: str, unit: tuple[int, int]) -> list[dict]:
+    return [
+        {"start": byte + a, "end": byte + b, "kind": kind, "parent": item.kind, "node_type": item.node_type, "kinds": list(dict.fromkeys((item.kind, kind))), "split_mode": mode, "unit": unit, "unit_kind": item.kind}
+        for a, b, _, _ in windows_of(text, cap)
+    ]
+
+
+def _split(text: str, at: int, end: int, byte: int, item: Item, pairs: dict[int, int], first: int, last: int, cap: int, unit: tuple[int, int], whole: bool) -> list[dict]:
+    """Spans of the characters at to end, which tokens first to last of an item stand in."""
+    part = text[at:end]
+    size = len(part.encode())
+    if size <= cap:
+        kind = item.kind if whole else "AST_BLOCK"
+        mode = "STRUCTURAL" if whole else "AST_CHILD"
+        return [{"start": byte, "end": byte + size, "kind": kind, "parent": item.kind, "node_type": item.node_type, "kinds": list(dict.fromkeys((item.kind, kind))), "split_mode": mode, "unit": unit, "unit_kind": item.kind}]
+    found = parts(item.tokens, pairs, first, last + 1)
+    if len(found) < 2:
+        return _windows(part, byte, cap, "AST_BLOCK", item, "HARD_WINDOW", unit)
+    out = []
+    for n, (a, b) in enumerate(found):
+        stop = end if n == len(found) - 1 else item.tokens[b].end
+        out += _split(text, at, stop, byte, item, pairs, a, b, cap, unit, False)
+        byte += len(text[at:stop].encode())
+        at = stop
+    return out
+
+
+def parse(text: str, extension: str = ".cpp", cap: int = CAP, scan=scan) -> dict:
+    """outcome, language, fallback_reason, attempts and spans of a source: an exact partition of its bytes."""
     if not text:
-        return "PARSE_SUCCESS", []
-    parsed = scan(text)
+        return {"outcome": "FALLBACK_SUCCESS", "language": "cpp" if extension == ".cpp" else "c", "fallback_reason": "empty_blob", "attempts": [], "spans": []}
+    language, parsed, attempts = grammar(text, extension, scan)
+    faulty = bool(parsed.errors or parsed.missing)
+    units = [x for x in parsed.items if x.node_type not in TRANSPARENT] or parsed.items[:1]
+    if not units:
+        found = [{"start": a, "end": b, "kind": "LINE_WINDOW", "parent": "LINE_WINDOW", "node_type": "line_window", "kinds": ["LINE_WINDOW"], "split_mode": "FALLBACK", "unit": (a, b), "unit_kind": "LINE_WINDOW"} for a, b, _, _ in windows_of(text, cap)]
+        return {"outcome": "FALLBACK_SUCCESS", "language": language, "fallback_reason": "no_structural_nodes", "attempts": attempts, "spans": found}
     out: list[dict] = []
-    if parsed.errors or not parsed.items:
-        outcome = "FALLBACK_SUCCESS"
-        out = [{"start": a, "end": b, "kind": "LINE_WINDOW", "unit": -1} for a, b, _, _ in windows_of(text, cap)]
-        return outcome, [{**s, "kinds": ["LINE_WINDOW"], "split_mode": "LINE_WINDOW"} for s in out]
     at, byte = 0, 0
-    for n, item in enumerate(parsed.items):
-        end = len(text) if n == len(parsed.items) - 1 else item.end
-        part = text[at:end]
-        size = len(part.encode())
-        if size <= cap:
-            out.append({"start": byte, "end": byte + size, "kind": item.kind, "unit": n})
+    for n, item in enumerate(units):
+        end = len(text) if n == len(units) - 1 else item.end
+        size = len(text[at:end].encode())
+        unit = (byte, byte + size)
+        if item.dirty:
+            out += _windows(text[at:end], byte, cap, "LINE_WINDOW", item, "DIAGNOSTIC_FALLBACK", unit)
         else:
-            out += [{"start": byte + a, "end": byte + b, "kind": "AST_BLOCK", "parent": item.kind, "unit": n} for a, b, _, _ in windows_of(part, cap)]
+            out += _split(text, at, end, byte, item, _matching(item.tokens) or {}, 0, len(item.tokens) - 1, cap, unit, True)
         at, byte = end, byte + size
-    merged: list[dict] = []
-    for s in out:
-        s = {**s, "kinds": [s["kind"]], "split_mode": "WHOLE"}
-        last = merged[-1] if merged else None
-        if last and s["end"] - last["start"] <= cap:
-            same = last["unit"] == s["unit"]
-            free = not (set(last["kinds"]) | set(s["kinds"])) & set(PROTECTED)
-            if same or free:
-                last.update(end=s["end"], kinds=list(dict.fromkeys(last["kinds"] + s["kinds"])), kind="AST_BLOCK" if same else "STRUCTURAL_GROUP", split_mode="COALESCED_WITHIN_UNIT" if same else "COALESCED_UNPROTECTED")
+    return {"outcome": "FALLBACK_SUCCESS" if faulty else "PARSE_SUCCESS", "language": language, "fallback_reason": "syntax_error_or_missing_node" if faulty else None, "attempts": attempts, "spans": merged(out, cap)}
+
+
+def merged(spans: list[dict], cap: int) -> list[dict]:
+    """Neighbours joined while they fit: spans of one unit with each other, others if none of them is of a protected kind."""
+    out: list[dict] = []
+    for s in spans:
+        last = out[-1] if out else None
+        if last and last["end"] == s["start"] and s["end"] - last["start"] <= cap:
+            same = (last["unit"], last["unit_kind"]) == (s["unit"], s["unit_kind"])
+            if same or not (set(last["kinds"]) | set(s["kinds"])) & set(PROTECTED):
+                joined = {"end": s["end"], "kinds": list(dict.fromkeys(last["kinds"] + s["kinds"]))}
+                if same:
+                    joined |= {"kind": "AST_BLOCK", "node_type": "structural_unit_fragment_group", "parent": last["unit_kind"], "split_mode": "COALESCED_WITHIN_UNIT"}
+                else:
+                    joined |= {"kind": "STRUCTURAL_GROUP", "node_type": "translation_unit_group", "parent": "STRUCTURAL_GROUP", "split_mode": "COALESCED_UNPROTECTED", "unit": (last["unit"][0], s["unit"][1]), "unit_kind": "STRUCTURAL_GROUP"}
+                out[-1] = last | joined
                 continue
-        merged.append(s)
-    return "PARSE_SUCCESS", merged
+        out.append(s)
+    return out
+
+
+def spans(text: str, cap: int = CAP, scan=scan) -> tuple[str, list[dict]]:
+    """(outcome, spans) of a source read as C++."""
+    found = parse(text, ".cpp", cap, scan)
+    return found["outcome"], found["spans"]
 
 
 # ---------------------------------------------------------------- names
@@ -278,6 +441,13 @@ def _declared(tokens: list[Token]) -> list[tuple[str, str, int]]:
 def _function_name(tokens: list[Token], body: int) -> tuple[str, str, int]:
     """(plain name, qualified as written, index of the parameter list)."""
     for k in range(body):
+        if tokens[k].text == "operator":
+            stop = next((j for j in range(k + 2, body) if tokens[j].text == "(" and not (j == k + 2 and tokens[k + 1].text == "(")), -1)
+            j = k
+            while j >= 2 and tokens[j - 1].text == "::" and tokens[j - 2].kind == "word":
+                j -= 2
+            name = "".join(x.text for x in tokens[k:stop])
+            return name, "".join(x.text for x in tokens[j:k]) + name, stop
         if tokens[k].text == "(" and k and tokens[k - 1].kind == "word" and tokens[k - 1].text not in ("__attribute__", "__declspec"):
             j = k - 1
             while j >= 2 and tokens[j - 1].text == "::" and tokens[j - 2].kind == "word":
@@ -292,14 +462,32 @@ _ASSIGN = {"=", "+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>="}
 FACTS = ("array_accesses", "assignments", "calls", "casts", "conditions", "field_accesses", "gotos", "loops", "pointer_operations", "returns", "sizeof_expressions", "updates")
 
 
-def body_facts(tokens: list[Token], names: set[str] = frozenset()) -> tuple[list[dict], dict[str, int]]:
-    """Calls and counts in a function's body."""
-    calls, facts = [], dict.fromkeys(FACTS, 0)
+def _cast(tokens: list[Token], k: int) -> bool:
+    """Whether the parenthesis at k begins a cast: a type alone in it, and an operand behind."""
+    before = tokens[k - 1] if k else None
+    if before and (before.kind in ("word", "number") and before.text not in ("return", "case", "else", "do") or before.text in (")", "]")):
+        return False
+    j = k + 1
+    while j < len(tokens) and (tokens[j].kind == "word" or tokens[j].text in ("*", "::", "&")):
+        j += 1
+    inside = tokens[k + 1 : j]
+    if j + 1 >= len(tokens) or tokens[j].text != ")" or not inside or inside[0].kind != "word":
+        return False
+    after = tokens[j + 1]
+    typed = any(t.text in _TYPE_WORDS or t.text.endswith("_t") for t in inside) or inside[-1].text == "*"
+    return after.kind in ("word", "number", "string") or typed and after.text in ("(", "*", "&", "-", "~", "!", "+")
+
+
+def body_facts(tokens: list[Token]) -> tuple[list[dict], list[tuple[int, str]]]:
+    """Calls in a function's body, and (place, counter) of everything that is counted."""
+    calls, facts = [], []
     for k, t in enumerate(tokens):
         before, after = tokens[k - 1] if k else None, tokens[k + 1] if k + 1 < len(tokens) else None
         if t.kind == "word":
+            if t.text == "while" and before and before.text == "}" and _closes_do(tokens, k):
+                continue
             if t.text in _FACT_WORDS:
-                facts[_FACT_WORDS[t.text]] += 1
+                facts.append((t.start, _FACT_WORDS[t.text]))
             elif after and after.text == "(" and t.text not in _KEYWORDS:
                 j = k
                 while j >= 2 and tokens[j - 1].text in ("::", ".", "->") and tokens[j - 2].kind == "word":
@@ -308,109 +496,215 @@ def body_facts(tokens: list[Token], names: set[str] = frozenset()) -> tuple[list
                 # "type name(" in a body declares; a word before the name that isn't a keyword tells it.
                 if not (before and before.kind == "word" and before.text not in _KEYWORDS):
                     calls.append({"name": t.text, "expression": byte_prefix("".join(x.text for x in tokens[j : k + 1]), 256), "kind": kind, "start": tokens[j].start, "end": t.end})
-                    facts["calls"] += 1
+                    facts.append((tokens[j].start, "calls"))
         elif t.kind == "punct":
             if t.text in _FACT_MARKS:
-                facts[_FACT_MARKS[t.text]] += 1
+                facts.append((t.start, _FACT_MARKS[t.text]))
             elif t.text in _ASSIGN:
-                facts["assignments"] += 1
+                facts.append((t.start, "assignments"))
             elif t.text in "*&" and (before is None or before.kind == "punct" and before.text not in (")", "]") or before.text in _KEYWORDS):
-                facts["pointer_operations"] += 1
-            elif t.text == "(" and before and before.text == ")":
-                open_ = next((j for j in range(k - 1, -1, -1) if tokens[j].text == "("), None)
-                if open_ is not None and open_ + 1 < k and tokens[open_ + 1].text == "*":
-                    calls.append({"name": None, "expression": byte_prefix("".join(x.text for x in tokens[open_:k]), 256), "kind": "INDIRECT", "start": tokens[open_].start, "end": tokens[k - 1].end})
-                    facts["calls"] += 1
+                facts.append((t.start, "pointer_operations"))
+            elif t.text == "(":
+                if before and before.text == ")":
+                    open_ = next((j for j in range(k - 1, -1, -1) if tokens[j].text == "("), None)
+                    if open_ is not None and open_ + 1 < k and tokens[open_ + 1].text == "*":
+                        calls.append({"name": None, "expression": byte_prefix("".join(x.text for x in tokens[open_:k]), 256), "kind": "INDIRECT", "start": tokens[open_].start, "end": tokens[k - 1].end})
+                        facts.append((tokens[open_].start, "calls"))
+                elif _cast(tokens, k):
+                    facts.append((t.start, "casts"))
     return calls, facts
 
 
+def _closes_do(tokens: list[Token], k: int) -> bool:
+    """Whether the word at k, after a closing brace, ends a do loop."""
+    depth = 0
+    for j in range(k - 1, -1, -1):
+        depth += (tokens[j].text == "}") - (tokens[j].text == "{") if tokens[j].kind == "punct" else 0
+        if depth == 0:
+            return j > 0 and tokens[j - 1].text == "do"
+    return False
+
+
+def _types(item: Item) -> Iterator[tuple[str, str, str, int, int]]:
+    """(kind, name, role, start, end) of the tagged types that an item names, wherever they stand; an anonymous one has its last name."""
+    toks, pairs = item.tokens, _matching(item.tokens) or {}
+    angle = 0  # of template parameters, where class isn't a type
+    for k, t in enumerate(toks):
+        if t.text == "template" and k + 1 < len(toks) and toks[k + 1].text == "<":
+            angle = k + 1
+            depth = 0
+            for j in range(k + 1, len(toks)):
+                depth += (toks[j].text == "<") - (toks[j].text == ">") - 2 * (toks[j].text == ">>")
+                if depth <= 0:
+                    angle = j
+                    break
+        if t.kind != "word" or t.text not in _TAGS or k < angle or k and toks[k - 1].text == "enum":
+            continue
+        at = k + 1 + (toks[k + 1].text == "class" if t.text == "enum" and k + 1 < len(toks) else 0)
+        named = at < len(toks) and toks[at].kind == "word"
+        j = at + named
+        if named and j < len(toks) and toks[j].text == "::":
+            while j + 1 < len(toks) and toks[j].text == "::":
+                at, j = j + 1, j + 2
+        if j < len(toks) and toks[j].text in (":", "final"):
+            j = next((x for x in range(j, len(toks)) if toks[x].text in ("{", ";", ")")), j)
+        body = j if j < len(toks) and toks[j].text == "{" and toks[j].kind == "punct" else -1
+        if named or body >= 0:
+            last = pairs.get(body, body) if body >= 0 else j - 1
+            name = toks[at].text if named else next((x.text for x in reversed(toks[k:last]) if x.kind == "word"), "")
+            if name:
+                yield _TAGS[t.text].split("_")[0].upper(), name, "DEFINITION" if body >= 0 else "DECLARATION", t.start, toks[min(last, len(toks) - 1)].end
+
+
 def extract(text: str, scan=scan) -> dict[str, list[dict]]:
-    """symbols, calls, includes of a source, with character places."""
-    symbols, calls, includes = [], [], []
+    """symbols, calls, includes and facts of a source, with character places; nothing from what can't be read."""
+    symbols, calls, includes, facts = [], [], [], []
 
     def add(item, name, qualified, kind, role, start, end, **more):
         signature, cut = _collapsed(more.pop("signature", text[start:end]), 256)
         symbols.append({"name": name, "qualified_name": "::".join([*item.scope, qualified]), "symbol_kind": kind, "role": role, "signature": signature, "signature_truncated": cut, "conditional_depth": item.depth, "start": start, "end": end, **more})
 
-    for item in scan(text).items:
+    def visit(item: Item) -> None:
         toks = item.tokens
         words = [t.text for t in toks]
         linkage = "INTERNAL" if "static" in words[:4] else "EXTERNAL"
+        if item.dirty:
+            return
         if item.node_type == "preproc_include":
             spelling = re.sub(r"/\*.*?\*/|//.*", "", re.sub(r"^\s*#\s*include", "", toks[0].text), flags=re.S).strip()
-            includes.append({"spelling": spelling, "target": spelling.strip('<>"'), "start": item.start, "end": item.end})
-        elif item.node_type in ("preproc_def", "preproc_function_def"):
+            includes.append({"spelling": spelling, "target": spelling.strip('<>"'), "conditional_depth": item.depth, "start": item.start, "end": item.end})
+            return
+        if item.node_type in ("preproc_def", "preproc_function_def"):
             m = re.match(r"#[ \t]*define[ \t]+(\w+)(\(([^)]*)\))?", toks[0].text)
             if m:
                 params = [p.strip() for p in m[3].split(",")] if m[3] else []
                 add(item, m[1], m[1], "MACRO", "DEFINITION", item.start, item.end, parameters=[byte_prefix(p, 192) for p in params if p], linkage="EXTERNAL")
-        elif item.node_type == "function_definition" or item.node_type == "template_declaration" and item.body >= 0 and ")" in words[: item.body]:
-            name, qualified, at = _function_name(toks, item.body)
-            if name:
-                depth, params, current = 0, [], []
-                for t in toks[at + 1 : item.body]:
-                    if t.text == ")" and depth == 0:
-                        break
-                    depth += (t.text in "([{") - (t.text in ")]}") if t.kind == "punct" else 0
-                    if t.text == "," and depth == 0:
-                        params.append(" ".join(current))
-                        current = []
-                    else:
-                        current.append(t.text)
-                params = [byte_prefix(p, 192) for p in [*params, " ".join(current)] if p and p != "void"]
-                add(item, name, qualified, "FUNCTION", "DEFINITION", item.start, item.end, signature=text[item.start : toks[item.body].start], parameters=params, linkage=linkage)
-                found, facts = body_facts(toks[item.body + 1 : -1])
-                symbols[-1]["facts"] = facts
-                calls += [{**c, "caller": symbols[-1]["qualified_name"]} for c in found]
-        elif item.kind == "TYPE":
-            tag = next((w for w in words if w in _TAGS), None)
-            at = words.index(tag) if tag else -1
-            if tag and at + 1 < len(toks) and toks[at + 1].kind == "word":
-                role = "DEFINITION" if item.body >= 0 else "DECLARATION"
-                add(item, words[at + 1], words[at + 1], tag.upper(), role, item.start, item.end, linkage="EXTERNAL", parameters=[])
-            if item.node_type == "type_definition":
-                last = [t for t in toks if t.kind == "word"]
-                pointer = re.search(r"\(\s*\*\s*(\w+)\s*\)", text[item.start : item.end])
-                name = pointer[1] if pointer else last[-1].text if last else ""
-                add(item, name, name, "TYPEDEF", "DEFINITION", item.start, item.end, linkage="EXTERNAL", parameters=[])
-        elif item.node_type == "namespace_definition":
-            name = next((t.text for t in toks[1:] if t.kind == "word"), "")
+            return
+        if item.node_type == "namespace_definition":
+            name = "".join(t.text for t in toks[1:] if t.kind == "word" or t.text == "::")
             add(item, name, name, "NAMESPACE", "DEFINITION", item.start, item.end, linkage="EXTERNAL", parameters=[])
+            return
+        typed = list(_types(item))
+        for kind, name, role, start, end in typed:
+            add(item, name, name, kind, role, start, end, linkage="EXTERNAL", parameters=[])
+        if item.node_type == "function_definition" or item.node_type == "template_declaration" and item.body >= 0 and ")" in words[: item.body] and not any(w in _TAGS for w in _after_template(words)[:1]):
+            name, qualified, at = _function_name(toks, item.body)
+            if not name:
+                return
+            depth, params, current = 0, [], []
+            for t in toks[at + 1 : item.body]:
+                if t.text == ")" and depth == 0:
+                    break
+                depth += (t.text in "([{") - (t.text in ")]}") if t.kind == "punct" else 0
+                if t.text == "," and depth == 0:
+                    params.append(" ".join(current))
+                    current = []
+                else:
+                    current.append(t.text)
+            params = [byte_prefix(p, 192) for p in [*params, " ".join(current)] if p and p != "void"]
+            if len(qualified.encode()) > 256:
+                qualified = name
+            add(item, name, qualified, "FUNCTION", "DEFINITION", item.start, item.end, signature=text[item.start : toks[item.body].start], parameters=params, linkage=linkage)
+            found, counted = body_facts(toks[item.body + 1 : -1])
+            symbols[-1]["facts"] = dict.fromkeys(FACTS, 0) | Counter(name for _, name in counted)
+            calls.extend({**c, "caller": symbols[-1]["qualified_name"], "caller_start": item.start, "conditional_depth": item.depth} for c in found)
+            facts.extend({"fact": name, "start": at} for at, name in counted)
+        elif item.body >= 0 and any(w in ("class", "struct", "union") for w in words[: item.body]):
+            outer = next((n for k, n, r, _, _ in typed if r == "DEFINITION"), "")
+            own = item.scope + ((outer,) if "class" in words[: item.body] and outer else ())
+            done = {(s["start"], s["symbol_kind"]) for s in symbols}
+            for x in members(item, own):
+                if x.node_type in ("function_definition", "template_declaration") or x.body >= 0:
+                    before = len(symbols)
+                    visit(x)
+                    # Types inside were named above already; here they get the scope.
+                    symbols[before:] = [s for s in symbols[before:] if (s["start"], s["symbol_kind"]) not in done]
+        if item.node_type == "type_definition":
+            last = [t for t in toks if t.kind == "word"]
+            pointer = re.search(r"\(\s*\*\s*(\w+)\s*\)", text[item.start : item.end])
+            name = pointer[1] if pointer else last[-1].text if last else ""
+            add(item, name, name, "TYPEDEF", "DEFINITION", item.start, item.end, linkage="EXTERNAL", parameters=[])
         elif item.node_type == "declaration":
-            for name, kind, _ in _declared(toks):
-                add(item, name, name, kind, "DECLARATION", item.start, item.end, linkage=linkage, parameters=[])
-    return {"symbols": symbols, "calls": calls, "includes": includes}
+            seen = set()
+            for name, kind, at in _declared(toks):
+                if (name, toks[at].start) not in seen:
+                    seen.add((name, toks[at].start))
+                    add(item, name, name, kind, "DECLARATION", item.start, item.end, linkage=linkage, parameters=[])
+
+    for item in scan(text).items:
+        visit(item)
+    return {"symbols": symbols, "calls": calls, "includes": includes, "facts": facts}
 
 
 def chunk_files(files: DataFrame, path: str = "path", raw: str = "raw", cap: int = CAP) -> DataFrame:
-    """A row for each span of each file (path, bytes): outcome, ordinal, place, kind, kinds, split_mode; files without any have none."""
+    """A row for each span of each file (path, bytes), and one with a null ordinal for files without any: how it was read, place, kinds, and its lines.
+
+    Lines count from 1 and columns in bytes from 0, as the bytes have them;
+    end_line is that of the last byte, end_point_line that of the place behind it.
+    """
+    columns = [f.split()[0] for f in _CHUNKS.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for p, data in zip(pdf[path], pdf[raw]):
-                text, encoding, error = decode(None if data is None else bytes(data))
-                outcome, found = ("ERROR", []) if error else ("FALLBACK_SUCCESS", None) if encoding != "utf-8" else spans(text, cap)
-                if found is None:  # another encoding: windows of the text as decoded
-                    found = [{"start": a, "end": b, "kind": "LINE_WINDOW", "kinds": ["LINE_WINDOW"], "split_mode": "LINE_WINDOW"} for a, b, _, _ in windows_of(text, cap)]
-                rows += [(p, outcome, encoding, i, s["start"], s["end"], s["kind"], s.get("parent"), "+".join(s["kinds"]), s["split_mode"]) for i, s in enumerate(found)]
-            yield pd.DataFrame(rows, columns=["path", "outcome", "encoding", "ordinal", "start_byte", "end_byte", "kind", "parent_kind", "kinds", "split_mode"])
-
-    return files.select(path, raw).mapInPandas(run, "path string, outcome string, encoding string, ordinal long, start_byte long, end_byte long, kind string, parent_kind string, kinds string, split_mode string")
+                data = None if data is None else bytes(data)
+                text, encoding, error = decode(data)
+                extension = re.search(r"(\.[^./]*)?$", p)[0]
+                if error:
+                    rows.append((p, "TERMINAL_ERROR", error, None, encoding, None, None, *[None] * 19))
+                    continue
+                if encoding == "utf-8":
+                    got = parse(text, extension, cap)
+                else:  # windows of the text as decoded, at places of the bytes
+                    found = []
+                    for a, b, c, d in windows_of(text, cap):
+                        found.append({"start": c, "end": d, "kind": "LINE_WINDOW", "parent": "LINE_WINDOW", "node_type": "line_window", "kinds": ["LINE_WINDOW"], "split_mode": "FALLBACK", "unit": (c, d), "unit_kind": "LINE_WINDOW"})
+                    got = {"outcome": "FALLBACK_SUCCESS", "language": "cpp" if extension == ".cpp" else "c", "fallback_reason": "non_utf8_source", "attempts": [], "spans": found}
+                head = (p, got["outcome"], got["fallback_reason"], got["language"], encoding, json.dumps(got["attempts"]), len(data))
+                if not got["spans"]:
+                    rows.append((*head, *[None] * 19))
+                breaks = np.flatnonzero(np.frombuffer(data, np.uint8) == 10)
+                point = lambda at: (int(np.searchsorted(breaks, at)) + 1, int(at - (breaks[i - 1] + 1 if (i := np.searchsorted(breaks, at)) else 0)))
+                for i, s in enumerate(got["spans"]):
+                    start, end = point(s["start"]), point(s["end"])
+                    content = data[s["start"] : s["end"]]
+                    rendered = content.decode(encoding)
+                    rows.append((*head, i, s["start"], s["end"], s["kind"], s["parent"], s["node_type"], s["kinds"], s["split_mode"], *s["unit"], s["unit_kind"], *start, point(s["end"] - 1)[0], *end, hashlib.sha256(content).hexdigest(), rendered, len(rendered.encode())))
+            yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns if f"{c} long" in _CHUNKS})
+
+    return files.select(path, raw).mapInPandas(run, _CHUNKS)
+
+
+_CHUNKS = (
+    "path string, outcome string, fallback_reason string, language string, encoding string, attempts string, file_bytes long, ordinal long, start_byte long, end_byte long, kind string, parent_kind string, "
+    "node_type string, kinds array<string>, split_mode string, unit_start_byte long, unit_end_byte long, unit_kind string, start_line long, start_column long, end_line long, end_point_line long, end_column long, "
+    "raw_sha256 string, content string, content_bytes long"
+)
+_EXTRACTED = (
+    "path string, tag string, name string, qualified_name string, kind string, role string, linkage string, caller string, caller_start_byte long, expression string, parameters array<string>, "
+    "conditional_depth long, start_byte long, end_byte long, facts string"
+)
 
 
 def extract_files(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
-    """One tagged stream of symbols, calls and includes: path, tag, name, qualified_name, kind, role, linkage, caller, expression, start, end, detail (JSON)."""
-    columns = ["path", "tag", "name", "qualified_name", "kind", "role", "linkage", "caller", "expression", "start", "end", "detail"]
+    """One tagged stream of symbols, calls, includes and facts, with places in bytes; ``facts`` of a function's body as JSON. Files without a text give nothing."""
+    columns = [f.split()[0] for f in _EXTRACTED.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for p, t in zip(pdf[path], pdf[text]):
-                got = extract(t or "")
-                rows += [(p, "symbol", s["name"], s["qualified_name"], s["symbol_kind"], s["role"], s["linkage"], None, s["signature"], s["start"], s["end"], json.dumps({k: s.get(k) for k in ("parameters", "facts", "conditional_depth")})) for s in got["symbols"]]
-                rows += [(p, "call", c["name"], None, c["kind"], None, None, c["caller"], c["expression"], c["start"], c["end"], None) for c in got["calls"]]
-                rows += [(p, "include", i["target"], None, None, None, None, None, i["spelling"], i["start"], i["end"], None) for i in got["includes"]]
-            yield pd.DataFrame(rows, columns=columns)
-
-    return files.select(path, text).mapInPandas(run, "path string, tag string, name string, qualified_name string, kind string, role string, linkage string, caller string, expression string, start long, end long, detail string")
+                t = t or ""
+                got = extract(t)
+                codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
+                width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+                byte = np.concatenate([[0], np.cumsum(width)])
+                at = lambda x: (int(byte[x["start"]]), int(byte[x["end"]]) if "end" in x else None)
+                rows += [(p, "symbol", s["name"], s["qualified_name"], s["symbol_kind"], s["role"], s["linkage"], None, None, s["signature"], s["parameters"], s["conditional_depth"], *at(s), json.dumps(s["facts"]) if "facts" in s else None) for s in got["symbols"]]
+                rows += [(p, "call", c["name"], None, c["kind"], None, None, c["caller"], int(byte[c["caller_start"]]), c["expression"], None, c["conditional_depth"], *at(c), None) for c in got["calls"]]
+                rows += [(p, "include", i["target"], None, None, None, None, None, None, i["spelling"], None, i["conditional_depth"], *at(i), None) for i in got["includes"]]
+                rows += [(p, "fact", f["fact"], None, None, None, None, None, None, None, None, None, *at(f), None) for f in got["facts"]]
+            yield pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns if f"{c} long" in _EXTRACTED})
+
+    return files.select(path, text).mapInPandas(run, _EXTRACTED)
