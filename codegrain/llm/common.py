@@ -6,6 +6,9 @@ has no ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 
@@ -32,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Lineage is cut: a lost executor costs a re-read, not a recomputation, and
@@ -40,13 +43,66 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codegrain/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def row_key(id_col: str, text_col: str):
-    """A key for rows: repeated rows share it, rows of one id but other texts don't."""
-    return F.xxhash64(F.col(id_col), F.coalesce(F.md5(F.col(text_col)), F.lit("-")))
+def dropped(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more, and let Spark delete the shuffle files of what was computed before."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+            if "/codegrain/" in path:
+                at = spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if tables:
+        gc.collect()
+        spark._jvm.System.gc()
+
+
+#: Bytes of an Arrow batch that a worker gets, about.
+BATCH_BYTES = 8 << 20
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not in every C library
+        pass
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of bounded bytes.
+
+    Workers are kept for later tasks, beside an executor whose own memory is
+    fixed; so after its last batch a task gives back what it has freed.
+    """
+
+    @functools.wraps(run)
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    bound = df.sparkSession.conf
+    if int(str(bound.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) > BATCH_BYTES:
+        bound.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(lean, schema)
+
+
+def limited(df: DataFrame, most: int, size: str = "1") -> DataFrame:
+    """``df``, to be broadcast if its rows' sizes (SQL) add up to ``most`` at most. It should be a staged table, as it is read twice."""
+    return F.broadcast(df) if (df.agg(F.sum(F.expr(size))).first()[0] or 0) <= most else df
+
+
+def row_key(id_col, text_col):
+    """A 128-bit key for rows: repeated rows share it, rows of one id but other texts don't."""
+    id_col, text_col = (F.col(c) if isinstance(c, str) else c for c in (id_col, text_col))
+    return F.unhex(F.md5(F.concat(F.coalesce(F.md5(text_col), F.lit("-")), F.to_json(F.struct(id_col.alias("id"))))))
 
 
 def fold(doc_id: str, n: int):

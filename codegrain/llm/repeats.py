@@ -19,18 +19,29 @@ Method as named, but for one change: the construction is applied to the aligned
 sequences of each anchor, up to 768 symbols long, rather than to whole
 documents. Inserting one symbol of each document a round takes as many rounds as
 the longest document has bytes, each over the whole transform so far, which for
-texts of 100,000 bytes and more can't be done in any useful time.
+texts of 100,000 bytes and more can't be done in any useful time; README has
+figures.
 
+The same rounds find shorter strings too, of SHORT bytes, which have anchors of
+their own: a run of them with PASSAGE_WORDS words and more is a repeated passage.
+These are counted, not removed, as a passage of 50 words may have under 400
+bytes.
+
+A text that repeats a short period has an anchor in every period; such anchors
+are one row each period's length, and of equal sequences of a text one is cut.
 Candidates and spans grow with the corpus, so they meet their texts by a shuffle
-whatever their size.
+whatever their size. The anchors' table is joined with those that occur twice, so
+that an anchor of a third of all texts is split among tasks like any skewed join.
 
 An anchor of more than HOT sequences isn't dealt to one task: of its sequences
-every 400-byte string is fingerprinted and counted, which adds up before it is
-shuffled.
+every string is fingerprinted with 128 bits and counted, which adds up before it
+is shuffled. With 10**12 different strings, the chance of one false repeat is
+about 10**-15.
 
 Defined results: null text is empty; texts under 400 bytes keep everything;
 repeated rows are documents of their own, so they repeat each other; null ids
-too; an empty table gives an empty result; other columns are never looked at.
+too; a text of any length is one row; an empty table gives an empty result;
+other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -43,10 +54,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import _BYTE, _powers, documents, mix, pieces, staged, utf8
+from codegrain.llm.common import _BYTE, _powers, documents, dropped, mapped, mix, pieces, staged, utf8
 
 LENGTH = 400
 GRAM = 32
+#: Bytes of a shorter string, and words of a passage made of such.
+SHORT, PASSAGE_WORDS = 200, 50
 #: Sequences of an anchor that one task sorts at most.
 HOT = 50_000
 #: Bytes of columns that are kept in memory; more go to a temporary file.
@@ -72,13 +85,12 @@ def _sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], fore[w - 1 : n])
 
 
-def anchors(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every string of ``length`` bytes within a row its anchor: code, place, first and last start of the strings that share it."""
+def _chosen(code: np.ndarray, bounds: np.ndarray, size: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every string of ``length`` bytes within a row its anchor: place, first and last start of the strings that share it."""
     none = np.zeros(0, np.int64)
-    if len(raw) < length:
-        return none, none, none, none
-    code = _fingerprints(raw, gram)
-    bits = np.uint64(max(24, int(len(raw)).bit_length()))
+    if size < length:
+        return none, none, none
+    bits = np.uint64(max(24, int(size).bit_length()))
     key = code >> bits << bits | np.arange(len(code), dtype=np.uint64)
     least = _sliding_least(key, length - gram + 1)
     whole = np.zeros(len(least) + 1, np.int64)
@@ -87,45 +99,90 @@ def anchors(raw: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tupl
     np.add.at(whole, bounds[1:][long] - length + 1, -1)
     starts = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
     if not len(starts):
-        return none, none, none, none
+        return none, none, none
     place = (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    return code[place[new]].view(np.int64), place[new], starts[new], starts[np.append(new[1:], len(starts)) - 1]
+    return place[new], starts[new], starts[np.append(new[1:], len(starts)) - 1]
+
 
+def anchors(raw: np.ndarray, bounds: np.ndarray, length: int, short: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchors of the strings of ``short`` and of ``length`` bytes, in order: code, place, first byte and end of all strings that share it.
+
+    The least of a longer string is the least of a shorter one around it, so
+    anchors of the longer strings are among those of the shorter, and their
+    bytes include the others'.
+    """
+    none = np.zeros(0, np.int64)
+    if len(raw) < short:
+        return none, none, none, none
+    code = _fingerprints(raw, gram)
+    place, first, last = _chosen(code, bounds, len(raw), short, gram)
+    end = last + short
+    far, far_first, far_last = _chosen(code, bounds, len(raw), length, gram)
+    at = np.searchsorted(place, far)
+    first[at], end[at] = far_first, far_last + length
+    return code[place].view(np.int64), place, first, end
+
+
+_FOUND = "k long, code long, place long, first long, end long, step long, times long"
+
+
+def _find(length: int, short: int, gram: int):
+    """Anchors by row; of anchors of one code that follow each other at equal distances, with as many bytes around them, the first with step and times."""
 
-def _find(length: int, gram: int):
     def run(batches):
         for batch in pieces(batches, "text"):
             raw, bounds = utf8(batch.column("text"))
-            code, place, first, last = anchors(raw, bounds, length, gram)
+            code, place, first, end = anchors(raw, bounds, length, short, gram)
             row = np.searchsorted(bounds, first, side="right") - 1
-            base = bounds[row]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("k").take(pa.array(row)), pa.array(code), *[pa.array((x - base).astype(np.int64)) for x in (place, first, last)]], ["k", "code", "place", "first", "last"]
-            )
+            step = np.diff(place, append=0)
+            # Whether an anchor is followed by one like it, and continues a run.
+            like = np.zeros(len(code), bool)
+            like[:-1] = (code[1:] == code[:-1]) & (row[1:] == row[:-1]) & (np.diff(first) == step[:-1]) & (np.diff(end) == step[:-1])
+            goes = np.zeros(len(code), bool)
+            goes[1:] = like[:-1]
+            goes[2:] &= ~like[:-2] | (step[1:-1] == step[:-2])
+            head = np.flatnonzero(~goes)
+            times = np.diff(np.append(head, len(code)))
+            base = bounds[row[head]]
+            columns = [code[head], *[x[head] - base for x in (place, first, end)], np.where(times > 1, step[head], 0), times]
+            yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(row[head])), *[pa.array(x.astype(np.int64)) for x in columns]], _FOUND.replace(",", "").split()[::2])
 
     return run
 
 
-def _cut(length: int):
-    def run(batches):
-        for batch in pieces(batches, "text", 1 << 20):
-            raw, bounds = utf8(batch.column("text"))
-            data, out = raw.tobytes(), [[] for _ in range(5)]
-            for base, k, listed in zip(bounds.tolist(), batch.column("k").to_pylist(), batch.column("found").to_pylist()):
-                for x in listed:
-                    row = (x["code"], k, x["first"], x["place"] - x["first"], data[base + x["first"] : base + x["last"] + length])
-                    for col, v in zip(out, row):
-                        col.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            for i in range(0, len(out[0]), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 5000], t) for c, t in zip(out, kinds)], ["code", "k", "first", "before", "bytes"])
+_SEQUENCES = "code long, k long, firsts array<long>, before int, bytes binary"
+
+
+def _cut(batches):
+    """The bytes around the anchors that rows have; of a row's equal sequences one, with the places of all."""
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+    for batch in pieces(batches, "text", 1 << 20):
+        raw, bounds = utf8(batch.column("text"))
+        data, out, size = raw.tobytes(), {}, 0
+        for base, k, listed in zip(bounds.tolist(), batch.column("k").to_pylist(), batch.column("found").to_pylist()):
+            for x in listed:
+                for i in range(x["times"]):
+                    at = x["first"] + i * x["step"]
+                    key = (x["code"], k, x["place"] - x["first"], data[base + at : base + at + x["end"] - x["first"]])
+                    if key not in out:
+                        out[key] = []
+                        size += len(key[3])
+                    out[key].append(at)
+            if size > 4 << 20:
+                yield _sequences(out, kinds)
+                out, size = {}, 0
+        if out:
+            yield _sequences(out, kinds)
 
-    return run
 
+def _sequences(out: dict, kinds) -> pa.RecordBatch:
+    columns = [[c for c, *_ in out], [k for _, k, *_ in out], list(out.values()), [b for _, _, b, _ in out], [s for *_, s in out]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["code", "k", "firsts", "before", "bytes"])
 
-def repeated_starts(group: np.ndarray, before: np.ndarray, sequences: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, start) of strings of ``length`` bytes that another sequence of the group has at the same distance from its anchor.
+
+def repeated_starts(group: np.ndarray, before: np.ndarray, sequences: list[bytes], lengths: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each of ``lengths`` (sequence, start) of strings of so many bytes that another sequence of the group has at the same distance from its anchor.
 
     ``before``: bytes of each sequence before its anchor. Groups must be contiguous.
     """
@@ -148,7 +205,7 @@ def repeated_starts(group: np.ndarray, before: np.ndarray, sequences: list[bytes
         columns[:, step : step + len(part)] = part.T
     hi = lo + sizes
     order, common = np.arange(m), np.zeros(m, np.int64)
-    found_row, found_at = [], []
+    found: list[list] = [[] for _ in lengths]
     for c in range(width - 1, -1, -1):
         symbol = np.asarray(columns[c])[order].astype(np.int64)
         symbol[(hi[order] <= c) | (lo[order] > c)] = -1  # before its end, or past its start: no suffix here
@@ -169,12 +226,14 @@ def repeated_starts(group: np.ndarray, before: np.ndarray, sequences: list[bytes
             now[here[far]] = np.minimum.reduceat(padded, pairs)[::2] + 1
         order, common = order[rank], now
         if c <= left:
-            twice = common >= length
-            twice[:-1] |= twice[1:]
-            hit = order[twice]
-            found_row.append(hit)
-            found_at.append(c - lo[hit])
-    return np.concatenate(found_row or [np.zeros(0, np.int64)]), np.concatenate(found_at or [np.zeros(0, np.int64)])
+            for own, length in zip(found, lengths):
+                twice = common >= length
+                if twice.any():
+                    twice[:-1] |= twice[1:]
+                    hit = order[twice]
+                    own.append((hit, c - lo[hit]))
+    none = np.zeros(0, np.int64)
+    return [tuple(np.concatenate([none, *(x[i] for x in own)]) for i in (0, 1)) for own in found]
 
 
 def _spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,49 +244,105 @@ def _spans(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return row[new], start[new], start[np.append(new[1:], len(start)) - 1] if len(row) else start
 
 
-_SPAN = "k long, first long, last long"
+_SPAN = "k long, length int, first long, end long"
+
+
+def _spread(k: np.ndarray, firsts: list[list[int]], at: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> tuple[list, list, list]:
+    """k, first, end of the strings that start at a to b of the sequences ``at``, wherever these lie; what touches within a sequence's places is one."""
+    ks, begins, ends = [], [], []
+    for i, x, y in zip(at.tolist(), a.tolist(), b.tolist()):
+        last = None
+        for f in firsts[i]:
+            if last is not None and f + x <= last:
+                last = ends[-1] = max(last, f + y + length)
+                continue
+            ks.append(int(k[i]))
+            begins.append(f + x)
+            ends.append(last := f + y + length)
+    return ks, begins, ends
+
 
+def _span_batch(parts: list[tuple[int, tuple[list, list, list]]]) -> pa.RecordBatch:
+    columns = [sum((p[i] for _, p in parts), []) for i in range(3)]
+    lengths = [n for n, p in parts for _ in p[0]]
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(lengths, pa.int32()), *[pa.array(c, pa.int64()) for c in columns[1:]]], ["k", "length", "first", "end"])
 
-def _sort(length: int, at_once: int = 30_000):
+
+def _many(firsts: list[list[int]], sequences: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sequences that lie at several places all strings: sequence, first start, last start."""
+    at = np.array([i for i, f in enumerate(firsts) if len(f) > 1 and len(sequences[i]) >= length], np.int64)
+    return at, np.zeros(len(at), np.int64), np.array([len(sequences[i]) - length for i in at], np.int64)
+
+
+def _sort(lengths: tuple[int, ...], at_once: int = 30_000):
     """Takes rows sorted by anchor; whole anchors are gathered up to ``at_once`` sequences."""
 
-    def solve(code, k, first, before, seqs):
+    def solve(code, k, before, firsts, seqs):
+        # Equal sequences of different rows are one that lies at several places.
         _, group = np.unique(code, return_inverse=True)
-        order = np.argsort(group, kind="stable")
-        row, start = repeated_starts(group[order], np.asarray(before)[order], [seqs[i] for i in order], length)
-        row, a, b = _spans(row, start)
-        at = order[row]
-        k, first = np.asarray(k)[at], np.asarray(first)[at]
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(first + a), pa.array(first + b)], ["k", "first", "last"])
+        of: dict[tuple, int] = {}
+        one = np.array([of.setdefault((int(g), int(b), s), len(of)) for g, b, s in zip(group, before, seqs)], np.int64)
+        own_group, own_before, own_seqs = np.array([x[0] for x in of]), np.array([x[1] for x in of]), [x[2] for x in of]
+        order = np.argsort(own_group, kind="stable")
+        found = repeated_starts(own_group[order], own_before[order], [own_seqs[i] for i in order], lengths)
+        held = np.bincount(one, minlength=len(of)) > 1
+        rows_of = np.argsort(one, kind="stable")
+        bounds = np.searchsorted(one[rows_of], np.arange(len(of) + 1))
+        parts = []
+        for length, (row, start) in zip(lengths, found):
+            row, a, b = _spans(order[row], start)
+            alone = ~held[row]  # sequences of several rows are repeated as a whole
+            row, a, b = row[alone], a[alone], b[alone]
+            n = bounds[row + 1] - bounds[row]
+            at = np.concatenate([rows_of[bounds[r] : bounds[r + 1]] for r in row]) if len(row) else row
+            parts.append((length, _spread(k, firsts, at, np.repeat(a, n), np.repeat(b, n), length)))
+            whole = np.array([i for i in np.flatnonzero(held[one]) if len(seqs[i]) >= length], np.int64)
+            parts.append((length, _spread(k, firsts, whole, np.zeros(len(whole), np.int64), np.array([len(seqs[i]) - length for i in whole], np.int64), length)))
+            parts.append((length, _spread(k, firsts, *_many(firsts, seqs, length), length)))
+        return _span_batch(parts)
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 4 + [[]]
+        held, firsts, seqs = [np.zeros(0, np.int64)] * 3, [], []
         for batch in batches:
-            held = [np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held[:4])] + [held[4] + batch.column("bytes").to_pylist()]
+            held = [np.concatenate([h, batch.column(c).to_numpy().astype(np.int64)]) for h, c in zip(held, ("code", "k", "before"))]
+            firsts += batch.column("firsts").to_pylist()
+            seqs += batch.column("bytes").to_pylist()
             if len(held[0]) >= at_once:
                 cut = int(np.searchsorted(held[0], held[0][-1]))  # the last anchor may go on
                 if cut:
-                    yield solve(*[h[:cut] for h in held])
-                    held = [h[cut:] for h in held]
+                    yield solve(*[h[:cut] for h in held], firsts[:cut], seqs[:cut])
+                    held, firsts, seqs = [h[cut:] for h in held], firsts[cut:], seqs[cut:]
         if len(held[0]):
-            yield solve(*held)
+            yield solve(*held, firsts, seqs)
 
     return run
 
 
-def _prints(length: int):
-    """Of sequences of hot anchors every string's distance from the anchor and 128-bit fingerprint."""
+def _prints(lengths: tuple[int, ...]):
+    """Of sequences of hot anchors every string's distance from the anchor and 128-bit fingerprint; weight 2 if the sequence lies at several places."""
 
     def run(batches):
         for batch in batches:
-            for code, k, first, before, data in zip(*(batch.column(c).to_pylist() for c in ("code", "k", "first", "before", "bytes"))):
+            for code, k, firsts, before, data in zip(*(batch.column(c).to_pylist() for c in ("code", "k", "firsts", "before", "bytes"))):
                 raw = np.frombuffer(data, np.uint8)
-                one, two = _fingerprints(raw, length), _fingerprints(_LOW[raw], length)
-                n = len(one)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, code)), pa.array(np.full(n, k)), pa.array(first + np.arange(n)), pa.array(np.arange(n) - before), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))],
-                    ["code", "k", "start", "at", "p", "q"],
-                )
+                for length in lengths:
+                    if len(raw) < length:
+                        continue
+                    one, two = _fingerprints(raw, length), _fingerprints(_LOW[raw], length)
+                    n = len(one)
+                    columns = [np.full(n, code), np.full(n, k), firsts[0] + np.arange(n), np.arange(n) - before, one.view(np.int64), two.view(np.int64), np.full(n, min(2, len(firsts)))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, length, np.int32)), *map(pa.array, columns)], ["length", "code", "k", "start", "at", "p", "q", "weight"])
+
+    return run
+
+
+def _placed(lengths: tuple[int, ...]):
+    """The strings of sequences that lie at several places of their row."""
+
+    def run(batches):
+        for batch in batches:
+            k, firsts, seqs = batch.column("k").to_numpy(), batch.column("firsts").to_pylist(), batch.column("bytes").to_pylist()
+            yield _span_batch([(n, _spread(k, firsts, *_many(firsts, seqs, n), n)) for n in lengths])
 
     return run
 
@@ -236,62 +351,80 @@ def _prints(length: int):
 _LOW = np.random.Generator(np.random.PCG64(5)).permutation(256).astype(np.uint8)
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """k, starts: array of (first, last), runs of starts of repeated strings, for rows (k, text) with distinct k."""
-    found = staged(rows.mapInArrow(_find(length, gram), "k long, code long, place long, first long, last long"), "anchors")
-    often = found.groupBy("code").agg(F.count("*").alias("n")).where("n > 1")
-    per_row = staged(found.join(often, "code").groupBy("k").agg(F.collect_list(F.struct("code", "place", "first", "last")).alias("found")), "candidates")
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, short: int = SHORT) -> DataFrame:
+    """k, spans: array of (length, first, end), stretches of repeated strings of either length, for rows (k, text) with distinct k."""
+    found = staged(mapped(rows, _find(length, short, gram), _FOUND), "anchors", "zstd")
+    often = staged(found.groupBy("code").agg(F.sum("times").alias("n")).where("n > 1"), "often")
+    per_row = found.join(often, "code").groupBy("k").agg(F.collect_list(F.struct("code", "place", "first", "end", "step", "times")).alias("found"))
+    per_row = staged(per_row, "candidates")
     hot_codes = staged(often.where(F.col("n") > hot).select("code"), "hot")
-    cut = rows.join(per_row, "k").select("k", "text", "found").mapInArrow(_cut(length), "code long, k long, first long, before int, bytes binary")
+    dropped(found, often)
+    cut = mapped(rows.join(per_row, "k").select("k", "text", "found"), _cut, _SEQUENCES)
+    lengths = (length, short)
     if hot_codes.isEmpty():
         cold, spans = cut, None
     else:
         # Their number is bounded: the anchors of all rows divided by ``hot``.
         cut = staged(cut, "sequences")
-        prints = staged(cut.join(hot_codes, "code", "left_semi").mapInArrow(_prints(length), "code long, k long, start long, at long, p long, q long"), "prints")
-        twice = prints.groupBy("code", "at", "p", "q").agg(F.count("*").alias("n")).where("n > 1")
-        spans = prints.join(twice, ["code", "at", "p", "q"], "left_semi").select("k", F.col("start").alias("first"), F.col("start").alias("last"))
+        sequences = cut.join(hot_codes, "code", "left_semi")
+        prints = staged(mapped(sequences, _prints(lengths), "length int, code long, k long, start long, at long, p long, q long, weight long"), "prints")
+        key = ["length", "code", "at", "p", "q"]
+        twice = staged(prints.groupBy(*key).agg(F.sum("weight").alias("n")).where("n > 1").drop("n"), "twice")
+        spans = prints.join(twice, key).select("k", "length", F.col("start").alias("first"), (F.col("start") + F.col("length")).alias("end"))
+        spans = spans.unionByName(mapped(sequences, _placed(lengths), _SPAN))
         cold = cut.join(hot_codes, "code", "left_anti")
-    sorted_ = cold.repartition("code").sortWithinPartitions("code").mapInArrow(_sort(length), _SPAN)
+    sorted_ = mapped(cold.repartition("code").sortWithinPartitions("code"), _sort(lengths), _SPAN)
     spans = sorted_ if spans is None else sorted_.unionByName(spans)
-    return spans.groupBy("k").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
+    return staged(spans.groupBy("k").agg(F.collect_list(F.struct("length", "first", "end")).alias("spans")), "spans")
 
 
-def _remove(length: int):
+def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for first, end in sorted(spans):
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([first, end])
+    return out
+
+
+def _remove(length: int, words: int):
     def run(batches):
         for batch in pieces(batches, "text"):
             raw, bounds = utf8(batch.column("text"))
-            data, cols = raw.tobytes(), [[], [], [], [], []]
-            for a, b, starts in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column("starts").to_pylist()):
-                merged: list[list[int]] = []
-                for first, last in sorted((x["first"], x["last"]) for x in starts or ()):
-                    if merged and first <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], last + length)
-                    else:
-                        merged.append([first, last + length])
+            data, cols = raw.tobytes(), [[], [], [], [], [], []]
+            for a, b, spans in zip(bounds[:-1].tolist(), bounds[1:].tolist(), batch.column("spans").to_pylist()):
+                gone = _merged([(x["first"], x["end"]) for x in spans or () if x["length"] == length])
+                passages = sum(len(data[a + x : a + y].split()) >= words for x, y in _merged([(x["first"], x["end"]) for x in spans or ()]))
                 at, kept = a, []
-                for first, end in merged:
+                for first, end in gone:
                     kept.append(data[at : a + first])
                     at = a + end
                 kept = b"".join([*kept, data[at:b]])
-                for col, x in zip(cols, (b - a, b - a - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept)):
+                for col, x in zip(cols, (b - a, b - a - len(kept), len(gone), passages, hashlib.sha256(kept).hexdigest(), kept)):
                     col.append(x)
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3]), pa.array(cols[4], pa.binary())], names)
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "n_passages", "kept_sha256", "kept"]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.binary())], names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans (long), kept_sha256 (string), kept (the bytes left)."""
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, short: int = SHORT, words: int = PASSAGE_WORDS
+) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_bytes, n_removed, n_spans, n_passages (long), kept_sha256 (string), kept (the bytes left).
+
+    n_passages counts the longest stretches of repeated strings of ``short``
+    bytes (at most ``length``, at least ``gram``) that have ``words`` words and more.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     if rows.select("doc_id").where("doc_id is null").isEmpty() and rows.groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = rows.withColumn("k", F.col("doc_id"))
     else:  # rows get numbers of their own, written down so that they stay
         rows = staged(rows.withColumn("k", F.monotonically_increasing_id()), "numbered")
-    spans = staged(repeated_spans(rows.select("k", "text"), length, gram, hot), "spans")
-    both = rows.join(spans, "k", "left").select("doc_id", "text", "starts")
-    return both.mapInArrow(_remove(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    spans = repeated_spans(rows.select("k", "text"), length, gram, hot, short)
+    both = rows.join(spans, "k", "left").select("doc_id", "text", "spans")
+    return mapped(both, _remove(length, words), "doc_id long, n_bytes long, n_removed long, n_spans long, n_passages long, kept_sha256 string, kept binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
