@@ -10,19 +10,25 @@ context's by a half for each symbol. A symbol is scored by the longest retained
 suffix of what stands before it.
 
 A context is looked at from LEAST_COUNT occurrences on, whatever the size of the
-corpus, so the tree grows with it and stays in staged tables, one for each
-context length, that are joined level by level; the driver gets single numbers
-of it. Counts are made in blocks of text, added up by task and shuffled by symbol
-run or word. Runs of held-out documents are in these tables too, with a count of
-0, so that every run has its score there. Documents are scored in blocks of
-BLOCK bytes: a block asks for its distinct runs, and what it asked for meets its
-texts again.
+corpus, so the tree grows with it. Its upper part, contexts of SHALLOW symbols and
+fewer, has 256 ** 3 numbers at most and is computed on the driver. The subtree
+below a context one symbol longer has as many numbers at most: the runs that end
+alike in that many symbols and their next one meet in one task, which computes
+their subtree with numpy and writes each run's score down. Counts are made in
+blocks of text, added up by task and shuffled by symbol run or word. Runs of
+held-out documents are in these tables too, with a count of 0, so that every run
+has its score there.
+
+Documents are scored in blocks of BLOCK bytes: a block asks for its distinct runs,
+sorted and dealt to buckets by hash; a bucket answers with scores in the order
+asked, so that answers carry no keys; they meet the block's texts again.
 
 The base score needs every word's count. Up to MOST_WORDS distinct words the
 counts are broadcast; beyond, each document's words are joined with them.
 
 Defined results: null text is empty and has the end alone; rows without an id
-train; with no training rows every count is 0; repeated rows count each; an
+train; with no training rows every count is 0; repeated rows count each; texts
+with equal symbols have equal scores; a text longer than a block is a block; an
 empty table gives an empty result; other columns are never looked at.
 """
 
@@ -35,14 +41,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import _LOWER, documents, fold, pieces, row_key, staged, utf8, word_hashes
+from codegrain.llm.common import _LOWER, documents, fold, mapped, mix, pieces, release, row_key, staged, utf8, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 5
 #: Least count, and least count times divergence (bits) of a context.
 LEAST_COUNT, GAIN = 8, 24.0
+#: Contexts of so many symbols and fewer are computed together; longer ones by task.
+SHALLOW = 2
 #: Bytes of text that are scored together.
-BLOCK = 8 << 20
+BLOCK = 32 << 20
+#: Runs of which a task computes the scores, or answers with them, at once, about.
+RUNS, ASKED = 500_000, 10_000_000
 #: Pseudo-counts that a context takes from its parent.
 TRUST = 16.0
 MOST_WORDS = 6_000_000
@@ -182,36 +192,122 @@ class Tree:
         return np.add.reduceat(own, starts - DEPTH)
 
 
+def _probabilities(key: np.ndarray, n: np.ndarray, above: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smoothed probability of each run's last symbol, NaN where the context is too rare, and whether the context tells.
+
+    Runs are sorted and of one length. ``above``: the probability without the
+    first symbol, NaN where that shorter context is too rare already.
+    """
+    if not len(key):
+        return np.zeros(0), np.zeros(0, bool)
+    context = key >> 8
+    first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    m = np.repeat(np.add.reduceat(n, first), size)
+    p = np.where((m >= LEAST_COUNT) & ~np.isnan(above), (n + TRUST * above) / (m + TRUST), np.nan)
+    gain = np.where(np.isnan(p) | (n == 0), 0.0, n * np.log2(np.where(np.isnan(p), 1.0, p) / np.where(np.isnan(above), 1.0, above)))
+    return p, np.repeat(np.add.reduceat(gain, first) >= GAIN, size)
+
+
+def _shorter(key: np.ndarray, n: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ends of runs, ``symbols`` long and the next one: sorted, their counts, and each run's place among them."""
+    own, at = np.unique(key & ((1 << 8 * (symbols + 1)) - 1), return_inverse=True)
+    return own, np.bincount(at, weights=n, minlength=len(own)), at
+
+
+class Upper:
+    """Probabilities of runs with contexts of SHALLOW symbols and fewer, and what remains of them once it is known what is retained below."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.key = key
+        total = n.sum()
+        own, m, at = _shorter(key, n, 0)
+        self.p, self.tells = [((m + 0.5) / (total + 128.0))[at]], [np.ones(len(key), bool)]
+        for d in range(1, SHALLOW + 1):
+            own, m, at = _shorter(key, n, d)
+            above = np.zeros(len(own))
+            above[at] = self.p[-1]
+            p, tells = _probabilities(own, m, above)
+            self.p.append(p[at])
+            self.tells.append(tells[at])
+
+    def scores(self, retained: np.ndarray) -> np.ndarray:
+        """log10 of the probability by the longest retained context; ``retained``: the contexts of SHALLOW symbols with a retained longer one."""
+        out, below = np.log10(self.p[0]), np.isin(self.key >> 8, retained)
+        keep = [below | self.tells[SHALLOW]]
+        for d in range(SHALLOW - 1, 0, -1):
+            context = self.key >> 8 & (1 << 8 * d) - 1
+            keep.insert(0, self.tells[d] | np.isin(context, context[keep[0]]))
+        for d, kept in enumerate(keep, 1):
+            out = np.where(kept & ~np.isnan(self.p[d]), np.log10(self.p[d]), out)
+        return out
+
+
+def _subtrees(upper_key: np.ndarray, upper_p: np.ndarray, batches):
+    """key, score of runs that lie sorted by their last SHALLOW + 1 symbols of context; NaN where no context longer than SHALLOW is retained."""
+
+    def solve(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(key)
+        key, n = key[order], n[order].astype(np.float64)
+        levels = [_shorter(key, n, d) for d in range(SHALLOW + 1, DEPTH + 1)]
+        above = upper_p[np.searchsorted(upper_key, levels[0][0] & (1 << 8 * (SHALLOW + 1)) - 1)]
+        p, tells = [], []
+        for i, (own, m, _) in enumerate(levels):
+            if i:
+                above = p[-1][np.searchsorted(levels[i - 1][0], own & (1 << 8 * (SHALLOW + 1 + i)) - 1)]
+            one, telling = _probabilities(own, m, above)
+            p.append(one)
+            tells.append(telling)
+        score, longer = np.full(len(key), np.nan), np.zeros(0, np.int64)
+        for i in range(len(levels) - 1, -1, -1):
+            own, _, at = levels[i]
+            context = own >> 8
+            kept = tells[i] | np.isin(context, longer)
+            longer = np.unique(context[kept] & (1 << 8 * (SHALLOW + i)) - 1)
+            found = kept[at] & np.isnan(score)
+            score[found] = np.log10(p[i][at][found])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(score.astype(np.float32))], ["key", "score"])
+
+    key, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key, n = np.concatenate([key, batch.column("key").to_numpy()]), np.concatenate([n, batch.column("n").to_numpy()])
+        if len(key) >= RUNS:
+            group = _group(key)
+            cut = int(np.searchsorted(group, group[-1]))  # the last subtree may go on
+            if cut:
+                yield solve(key[:cut], n[:cut])
+                key, n = key[cut:], n[cut:]
+    if len(key):
+        yield solve(key, n)
+
+
+def _group(key):
+    return (key >> 8) & (1 << 8 * (SHALLOW + 1)) - 1
+
+
 def run_scores(runs: DataFrame) -> DataFrame:
     """key, score: log10 of the probability of each run's last symbol, from a staged table of runs (key, n)."""
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    cut = lambda c, symbols: F.col(c) % F.lit(1 << 8 * symbols)
-    own = [runs]
-    for depth in range(DEPTH - 1, -1, -1):
-        own.insert(0, staged(own[0].groupBy(cut("key", depth + 1).alias("key")).agg(F.sum("n").alias("n")), f"runs-{depth}"))
-    levels = [own[0].select("key", "n", ((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("p"))]
-    telling = [None]
-    for depth in range(1, DEPTH + 1):
-        by = own[depth].withColumn("context", F.shiftright("key", 8))
-        often = by.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= LEAST_COUNT)
-        above = levels[-1].select(F.col("key").alias("low"), F.col("p").alias("up"))
-        both = by.join(often, "context").join(above, cut("key", depth) == F.col("low"))
-        p = (F.col("n") + TRUST * F.col("up")) / (F.col("m") + TRUST)
-        levels.append(staged(both.select("context", "key", "n", "up", p.alias("p")), f"level-{depth}"))
-        gain = F.sum(F.col("n") * F.log2(F.col("p") / F.col("up")))
-        telling.append(levels[-1].groupBy("context").agg(gain.alias("gain")).where(F.col("gain") >= GAIN).select("context"))
-    retained = {DEPTH + 1: None}
-    for depth in range(DEPTH, 0, -1):
-        longer = retained[depth + 1]
-        here = telling[depth] if longer is None else telling[depth].union(longer.select(cut("context", depth)))
-        retained[depth] = staged(here.distinct(), f"retained-{depth}")
-    scores = levels[0].select("key", F.log10("p").alias("score"))
-    for depth in range(1, DEPTH + 1):
-        mine = levels[depth].join(retained[depth], "context", "left_semi").select("key", F.log10("p").alias("mine"))
-        above = scores.select(F.col("key").alias("low"), F.col("score").alias("up"))
-        both = own[depth].select("key").join(above, cut("key", depth) == F.col("low")).join(mine, "key", "left")
-        scores = both.select("key", F.coalesce("mine", "up").alias("score"))
-    return staged(scores.select("key", F.col("score").cast("float").alias("score")), "run-scores")
+    end = lambda symbols: F.col("key") % F.lit(1 << 8 * (symbols + 1))
+    # Not more than 256 ** (SHALLOW + 1) rows, whatever the corpus.
+    table = runs.groupBy(end(SHALLOW).alias("key")).agg(F.sum("n").alias("n")).orderBy("key").toArrow()
+    upper = Upper(table.column("key").to_numpy(), table.column("n").to_numpy().astype(np.float64))
+    context = runs.sparkSession.sparkContext
+    above = context.broadcast((upper.key, upper.p[-1]))
+    group = F.shiftright("key", 8) % F.lit(1 << 8 * (SHALLOW + 1))
+    sorted_ = runs.select("key", "n").repartition(group).sortWithinPartitions(group)
+    deep = staged(mapped(sorted_, lambda batches: _subtrees(*above.value, batches), "key long, score float"), "subtrees")
+    # Not more than 256 ** SHALLOW rows.
+    below = deep.where(~F.isnan("score")).select((F.shiftright("key", 8) % F.lit(1 << 8 * SHALLOW)).alias("c")).distinct().toArrow().column("c").to_numpy()
+    final = context.broadcast((upper.key, upper.scores(below).astype(np.float32)))
+
+    def fill(batches):
+        keys, scores = final.value
+        for batch in batches:
+            key, score = batch.column("key").to_numpy(), batch.column("score").to_numpy()
+            at = np.searchsorted(keys, key & (1 << 8 * (SHALLOW + 1)) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(np.where(np.isnan(score), scores[at], score))], ["key", "score"])
+
+    return mapped(deep, fill, "key long, score float")
 
 
 def _blocked(batches):
@@ -225,17 +321,41 @@ def _blocked(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, block)), *batch.columns], ["block", *batch.schema.names])
 
 
-def _asked(batches):
-    """block, key: the distinct runs of each block."""
+def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _packed(key: np.ndarray) -> bytes:
+    """Sorted keys as differences, lowest bytes of all first, so that the many empty high ones compress to nothing."""
+    return np.diff(key, prepend=0).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).cumsum().astype(np.int64)
+
+
+def _distinct(column: pa.Array) -> np.ndarray:
+    """The distinct runs of some texts, in pieces of bounded bytes."""
+    keys = [np.unique(_runs(_symbols(b.column(0))[0])) for b in pieces([pa.RecordBatch.from_arrays([column], ["text"])], "text")]
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+
+
+def _asked(batches, buckets: int):
+    """block, bucket, m, keys: the distinct runs of each block by bucket, sorted and packed."""
     at, keys = None, []
 
     def out():
-        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-        for i in range(0, len(key), 100_000):
-            part = key[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), at)), pa.array(part)], ["block", "key"])
-
-    for batch in pieces(batches, "text", 2 << 20):
+        if keys:
+            key = np.unique(np.concatenate(keys))
+            bucket = _bucket(key, buckets)
+            order = np.argsort(bucket, kind="stable")
+            key, bucket = key[order], bucket[order]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            parts = np.split(key, first[1:])
+            arrays = [pa.array(np.full(len(parts), at)), pa.array(bucket[first]), pa.array([len(p) for p in parts], pa.int64()), pa.array([_packed(p) for p in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "bucket", "m", "keys"])
+
+    for batch in pieces(batches, "text"):
         blocks = batch.column("block").to_numpy()
         first = np.flatnonzero(np.concatenate([[True], blocks[1:] != blocks[:-1]]))
         for a, b in zip(first, [*first[1:], len(blocks)]):
@@ -243,9 +363,39 @@ def _asked(batches):
                 yield from out()
                 at, keys = int(blocks[a]), []
             keys.append(np.unique(_runs(_symbols(batch.column("text").slice(a, b - a))[0])))
+            if len(keys) == 8:
+                keys = [np.unique(np.concatenate(keys))]
     yield from out()
 
 
+def _answers(scores: pa.Table, asked: pa.Table) -> pa.Table:
+    """block, bucket, scores of what was asked of a bucket, in the order of the keys asked."""
+    key = scores.column("key").to_numpy()
+    order = np.argsort(key)
+    key, value = key[order], scores.column("score").to_numpy()[order]
+    found = [value[np.searchsorted(key, _unpacked(x.as_py()))].astype("<f4").tobytes() for x in asked.column("keys")]
+    return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "scores": pa.array(found, pa.binary())})
+
+
+def _answered(rows: DataFrame, scores: DataFrame) -> tuple[DataFrame, int]:
+    """block, bucket, scores: the answers to all blocks of ``rows``; and the number of buckets."""
+    spark = rows.sparkSession
+    scores = staged(scores, "run-scores")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), scores.count() // RUNS)
+    asked = staged(mapped(rows.select("block", "text"), lambda batches: _asked(batches, buckets), "block long, bucket long, m long, keys binary"), "asked")
+    # So many parts of a bucket that a part is asked for ASKED runs, about.
+    salts = 1 + (asked.agg(F.sum("m")).first()[0] or 0) // buckets // ASKED
+
+    def dealt(batches):
+        for batch in batches:
+            bucket = _bucket(batch.column("key").to_numpy(), buckets)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", *batch.schema.names])
+
+    own = mapped(scores, dealt, "bucket long, key long, score float").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
+    return own.groupBy("bucket", "salt").cogroup(asked.groupBy("bucket", "salt")).applyInArrow(_answers, "block long, bucket long, scores binary"), buckets
+
+
 def _sums(column: pa.Array, key: np.ndarray, score: np.ndarray) -> np.ndarray:
     """The sum of each text's run scores; ``key`` is sorted and has all of its runs."""
     symbols, starts = _symbols(column)
@@ -254,7 +404,7 @@ def _sums(column: pa.Array, key: np.ndarray, score: np.ndarray) -> np.ndarray:
     return np.add.reduceat(own, starts - DEPTH)
 
 
-_SCORED = "doc_id long, held_out boolean, k long, n_tokens long, n_known long, logs double, score double"
+_SCORED = "doc_id long, held_out boolean, k binary, n_tokens long, n_known long, logs double, score double"
 
 
 def _word_rows(batches):
@@ -263,12 +413,12 @@ def _word_rows(batches):
         codes, bounds = word_hashes(*utf8(batch.column("text")))
         for k, a, b in zip(batch.column("k").to_pylist(), bounds[:-1], bounds[1:]):
             key, n = np.unique(np.append(codes[a:b], END_WORD).view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), k)), pa.array(key), pa.array(n)], ["k", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(key), pa.binary()), pa.array(key), pa.array(n)], ["k", "key", "n"])
 
 
 def _joined(rows: DataFrame, words: DataFrame) -> DataFrame:
     """k, logs, n_known of each document by a join of its words with all words' counts."""
-    own = rows.select("k", "text").dropDuplicates(["k"]).mapInArrow(_word_rows, "k long, key long, n long")
+    own = mapped(rows.select("k", "text").dropDuplicates(["k"]), _word_rows, "k binary, key long, n long")
     both = own.join(words.withColumnRenamed("n", "c"), "key", "left")
     return both.groupBy("k").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("logs"), F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("n_known"))
 
@@ -277,13 +427,12 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == held_out).alias("held_out"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    rows = staged(rows.mapInArrow(_blocked, "block long, doc_id long, held_out boolean, k long, text string"), "blocks")
-    counts = rows.select("held_out", "text").mapInArrow(_counts, "kind int, key long, n long")
+    rows = staged(mapped(rows, _blocked, "block long, doc_id long, held_out boolean, k binary, text string"), "blocks", "zstd")
+    counts = mapped(rows.select("held_out", "text"), _counts, "kind int, key long, n long")
     counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("kind = 0").select("key", "n")
     n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    scores = run_scores(counts.where("kind = 1").select("key", "n"))
-    asked = rows.select("block", "text").mapInArrow(_asked, "block long, key long").join(scores, "key").select("block", "key", "score")
+    answers, buckets = _answered(rows, run_scores(counts.where("kind = 1").select("key", "n")))
     few = n_words <= most_words
     known = context.broadcast(_table(words)) if few else None
 
@@ -300,10 +449,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     names = _SCORED.replace(",", "").split()[::2]
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        key, value = found.column("key").to_numpy(), found.column("score").to_numpy()
-        order = np.argsort(key)
-        own = list(scored_batches(texts.to_batches(), key[order], value[order]))
-        return pa.Table.from_batches(own) if own else pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2))})
+        key = np.unique(np.concatenate([np.zeros(0, np.int64), *(_distinct(c) for c in texts.column("text").chunks)]))
+        order = np.argsort(_bucket(key, buckets), kind="stable")
+        parts = [x.as_py() for x in found.take(np.argsort(found.column("bucket").to_numpy())).column("scores")]
+        value = np.zeros(len(key), np.float32)
+        value[order] = np.frombuffer(b"".join(parts), "<f4")
+        own = list(scored_batches(texts.to_batches(), key, value))
+        release()
+        return pa.Table.from_batches(own) if own else pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), pa.binary(), *[pa.int64()] * 2, *[pa.float64()] * 2))})
 
     def scored_batches(batches, keys, scores):
         for batch in pieces(batches, "text", 2 << 20):
@@ -321,7 +474,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
             score = _sums(batch.column("text"), keys, scores)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "k")), *map(pa.array, (n, held, value, score))], names)
 
-    scored = rows.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, _SCORED)
+    scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORED)
     if not few:
         scored = scored.drop("logs", "n_known").join(_joined(rows, words), "k")
     share = float(np.log10(n_tokens + n_words + 1))
