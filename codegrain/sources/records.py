@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,9 +67,55 @@ def publish(spark: SparkSession, path: str, write, frozen_by: str | None = None)
         raise FileExistsError(f"{frozen_by} exists; what it was made from is frozen")
     if exists(spark, path):
         raise FileExistsError(path)
-    staging = f"{path.rstrip('/')}.staging"
+    # A name of its own, so that two writers don't meet; the second can't rename.
+    staging = f"{path.rstrip('/')}.{uuid.uuid4().hex}.staging"
     fs, p, jvm = _fs(spark, staging)
-    fs.delete(p, True)
     write(staging)
+    if exists(spark, path):
+        fs.delete(p, True)
+        raise FileExistsError(path)
     if not fs.rename(p, jvm.org.apache.hadoop.fs.Path(path)):
         raise OSError(f"{staging} could not be renamed")
+
+
+def count_folders(spark: SparkSession, path: str) -> int:
+    """How many folders, those in the making left out, a folder has; 0 if it isn't there."""
+    fs, p, _ = _fs(spark, path)
+    return sum(1 for x in fs.listStatus(p) if x.isDirectory() and not x.getPath().getName().endswith(".staging")) if fs.exists(p) else 0
+
+
+def write_one(df: DataFrame, path: str, order: list[str]) -> None:
+    """One file of canonical JSON lines in order, in the place of an older one: sorted in parallel, its parts joined one after the other."""
+    spark = df.sparkSession
+    fs, final, jvm = _fs(spark, path)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.parts")
+    whole = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.whole")
+    canonical_lines_sorted(df, order).write.text(folder.toString())
+    out = fs.create(whole)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for part in sorted(str(x.getPath().toString()) for x in fs.listStatus(folder) if x.getPath().getName().startswith("part-")):
+        source = fs.open(jvm.org.apache.hadoop.fs.Path(part))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, conf, False)
+        source.close()
+    out.close()
+    fs.delete(folder, True)
+    fs.delete(final, False)
+    if not fs.rename(whole, final):
+        raise OSError(f"{path} could not be written")
+
+
+def pretty(value) -> str:
+    """JSON for people: sorted keys, two blanks, a newline at the end."""
+    return json.dumps(value, ensure_ascii=False, allow_nan=False, indent=2, sort_keys=True) + "\n"
+
+
+def write_pretty(spark: SparkSession, path: str, value) -> None:
+    """A small object as pretty JSON, in the place of an older one."""
+    fs, final, jvm = _fs(spark, path)
+    new = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    out = fs.create(new)
+    out.write(bytearray(pretty(value).encode()))
+    out.close()
+    fs.delete(final, False)
+    if not fs.rename(new, final):
+        raise OSError(f"{path} could not be written")
