@@ -1,7 +1,9 @@
 """Operators that judge documents one by one or by counts, against plain re-implementations."""
 
 import hashlib
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -13,26 +15,29 @@ def as_multiset(found):
     return Counter(map(tuple, found))
 
 
-def brute_quality(listed):
-    lines = {}
-    for i, r in enumerate(listed):
-        for ln in (r[1] or "").split("\n"):
-            if split(ln):
-                lines.setdefault(i, []).append((hashlib.md5(ln.strip(" \t\n\x0b\f\r").lower().encode()).hexdigest(), len(ln)))
+def plain_line(line):
+    return " ".join(split(line)).lower()
+
+
+def brute_hot_lines(listed):
+    """(host, line) above the limits; documents are the distinct sets of lines."""
     seen, hosts = {}, Counter(r[3] or "" for r in listed)
-    for i, found in lines.items():
-        low = sorted({h for h, _ in found})
-        for h, _ in found:
-            other = low[0] if low[0] != h else low[1] if len(low) > 1 else h
-            seen.setdefault((listed[i][3] or "", h), set()).add(other)
-    hot = {key for key, docs in seen.items() if len(docs) > 20 and len(docs) * 1000 > hosts[key[0]] * 10}
+    for r in listed:
+        own = frozenset(plain_line(ln) for ln in (r[1] or "").split("\n") if split(ln))
+        for h in own:
+            seen.setdefault((r[3] or "", h), set()).add(own)
+    return {key for key, docs in seen.items() if len(docs) > 20 and len(docs) * 1000 > hosts[key[0]] * 10}
+
+
+def brute_quality(listed):
+    hot = brute_hot_lines(listed)
     for i, r in enumerate(listed):
         text = r[1] or ""
         w = split(text)
         windows = Counter(tuple(w[j : j + 3]) for j in range(len(w) - 2))
         again = len({q for j in range(len(w) - 2) if windows[tuple(w[j : j + 3])] > 1 for q in (j, j + 1, j + 2)})
         solid = [x for x in text.split("\n") if split(x)]
-        gone = [n for h, n in lines.get(i, []) if (r[3] or "", h) in hot]
+        gone = [len(ln) for ln in solid if (r[3] or "", plain_line(ln)) in hot]
         left = len(text) - sum(gone)
         failed = len(w) < 50 or 100 * again > 50 * len(w)
         depleted = bool(gone) and (left < 150 or 100 * left < 50 * len(text))
@@ -48,8 +53,28 @@ def test_quality_keep_keeps_rows_and_columns(spark):
     docs = frame(spark)
     kept = quality_rules.keep(spark, docs)
     assert kept.columns == docs.columns
+    hot = brute_hot_lines(rows())
     good = [r for r, v in zip(rows(), brute_quality(rows())) if v[-1]]
-    assert as_multiset(kept.collect()) == as_multiset(good)
+    want = [(r[0], "\n".join(ln for ln in r[1].split("\n") if (r[3] or "", plain_line(ln)) not in hot), *r[2:]) for r in good]
+    assert as_multiset(kept.collect()) == as_multiset(want) and want != good
+
+
+def test_keep_with_clashing_columns_and_broadcasts_off(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    for module in (quality_rules, decontaminate):
+        monkeypatch.setattr(module, "MOST_BROADCAST", 0)
+    names = ["lines", "n_gone", "host", "g_k", "row", "bad_id", "bad_k", "places", "words", "item", "__d", "__k"]
+    docs = frame(spark).withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    plain = quality_rules.keep(spark, frame(spark))
+    clashing = quality_rules.keep(spark, docs)
+    assert clashing.columns == docs.columns
+    assert as_multiset(clashing.select("doc_id", "text").collect()) == as_multiset(plain.select("doc_id", "text").collect())
+    bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    bad = {v[0] for v in brute_hits(rows(), BENCH) if v[-1]}
+    left = decontaminate.keep(spark, docs, bench)
+    assert left.columns == docs.columns and bad
+    assert Counter(r.doc_id for r in left.collect()) == Counter(r[0] for r in rows() if r[0] not in bad)
 
 
 BENCH = [(1, " ".join(split(rows()[8][1])[40:70])), (2, "c, d! E"), (3, None), (None, "one"), (4, "one"), (4, "x x x"), (5, "...")]
@@ -108,10 +133,31 @@ def brute_pii(text):
 def test_pii_base_rules(spark, sf_dir):
     texts = [r[1] or "" for r in rows()] + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     texts += ["1.2.3.4.5.6.7.8", "a@b.co.@c.de x@y", "00010.0.0.1", "+1 23456789 +", "4539 5787-6362 1486", "é" * 5 + "a@b.cc", "1" * 5000]
+    texts += ["@a.b", "a@b@c.d", "a@b.c@d.e.f", "x@y.z.@p.q@r.s", "..@..", "a@-.-", "a@@b.c", "é@b.c a%+@b.c-d.e_f"]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("aé@.-%0 1(+)") for _ in range(60)) for _ in range(3000)]
     for t in texts:
         assert pii.base_spans(t) == brute_pii(t), t[:80]
 
 
+def test_pii_long_hostile_texts():
+    n = 1 << 20
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [("ip", 0, 5006)]
+    for text in ("a" * n + " @", "a" * n + "@", "a@" * (n // 2), "a." * (n // 2) + "@b", "@" * n, "0" * n + ".1.1", "1." * (n // 2), "+1" + " (" * (n // 2), "+" * n, "+1 " * (n // 3), "1 " * (n // 2), "1-" * (n // 2)):
+        began = time.process_time()
+        pii.base_spans(text)
+        assert time.process_time() - began < 20, text[:10]
+
+
+def test_pii_lines_that_are_skipped_have_no_span():
+    field = pii.fit()
+    assert field.skips and pii.most_gain(field, [field.shapes[x] for x in pii.PLAIN]) < 0
+    assert pii.most_gain(field, [field.shapes[x] for x in (*pii.PLAIN, "dot", "mix16+")]) > 0
+    rng = random.Random(4)
+    lines = [[field.shapes[rng.choice(pii.PLAIN)] for _ in range(rng.randint(1, 40))] for _ in range(20_000)]
+    assert not any(path.any() for path in field.viterbi(lines))
+
+
 def test_pii_query_form(spark):
     got = as_multiset(pii.find(frame(spark)).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256").collect())
     want = []
@@ -230,6 +276,13 @@ def test_suffix_tree_keeps_contexts_at_any_share(spark):
     assert gained[1][run(98, 97)] > gained[1][run(99, 97)] + 0.1
 
 
+def test_header_and_footer_of_a_host(spark):
+    listed = [(i, f"The header of all pages\nown words of page {i}: " + " ".join(f"w{i}x{j}" for j in range(60)) + "\nThe footer of all pages", "en", "one", 0, 0, "", 0, "", 0) for i in range(500)]
+    docs = frame(spark, listed)
+    assert quality_rules.quality_rules(docs).where("n_removed_lines = 2 and kept").count() == 500
+    assert quality_rules.keep(spark, docs).where("text like 'own words%' and text not like '%footer%'").count() == 500
+
+
 def test_quality_counts_distinct_documents_of_a_host(spark):
     # Ten shared lines and one own: the smallest hash is nearly always a shared one.
     shared = "\n".join(f"Shared line number {i} of the host's frame, on each of its pages." for i in range(10))
