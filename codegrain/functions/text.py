@@ -116,6 +116,13 @@ def byte_prefix(text: str, cap: int) -> str:
     return text.encode()[:cap].decode(errors="ignore")
 
 
+def prefix_within(col: Column, cap: int) -> Column:
+    """As many whole characters as fit in ``cap`` bytes, as an expression: of the first ``cap`` characters those whose bytes fit."""
+    cut = F.substring(col, 1, cap)
+    keep = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.length(cut), F.lit(1))), lambda i: F.octet_length(F.substring(cut, F.lit(1), i)) <= cap))
+    return F.when(F.octet_length(col) <= cap, col).otherwise(F.substring(cut, F.lit(1), keep))
+
+
 def normalized(cap: int):
     """An Arrow UDF: text to (collapsed prefix of at most ``cap`` bytes, whether it was cut)."""
 
@@ -185,8 +192,28 @@ def placeholder(col: Column, pattern: str = PLACEHOLDER) -> Column:
     return F.coalesce(col.rlike(pattern), F.lit(False))
 
 
+def placeholders(value, pattern: str = PLACEHOLDER, at: str = "$") -> list[str]:
+    """Where a nested value of objects, arrays and texts still holds a stand-in."""
+    if isinstance(value, dict):
+        return [x for k, v in value.items() for x in placeholders(v, pattern, f"{at}.{k}")]
+    if isinstance(value, (list, tuple)):
+        return [x for i, v in enumerate(value) for x in placeholders(v, pattern, f"{at}[{i}]")]
+    return [at] if isinstance(value, str) and re.search(pattern, value) else []
+
+
+_DATE, _TIME = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})"
+
+
 def is_iso_date(text: str) -> bool:
-    return bool(re.fullmatch(r"\d{4}-\d{2}-\d{2}", text)) and pd.to_datetime(text, format="%Y-%m-%d", errors="coerce") is not pd.NaT
+    """A whole date of the calendar, as YYYY-MM-DD."""
+    return bool(re.fullmatch(_DATE, text, re.ASCII)) and not pd.isna(pd.to_datetime(text, format="%Y-%m-%d", errors="coerce"))
+
+
+def is_iso_datetime(text: str) -> bool:
+    """A date, a time of day with seconds, and an offset or Z."""
+    if not re.fullmatch(f"{_DATE}T{_TIME}", text, re.ASCII):
+        return False
+    return not pd.isna(pd.to_datetime(text, format="ISO8601", errors="coerce", utc=True))
 
 
 def register(spark: SparkSession, cap: int = 3000) -> None:

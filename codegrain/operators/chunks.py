@@ -35,28 +35,36 @@ def identities(chunks: DataFrame, domain: str, prefix: str, key: str, *fields: s
     return chunks.withColumn("chunk_id", hex_id(prefix, F.lit(domain), canonical_json(**{f: F.col(f) for f in (key, *fields)})))
 
 
-def coalesce_udf(cap: int):
-    """An Arrow UDF: sorted spans (start, end, kind, protected) to coalesced ones, by a left fold.
+def coalesce(spans: list[dict], cap: int) -> list[dict]:
+    """Sorted spans (start, end, kind, protected) coalesced by a left fold.
 
     A span joins its merged predecessor when they touch, fit in ``cap`` together
     and neither is protected; kinds are united in order of appearance.
     """
+    out: list[dict] = []
+    for s in spans:
+        last = out[-1] if out else None
+        if last and last["end"] == s["start"] and s["end"] - last["start"] <= cap and not last["protected"] and not s["protected"]:
+            last["end"], last["parts"] = s["end"], last["parts"] + 1
+            last["kinds"] = list(dict.fromkeys([*last["kinds"], s["kind"]]))
+        else:
+            out.append({"start": s["start"], "end": s["end"], "kinds": [s["kind"]], "parts": 1, "protected": s["protected"]})
+    return out
+
+
+def coalesce_sizes(cap: int):
+    """An Arrow UDF: the sizes of spans that follow each other (b, kind, protected) to coalesced spans with their places."""
 
     @F.pandas_udf("array<struct<start:long,end:long,kinds:string,parts:long>>")
-    def run(spans: pd.Series) -> pd.Series:
-        def fold(listed):
-            out = []
-            for s in listed if listed is not None else ():
-                last = out[-1] if out else None
-                if last and last["end"] == s["start"] and s["end"] - last["start"] <= cap and not last["_p"] and not s["protected"]:
-                    last["end"], last["parts"] = s["end"], last["parts"] + 1
-                    if s["kind"] not in last["kinds"].split("+"):
-                        last["kinds"] += "+" + s["kind"]
-                else:
-                    out.append({"start": s["start"], "end": s["end"], "kinds": s["kind"], "parts": 1, "_p": s["protected"]})
-            return [{k: v for k, v in o.items() if k != "_p"} for o in out]
-
-        return spans.map(fold)
+    def run(rows: pd.Series) -> pd.Series:
+        def one(listed):
+            at, placed = 0, []
+            for x in listed if listed is not None else ():
+                placed.append({"start": at, "end": at + x["b"], "kind": x["kind"], "protected": x["protected"]})
+                at += x["b"]
+            return [{"start": o["start"], "end": o["end"], "kinds": "+".join(o["kinds"]), "parts": o["parts"]} for o in coalesce(placed, cap)]
+
+        return rows.map(one)
 
     return run
 
@@ -126,16 +134,25 @@ def _passage(sizes: np.ndarray, cap: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def next_fit(items: DataFrame, order_col: str, size_col: str, cap: int, blocks: int = 64) -> DataFrame:
+#: Items of a block, about.
+BLOCK_ITEMS = 250_000
+
+
+def next_fit(items: DataFrame, order_col: str, size_col: str, cap: int, blocks: int | None = None) -> DataFrame:
     """Next-fit in the order of a numeric column: ``items`` with ``batch_ordinal``.
 
     Items are cut into blocks by ranges of the order. A block's effect on
     whatever batch is open before it is a short table, made in parallel; the
     driver joins these tables, one look-up for each block, and every block then
-    knows how it starts. Items above ``cap`` are an error.
+    knows how it starts. A block has BLOCK_ITEMS items, about. Items above
+    ``cap``, and orders or sizes that are null, are an error; items of one order
+    are taken by size, so that the result doesn't depend on how they lie.
     """
-    if items.where(F.col(size_col) > cap).limit(1).count():
-        raise ValueError(f"an item is larger than {cap}")
+    bad = (F.col(size_col) > cap) | F.col(size_col).isNull() | F.col(order_col).isNull()
+    n, n_bad = items.agg(F.count("*"), F.coalesce(F.sum(bad.cast("long")), F.lit(0))).first()
+    if n_bad:
+        raise ValueError(f"{n_bad} items are larger than {cap}, or without a size or an order")
+    blocks = blocks or max(16, -(-n // BLOCK_ITEMS))
     cuts = sorted(set(items.approxQuantile(order_col, [i / blocks for i in range(1, blocks)], 0.001)))
     block = F.lit(0)
     if cuts:
@@ -143,7 +160,7 @@ def next_fit(items: DataFrame, order_col: str, size_col: str, cap: int, blocks:
     dealt = items.withColumn("_block", block)
 
     def effect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf.sort_values(order_col)[size_col].to_numpy()
+        sizes = pdf.sort_values([order_col, size_col], kind="stable")[size_col].to_numpy()
         rows = _passage(sizes, cap)
         return pd.DataFrame({"block": key[0], "least": [r[0] for r in rows], "fill": [r[1] for r in rows], "closed": [r[2] for r in rows], "total": int(sizes.sum())})
 
@@ -158,7 +175,7 @@ def next_fit(items: DataFrame, order_col: str, size_col: str, cap: int, blocks:
 
     def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         fill, first = starts[key[0]]
-        pdf = pdf.sort_values(order_col)
+        pdf = pdf.sort_values([order_col, size_col], kind="stable")
         offsets, _ = _walk(pdf[size_col].to_numpy(), cap, fill)
         return pdf[names].assign(batch_ordinal=offsets + first)
 
@@ -166,28 +183,19 @@ def next_fit(items: DataFrame, order_col: str, size_col: str, cap: int, blocks:
     return dealt.groupBy("_block").applyInPandas(assign, schema)
 
 
-def _sequence(keep):
-    """An Arrow UDF over an ordered array of sizes: the positions that a policy takes."""
-
-    @F.pandas_udf("array<int>")
-    def run(sizes: pd.Series) -> pd.Series:
-        return sizes.map(lambda s: keep([] if s is None else list(s)))
-
-    return run
+def pack_skip(cap: int, extra: int = 0):
+    """An expression over an ordered array of sizes: the positions that are taken when what doesn't fit is passed over. ``extra`` is paid for every item."""
 
+    def positions(sizes):
+        start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("took"))
 
-def pack_skip(cap: int, extra: int = 0):
-    """Take what fits and go on past what doesn't. ``extra`` is paid for every item."""
+        def step(a, x):
+            fits = a["used"] + x + extra <= cap
+            return F.struct(F.when(fits, a["used"] + x + extra).otherwise(a["used"]).cast("long").alias("used"), (a["i"] + 1).alias("i"), F.when(fits, F.array_append(a["took"], a["i"])).otherwise(a["took"]).alias("took"))
 
-    def keep(sizes):
-        out, used = [], 0
-        for i, s in enumerate(sizes):
-            if used + s + extra <= cap:
-                out.append(i)
-                used += s + extra
-        return out
+        return F.aggregate(F.coalesce(sizes, F.array().cast("array<bigint>")), start, step, lambda a: a["took"])
 
-    return _sequence(keep)
+    return positions
 
 
 def budget_prefix(df: DataFrame, key: str, order: list[str], size: str, cap: int, first: int = 1, extra: int = 1) -> DataFrame:

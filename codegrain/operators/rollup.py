@@ -41,6 +41,12 @@ def prefix_delta(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return df.withColumn("delta", F.col(value) - F.coalesce(F.lag(value).over(w), F.lit(0)))
 
 
+def prefix_faults(df: DataFrame, key: str, order: str, value: str, total: str) -> DataFrame:
+    """Keys whose cumulative counter falls somewhere, or doesn't add up to their total."""
+    per = prefix_delta(df, key, order, value).groupBy(key).agg(F.min("delta").alias("least"), F.sum("delta").alias("sum"), F.max(total).alias("total"))
+    return per.where((F.col("least") < 0) | (F.col("sum") != F.col("total")))
+
+
 def ordered_hash(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """By key: sha256 of the values in order, joined by NUL, and their number.
 

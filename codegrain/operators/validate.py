@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codegrain.functions.text import is_iso_date, is_iso_datetime
+
 KEYWORDS = {"type", "const", "enum", "properties", "required", "additionalProperties", "items", "prefixItems", "minItems", "maxItems", "uniqueItems", "minimum", "maximum", "minLength", "maxLength", "pattern", "format", "$schema", "$id", "title", "description"}
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
@@ -54,7 +56,7 @@ def schema_errors(value, schema: dict, at: str = "$") -> list[str]:
             out.append(f"{at}: length {len(value)}")
         if "pattern" in schema and not re.fullmatch(schema["pattern"], value):
             out.append(f"{at}: pattern")
-        if schema.get("format") in ("date", "date-time") and pd.isna(pd.to_datetime(value, errors="coerce", format="ISO8601")):
+        if not {"date": is_iso_date, "date-time": is_iso_datetime}.get(schema.get("format"), lambda v: True)(value):
             out.append(f"{at}: {schema['format']}")
     elif isinstance(value, (int, float)) and not isinstance(value, bool):
         if value < schema.get("minimum", value) or value > schema.get("maximum", value):
@@ -109,8 +111,17 @@ def cap_gate(sizes: dict[str, tuple[Column, int]], total_cap: int) -> tuple[Colu
     return total, fault.when(total > total_cap, "total")
 
 
-def repeated_ids(df: DataFrame, id_col: str) -> DataFrame:
-    return df.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1")
+def request_faults(parts: list[tuple[str, str]], caps: dict[str, int], total_cap: int) -> list[str]:
+    """Why a request can't be sent: its components in another order than the caps', over their caps in bytes, or too large together."""
+    names = [name for name, _ in parts]
+    out = [] if names == [n for n in caps if n in names] and set(names) <= set(caps) else [f"components {names}"]
+    sizes = {name: len(text.encode()) for name, text in parts}
+    out += [f"{name}: {n} of {caps[name]}" for name, n in sizes.items() if n > caps.get(name, n)]
+    return out + ([f"total: {sum(sizes.values())} of {total_cap}"] if sum(sizes.values()) > total_cap else [])
+
+
+def repeated_ids(df: DataFrame, *id_cols: str) -> DataFrame:
+    return df.groupBy(*id_cols).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def dangling(child: DataFrame, ref: str, parent: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codegrain.functions import text as fn
 from codegrain.operators import chunks as ch
 from codegrain.operators import relations as rel
-from codegrain.operators import rollup, scoring, validate
+from codegrain.operators import build, rollup, scoring, validate, workflow
 from codegrain.plans import tables as t
 from codegrain.plans.text_plans import query
 
@@ -51,11 +51,18 @@ def _(spark, d):
     return _scores(spark, d).select("l_orderkey", "priority_score").orderBy(F.desc("priority_score"), "l_orderkey").limit(20)
 
 
-@query("batch_mode", f"WITH {_SCORED_SQL} SELECT 'priority' AS mode, l_orderkey FROM (SELECT l_orderkey FROM scores ORDER BY priority_score DESC, l_orderkey LIMIT 50) UNION ALL SELECT 'selected', o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY sha256('{t.DOMAIN}' || chr(0) || '{t.SEED}' || chr(0) || o_orderkey), o_orderkey LIMIT 3)")
+@query(
+    "batch_mode",
+    f"""WITH {_SCORED_SQL} SELECT 'priority' AS mode, l_orderkey AS batch_id, row_number() OVER (ORDER BY priority_score DESC, l_orderkey) AS n FROM scores QUALIFY n <= 50
+UNION ALL SELECT 'all', o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders QUALIFY n <= 50
+UNION ALL SELECT 'selected', o_orderkey, row_number() OVER (ORDER BY sha256('codegrain/selection' || chr(0) || '{t.SEED}' || chr(0) || o_orderkey), o_orderkey) AS n FROM orders QUALIFY n <= 3""",
+)
 def _(spark, d):
-    top = _scores(spark, d).orderBy(F.desc("priority_score"), "l_orderkey").limit(50).select(F.lit("priority").alias("mode"), "l_orderkey")
-    drawn = scoring.hash_sample(t.table(spark, d, "orders").select("o_orderkey"), "o_orderkey", t.DOMAIN, t.SEED, 3)
-    return top.unionByName(drawn.select(F.lit("selected").alias("mode"), F.col("o_orderkey").alias("l_orderkey")))
+    batches = build.source_order(t.table(spark, d, "orders").select(F.col("o_orderkey").alias("batch_id")), "batch_id", name="batch_ordinal")
+    drawn = build.selection(batches, t.SEED)
+    ranked = scoring.ranked(_scores(spark, d), "l_orderkey").withColumnRenamed("l_orderkey", "batch_id")
+    of = lambda mode: workflow.batches_of(mode, batches, drawn, ranked, 50).select(F.lit(mode).alias("mode"), "batch_id", F.col("batch_ordinal").alias("n"))
+    return of("priority").unionByName(of("all")).unionByName(of("selected"))
 
 
 @query(
@@ -68,11 +75,29 @@ def _(spark, d):
 
 
 @query(
-    "cross_file",
-    "SELECT l_orderkey, count(DISTINCT l_partkey) AS n_targets FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY l_orderkey",
+    "priority_maps",
+    """WITH h AS (SELECT l_orderkey, CASE p_type WHEN 'PROMO' THEN 'offer' WHEN 'STANDARD' THEN 'base' WHEN 'LARGE' THEN 'size' ELSE CASE WHEN starts_with(p_type, 'ECON') THEN 'price' WHEN starts_with(p_type, 'SM') THEN 'size' END END AS c FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT l_orderkey, '{' || string_agg('"' || c || '":' || n, ',' ORDER BY c) || '}' AS categories FROM (SELECT l_orderkey, c, count(*) AS n FROM h WHERE c IS NOT NULL GROUP BY ALL) GROUP BY l_orderkey""",
 )
 def _(spark, d):
-    return _scored_calls(spark, d).where("is_cross").groupBy("l_orderkey").agg(F.countDistinct("target").alias("n_targets"))
+    li, p = t.table(spark, d, "lineitem"), t.table(spark, d, "part")
+    hit = scoring.rule(F.col("p_type"), t.TYPE_RULES, t.TYPE_PREFIXES).getField("category")
+    per = li.join(p, li["l_partkey"] == p["p_partkey"]).select("l_orderkey", hit.alias("c")).where("c is not null").groupBy("l_orderkey", "c").agg(F.count("*").alias("n"))
+    return per.groupBy("l_orderkey").agg(F.to_json(build.sorted_counts("c", "n")).alias("categories"))
+
+
+_RULES_SQL = ", ".join(f"('{n}', '{c}', {w})" for n, (c, w) in scoring.exact_rules().items())
+
+
+@query(
+    "sensitive_names",
+    f"""WITH r AS (SELECT * FROM (VALUES {_RULES_SQL}) v(name, category, weight)), w AS (SELECT m AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_]+')) AS m FROM documents) GROUP BY m)
+SELECT coalesce(category, CASE WHEN starts_with(w.name, 'exec') THEN 'command_exec' WHEN starts_with(w.name, 'strto') THEN 'numeric_parse' END) AS category, sum(n)::BIGINT AS n, sum(n * coalesce(weight, CASE WHEN starts_with(w.name, 'exec') THEN 13 WHEN starts_with(w.name, 'strto') THEN 4 ELSE 0 END))::BIGINT AS weight FROM w LEFT JOIN r USING (name) GROUP BY 1""",
+)
+def _(spark, d):
+    names = t.table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_]+"), 0)).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    r = scoring.rule(F.col("name"), scoring.exact_rules(), scoring.SENSITIVE_PREFIXES)
+    return names.select("n", r.alias("r")).groupBy(F.col("r.category").alias("category")).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.col("n") * F.coalesce("r.weight", F.lit(0))), F.lit(0)).alias("weight"))
 
 
 #: Calls with their candidates, straight from the rules: one pool of the callee's name, one of its expression.
@@ -196,21 +221,36 @@ def _(spark, d):
     return rel.overlaps(_spans(spark, d), wide, "doc_id", "left_semi").select("doc_id", "k")
 
 
+@query(
+    "cross_file",
+    f"""WITH {_RESOLVE_SQL}, own AS (SELECT DISTINCT caller, path FROM calls), x AS (SELECT DISTINCT e.caller, e.symbol_id, s.path FROM edges e JOIN symbols s USING (symbol_id))
+SELECT caller, count(*) AS cross_file_target_count FROM x WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.caller = x.caller AND own.path = x.path) GROUP BY caller""",
+)
+def _(spark, d):
+    resolved = _resolved(spark, d)
+    return build.cross_targets(resolved, t.symbols(spark, d), t.calls(spark, d).select("caller", "path"), "caller")
+
+
 @query(
     "anchor_semi",
-    f"WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY h, o_orderkey) AS batch_rank FROM (SELECT o_orderkey, sha256('{t.DOMAIN}' || chr(0) || '{t.SEED}' || chr(0) || o_orderkey) AS h FROM orders) ORDER BY h, o_orderkey LIMIT 3) SELECT batch_rank, l_partkey, count(*) AS n FROM lineitem JOIN s ON l_orderkey = o_orderkey GROUP BY ALL",
+    f"WITH s AS (SELECT o_orderkey, row_number() OVER (ORDER BY h, o_orderkey) AS batch_rank FROM (SELECT o_orderkey, sha256('codegrain/selection' || chr(0) || '{t.SEED}' || chr(0) || o_orderkey) AS h FROM orders) ORDER BY h, o_orderkey LIMIT 3) SELECT batch_rank, l_partkey, count(*) AS n FROM lineitem JOIN s ON l_orderkey = o_orderkey GROUP BY ALL",
 )
 def _(spark, d):
-    drawn = scoring.hash_sample(t.table(spark, d, "orders").select("o_orderkey"), "o_orderkey", t.DOMAIN, t.SEED, 3)
-    listed = drawn.agg(F.array_sort(F.collect_list(F.struct("rank_hash", "o_orderkey"))).alias("s")).select(F.posexplode("s").alias("pos", "s"))
-    chosen = F.broadcast(listed.select((F.col("pos") + 1).cast("long").alias("batch_rank"), F.col("s.o_orderkey").alias("o_orderkey")))
-    return t.table(spark, d, "lineitem").join(chosen, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("batch_rank", "l_partkey").agg(F.count("*").alias("n"))
+    chosen = build.selection(t.table(spark, d, "orders").select(F.col("o_orderkey").alias("batch_id")), t.SEED)
+    return t.table(spark, d, "lineitem").join(F.broadcast(chosen), F.col("l_orderkey") == F.col("batch_id")).groupBy(F.col("rank").alias("batch_rank"), "l_partkey").agg(F.count("*").alias("n"))
 
 
-@query("no_fact_anti", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality + toxic > 0) AND doc_id NOT IN (SELECT conv_id FROM conversations)")
+@query(
+    "no_fact_anti",
+    "SELECT doc_id AS chunk_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality + toxic > 0) AND doc_id NOT IN (SELECT conv_id FROM conversations) AND coalesce(length(text) - length(replace(text, '|', '')), 0) = 0 AND doc_id NOT IN (SELECT page_id FROM pages)",
+)
 def _(spark, d):
-    facts = t.table(spark, d, "labels").where("quality + toxic > 0").select("doc_id").union(t.table(spark, d, "conversations").select("conv_id"))
-    return t.table(spark, d, "documents").select("doc_id").join(facts.distinct(), "doc_id", "left_anti")
+    text = F.col("text")
+    docs = t.table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce(F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit(""))), F.lit(0)).alias("total"))
+    marked = t.table(spark, d, "labels").where("quality + toxic > 0").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("id"))
+    said = t.table(spark, d, "conversations").select(F.col("conv_id").alias("chunk_id"), F.col("turn").alias("id"))
+    facts = build.attached(said, ["chunk_id"], "id", "outgoing_call_ids", build.attached(marked, ["chunk_id"], "id", "defined_symbol_ids", docs))
+    return build.without_facts(facts, t.table(spark, d, "pages").select(F.col("page_id").alias("anchor_chunk_id"))).select("chunk_id")
 
 
 @query("incoming_edges", f"WITH {_RESOLVE_SQL}, n AS (SELECT via, pool, local_symbol_id, count(*) AS c FROM resolved WHERE via IS NOT NULL GROUP BY ALL) SELECT symbol_id, sum(c)::BIGINT AS n_calls FROM n JOIN u USING (via, pool) WHERE use = 'DEFINITION' AND (local_symbol_id IS NULL OR local_symbol_id = symbol_id) GROUP BY symbol_id")
@@ -263,7 +303,7 @@ def _(spark, d):
 
 @query("dup_check", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def _(spark, d):
-    return t.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1")
+    return validate.repeated_ids(t.table(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 @query("rebuild_equal", "WITH a AS (SELECT lang, source FROM documents), b AS (SELECT lang, source FROM documents JOIN labels USING (doc_id)) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) AS only_first, (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS only_second")
@@ -358,10 +398,9 @@ def _(spark, d):
     return ch.pop_tail(t.turns(spark, d), "conv_id", ["turn"], "n_bytes", 1200).select("conv_id", "turn")
 
 
-@query("source_order", f"WITH {t.FILES_SQL} SELECT source, path, row_number() OVER (PARTITION BY source ORDER BY path, doc_id) AS ordinal FROM files")
+@query("source_order", f"WITH {t.FILES_SQL} SELECT path, doc_id, row_number() OVER (ORDER BY path, doc_id) - 1 AS ordinal FROM files")
 def _(spark, d):
-    w = Window.partitionBy("source").orderBy("path", "doc_id")
-    return t.files(spark, d).select("source", "path", F.row_number().over(w).cast("long").alias("ordinal"))
+    return build.source_order(t.files(spark, d).select("path", "doc_id"), "path", "doc_id")
 
 
 @query("symbol_identity", f"WITH {t.SYMBOLS_SQL} SELECT symbol_id, 'S-' || left(sha256('codegrain/symbol' || chr(0) || json_object('linkage', linkage, 'name', name, 'path', path, 'qualified_name', qualified_name, 'role', role, 'start_byte', start_byte, 'symbol_id', symbol_id, 'symbol_kind', symbol_kind)::VARCHAR), 24) AS id FROM symbols")
@@ -370,21 +409,31 @@ def _(spark, d):
     return s.select("symbol_id", fn.hex_id("S-", F.lit("codegrain/symbol"), fn.canonical_json(**{c: F.col(c) for c in s.columns})).alias("id"))
 
 
+_AT = "CASE WHEN pos = size THEN pos - 1 ELSE pos END"
+_LINE_KINDS = ("TABLE", "SHORT", "PROSE")
+_LINE_KIND = "CASE WHEN strpos(l, '|') > 0 THEN 'TABLE' WHEN length(l) < 60 THEN 'SHORT' ELSE 'PROSE' END"
+
+
+def _lines(spark, d):
+    kind = F.when(F.instr("l", "|") > 0, "TABLE").when(F.length("l") < 60, "SHORT").otherwise("PROSE")
+    return _points(spark, d).withColumn("fact", kind)
+
+
 @query(
     "fact_histogram",
-    f"WITH RECURSIVE {t.CHUNKS_SQL}, {_POINTS_SQL}, a AS (SELECT c.doc_id, ordinal, k FROM pts p JOIN chunks c ON p.doc_id = c.doc_id AND CASE WHEN pos = size THEN pos - 1 ELSE pos END >= start_char AND CASE WHEN pos = size THEN pos - 1 ELSE pos END < end_char) SELECT doc_id, ordinal, sum((k % 3 = 0)::INT)::BIGINT AS loops, sum((k % 3 = 1)::INT)::BIGINT AS calls, sum((k % 3 = 2)::INT)::BIGINT AS returns FROM a GROUP BY ALL",
+    f"WITH RECURSIVE {t.CHUNKS_SQL}, {_POINTS_SQL}, a AS (SELECT c.doc_id, ordinal, {_LINE_KIND} AS f FROM pts p JOIN chunks c ON p.doc_id = c.doc_id AND {_AT} >= start_char AND {_AT} < end_char) SELECT doc_id, ordinal, sum((f = 'TABLE')::INT)::BIGINT AS n_table, sum((f = 'SHORT')::INT)::BIGINT AS n_short, sum((f = 'PROSE')::INT)::BIGINT AS n_prose, count(*) AS total FROM a GROUP BY ALL",
 )
 def _(spark, d):
-    at = rel.asof(_points(spark, d), t.chunks(spark, d).select("doc_id", "ordinal", "start_char", "end_char"), "doc_id", "pos", "start_char", "end_char", "size")
-    n = lambda i: F.sum((F.col("k") % 3 == i).cast("long"))
-    return at.groupBy("doc_id", "ordinal").agg(n(0).alias("loops"), n(1).alias("calls"), n(2).alias("returns"))
+    got = build.fact_counts(_lines(spark, d), t.chunks(spark, d), "doc_id", "pos", "start_char", "end_char", "size", "ordinal", "fact", _LINE_KINDS)
+    return got.select("doc_id", "ordinal", *[F.col(k).alias(f"n_{k.lower()}") for k in _LINE_KINDS], "total")
 
 
 @query(
     "chunk_facts",
-    f"WITH RECURSIVE {t.CHUNKS_SQL}, {_POINTS_SQL}, a AS (SELECT c.doc_id, ordinal, string_agg(k::VARCHAR, ',' ORDER BY k) AS ks FROM pts p JOIN chunks c ON p.doc_id = c.doc_id AND CASE WHEN pos = size THEN pos - 1 ELSE pos END >= start_char AND CASE WHEN pos = size THEN pos - 1 ELSE pos END < end_char GROUP BY ALL) SELECT c.doc_id, c.ordinal, coalesce(ks, '') AS ids FROM chunks c LEFT JOIN a ON a.doc_id = c.doc_id AND a.ordinal = c.ordinal",
+    f"WITH RECURSIVE {t.CHUNKS_SQL}, {_POINTS_SQL}, a AS (SELECT c.doc_id, ordinal, string_agg(k::VARCHAR, ',' ORDER BY k) AS ks FROM pts p JOIN chunks c ON p.doc_id = c.doc_id AND {_AT} >= start_char AND {_AT} < end_char GROUP BY ALL) SELECT c.doc_id, c.ordinal, coalesce(ks, '') AS ids FROM chunks c LEFT JOIN a ON a.doc_id = c.doc_id AND a.ordinal = c.ordinal",
 )
 def _(spark, d):
     c = t.chunks(spark, d).select("doc_id", "ordinal", "start_char", "end_char")
-    at = rel.asof(_points(spark, d), c, "doc_id", "pos", "start_char", "end_char", "size").groupBy("doc_id", "ordinal").agg(F.array_join(F.sort_array(F.collect_list("k")).cast("array<string>"), ",").alias("ids"))
-    return c.select("doc_id", "ordinal").join(at, ["doc_id", "ordinal"], "left").select("doc_id", "ordinal", F.coalesce("ids", F.lit("")).alias("ids"))
+    held = rel.asof(_points(spark, d), c, "doc_id", "pos", "start_char", "end_char", "size")
+    listed = build.attached(held, ["doc_id", "ordinal"], "k", "ids", c.select("doc_id", "ordinal"))
+    return listed.select("doc_id", "ordinal", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))

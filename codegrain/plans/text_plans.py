@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from codegrain.functions import text as fn
 from codegrain.operators import chunks as ch
-from codegrain.operators import rollup, scope, scoring, validate
+from codegrain.operators import rollup, scope, scoring, validate, verify
 from codegrain.plans import tables as t
 
 QUERIES, SQL = {}, {}
@@ -31,9 +31,15 @@ def _(spark, d):
     return e.select("event_id", F.from_json("props", "k long").getField("k").alias("k"), fn.json_error()(F.col("props")).alias("fault"))
 
 
-@query("decode_stats", "SELECT 'utf-8' AS encoding, count(*) AS n, sum(length(text))::BIGINT AS n_chars, sum(strlen(text))::BIGINT AS n_bytes FROM documents")
+#: Texts of Latin letters with accents, which are written in one byte each.
+_LATIN = r"regexp_matches(text, '[\x{A0}-\x{FF}]') AND NOT regexp_matches(text, '[^\x00-\x7F\x{A0}-\x{FF}]')"
+
+
+@query("decode_stats", f"SELECT CASE WHEN {_LATIN} THEN 'cp1252' ELSE 'utf-8' END AS encoding, count(*) AS n, sum(length(text))::BIGINT AS n_chars, sum(CASE WHEN {_LATIN} THEN length(text) ELSE strlen(text) END)::BIGINT AS n_bytes FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def _(spark, d):
-    raw = t.table(spark, d, "documents").select(F.col("text").cast("binary").alias("raw"))
+    text = F.col("text")
+    latin = text.rlike(r"[\x{A0}-\x{FF}]") & ~text.rlike(r"[^\x00-\x7F\x{A0}-\x{FF}]")
+    raw = t.table(spark, d, "documents").where("text is not null").select(F.when(latin, F.encode(text, "ISO-8859-1")).otherwise(text.cast("binary")).alias("raw"))
     got = raw.select(F.octet_length("raw").alias("b"), fn.decode_bytes()(F.col("raw")).alias("x"))
     return got.groupBy(F.col("x.encoding").alias("encoding")).agg(F.count("*").alias("n"), F.sum(F.length("x.text")).alias("n_chars"), F.sum("b").alias("n_bytes"))
 
@@ -73,13 +79,13 @@ def _(spark, d):
 
 @query(
     "normalized_text",
-    r"""SELECT doc_id, sha256(n) AS full_sha, strlen(n) > 96 AS truncated, list_max(list_transform(range(0, least(length(n), 96)::BIGINT + 1), lambda i: CASE WHEN strlen(left(n, i::INT)) <= 96 THEN strlen(left(n, i::INT)) ELSE 0 END))::BIGINT AS prefix_bytes
+    r"""SELECT doc_id, sha256(n) AS full_sha, strlen(n) > 96 AS truncated, left(n, list_max(list_transform(range(0, least(length(n), 96)::BIGINT + 1), lambda i: CASE WHEN strlen(left(n, i::INT)) <= 96 THEN i ELSE 0 END))::INT) AS prefix
 FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\x0b\x1c-\x1f\x{85}\p{Z}]+', ' ', 'g')) AS n FROM documents)""",
 )
 def _(spark, d):
     docs = t.table(spark, d, "documents").select("doc_id", fn.collapse_space(F.col("text")).alias("n"))
-    got = docs.select("doc_id", F.sha2("n", 256).alias("full_sha"), fn.normalized(96)(F.col("n")).alias("x"))
-    return got.select("doc_id", "full_sha", "x.truncated", fn.byte_length(F.col("x.prefix")).alias("prefix_bytes"))
+    prefix = fn.prefix_within(F.col("n"), 96)
+    return docs.select("doc_id", F.sha2("n", 256).alias("full_sha"), (F.octet_length("n") > 96).alias("truncated"), prefix.alias("prefix"))
 
 
 @query("evidence_frame", f"WITH {t.FRAMES_SQL} SELECT * FROM frames")
@@ -100,13 +106,24 @@ def _(spark, d):
     return t.chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("n_bytes").alias("largest"))
 
 
+_NODES = ("function_definition", "struct_specifier", "preproc_def", "preproc_if", "declaration", "line_window")
+_KIND_OF = "CASE {} WHEN 'function_definition' THEN 'FUNCTION' WHEN 'struct_specifier' THEN 'TYPE' WHEN 'preproc_def' THEN 'MACRO' WHEN 'preproc_if' THEN 'PREPROCESSOR' WHEN 'declaration' THEN 'DECLARATION' ELSE 'AST_BLOCK' END"
+
+
 @query(
     "chunk_semantics",
-    f"""WITH RECURSIVE {t.CHUNKS_SQL} SELECT count(*) AS n, sum((n_bytes > {t.CAP} OR n_bytes <= 0)::INT)::BIGINT AS n_size, sum((end_char - start_char > n_bytes)::INT)::BIGINT AS n_chars, sum((length(sha) <> 64)::INT)::BIGINT AS n_sha FROM chunks""",
+    f"""WITH e AS (SELECT CASE WHEN value > 190 THEN 'ODD' WHEN value > 150 THEN 'STRUCTURAL_GROUP' WHEN value > 120 THEN 'LINE_WINDOW' ELSE {_KIND_OF.format('m')} END AS kind, node_type, {_KIND_OF.format('node_type')} AS part, CASE WHEN user_id % 2 = 0 THEN 'PARSE_SUCCESS' ELSE 'FALLBACK_SUCCESS' END AS outcome
+  FROM (SELECT *, (['{"', '".join(_NODES)}'])[event_id % 6 + 1] AS node_type, (['{"', '".join(_NODES)}'])[user_id % 6 + 1] AS m FROM events))
+SELECT kind, node_type, outcome, count(*) AS n, sum((kind = 'ODD' OR kind = 'MACRO' AND node_type NOT IN ('preproc_def', 'preproc_function_def') OR kind = 'FUNCTION' AND node_type <> 'function_definition' OR kind = 'LINE_WINDOW' AND outcome <> 'FALLBACK_SUCCESS'
+  OR kind = 'STRUCTURAL_GROUP' AND part IN ('FUNCTION', 'TYPE', 'MACRO', 'DECLARATION', 'TEMPLATE', 'LINE_WINDOW'))::INT)::BIGINT AS n_faults FROM e GROUP BY ALL""",
 )
 def _(spark, d):
-    bad = lambda c: F.sum(c.cast("long"))
-    return t.chunks(spark, d).agg(F.count("*").alias("n"), bad((F.col("n_bytes") > t.CAP) | (F.col("n_bytes") <= 0)).alias("n_size"), bad(F.col("end_char") - F.col("start_char") > F.col("n_bytes")).alias("n_chars"), bad(F.length("sha") != 64).alias("n_sha"))
+    node = lambda by: F.element_at(F.array(*map(F.lit, _NODES)), (F.col(by) % 6 + 1).cast("int"))
+    e = t.table(spark, d, "events").select("value", node("event_id").alias("node_type"), node("user_id").alias("m"), F.when(F.col("user_id") % 2 == 0, "PARSE_SUCCESS").otherwise("FALLBACK_SUCCESS").alias("outcome"))
+    kind = F.when(F.col("value") > 190, "ODD").when(F.col("value") > 150, "STRUCTURAL_GROUP").when(F.col("value") > 120, "LINE_WINDOW").otherwise(scope.kind(F.col("m")))
+    e = e.select(kind.alias("kind"), "node_type", F.array(scope.kind(F.col("node_type"))).alias("kinds"), "outcome")
+    fault = verify.kind_fault(F.col("kind"), F.col("node_type"), F.col("kinds"), F.col("outcome"))
+    return e.groupBy("kind", "node_type", "outcome").agg(F.count("*").alias("n"), F.sum(fault.cast("long")).alias("n_faults"))
 
 
 _FIT_SQL = f"""{t.FRAMES_SQL}, f AS (SELECT doc_id, n_bytes, sha, row_number() OVER (ORDER BY doc_id) AS i FROM frames WHERE n_bytes <= {t.FRAME_CAP}),
@@ -148,16 +165,12 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r,
 SELECT doc_id, s AS start_byte, max(e)::BIGINT AS end_byte, max(parts)::BIGINT AS parts, arg_max(kinds, r) AS kinds FROM fold GROUP BY doc_id, g, s""",
 )
 def _(spark, d):
+    # A document's spans are made and folded within its row.
     lines = "split(text, '\\n')"
-    spans = f"""filter(transform({lines}, (l, i) -> named_struct('start', cast(0 as bigint), 'end', cast(octet_length(l) + if(i < size({lines}) - 1, 1, 0) as bigint),
-        'kind', if(instr(l, '|') > 0, 'TABLE', if(length(l) < 60, 'SHORT', 'PROSE')), 'protected', instr(l, '|') > 0)), x -> x.end > 0)"""
-    docs = t.table(spark, d, "documents").where("text is not null").select("doc_id", F.posexplode(F.expr(spans)).alias("i", "x"))
-    from pyspark.sql import Window
-
-    end = F.sum("x.end").over(Window.partitionBy("doc_id").orderBy("i"))
-    placed = docs.select("doc_id", "i", (end - F.col("x.end")).alias("start"), end.alias("end"), "x.kind", "x.protected")
-    listed = placed.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end", "kind", "protected"))).alias("spans"))
-    out = listed.select("doc_id", F.explode(ch.coalesce_udf(t.CAP)(F.col("spans"))).alias("o"))
+    sized = f"""filter(transform({lines}, (l, i) -> named_struct('b', cast(octet_length(l) + if(i < size({lines}) - 1, 1, 0) as bigint),
+        'kind', if(instr(l, '|') > 0, 'TABLE', if(length(l) < 60, 'SHORT', 'PROSE')), 'protected', instr(l, '|') > 0)), x -> x.b > 0)"""
+    docs = t.table(spark, d, "documents").where("text is not null").select("doc_id", F.expr(sized).alias("spans"))  # a null text has no spans
+    out = docs.select("doc_id", F.explode(ch.coalesce_sizes(t.CAP)(F.col("spans"))).alias("o"))
     return out.select("doc_id", F.col("o.start").alias("start_byte"), F.col("o.end").alias("end_byte"), F.col("o.parts").alias("parts"), F.col("o.kinds").alias("kinds"))
 
 

@@ -119,3 +119,11 @@ def write_pretty(spark: SparkSession, path: str, value) -> None:
     fs.delete(final, False)
     if not fs.rename(new, final):
         raise OSError(f"{path} could not be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file, such as a prompt, as a whole: UTF-8 without a byte order mark, and not blank."""
+    text = spark.read.text(path, wholetext=True).first()[0]
+    if text.startswith("\ufeff") or not text.strip():
+        raise ValueError(f"{path}: blank, or with a byte order mark")
+    return text

@@ -242,3 +242,44 @@ def test_retries_and_gates():
 def test_finding_id_ignores_case_and_space(spark):
     df = spark.createDataFrame([("b", 1, "A  Title\u001c x"), ("b", 1, "a title x ")], "b string, o long, t string")
     assert df.select(rollup.finding_id(F.col("b"), F.col("o"), F.col("t")).alias("i")).distinct().count() == 1
+
+
+def test_dates_placeholders_and_gates():
+    from codegrain.functions import text as fn
+
+    assert fn.is_iso_date("2024-02-29") and not any(map(fn.is_iso_date, ("2024-02-30", "2024-01", "24-01-01", "2024-01-01T00:00:00Z", "٢٠٢٤-01-01")))
+    assert fn.is_iso_datetime("2024-01-01T10:00:00Z") and fn.is_iso_datetime("2024-01-01T10:00:00.5+02:00") and not any(map(fn.is_iso_datetime, ("2024-01-01", "2024-01-01T10:00:00", "2024-01-01T25:00:00Z")))
+    assert validate.schema_errors("2024-01", {"type": "string", "format": "date"}) and not validate.schema_errors("2024-01-05", {"type": "string", "format": "date"})
+    assert fn.placeholders({"a": ["x", {"b": "TODO"}], "c": "fine"}) == ["$.a[1].b"]
+    caps = {"system": 10, "user": 5}
+    assert validate.request_faults([("system", "abc"), ("user", "é")], caps, 15) == []
+    assert validate.request_faults([("user", "abc"), ("system", "x")], caps, 15) and validate.request_faults([("user", "éééé")], caps, 15) and validate.request_faults([("system", "abc"), ("user", "a")], caps, 3) and validate.request_faults([("other", "")], caps, 3)
+
+
+def test_prefix_deltas(spark):
+    rows = [("a", 1, 5, 9), ("a", 2, 9, 9), ("b", 1, 5, 5), ("b", 2, 4, 5), ("c", 1, 3, 8)]
+    got = rollup.prefix_faults(spark.createDataFrame(rows, "k string, o long, v long, t long"), "k", "o", "v", "t")
+    assert {r.k for r in got.collect()} == {"b", "c"}
+
+
+def test_packing_expressions(spark):
+    df = spark.createDataFrame([([5, 9, 3, 4],), ([],), (None,), ([20],)], "s array<bigint>")
+    assert [r.p for r in df.select(ch.pack_skip(10)(F.col("s")).alias("p")).collect()] == [[0, 2], [], [], []]
+    with pytest.raises(ValueError):
+        ch.next_fit(spark.createDataFrame([(1, None)], "i long, s long"), "i", "s", 10)
+    same = spark.createDataFrame([(1, 6), (1, 5), (1, 4)], "i long, s long")
+    assert {(r.s, r.batch_ordinal) for r in ch.next_fit(same, "i", "s", 10).collect()} == {(4, 0), (5, 0), (6, 1)}
+
+
+def test_one_ordered_file_and_pretty_json(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"é{i}") for i in range(50, 0, -1)], "i long, t string").repartition(7)
+    for _ in range(2):
+        records.write_one(df, f"{tmp_path}/x.jsonl", ["i"])
+    lines = open(f"{tmp_path}/x.jsonl", encoding="utf-8").read().splitlines()
+    assert lines[0] == '{"i":1,"t":"é1"}' and [json.loads(x)["i"] for x in lines] == list(range(1, 51))
+    assert records.read_strict(spark, f"{tmp_path}/x.jsonl", "i long, t string", canonical=True).count() == 50
+    records.write_pretty(spark, f"{tmp_path}/y.json", {"b": 1, "a": ["é"]})
+    assert open(f"{tmp_path}/y.json", encoding="utf-8").read() == '{\n  "a": [\n    "é"\n  ],\n  "b": 1\n}\n'
+    assert records.read_text(spark, f"{tmp_path}/y.json").startswith("{")
+    with pytest.raises(ValueError):
+        records.read_text(spark, str(tmp_path / "empty.txt") if (tmp_path / "empty.txt").write_text(" \n") else "")
