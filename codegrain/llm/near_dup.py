@@ -10,7 +10,8 @@ most (at 0.85 five registers in 25 bands and 4e-7, at 0.8 four in 32 and 5e-8).
 agree by chance, estimates the similarity; what could still be a link is
 verified on the full shingle sets.
 
-Documents with the same set are one node. In a bucket of a band every member is
+Documents with the same set are one node, told from others by 128 bits of digest;
+nodes of rows that share an id are linked. In a bucket of a band every member is
 compared with the bucket's smallest and its most central node instead of with
 everyone; after these links are joined to components, members outside the
 component of their bucket's central node are compared with those members of other
@@ -18,9 +19,11 @@ components that an exact bound leaves, so no link is lost and a group of copies
 never becomes all of its pairs.
 
 Defined results: null or blank text has an empty set and is linked with nothing;
-rows of one id are one document for linking; rows without an id stay alone, with
-a null component, and are kept; an empty table gives an empty result; other
-columns of the input are never looked at.
+rows of one id are one document, whatever their texts: what one of them is linked
+with, all are; keep() leaves one of equal rows of an id, and those with other
+texts; rows without an id stay alone, with a null component, and are kept; a text
+of any length is one set; an empty table gives an empty result; other columns of
+the input are never looked at, and keep() hands them on whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, mix, pieces, staged, utf8, word_hashes
+from codegrain.llm.common import documents, dropped, mapped, mix, pieces, row_key, staged, utf8, word_hashes
 from codegrain.llm.components import components
 
 WORDS = 5
@@ -122,34 +125,44 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, regs binary"
 
 
+def _digests(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two sums over each set of its mixed hashes; 0 for an empty one."""
+    full = np.flatnonzero(np.diff(bounds))
+    sums = [np.zeros(len(bounds) - 1, np.uint64), np.zeros(len(bounds) - 1, np.uint64)]
+    if len(full):
+        sums[0][full] = np.add.reduceat(mix(hashes), bounds[:-1][full])
+        sums[1][full] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), bounds[:-1][full])
+    return [x.view(np.int64) for x in sums]
+
+
 def _sign(batches, rows: int):
     bands_of = BUCKETS // rows
     for batch in pieces(batches, "text"):
         hashes, bounds = shingle_sets(batch.column("text"))
         n = np.diff(bounds)
         full = np.flatnonzero(n)
-        sums = [np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)]
+        sums = _digests(hashes, bounds)
         keys, regs = np.zeros((len(n), bands_of), np.int64), [b""] * len(n)
         if len(full):
             starts = bounds[:-1][full]
-            sums[0][full] = np.add.reduceat(mix(hashes), starts)
-            sums[1][full] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), starts)
             r = registers(hashes, np.append(starts, bounds[-1]))
             keys[full] = band_keys(r, rows)
             for i, one in zip(full, r):
                 regs[i] = one.tobytes()
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands_of), pa.array(keys.reshape(-1)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), bands, pa.array(regs, pa.binary())],
+            [batch.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), bands, pa.array(regs, pa.binary())],
             ["doc_id", "n_shingles", "d1", "d2", "bands", "regs"],
         )
 
 
 def _sets(batches):
+    """node, shingles of the rows (node, d1, d2, text) whose set has the digests."""
     for batch in pieces(batches, "text"):
         hashes, bounds = shingle_sets(batch.column("text"))
+        own = np.logical_and(*(d == batch.column(c).to_numpy() for d, c in zip(_digests(hashes, bounds), ("d1", "d2"))))
         sets = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), sets], ["node", "shingles"]).filter(pa.array(own))
 
 
 def _likely(batches, percent: int):
@@ -163,27 +176,29 @@ def _likely(batches, percent: int):
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _sets_of(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """node, shingles of a staged table of nodes."""
-    found = texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, texts["doc_id"] == ids["node"])
-    return found.select("node", "text").mapInArrow(_sets, "node long, shingles array<long>").dropDuplicates(["node"])
+def _sets_of(ids: DataFrame, nodes: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
+    """node, shingles of a staged table of nodes; ``repeated``: whether ids occur more than once in ``texts``."""
+    ids = ids.join(nodes.select("node", "doc", "d1", "d2"), "node")
+    found = texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, texts["doc_id"] == ids["doc"])
+    sets = mapped(found.select("node", "d1", "d2", "text"), _sets, "node long, shingles array<long>")
+    return sets.dropDuplicates(["node"]) if repeated else sets
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, repeated: bool) -> DataFrame:
     """The links among ``pairs`` (a, b): by size and registers first, then by the full sets."""
     a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
     b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
     sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    likely = staged(sized.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(lambda x: _likely(x, percent), "a long, b long"), "likely")
+    likely = staged(mapped(sized.select("a", "b", "na", "nb", "ra", "rb"), lambda x: _likely(x, percent), "a long, b long"), "likely")
     ids = staged(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "ids")
-    sets = staged(_sets_of(ids, texts), "sets")
+    sets = staged(_sets_of(ids, nodes, texts, repeated), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = likely.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("i"), (F.size("sa") + F.size("sb")).alias("s"))
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
-def _beyond_hubs(near: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _beyond_hubs(near: DataFrame, found: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, repeated: bool) -> DataFrame:
     """Pairs (a, b) that may be links between components, among members of buckets whose central node doesn't reach all.
 
     Shingles are ordered by how many such members have them, rarest first. Two
@@ -198,7 +213,7 @@ def _beyond_hubs(near: DataFrame, found: DataFrame, nodes: DataFrame, texts: Dat
     many = many.select("key", "node", F.coalesce("component", "node").alias("c"), F.coalesce("mid_c", "mid").alias("mid_c"))
     mixed = many.where("c <> mid_c").select("key").distinct()
     ids = staged(many.join(mixed, "key", "left_semi").select("node", "c").distinct(), "mixed")
-    shingles = _sets_of(ids.select("node"), texts).select("node", F.explode("shingles").alias("s"))
+    shingles = _sets_of(ids.select("node"), nodes, texts, repeated).select("node", F.explode("shingles").alias("s"))
     shingles = staged(shingles, "mixed-shingles")
     shared = shingles.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     first = shingles.join(shared, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "s"))).alias("l"))
@@ -208,7 +223,7 @@ def _beyond_hubs(near: DataFrame, found: DataFrame, nodes: DataFrame, texts: Dat
     first = first.where(length > 0).select("node", "n", "c", own.alias("own"), F.posexplode(F.slice("l", F.lit(1), length.cast("int"))).alias("i", "x"))
     first = staged(first.select("node", "c", F.col("x.s").alias("s"), "n", (F.col("own") + F.col("i")).alias("i")), "prefixes")
     most = first.groupBy("s", "c").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.count("*").alias("cs")).where("cs > 1")
-    both = first.join(most, "s")
+    both = staged(first.join(staged(most, "most"), "s"), "prefix-pairs")  # staged, so that a shingle of many is split among tasks below
     mine = both.where("c <> most").select("s", F.col("node").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
     rest = both.select(F.col("s").alias("t"), F.col("node").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"), (F.col("c") == F.col("most")).alias("inside"))
     m = F.expr("least(nx - ix, ny - iy)")
@@ -220,27 +235,43 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (long), kept (boolean); linked from ``percent`` of similarity on."""
     rows = band_rows(percent)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(texts.mapInArrow(lambda x: _sign(x, rows), _SIGNED), "signed")
-    named = signed.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
+    signed = staged(mapped(texts, lambda x: _sign(x, rows), _SIGNED), "signed")
+    solid = signed.where("n_shingles > 0 and doc_id is not null")
+    named = solid.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc")).withColumn("node", F.monotonically_increasing_id())
     named = staged(named, "named")
-    s = signed.select(F.col("doc_id").alias("node"), "d1", "d2", "n_shingles", "bands", "regs")
-    nodes = staged(s.join(named, ["node", "d1", "d2"]).dropDuplicates(["node"]), "nodes")
+    # How often ids occur at most, and whether one has several sets.
+    digest = F.struct("d1", "d2")
+    per_id = staged(solid.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(digest).alias("low"), F.max(digest).alias("high")).where("n > 1"), "repeated-ids")
+    repeated, several = not per_id.isEmpty(), not per_id.where("low <> high").isEmpty()
+    s = signed.select(F.col("doc_id").alias("doc"), "d1", "d2", "n_shingles", "bands", "regs")
+    nodes = s.join(named, ["doc", "d1", "d2"])
+    nodes = staged(nodes.dropDuplicates(["node"]) if repeated else nodes, "nodes")
     members = nodes.select("node", F.explode("bands").alias("key"))
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1")
+    # Small tables are staged before they are joined, so that a bucket of a third of all nodes is split among tasks.
+    sizes = staged(members.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low")).where("n > 1"), "sizes")
     near = staged(members.join(sizes, "key"), "members")
     # The node that shares most buckets with most others is the most central one.
-    central = near.groupBy("node").agg(F.sum("n").alias("weight"))
-    middle = near.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("mid"))
+    central = staged(near.groupBy("node").agg(F.sum("n").alias("weight")), "central")
+    middle = staged(near.join(central, "node").groupBy("key").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("mid")), "middle")
     near = staged(near.join(middle, "key"), "near")
+    dropped(sizes, central, middle)
     pairs = near.select(F.col("low").alias("a"), F.col("node").alias("b")).union(near.select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b")))
-    links = staged(_verified(pairs.where("a < b").distinct(), nodes, texts, percent), "verified")
+    links = _verified(pairs.where("a < b").distinct(), nodes, texts, percent, repeated)
+    if several:
+        of_id = solid.join(per_id.where("low <> high").select("doc_id"), "doc_id").select("doc_id", "d1", "d2").distinct().join(named.select("d1", "d2", "node"), ["d1", "d2"])
+        first = of_id.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = links.union(of_id.join(first, "doc_id").where("a < node").select("a", F.col("node").alias("b")))
+    links = staged(links, "verified")
     found = components(links)
-    more = staged(_beyond_hubs(near, found, nodes, texts, percent), "more")
+    more = staged(_beyond_hubs(near, found, nodes, texts, percent, repeated), "more")
     if not more.isEmpty():
-        found = components(links.union(_verified(more, nodes, texts, percent)))
+        found = components(links.union(_verified(more, nodes, texts, percent, repeated)))
 
-    named = named.join(found, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
-    # Rows of one id are one document: what any of them is linked with, all are.
+    # A component is named by its smallest id.
+    of_node = found.union(found.select(F.col("component").alias("node"), "component").distinct())
+    smallest = of_node.join(named.select("node", "doc"), "node").groupBy("component").agg(F.min("doc").alias("least"))
+    of_node = of_node.join(smallest, "component").select("node", "least")
+    named = named.join(of_node, "node", "left").select("d1", "d2", F.coalesce("least", "doc").alias("component"))
     out = signed.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), own)
@@ -248,15 +279,14 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
 
 
 def keep(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without the documents that another one stands for; of rows with one id, one stays."""
-    gone = staged(near_dup(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    """``docs`` without the documents that another one stands for; of equal rows with one id, one stays."""
+    gone = staged(near_dup(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "gone")
     ids = F.broadcast(gone) if gone.count() <= MOST_BROADCAST else gone
-    names = docs.columns
-    left = docs.join(ids, docs["doc_id"] == ids["__gone"], "left_anti").select(*[docs[f"`{c}`"] for c in names])
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), row_key("doc_id", "text").alias("k"))
+    left = rows.join(ids, rows["id"] == ids["gone"], "left_anti")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        left = left.where("id is not null").dropDuplicates(["k"]).unionByName(left.where("id is null"))
+    return left.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,11 @@
 quality rules -> near duplicates -> benchmark decontamination -> personal data
 -> packing. Each stage reads what its predecessor wrote, so a lost executor
 repeats a part of one stage at most.
+
+Defined results of every stage: rows with null texts or ids, empty and very long
+texts, repeated rows and extra columns of any name are taken as the operator's
+module says; an empty table gives an empty table; all columns but the text stay
+as they are, so n_chars remains that of the source.
 """
 
 from __future__ import annotations
@@ -14,27 +19,27 @@ from codegrain.llm.common import staged
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality rules keep."""
+    """The documents that the quality rules keep, without the lines above the limits of their host. Null texts fail the rules."""
     return quality_rules.keep(spark, docs)
 
 
 def _near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates, from a similarity of 0.8 on."""
+    """One document, that with the smallest id, of each group of near duplicates, from a similarity of 0.8 on; of equal rows one. Rows without an id stay."""
     return near_dup.keep(spark, docs, percent=80)
 
 
 def _decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that don't hold too much of the benchmark."""
+    """The documents that don't hold too much of the benchmark; those without words hold nothing of it."""
     return decontaminate.keep(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def _redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind. n_chars stays that of the source."""
+    """All documents, personal data replaced by its kind; null texts stay null."""
     return pii.redact(docs)
 
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, placed in sequences; the workers' memory is shared with what earlier stages left there."""
+    """The documents' pieces, placed in sequences, a null text as an empty one; fewer token parts are kept, as earlier stages share the executors' memory."""
     return packing.pack(docs, kept=150_000)
 
 

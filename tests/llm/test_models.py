@@ -82,6 +82,39 @@ def test_pipeline(spark, sf_dir):
     assert {r.doc_id for r in out} == {r.doc_id for r in at.select("doc_id").collect()}
 
 
+def test_pipeline_stages_against_brute_force(spark, sf_dir):
+    """Every stage over the rows of its predecessor, against plain re-implementations."""
+    from collections import Counter
+
+    from codegrain.llm import pii
+    from tests.llm.test_groups import brute_near, check_packing, edited
+    from tests.llm.test_rows import brute_hits, brute_hot_lines, brute_quality, plain_line
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    listed = [(*r, 7, "z", 1, "h", 0) for r in docs.collect()]
+    listed += [(9000 + i, edited(r[1], 2, i), *r[2:]) for i, r in enumerate(listed[:40]) if r[1]]
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    at = frame(spark, listed)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        if name == "quality_rules":
+            hot = brute_hot_lines(listed)
+            kept = [r for r, v in zip(listed, brute_quality(listed)) if v[-1]]
+            want = [(r[0], "\n".join(x for x in r[1].split("\n") if (r[3] or "", plain_line(x)) not in hot), *r[2:]) for r in kept]
+        elif name == "near_dup":
+            want = [r for r, v in zip(listed, brute_near(listed, 80)) if v[-1]]
+        elif name == "decontaminate":
+            want = [r for r, v in zip(listed, brute_hits(listed, bench)) if not v[-1]]
+        else:
+            field = pii.fit()
+            want = [(r[0], pii.redacted(r[1], pii.all_spans([r[1]], field)[0][1]), *r[2:]) for r in listed]
+        at = stage(spark, at, sf_dir)
+        got = [tuple(r) for r in at.collect()]
+        assert Counter(got) == Counter(want) and 0 < len(got) <= len(listed), name
+        at, listed = frame(spark, got), got
+    out = corpus_pipeline.STAGES[-1][1](spark, at, sf_dir).collect()
+    assert {r.doc_id for r in out} == {r[0] for r in listed} and check_packing(out, 2048) <= len(out)
+
+
 def test_pipeline_over_awkward_rows(spark, sf_dir):
     for listed in (None, []):
         at = frame(spark, listed)
