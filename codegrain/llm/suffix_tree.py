@@ -21,7 +21,8 @@ has its score there.
 
 Documents are scored in blocks of BLOCK bytes: a block asks for its distinct runs,
 sorted and dealt to buckets by hash; a bucket answers with scores in the order
-asked, so that answers carry no keys; they meet the block's texts again.
+asked, and the answers meet the block's texts again, which look each symbol's run
+up in a table of their own.
 
 The base score needs every word's count. Up to MOST_WORDS distinct words the
 counts are broadcast; beyond, each document's words are joined with them.
@@ -334,12 +335,6 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).cumsum().astype(np.int64)
 
 
-def _distinct(column: pa.Array) -> np.ndarray:
-    """The distinct runs of some texts, in pieces of bounded bytes."""
-    keys = [np.unique(_runs(_symbols(b.column(0))[0])) for b in pieces([pa.RecordBatch.from_arrays([column], ["text"])], "text")]
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-
-
 def _asked(batches, buckets: int):
     """block, bucket, m, keys: the distinct runs of each block by bucket, sorted and packed."""
     at, keys = None, []
@@ -369,16 +364,16 @@ def _asked(batches, buckets: int):
 
 
 def _answers(scores: pa.Table, asked: pa.Table) -> pa.Table:
-    """block, bucket, scores of what was asked of a bucket, in the order of the keys asked."""
+    """block, keys as asked, scores of what was asked of a bucket, in the order of the keys."""
     key = scores.column("key").to_numpy()
     order = np.argsort(key)
     key, value = key[order], scores.column("score").to_numpy()[order]
     found = [value[np.searchsorted(key, _unpacked(x.as_py()))].astype("<f4").tobytes() for x in asked.column("keys")]
-    return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "scores": pa.array(found, pa.binary())})
+    return pa.table({"block": asked.column("block"), "keys": asked.column("keys"), "scores": pa.array(found, pa.binary())})
 
 
-def _answered(rows: DataFrame, scores: DataFrame) -> tuple[DataFrame, int]:
-    """block, bucket, scores: the answers to all blocks of ``rows``; and the number of buckets."""
+def _answered(rows: DataFrame, scores: DataFrame) -> DataFrame:
+    """block, keys, scores: the answers to all blocks of ``rows``."""
     spark = rows.sparkSession
     scores = staged(scores, "run-scores")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), scores.count() // RUNS)
@@ -393,14 +388,44 @@ def _answered(rows: DataFrame, scores: DataFrame) -> tuple[DataFrame, int]:
 
     own = mapped(scores, dealt, "bucket long, key long, score float").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    return own.groupBy("bucket", "salt").cogroup(asked.groupBy("bucket", "salt")).applyInArrow(_answers, "block long, bucket long, scores binary"), buckets
-
-
-def _sums(column: pa.Array, key: np.ndarray, score: np.ndarray) -> np.ndarray:
-    """The sum of each text's run scores; ``key`` is sorted and has all of its runs."""
+    return own.groupBy("bucket", "salt").cogroup(asked.groupBy("bucket", "salt")).applyInArrow(_answers, "block long, keys binary, scores binary")
+
+
+class Scores:
+    """A table of runs' scores with open addressing: a look-up touches a slot or two instead of a search through all keys."""
+
+    def __init__(self, key: np.ndarray, score: np.ndarray) -> None:
+        bits = max(8, int(4 * len(key)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.score = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        slot, left = self._slot(key), np.arange(len(key))
+        while len(left):
+            at = slot[left]
+            free = self.key[at] < 0
+            self.key[at[free]] = key[left[free]]  # of keys with one slot the last stays
+            mine = free & (self.key[at] == key[left])
+            self.score[at[mine]] = score[left[mine]]
+            left = left[~mine]
+            slot[left] = (slot[left] + 1) & self.last
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def of(self, key: np.ndarray) -> np.ndarray:
+        """The scores of keys that the table has."""
+        slot = self._slot(key)
+        missed = np.flatnonzero(self.key[slot] != key)
+        while len(missed):
+            slot[missed] = (slot[missed] + 1) & self.last
+            missed = missed[self.key[slot[missed]] != key[missed]]
+        return self.score[slot]
+
+
+def _sums(column: pa.Array, scores: Scores) -> np.ndarray:
+    """The sum of each text's run scores."""
     symbols, starts = _symbols(column)
     own = np.zeros(len(symbols) - DEPTH)
-    own[symbols[DEPTH:] != _START] = score[np.searchsorted(key, _runs(symbols))]
+    own[symbols[DEPTH:] != _START] = scores.of(_runs(symbols))
     return np.add.reduceat(own, starts - DEPTH)
 
 
@@ -432,7 +457,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("kind = 0").select("key", "n")
     n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    answers, buckets = _answered(rows, run_scores(counts.where("kind = 1").select("key", "n")))
+    answers = _answered(rows, run_scores(counts.where("kind = 1").select("key", "n")))
     few = n_words <= most_words
     known = context.broadcast(_table(words)) if few else None
 
@@ -449,17 +474,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     names = _SCORED.replace(",", "").split()[::2]
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        key = np.unique(np.concatenate([np.zeros(0, np.int64), *(_distinct(c) for c in texts.column("text").chunks)]))
-        order = np.argsort(_bucket(key, buckets), kind="stable")
-        parts = [x.as_py() for x in found.take(np.argsort(found.column("bucket").to_numpy())).column("scores")]
-        value = np.zeros(len(key), np.float32)
-        value[order] = np.frombuffer(b"".join(parts), "<f4")
-        own = list(scored_batches(texts.to_batches(), key, value))
+        none = [np.zeros(0, np.int64)]
+        key = np.concatenate(none + [_unpacked(x.as_py()) for x in found.column("keys")])
+        value = np.frombuffer(b"".join(x.as_py() for x in found.column("scores")), "<f4")
+        own = list(scored_batches(texts.to_batches(), Scores(key, value)))
         release()
         return pa.Table.from_batches(own) if own else pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), pa.binary(), *[pa.int64()] * 2, *[pa.float64()] * 2))})
 
-    def scored_batches(batches, keys, scores):
-        for batch in pieces(batches, "text", 2 << 20):
+    def scored_batches(batches, scores):
+        for batch in pieces(batches, "text"):
             codes, bounds = word_hashes(*utf8(batch.column("text")))
             n = np.diff(bounds) + 1
             held, value = np.zeros(len(n), np.int64), np.zeros(len(n))
@@ -471,7 +494,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
                     held[full] = np.add.reduceat(there[:-1].astype(np.int64), bounds[:-1][full])
                 value += own[-1]
                 held += int(there[-1])
-            score = _sums(batch.column("text"), keys, scores)
+            score = _sums(batch.column("text"), scores)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "k")), *map(pa.array, (n, held, value, score))], names)
 
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORED)
