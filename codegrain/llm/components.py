@@ -1,4 +1,9 @@
-"""Connected components of links, by alternating large and small stars."""
+"""Connected components of links, by alternating large and small stars.
+
+Defined results: an empty table of links gives an empty table; a link of a node
+with itself, and links that are repeated or turned round, change nothing; links
+with a null end are left out; other columns are never looked at.
+"""
 
 from __future__ import annotations
 

@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import _SPACE, documents, fold, pieces, staged, utf8, word_hashes
+from codegrain.llm.common import _SPACE, documents, fold, mapped, pieces, staged, utf8, word_hashes
 
 FOLDS, HELD_OUT = 5, 0
 PASSAGE = 100
 SAMPLE = 4000
+#: Few word cells: with 4,000 documents to learn from, more of them fit the words of the sample instead of what marks quality.
 WORD_CELLS, HIDDEN, GATE = 128, 24, 12
 EPOCHS, BATCH, RATE, DECAY = 16, 64, 0.01, 1e-4
 THRESHOLD = 0.3
@@ -51,8 +52,8 @@ def encode(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     passages = np.maximum(1, -(-n // PASSAGE))
     own = np.concatenate([[0], np.cumsum(passages)])
     total = int(own[-1])
-    of_word = np.repeat(own[:-1] - 0, n) + (np.arange(len(words)) - np.repeat(at[:-1], n)) // PASSAGE
-    cells = (words >> np.uint64(57 - 0)).astype(np.int64) % WORD_CELLS
+    of_word = np.repeat(own[:-1], n) + (np.arange(len(words)) - np.repeat(at[:-1], n)) // PASSAGE
+    cells = (words >> np.uint64(57)).astype(np.int64) % WORD_CELLS
     bag = np.bincount(of_word * WORD_CELLS + cells, minlength=total * WORD_CELLS).reshape(total, WORD_CELLS)
     # A byte belongs to the passage of the word that it is in or that came before it in its row.
     first = ~_SPACE[raw]
@@ -150,7 +151,7 @@ def _bags(batches):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention | None:
     """The model, from rows (doc_id, text) and (doc_id, label) that may be learned from."""
     some = staged(labels.where("label is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample), "labelled")
-    rows = docs.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text").mapInArrow(_bags, "doc_id long, label double, bag binary").collect()
+    rows = mapped(docs.join(F.broadcast(some), "doc_id").select("doc_id", "label", "text"), _bags, "doc_id long, label double, bag binary").collect()
     if not rows:
         return None
     rows = sorted((r["doc_id"], r["label"], bytes(r["bag"])) for r in rows)
@@ -170,7 +171,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
                 score = model.value.score(*encode(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return mapped(rows, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,9 @@ and are dropped; around the others the bytes of all strings that have them are
 cut out, at most 768 for each anchor, and dealt out by the anchor.
 
 There the strings of a task are sorted by column-wise multi-document
-construction: the sequences, aligned at their anchors, lie in a file of columns
-that is read once from the last column to the first. A round inserts one symbol
+construction: the sequences, aligned at their anchors, lie in columns that are
+read once from the last to the first; a task has a bounded number of them, so
+they stay in its memory instead of a file. A round inserts one symbol
 in front of every sequence's suffix; the order of all suffixes after it follows
 from the order before it and the symbols inserted (the Burrows-Wheeler column),
 and so do the common prefixes of neighbours: one more than the least between two
@@ -47,7 +48,6 @@ other columns are never looked at.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -62,8 +62,6 @@ GRAM = 32
 SHORT, PASSAGE_WORDS = 200, 50
 #: Sequences of an anchor that one task sorts at most.
 HOT = 50_000
-#: Bytes of columns that are kept in memory; more go to a temporary file.
-IN_MEMORY = 64 << 20
 
 
 def _fingerprints(raw: np.ndarray, size: int) -> np.ndarray:
@@ -191,11 +189,7 @@ def repeated_starts(group: np.ndarray, before: np.ndarray, sequences: list[bytes
     sizes = np.array([len(s) for s in sequences])
     right = int((sizes - before).max())
     width = left + right
-    if m * width > IN_MEMORY:
-        file = tempfile.TemporaryFile()
-        columns = np.memmap(file, np.uint8, "w+", shape=(width, m))
-    else:
-        columns = np.zeros((width, m), np.uint8)
+    columns = np.zeros((width, m), np.uint8)
     lo = left - before
     for step in range(0, m, 4096):
         part = np.zeros((min(4096, m - step), width), np.uint8)
@@ -207,7 +201,7 @@ def repeated_starts(group: np.ndarray, before: np.ndarray, sequences: list[bytes
     order, common = np.arange(m), np.zeros(m, np.int64)
     found: list[list] = [[] for _ in lengths]
     for c in range(width - 1, -1, -1):
-        symbol = np.asarray(columns[c])[order].astype(np.int64)
+        symbol = columns[c][order].astype(np.int64)
         symbol[(hi[order] <= c) | (lo[order] > c)] = -1  # before its end, or past its start: no suffix here
         key = group[order] * 257 + symbol
         rank = np.argsort(key, kind="stable")

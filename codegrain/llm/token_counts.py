@@ -12,7 +12,8 @@ shuffled.
 
 Defined results: null and empty texts have no tokens and a row for each section
 they are given; a null array of sections is an empty one; null and repeated ids
-get a result for each row; an empty table gives an empty result.
+get a result for each row; a text of any length is encoded whole; an empty table
+gives an empty result; other columns are never looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, pieces
+from codegrain.llm.common import documents, mapped, pieces
 from codegrain.llm.tokens import PartEncoder
 
 PAGE = 1000
@@ -65,7 +66,7 @@ def token_counts(docs: DataFrame, sections: Column, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(arrays[0]), *arrays[1:]], ["doc_id", "section", "name", "start", "end", "n_tokens", "n_crossing"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), sections.alias("sections"))
-    return rows.mapInArrow(run, "doc_id long, section int, name string, start long, end long, n_tokens long, n_crossing long")
+    return mapped(rows, run, "doc_id long, section int, name string, start long, end long, n_tokens long, n_crossing long")
 
 
 def pages(text_col: str = "text", size: int = PAGE) -> Column:

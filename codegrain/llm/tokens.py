@@ -6,11 +6,16 @@ join a run of letters with its neighbours, so a part of plain characters is cut
 into such runs, which recur far more often than parts do; the vocabulary's own
 merging encodes a run once and it is kept. Parts with any other character go
 through the whole tokenizer. Ids and places are the same as those of encoding
-every text as a whole; tests hold one against the other.
+every text as a whole; tests hold one against the other. That is so for
+vocabularies that split and normalise as SPLITS says; with any other, texts are
+encoded as a whole.
+
+Defined results: an empty text has no ids; a text of any length is taken whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -18,6 +23,18 @@ import struct
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
+# How a vocabulary normalises and splits for which parts may be encoded one by one.
+SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 #: Parts and runs kept at most, some 400 bytes for both, and characters of one that is kept.
 KEPT, _LONG = 400_000, 64
 #: A part of printable ASCII but the apostrophe, and of Latin letters with accents, which normalising leaves but for case.
@@ -27,7 +44,7 @@ _OPEN: dict[str, "PartEncoder"] = {}
 
 
 class PartEncoder:
-    """Ids (and places) of texts by a tokenizer that drops white space."""
+    """Ids (and places) of texts by a tokenizer, part by part where it drops white space as SPLITS has it."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,6 +52,9 @@ class PartEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
+        config = json.loads(self._tokenizer.to_str())
+        #: Whether parts may be encoded one by one.
+        self.by_parts = all(config.get(k) == v for k, v in SPLITS.items()) and config["model"].get("end_of_word_suffix") == "</w>"
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         chars = [chr(c) for c in (*range(33, 127), *range(192, 256))]
         self._bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in chars}
@@ -104,10 +124,15 @@ class PartEncoder:
 
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_parts:
+            ids = self._tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(self._cached(text.replace("\n", " ").split(" "), self._ids, self._part_ids))
 
     def spans(self, text: str) -> np.ndarray:
         """First and end character of every token, in order."""
+        if not self.by_parts:
+            return np.array(self._tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
         parts = text.replace("\n", " ").split(" ")
         found = self._cached(parts, self._spans, self._part_spans)
         at = np.cumsum([0] + [len(p) + 1 for p in parts])[:-1]

@@ -19,12 +19,11 @@ def as_multiset(found):
     return Counter(map(tuple, found))
 
 
-def brute_near(listed):
+def brute_near(listed, percent=85):
     sets = {}
     for r in listed:
         w = split(ascii_lower(r[1]))
-        s = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
-        sets[id(r)] = s
+        sets[id(r)] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
     ids = sorted({r[0] for r in listed if r[0] is not None})
     root = {i: i for i in ids}
 
@@ -37,7 +36,7 @@ def brute_near(listed):
     for i, a in enumerate(named):
         for b in named[:i]:
             x, y = sets[id(a)], sets[id(b)]
-            if 100 * len(x & y) >= 85 * len(x | y):
+            if 100 * len(x & y) >= percent * len(x | y):
                 p, q = find(a[0]), find(b[0])
                 root[max(p, q)] = min(p, q)
     for r in listed:
@@ -64,6 +63,9 @@ def test_near_dup(spark):
         for i in range(12):
             listed.append((3000 + 100 * g + i, text, *fill))
             text = edited(text, 1, i)
+    # An id with two texts, each of which another document nearly has: all of them are one component.
+    two = [prose(100, 40), prose(100, 41)]
+    listed += [(7000, two[0], *fill), (7000, two[1], *fill), (7001, edited(two[0], 1, 5), *fill), (6990, edited(two[1], 1, 6), *fill)]
     got = near_dup.near_dup(frame(spark, listed)).collect()
     assert as_multiset(got) == as_multiset(brute_near(listed))
     assert near_dup.near_dup(frame(spark, [])).count() == 0
@@ -78,6 +80,15 @@ def test_near_dup_keep(spark):
     assert {k: v for k, v in ids.items() if k is not None} == want and ids[None] == 2
 
 
+def test_near_dup_keeps_other_texts_of_an_id(spark):
+    from pyspark.sql import functions as F
+
+    fill = ("en", "s", 0, 7, "z", 1, "h", 0)
+    docs = frame(spark, [(1, prose(90, 1), *fill), (1, prose(90, 2), *fill), (1, prose(90, 1), *fill)]).withColumns({c: F.lit(0) for c in ("row", "id", "gone", "d1")})
+    kept = near_dup.keep(spark, docs)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted([prose(90, 1), prose(90, 2)])
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(1)
     got = []
@@ -114,6 +125,16 @@ def test_tokens_equal_whole_encoding(spark, sf_dir, tokenizer):
         assert encoder.spans(t).tolist() == [list(x) for x in whole.offsets]
 
 
+def test_other_vocabularies_are_encoded_whole(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, encoder = Tokenizer.from_file(path), tokens.PartEncoder.of(path)
+    assert not encoder.by_parts and tokens.PartEncoder.of(None).by_parts
+    for t in odd_texts(spark, sf_dir)[:40]:
+        whole = other.encode(t, add_special_tokens=False)
+        assert np.frombuffer(encoder.ids(t), "<u4").tolist() == whole.ids
+        assert encoder.spans(t).tolist() == [list(x) for x in whole.offsets]
+
+
 def check_packing(found, capacity):
     by = {}
     for r in found:
@@ -209,6 +230,21 @@ def brute_repeats(listed, length):
         yield r[0], len(raw), len(raw) - len(kept), runs, hashlib.sha256(kept).hexdigest()
 
 
+def brute_passages(listed, length, words):
+    """The longest stretches covered by repeated strings of ``length`` bytes that have so many words."""
+    raws = [(r[1] or "").encode() for r in listed]
+    seen = Counter(raw[i : i + length] for raw in raws for i in range(len(raw) - length + 1))
+    for r, raw in zip(listed, raws):
+        ends = []
+        for i in range(len(raw) - length + 1):
+            if seen[raw[i : i + length]] > 1:
+                if ends and i <= ends[-1][1]:
+                    ends[-1][1] = i + length
+                else:
+                    ends.append([i, i + length])
+        yield str(r[0]), sum(len(raw[a:b].split()) >= words for a, b in ends)
+
+
 @pytest.mark.parametrize("hot", [repeats.HOT, 3])
 def test_repeats(spark, hot):
     fill = ("en", "s", 0, 7, "z", 1, "h", 0)
@@ -219,16 +255,19 @@ def test_repeats(spark, hot):
         parts = [prose(rng.randint(3, 20), 500 + i)] + rng.sample(shared, rng.randint(0, 3)) + [prose(5, 700 + i)]
         listed.append((5000 + i, " ".join(parts), *fill))
     listed.append((6000, "ab" * 100 + shared[0] * 2, *fill))
-    got = repeats.remove_repeats(frame(spark, listed), length=40, gram=8, hot=hot).drop("kept").collect()
-    assert as_multiset(got) == as_multiset(brute_repeats(listed, 40))
+    listed.append((6001, "ab" * 5000 + "c" + "xyz" * 700 + " . " + "ab" * 30, *fill))
+    found = repeats.remove_repeats(frame(spark, listed), length=40, gram=8, hot=hot, short=24, words=4)
+    assert as_multiset(found.drop("kept", "n_passages").collect()) == as_multiset(brute_repeats(listed, 40))
+    assert sorted((str(r.doc_id), r.n_passages) for r in found.collect()) == sorted(brute_passages(listed, 24, 4))
 
 
 def test_repeats_numbers_by_production_parameters(spark):
     listed = [r for r in rows() if r[0] is not None]
     seen = {}
     listed = [seen.setdefault(r[0], r) for r in listed if r[0] not in seen]
-    got = repeats.remove_repeats(frame(spark, listed)).drop("kept").collect()
-    assert as_multiset(got) == as_multiset(brute_repeats(listed, 400))
+    found = repeats.remove_repeats(frame(spark, listed))
+    assert as_multiset(found.drop("kept", "n_passages").collect()) == as_multiset(brute_repeats(listed, 400))
+    assert sorted((str(r.doc_id), r.n_passages) for r in found.collect()) == sorted(brute_passages(listed, 200, 50))
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
     assert SCHEMA.startswith("doc_id long")
 
