@@ -209,6 +209,11 @@ def is_iso_date(text: str) -> bool:
     return bool(re.fullmatch(_DATE, text, re.ASCII)) and not pd.isna(pd.to_datetime(text, format="%Y-%m-%d", errors="coerce"))
 
 
+def iso_date(col: Column) -> Column:
+    """Whether a text is a whole date of the calendar, as YYYY-MM-DD; the same as is_iso_date(), in the JVM."""
+    return F.coalesce(col.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_timestamp(col, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+
+
 def is_iso_datetime(text: str) -> bool:
     """A date, a time of day with seconds, and an offset or Z."""
     if not re.fullmatch(f"{_DATE}T{_TIME}", text, re.ASCII):

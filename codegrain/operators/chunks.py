@@ -14,10 +14,18 @@ from codegrain.functions.text import canonical_json, hex_id, line_windows
 
 
 def windows(docs: DataFrame, cap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Line windows of every text: id, ordinal, spans in bytes and characters, n_bytes, sha256 of the content."""
+    """Line windows of every text: id, ordinal, spans in bytes and characters, n_bytes, sha256 of the content, newlines in it, and whether it ends with one."""
     w = docs.select(id_col, text_col, F.posexplode(line_windows(cap)(F.col(text_col))).alias("ordinal", "w"))
     part = F.substring(F.col(text_col), (F.col("w.start_char") + 1).cast("int"), (F.col("w.end_char") - F.col("w.start_char")).cast("int"))
-    return w.select(id_col, F.col("ordinal").cast("long").alias("ordinal"), "w.*", (F.col("w.end_byte") - F.col("w.start_byte")).alias("n_bytes"), F.sha2(part, 256).alias("sha"))
+    return w.select(id_col, F.col("ordinal").cast("long").alias("ordinal"), "w.*", (F.col("w.end_byte") - F.col("w.start_byte")).alias("n_bytes"), F.sha2(part, 256).alias("sha"), (F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).cast("long").alias("n_breaks"), part.endswith("\n").alias("ends_line"))
+
+
+def line_points(spans: DataFrame, key: str) -> DataFrame:
+    """``spans`` that follow each other, with start_line, end_line (of the last character) and end_point_line (of the place behind it), from 1."""
+    before = F.coalesce(F.sum("n_breaks").over(Window.partitionBy(key).orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = spans.withColumn("start_line", (before + 1).cast("long"))
+    end = F.col("start_line") + F.col("n_breaks")
+    return placed.withColumn("end_line", end - F.col("ends_line").cast("long")).withColumn("end_point_line", end)
 
 
 def partition_faults(spans: DataFrame, sizes: DataFrame, key: str, start: str, end: str, size: str) -> DataFrame:

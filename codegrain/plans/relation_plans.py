@@ -375,6 +375,18 @@ def _(spark, d):
     return rel.first_of(t.table(spark, d, "events"), ["user_id", "event_type"], ["event_id"]).select("user_id", "event_type", "event_id")
 
 
+@query("resume_anti", "SELECT conv_id AS batch_id, turn AS batch_ordinal FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM labels WHERE doc_id = conv_id AND quality = turn)")
+def _(spark, d):
+    asked = t.table(spark, d, "conversations").select(F.col("conv_id").alias("batch_id"), F.col("turn").alias("batch_ordinal"))
+    done = t.table(spark, d, "labels").select(F.col("doc_id").alias("batch_id"), F.col("quality").alias("batch_ordinal"))
+    return workflow.resume(asked, done)
+
+
+@query("dry_run", f"WITH {t.FRAMES_SQL} SELECT doc_id AS batch_id, doc_id AS batch_ordinal, n_bytes AS evidence_bytes, sha AS evidence_sha256 FROM frames")
+def _(spark, d):
+    return workflow.dry_run(t.frame_texts(spark, d).select(F.col("doc_id").alias("batch_id"), F.col("doc_id").alias("batch_ordinal"), F.col("frame").alias("evidence")))
+
+
 @query("budget_prefix", f"WITH {t.TURNS_SQL} SELECT conv_id, turn FROM (SELECT conv_id, turn, 1 + sum(n_bytes + 1) OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM turns) WHERE u <= 900")
 def _(spark, d):
     return ch.budget_prefix(t.turns(spark, d), "conv_id", ["turn"], "n_bytes", 900).select("conv_id", "turn")

@@ -92,13 +92,17 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 TURNS_SQL = "turns AS (SELECT *, coalesce(strlen(text), 0)::BIGINT AS n_bytes FROM conversations)"
 
 
-def frames(spark: SparkSession, d: str) -> DataFrame:
+def frame_texts(spark: SparkSession, d: str) -> DataFrame:
     """Evidence frames of documents: header, canonical JSON, fenced content."""
     from codegrain.functions.text import canonical_json
 
     docs = table(spark, d, "documents")
     body = F.concat(F.lit("@@CHUNK "), canonical_json(doc_id=F.col("doc_id"), kind=F.lit("DOCUMENT"), source=F.col("source"), sha256=F.sha2("text", 256)), F.lit("\n<<<TEXT\n"), F.col("text"), F.lit("\nTEXT>>>\n"))
-    return docs.select("doc_id", body.alias("frame")).select("doc_id", byte_length(F.col("frame")).alias("n_bytes"), F.sha2("frame", 256).alias("sha"))
+    return docs.select("doc_id", body.alias("frame"))
+
+
+def frames(spark: SparkSession, d: str) -> DataFrame:
+    return frame_texts(spark, d).select("doc_id", byte_length(F.col("frame")).alias("n_bytes"), F.sha2("frame", 256).alias("sha"))
 
 
 FRAMES_SQL = """frames AS (SELECT doc_id, strlen(frame)::BIGINT AS n_bytes, sha256(frame) AS sha FROM (SELECT doc_id,

@@ -8,6 +8,7 @@ from codegrain.functions import text as fn
 from codegrain.operators import chunks as ch
 from codegrain.operators import rollup, scope, scoring, validate, verify
 from codegrain.plans import tables as t
+from codegrain.sources import records
 
 QUERIES, SQL = {}, {}
 
@@ -101,6 +102,29 @@ def _(spark, d):
     return ch.identities(t.chunks(spark, d), "codegrain/chunk", "C-", "doc_id", "ordinal", "start_byte", "end_byte", "sha").select("doc_id", "ordinal", "chunk_id")
 
 
+@query(
+    "line_points",
+    f"""WITH RECURSIVE {t.CHUNKS_SQL}, p AS (SELECT c.doc_id, ordinal, left(text, start_char::INT) AS a, left(text, end_char::INT - 1) AS b, left(text, end_char::INT) AS z FROM chunks c JOIN documents d ON d.doc_id = c.doc_id)
+SELECT doc_id, ordinal, (1 + length(a) - length(replace(a, chr(10), '')))::BIGINT AS start_line, (1 + length(b) - length(replace(b, chr(10), '')))::BIGINT AS end_line, (1 + length(z) - length(replace(z, chr(10), '')))::BIGINT AS end_point_line FROM p""",
+)
+def _(spark, d):
+    return ch.line_points(t.chunks(spark, d), "doc_id").select("doc_id", "ordinal", "start_line", "end_line", "end_point_line")
+
+
+@query("iso_dates", "SELECT x, x IS NOT NULL AND regexp_matches(x, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') AND try_cast(x AS DATE) IS NOT NULL AS valid, count(*) AS n FROM (SELECT year(l_shipdate) || '-' || lpad((l_linenumber * 3)::VARCHAR, 2, '0') || '-' || lpad((day(l_shipdate) + l_linenumber)::VARCHAR, CASE WHEN l_returnflag = 'A' THEN 3 ELSE 2 END, '0') AS x FROM lineitem) GROUP BY ALL")
+def _(spark, d):
+    width = F.when(F.col("l_returnflag") == "A", 3).otherwise(2)
+    day = (F.dayofmonth("l_shipdate") + F.col("l_linenumber")).cast("string")
+    x = F.concat_ws("-", F.year("l_shipdate").cast("string"), F.lpad((F.col("l_linenumber") * 3).cast("string"), 2, "0"), F.when(width == 3, F.lpad(day, 3, "0")).otherwise(F.lpad(day, 2, "0")))
+    return t.table(spark, d, "lineitem").select(x.alias("x")).groupBy("x").agg(F.count("*").alias("n")).select("x", fn.iso_date(F.col("x")).alias("valid"), "n")
+
+
+@query("canonical_lines", "SELECT json_object('c_acctbal_cents', round(c_acctbal * 100)::BIGINT, 'c_custkey', c_custkey, 'c_mktsegment', c_mktsegment, 'c_name', c_name)::VARCHAR AS value FROM customer")
+def _(spark, d):
+    c = t.table(spark, d, "customer").select("c_name", "c_mktsegment", "c_custkey", F.round(F.col("c_acctbal") * 100).cast("long").alias("c_acctbal_cents"))
+    return records.canonical_lines(c)
+
+
 @query("chunks_per_file", f"WITH RECURSIVE {t.CHUNKS_SQL} SELECT doc_id, count(*) AS n_chunks, max(n_bytes)::BIGINT AS largest FROM chunks GROUP BY doc_id")
 def _(spark, d):
     return t.chunks(spark, d).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("n_bytes").alias("largest"))
