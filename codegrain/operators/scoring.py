@@ -5,19 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Names of C functions that deserve a look, by category and weight.
-SENSITIVE = {
-    "memory_string": {"strcpy": 12, "strcat": 12, "sprintf": 10, "vsprintf": 10, "gets": 14},
-    "memory_copy": {"memcpy": 7, "memmove": 6, "memset": 3},
-    "formatted_parse": {"sscanf": 7, "scanf": 7, "fscanf": 6},
-    "external_input": {"read": 5, "recv": 7, "recvfrom": 7, "fread": 5, "getline": 4, "getenv": 4},
-    "file_path": {"open": 4, "fopen": 4, "stat": 3, "lstat": 4, "unlink": 4, "rename": 4},
-    "command_exec": {"system": 15, "popen": 14, "execl": 15, "execv": 15, "execve": 15, "execvp": 15},
-    "memory_lifetime": {"malloc": 4, "calloc": 4, "realloc": 6, "free": 3},
-    "size_handling": {"strlen": 3},
-    "numeric_parse": {"strtol": 4, "strtoul": 4, "atoi": 4},
-    "device_boundary": {"ioctl": 7},
-}
+# Names of C functions that deserve a look, with category and weight.
+SENSITIVE = (
+    ("strcpy", "memory_string", 12),
+    ("strcat", "memory_string", 12),
+    ("sprintf", "memory_string", 10),
+    ("vsprintf", "memory_string", 10),
+    ("gets", "memory_string", 14),
+    ("memcpy", "memory_copy", 7),
+    ("memmove", "memory_copy", 6),
+    ("memset", "memory_copy", 3),
+    ("sscanf", "formatted_parse", 7),
+    ("scanf", "formatted_parse", 7),
+    ("fscanf", "formatted_parse", 6),
+    ("read", "external_input", 5),
+    ("recv", "external_input", 7),
+    ("recvfrom", "external_input", 7),
+    ("fread", "external_input", 5),
+    ("getline", "external_input", 4),
+    ("getenv", "external_input", 4),
+    ("open", "file_path", 4),
+    ("fopen", "file_path", 4),
+    ("stat", "file_path", 3),
+    ("lstat", "file_path", 4),
+    ("unlink", "file_path", 4),
+    ("rename", "file_path", 4),
+    ("system", "command_exec", 15),
+    ("popen", "command_exec", 14),
+    ("execl", "command_exec", 15),
+    ("execv", "command_exec", 15),
+    ("execve", "command_exec", 15),
+    ("execvp", "command_exec", 15),
+    ("malloc", "memory_lifetime", 4),
+    ("calloc", "memory_lifetime", 4),
+    ("realloc", "memory_lifetime", 6),
+    ("free", "memory_lifetime", 3),
+    ("strlen", "size_handling", 3),
+    ("strtol", "numeric_parse", 4),
+    ("strtoul", "numeric_parse", 4),
+    ("atoi", "numeric_parse", 4),
+    ("ioctl", "device_boundary", 7),
+)
 # Prefixes that count where no name matches, in this order.
 SENSITIVE_PREFIXES = (("exec", "command_exec", 13), ("strto", "numeric_parse", 4))
 # Caps and factors of the score's components.
@@ -25,7 +53,7 @@ CAPS = {"sensitive": (45, 1), "cross_file": (20, 4), "indirect": (15, 5), "ambig
 
 
 def exact_rules() -> dict[str, tuple[str, int]]:
-    return {name: (category, w) for category, names in SENSITIVE.items() for name, w in names.items()}
+    return {name: (category, w) for name, category, w in SENSITIVE}
 
 
 def rule(name: Column, exact: dict[str, tuple[str, int]], prefixes=()) -> Column:
