@@ -13,7 +13,7 @@ any number of lines and differ in one count severally.
 DataFrame functions only. Lines are hashed once, into a staged table of a row per
 line (host, row key, place, hash, length, document hash); it is pre-aggregated by
 host and hash before it moves. Texts don't move while the tables that meet them,
-of frequent lines and of what each document loses, have MOST_BROADCAST lines at
+of frequent lines and of what each document loses, have MOST_BROADCAST rows at
 most; beyond, both are joined by a shuffle, where Spark splits a line that a third
 of all documents hold.
 
@@ -38,8 +38,8 @@ MAX_REPEAT_PERCENT = 50
 LINE_DOCS, LINE_SHARE_PERMILLE = 20, 10
 #: A document is depleted when fewer characters are left than this many or than this share.
 LEFT_CHARS, LEFT_PERCENT = 150, 50
-#: Lines of a table that is broadcast at most.
-MOST_BROADCAST = 1_000_000
+#: Rows of a table that is broadcast at most; of lines, which are shorter, five times as many.
+MOST_BROADCAST = 200_000
 
 _RX = WS_REGEX.replace("\\", "\\\\")
 _TRIM = WS_CHARS.replace("\t", "\\t").replace("\n", "\\n").replace("\x0b", "\\u000b").replace("\f", "\\u000c").replace("\r", "\\r")
@@ -86,8 +86,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("host", "k", F.explode(F.expr(each)).alias("l")).select("host", "k", "l.*")
 
 
-def _limited(df: DataFrame, size: str = "1") -> DataFrame:
-    return limited(df, MOST_BROADCAST, size)
+def _limited(df: DataFrame) -> DataFrame:
+    return limited(df, MOST_BROADCAST)
 
 
 def _losses(rows: DataFrame, line_docs: int, line_share_permille: int) -> DataFrame:
@@ -163,7 +163,7 @@ def keep(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col:
     rows = _rows(docs, id_col, text_col, host_col, F.struct("*").alias("row"))
     lost = _losses(rows.select("host", "k", "text"), LINE_DOCS, LINE_SHARE_PERMILLE)
     good = rows.where(~_base_failed(F.expr(base_counts()["of_words"])))
-    out = good.join(_limited(lost, "n_lines"), (F.col("host") == F.col("g_host")) & (F.col("k") == F.col("g_k")), "left")
+    out = good.join(limited(lost, 5 * MOST_BROADCAST, "n_lines"), (F.col("host") == F.col("g_host")) & (F.col("k") == F.col("g_k")), "left")
     out = out.where(~_depleted(F.length("text"), F.col("n_gone")))
     # A blank line is hashed like any other but is in no list.
     left = f"array_join(filter(split(text, '\\n'), l -> not array_contains(lines, {_hash('l')})), '\\n')"
