@@ -10,22 +10,23 @@ are added where they touch no span of the rules.
 Shapes are of words, that is what stands between white space: its form (letters,
 digits, mixtures), length, outer punctuation and whether it is one of a few cue
 words; features are those of a word and its two neighbours. Lines without a
-digit, an at sign or "(at)" needn't be decoded when the trained field
-gives no span on them; fit() tries all short lines of their shapes, and long
-ones of mere words, and decodes every line if any of them has a span.
+digit, an at sign, "(at)" or "(dot)" needn't be decoded where the trained field
+can give no span on them: fit() bounds what any stretch of span labels gains over
+plain ones, by longest paths through all sequences of the shapes that such lines
+have, of any length, and decodes every line unless that bound is below zero.
 
 Everything is by row; nothing is shuffled, and what is sent to executors is the
-field's weights.
+field's weights. All rules take time in proportion to the text, whatever it holds.
 
-Defined results: null text is empty and has no spans; repeated rows and null ids
-get a result each; an empty table gives an empty result; other columns stay as
-they are (redact) or are never looked at (find).
+Defined results: null text is empty and has no spans; a text of any length is
+taken whole; of labels with equal scores the first is taken; repeated rows and
+null ids get a result each; an empty table gives an empty result; other columns
+stay as they are (redact) or are never looked at (find).
 """
 
 from __future__ import annotations
 
 import hashlib
-import itertools
 import re
 from functools import lru_cache
 
@@ -34,12 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, pieces
+from codegrain.llm.common import documents, mapped, pieces
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # A start within a run of digits can't match where the run's start didn't.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -55,13 +57,26 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost matches of characters of _LOCAL, an at sign and a domain: from each at sign back, as only one can end there."""
+    out, low, at = [], 0, text.find("@")
+    while at >= 0:
+        if m := _DOMAIN.match(text, at + 1):
+            first = low + len(text[low:at].rstrip(_LOCAL))
+            if first < at:
+                out.append((first, m.end()))
+        low = out[-1][1] if out and out[-1][1] > at else at + 1
+        at = text.find("@", at + 1)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the rules, by kind as listed, then start."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in _EMAIL.finditer(text)]
+        out += [("email", *span) for span in _emails(text)]
     if _DIGIT.search(text):
-        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split("."))]
         out += [("card", *m.span()) for m in _CARD.finditer(text) if 13 <= len(d := m[0].replace(" ", "").replace("-", "")) <= 19 and _luhn(d)]
         if "+" in text:
             out += [("phone", *m.span()) for m in _PHONE.finditer(text) if 9 <= sum(c in "0123456789" for c in m[0]) <= 15]
@@ -80,9 +95,12 @@ _CUES = {
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-@lru_cache(200_000)
 def shape(word: str) -> str:
     """A word's shape; words of letters alone have one unless they are cues."""
+    return _known(word) if len(word) <= 64 else _shape(word)
+
+
+def _shape(word: str) -> str:
     low = word.lower()
     cue = _CUES.get(low) or _CUES.get(low.strip("\"'`.,;:!?"))
     if cue:
@@ -108,6 +126,9 @@ def shape(word: str) -> str:
     return "mixed"
 
 
+#: Shapes of words that are not too long to be kept.
+_known = lru_cache(50_000)(_shape)
+
 #: The labelled table: lines with the words of each span in braces, the kind in front. They are varied by _table().
 _LINES = (
     "the meeting is on page D of the report",
@@ -281,13 +302,49 @@ def fit(rounds: int = 150, rate: float = 0.15, penalty: float = 0.002) -> Field:
         for j, b in enumerate(LABELS):
             if b[0] == "I" and a[2:] != b[2:]:
                 field.step[i, j] = -1e4
-    plain = [shapes[x] for x in ("word", "tel", "key", "is", "no")]
-    lines = [list(x) for n in range(1, 6) for x in itertools.product(plain, repeat=n)] + [[plain[0]] * n for n in range(6, 65)]
-    field.skips = not any(path.any() for path in field.viterbi(lines))
+    field.skips = most_gain(field, [shapes[x] for x in PLAIN]) < 0
     return field
 
 
-_SPELT = re.compile(r"[0-9@]|[(\[](?i:at)[)\]]")
+#: Shapes of words without a digit, an at sign, "(at)" or "(dot)".
+PLAIN = ("word", "tel", "key", "is", "no")
+
+
+def most_gain(field: Field, shapes: list[int]) -> float:
+    """The most that a stretch of span labels can gain over plain ones, in any line of words of ``shapes``; infinite if it grows with length.
+
+    Longest paths over (label, shape before, shape): a stretch begins after a
+    plain word or at the line's start, and ends before one or at its end. A line
+    has other labels than plain ones only if some stretch gains.
+    """
+    k = len(LABELS)
+    around = np.array([1, *shapes])  # 1: outside the line
+    n = len(around)
+    # gain[l, p, c, x]: of label l on c between p and x.
+    own = [e - e[:, :1] for e in field.emit]
+    gain = own[0][around].T[:, :, None, None] + own[1][around].T[:, None, :, None] + own[2][around].T[:, None, None, :]
+    gain[:, :, 0, :] = -np.inf  # outside is no word
+    step = field.step - field.step[0, 0]
+    begin = np.broadcast_to(step[0][:, None, None], (k, n, n)).copy()
+    begin[:, 0, :] = 0.0  # at the line's start
+    begin[0], begin[:, :, 0] = -np.inf, -np.inf
+    best = begin.copy()
+    for _ in range(k * n * n + 1):
+        through = best[:, :, :, None] + gain  # after the word, by the next shape
+        going = through.max(1)  # label, shape, next shape
+        after = (going[:, None, :, :] + step[:, :, None, None]).max(0)  # next label, shape, next shape
+        after[0], after[:, :, 0] = -np.inf, -np.inf
+        now = np.maximum(best, after)
+        if np.allclose(now, best, atol=1e-9, rtol=0, equal_nan=True):
+            through = best[:, :, :, None] + gain
+            ends = through + step[:, 0][:, None, None, None]
+            ends[..., 0] = through[..., 0]  # at the line's end
+            return float(ends[1:].max())
+        best = now
+    return float("inf")
+
+
+_SPELT = re.compile(r"[0-9@]|[(\[](?i:at|dot)[)\]]")
 
 
 def field_spans(texts: list[str], field: Field) -> list[list[tuple[str, int, int]]]:
@@ -339,21 +396,21 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (rules), base_sha256, spans."""
+    """One row for each row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone (rules), base_sha256, spans, n_spans (all)."""
     field = docs.sparkSession.sparkContext.broadcast(fit())
 
     def run(batches):
         for batch in pieces(batches, "text"):
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(7)]
             for base, spans in all_spans([t or "" for t in batch.column("text").to_pylist()], field.value):
                 kinds = [s[0] for s in base]
-                for col, x in zip(cols, (*(kinds.count(k) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans))):
+                for col, x in zip(cols, (*(kinds.count(k) for k in BASE), hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), len(spans))):
                     col.append(x)
-            arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.string()) for c in cols[4:]]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+            arrays = [pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(c, pa.string()) for c in cols[4:6]] + [pa.array(cols[6], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *arrays], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return mapped(rows, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -377,7 +434,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             clean = [None if t is None else redacted(t, spans) for t, (_, spans) in zip(texts, all_spans([t or "" for t in texts], field.value))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(clean, batch.schema.field(at).type), *batch.columns[at + 1 :]], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

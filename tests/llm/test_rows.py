@@ -196,13 +196,11 @@ def test_suffix_tree_base_scores(spark):
     count = Counter(t for ts, h in zip(toks, held) if not h for t in ts)
     n, v = sum(count.values()), len(count)
     want = sorted((str(r[0]), h, len(ts), sum(count[t] > 0 for t in ts), n, round(sum(math.log10((count[t] + 1) / (n + v + 1)) for t in ts), 6)) for r, h, ts in zip(listed, held, toks))
-    scores = []
-    for most in (suffix_tree.MOST_WORDS, 0):
-        got = suffix_tree.lm_scores(frame(spark), most_words=most).collect()
-        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
-        scores.append(sorted((str(r.doc_id), r.score) for r in got))
-        assert all(r.score < 0 for r in got)
-    assert scores[0] == scores[1]
+    got = suffix_tree.lm_scores(frame(spark)).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert all(r.score < 0 for r in got)
+    nobody = suffix_tree.lm_scores(frame(spark).where("doc_id is not null"), folds=1, held_out=0).collect()
+    assert {(r.n_known, r.train_tokens) for r in nobody} == {(0, 0)} and all(r.held_out and r.score < 0 for r in nobody)
     assert suffix_tree.lm_scores(frame(spark, [])).count() == 0
 
 
