@@ -13,7 +13,9 @@ the sample chooses the temperature.
 What is sent to all executors is a table of FEATURES rows and as many columns as
 there are languages. Texts are never shuffled.
 
-Defined results: null text, or one without a letter, gets `und` with score 0;
+Defined results: null text, or one without a letter (of a Unicode category of
+letters), gets `und` with score 0; of languages with equal scores the first by
+name is given; texts of any length are whole;
 null languages are not learned from; without anything to learn from every text
 gets `und`; repeated rows get the same result; an empty table gives an empty
 result; other columns are never looked at.
@@ -21,14 +23,12 @@ result; other columns are never looked at.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, fold, pieces, staged
+from codegrain.llm.common import documents, fold, mapped, pieces, staged
 
 FOLDS, HELD_OUT = 3, 1
 FEATURES = 1 << 14
@@ -36,7 +36,6 @@ ORDERS = 3
 PER_LANGUAGE, EPOCHS = 400, 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.002, 0.01
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
@@ -57,6 +56,11 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, counts[at].astype(np.float64)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of a category of letters; numbers such as a half or a raised two aren't."""
+    return any(map(str.isalpha, text))
+
+
 def _frequencies(batches):
     """Documents that have a cell: a partial count for each task."""
     total, rows = np.zeros(FEATURES, np.int64), 0
@@ -124,7 +128,7 @@ def temperature(scores: np.ndarray, labels: np.ndarray) -> float:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """Languages, idf, weights and temperature, from rows (doc_id, text, lang) that may be learned from."""
-    counts = docs.select("text").mapInArrow(_frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    counts = mapped(docs.select("text"), _frequencies, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     df, total = np.zeros(FEATURES), 0
     for cell, n in counts:
         if cell < 0:
@@ -132,14 +136,14 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], n
         else:
             df[cell] = n
     idf = np.log((1 + total) / (1 + df)) + 1
-    # Ranked within language and shard: a language of a third of all rows isn't ranked in one task.
-    order = F.xxhash64("doc_id")
-    ids = docs.where("text is not null").select("doc_id", "lang", order.alias("o"))
-    shards = max(1, ids.count() // 100_000)
-    ids = ids.withColumn("shard", F.pmod("o", F.lit(shards)))
-    first = lambda df_, *by: df_.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("o", "doc_id"))).where(F.col("r") <= per_language)
-    sample = staged(first(first(ids, "lang", "shard"), "lang").select("doc_id").distinct(), "sample")
-    got = docs.join(F.broadcast(sample), "doc_id").select("lang", "text").mapInArrow(_examples, "lang string, cells binary, counts binary")
+    # The first by hash of each language. Only hashes so small that four times as many are expected
+    # are ranked, so that a language of a third of all rows isn't ranked in one task.
+    ids = docs.where("text is not null").select("doc_id", "lang", F.xxhash64("doc_id").alias("o"))
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    low = (F.col("o") / 2.0**64 + 0.5) * F.col("n") <= 4.0 * per_language
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "doc_id"))
+    sample = staged(ids.join(F.broadcast(sizes), "lang").where(low).withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id").distinct(), "sample")
+    got = mapped(docs.join(F.broadcast(sample), "doc_id").select("lang", "text"), _examples, "lang string, cells binary, counts binary")
     examples = sorted(map(tuple, got.collect()))
     langs = sorted({x[0] for x in examples})
     rows = []
@@ -165,7 +169,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in pieces(batches, "text"):
             guess, score = [], []
             for text in batch.column("text").to_pylist():
-                if not langs or not text or not _LETTER.search(text):
+                if not langs or not text or not has_letter(text):
                     guess.append(UNKNOWN)
                     score.append(0.0)
                     continue
@@ -175,7 +179,7 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 score.append(float(p[i]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(guess, pa.string()), pa.array(score, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return mapped(rows.select("doc_id", "held_out", "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
