@@ -22,10 +22,9 @@ has its score there.
 Documents are scored in blocks of BLOCK bytes: a block asks for its distinct runs,
 sorted and dealt to buckets by hash; a bucket answers with scores in the order
 asked, and the answers meet the block's texts again, which look each symbol's run
-up in a table of their own.
-
-The base score needs every word's count. Up to MOST_WORDS distinct words the
-counts are broadcast; beyond, each document's words are joined with them.
+up in a table of their own. The base score needs every word's count, which is
+asked for in the same way. Nothing that grows with the corpus is collected or
+broadcast.
 
 Defined results: null text is empty and has the end alone; rows without an id
 train; with no training rows every count is 0; repeated rows count each; texts
@@ -42,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import _LOWER, documents, fold, mapped, mix, pieces, release, row_key, staged, utf8, word_hashes
+from codegrain.llm.common import _LOWER, documents, fold, mapped, mix, pieces, release, staged, utf8, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 5
@@ -56,10 +55,10 @@ BLOCK = 32 << 20
 RUNS, ASKED = 500_000, 10_000_000
 #: Pseudo-counts that a context takes from its parent.
 TRUST = 16.0
-MOST_WORDS = 6_000_000
 _START, _END = 0xFE, 0xFF
-#: The end's code among words.
-END_WORD = np.uint64(0x1D8AF066E6F4C3A9)
+#: The end's code among words; codes have 63 bits.
+END_WORD = 0x1D8AF066E6F4C3A9
+_POSITIVE = np.uint64((1 << 63) - 1)
 
 
 def _symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -81,6 +80,12 @@ def _runs(symbols: np.ndarray) -> np.ndarray:
     return code[symbols[DEPTH:] != _START]
 
 
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all words, and each row's bounds among them."""
+    codes, bounds = word_hashes(*utf8(column))
+    return (codes & _POSITIVE).view(np.int64), bounds
+
+
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(key, kind="stable")
@@ -115,14 +120,14 @@ def _counts(batches):
                 size += len(k)
             if not batch.num_rows:
                 continue
-        words, _ = word_hashes(*utf8(batch.column("text")))
-        for (keys, n), code in zip(held, (words.view(np.int64), _runs(_symbols(batch.column("text"))[0]))):
+        words, _ = _words(batch.column("text"))
+        for (keys, n), code in zip(held, (words, _runs(_symbols(batch.column("text"))[0]))):
             k, c = np.unique(code, return_counts=True)
             keys.append(k)
             n.append(c)
             size += len(k)
         keys, n = held[0]
-        keys.append(np.array([END_WORD]).view(np.int64))
+        keys.append(np.array([END_WORD]))
         n.append(np.array([batch.num_rows]))
         if size > 3_000_000:
             yield from out()
@@ -335,20 +340,28 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).cumsum().astype(np.int64)
 
 
+def _wanted(column: pa.Array, kind: int) -> np.ndarray:
+    """The distinct words (kind 0, the end included) or symbol runs (kind 1) of some texts."""
+    return np.unique(np.append(_words(column)[0], END_WORD) if kind == 0 else _runs(_symbols(column)[0]))
+
+
 def _asked(batches, buckets: int):
-    """block, bucket, m, keys: the distinct runs of each block by bucket, sorted and packed."""
-    at, keys = None, []
+    """block, kind, bucket, m, keys: what each block asks for, by bucket, sorted and packed."""
+    at, keys = None, ([], [])
 
     def out():
-        if keys:
-            key = np.unique(np.concatenate(keys))
+        for kind, held in enumerate(keys):
+            if not held:
+                continue
+            key = np.unique(np.concatenate(held))
             bucket = _bucket(key, buckets)
             order = np.argsort(bucket, kind="stable")
             key, bucket = key[order], bucket[order]
             first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
             parts = np.split(key, first[1:])
-            arrays = [pa.array(np.full(len(parts), at)), pa.array(bucket[first]), pa.array([len(p) for p in parts], pa.int64()), pa.array([_packed(p) for p in parts], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["block", "bucket", "m", "keys"])
+            n = len(parts)
+            arrays = [pa.array(np.full(n, at)), pa.array(np.full(n, kind, np.int32)), pa.array(bucket[first]), pa.array([len(p) for p in parts], pa.int64()), pa.array([_packed(p) for p in parts], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["block", "kind", "bucket", "m", "keys"])
 
     for batch in pieces(batches, "text"):
         blocks = batch.column("block").to_numpy()
@@ -356,29 +369,34 @@ def _asked(batches, buckets: int):
         for a, b in zip(first, [*first[1:], len(blocks)]):
             if blocks[a] != at:
                 yield from out()
-                at, keys = int(blocks[a]), []
-            keys.append(np.unique(_runs(_symbols(batch.column("text").slice(a, b - a))[0])))
-            if len(keys) == 8:
-                keys = [np.unique(np.concatenate(keys))]
+                at, keys = int(blocks[a]), ([], [])
+            for kind, held in enumerate(keys):
+                held.append(_wanted(batch.column("text").slice(a, b - a), kind))
+                if len(held) == 8:
+                    held[:] = [np.unique(np.concatenate(held))]
     yield from out()
 
 
-def _answers(scores: pa.Table, asked: pa.Table) -> pa.Table:
-    """block, keys as asked, scores of what was asked of a bucket, in the order of the keys."""
-    key = scores.column("key").to_numpy()
+def _answers(table: pa.Table, asked: pa.Table) -> pa.Table:
+    """block, kind, keys as asked, values of what was asked of a bucket, in the order of the keys; 0 for what it hasn't."""
+    key = table.column("key").to_numpy()
     order = np.argsort(key)
-    key, value = key[order], scores.column("score").to_numpy()[order]
-    found = [value[np.searchsorted(key, _unpacked(x.as_py()))].astype("<f4").tobytes() for x in asked.column("keys")]
-    return pa.table({"block": asked.column("block"), "keys": asked.column("keys"), "scores": pa.array(found, pa.binary())})
+    key, value = np.append(key[order], -1), np.append(table.column("value").to_numpy()[order], 0.0)
+    found = []
+    for x in asked.column("keys"):
+        wanted = _unpacked(x.as_py())
+        at = np.searchsorted(key[:-1], wanted)
+        found.append(np.where(key[at] == wanted, value[at], 0.0).astype("<f8").tobytes())
+    return pa.table({"block": asked.column("block"), "kind": asked.column("kind"), "keys": asked.column("keys"), "values": pa.array(found, pa.binary())})
 
 
-def _answered(rows: DataFrame, scores: DataFrame) -> DataFrame:
-    """block, keys, scores: the answers to all blocks of ``rows``."""
+def _answered(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """block, kind, keys, values: the answers to all blocks of ``rows`` from ``table`` (kind, key, value)."""
     spark = rows.sparkSession
-    scores = staged(scores, "run-scores")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), scores.count() // RUNS)
-    asked = staged(mapped(rows.select("block", "text"), lambda batches: _asked(batches, buckets), "block long, bucket long, m long, keys binary"), "asked")
-    # So many parts of a bucket that a part is asked for ASKED runs, about.
+    table = staged(table, "values")
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.count() // RUNS)
+    asked = staged(mapped(rows.select("block", "text"), lambda batches: _asked(batches, buckets), "block long, kind int, bucket long, m long, keys binary"), "asked")
+    # So many parts of a bucket that a part is asked for ASKED keys, about.
     salts = 1 + (asked.agg(F.sum("m")).first()[0] or 0) // buckets // ASKED
 
     def dealt(batches):
@@ -386,18 +404,19 @@ def _answered(rows: DataFrame, scores: DataFrame) -> DataFrame:
             bucket = _bucket(batch.column("key").to_numpy(), buckets)
             yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", *batch.schema.names])
 
-    own = mapped(scores, dealt, "bucket long, key long, score float").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    own = mapped(table.select("kind", "key", "value"), dealt, "bucket long, kind int, key long, value double").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     asked = asked.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int"))
-    return own.groupBy("bucket", "salt").cogroup(asked.groupBy("bucket", "salt")).applyInArrow(_answers, "block long, keys binary, scores binary")
+    by = ("kind", "bucket", "salt")
+    return own.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(_answers, "block long, kind int, keys binary, values binary")
 
 
 class Scores:
-    """A table of runs' scores with open addressing: a look-up touches a slot or two instead of a search through all keys."""
+    """A table of values by key with open addressing: a look-up touches a slot or two instead of a search through all keys."""
 
     def __init__(self, key: np.ndarray, score: np.ndarray) -> None:
         bits = max(8, int(4 * len(key)).bit_length())
         self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
-        self.key, self.score = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.float32)
+        self.key, self.score = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
         slot, left = self._slot(key), np.arange(len(key))
         while len(left):
             at = slot[left]
@@ -412,7 +431,7 @@ class Scores:
         return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
 
     def of(self, key: np.ndarray) -> np.ndarray:
-        """The scores of keys that the table has."""
+        """The values of keys that the table has."""
         slot = self._slot(key)
         missed = np.flatnonzero(self.key[slot] != key)
         while len(missed):
@@ -429,92 +448,53 @@ def _sums(column: pa.Array, scores: Scores) -> np.ndarray:
     return np.add.reduceat(own, starts - DEPTH)
 
 
-_SCORED = "doc_id long, held_out boolean, k binary, n_tokens long, n_known long, logs double, score double"
-
-
-def _word_rows(batches):
-    """A row for each distinct word of each document: k, key, n."""
-    for batch in pieces(batches, "text", 2 << 20):
-        codes, bounds = word_hashes(*utf8(batch.column("text")))
-        for k, a, b in zip(batch.column("k").to_pylist(), bounds[:-1], bounds[1:]):
-            key, n = np.unique(np.append(codes[a:b], END_WORD).view(np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(key), pa.binary()), pa.array(key), pa.array(n)], ["k", "key", "n"])
-
-
-def _joined(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """k, logs, n_known of each document by a join of its words with all words' counts."""
-    own = mapped(rows.select("k", "text").dropDuplicates(["k"]), _word_rows, "k binary, key long, n long")
-    both = own.join(words.withColumnRenamed("n", "c"), "key", "left")
-    return both.groupBy("k").agg(F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("logs"), F.coalesce(F.sum(F.when(F.col("c").isNotNull(), F.col("n"))), F.lit(0)).alias("n_known"))
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double"
 
 
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT, most_words: int = MOST_WORDS) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = FOLDS, held_out: int = HELD_OUT) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    context = docs.sparkSession.sparkContext
-    rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == held_out).alias("held_out"), row_key(id_col, text_col).alias("k"), F.col(text_col).alias("text"))
-    rows = staged(mapped(rows, _blocked, "block long, doc_id long, held_out boolean, k binary, text string"), "blocks", "zstd")
+    rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds) == held_out).alias("held_out"), F.col(text_col).alias("text"))
+    rows = staged(mapped(rows, _blocked, "block long, doc_id long, held_out boolean, text string"), "blocks", "zstd")
     counts = mapped(rows.select("held_out", "text"), _counts, "kind int, key long, n long")
     counts = staged(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.where("kind = 0").select("key", "n")
     n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    answers = _answered(rows, run_scores(counts.where("kind = 1").select("key", "n")))
-    few = n_words <= most_words
-    known = context.broadcast(_table(words)) if few else None
-
-    def logs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10(count + 1) and whether the count isn't 0."""
-        key, n = known.value
-        if not len(key):
-            return np.zeros(len(codes)), np.zeros(len(codes), bool)
-        one, back = np.unique(codes, return_inverse=True)
-        at = np.minimum(np.searchsorted(key, one), len(key) - 1)
-        there = key[at] == one
-        return np.log10(np.where(there, n[at], 0) + 1.0)[back], there[back]
-
-    names = _SCORED.replace(",", "").split()[::2]
+    scores = run_scores(counts.where("kind = 1").select("key", "n"))
+    table = words.select(F.lit(0).alias("kind"), "key", F.col("n").cast("double").alias("value")).union(scores.select(F.lit(1), "key", F.col("score").cast("double")))
+    answers = _answered(rows, table)
+    kinds = dict(zip(_SCORED.replace(",", "").split()[::2], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())))
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
-        none = [np.zeros(0, np.int64)]
-        key = np.concatenate(none + [_unpacked(x.as_py()) for x in found.column("keys")])
-        value = np.frombuffer(b"".join(x.as_py() for x in found.column("scores")), "<f4")
-        own = list(scored_batches(texts.to_batches(), Scores(key, value)))
+        tables = []
+        for kind in (0, 1):
+            own = found.filter(pc.equal(found.column("kind"), kind))
+            key = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x.as_py()) for x in own.column("keys"))])
+            tables.append(Scores(key, np.frombuffer(b"".join(x.as_py() for x in own.column("values")), "<f8")))
+        done = list(scored_batches(texts.to_batches(), *tables))
+        del tables
         release()
-        return pa.Table.from_batches(own) if own else pa.table({c: pa.array([], t) for c, t in zip(names, (pa.int64(), pa.bool_(), pa.binary(), *[pa.int64()] * 2, *[pa.float64()] * 2))})
+        return pa.Table.from_batches(done) if done else pa.table({c: pa.array([], t) for c, t in kinds.items()})
 
-    def scored_batches(batches, scores):
+    def scored_batches(batches, word_counts, scores):
+        end = word_counts.of(np.array([END_WORD]))[0]
         for batch in pieces(batches, "text"):
-            codes, bounds = word_hashes(*utf8(batch.column("text")))
+            codes, bounds = _words(batch.column("text"))
+            count = word_counts.of(codes)
             n = np.diff(bounds) + 1
-            held, value = np.zeros(len(n), np.int64), np.zeros(len(n))
-            if few:
-                own, there = logs(np.append(codes, END_WORD).view(np.int64))
-                full = np.flatnonzero(n > 1)
-                if len(full):
-                    value[full] = np.add.reduceat(own[:-1], bounds[:-1][full])
-                    held[full] = np.add.reduceat(there[:-1].astype(np.int64), bounds[:-1][full])
-                value += own[-1]
-                held += int(there[-1])
+            known, value = np.full(len(n), int(end > 0)), np.full(len(n), np.log10(end + 1.0))
+            full = np.flatnonzero(n > 1)
+            if len(full):
+                value[full] += np.add.reduceat(np.log10(count + 1.0), bounds[:-1][full])
+                known[full] += np.add.reduceat((count > 0).astype(np.int64), bounds[:-1][full])
             score = _sums(batch.column("text"), scores)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "k")), *map(pa.array, (n, held, value, score))], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (n, known, value, score))], list(kinds))
 
     scored = rows.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, _SCORED)
-    if not few:
-        scored = scored.drop("logs", "n_known").join(_joined(rows, words), "k")
     share = float(np.log10(n_tokens + n_words + 1))
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * F.lit(share)).alias("base_score"), "score"
     )
 
 
-def _table(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Words' codes, sorted, and their counts."""
-    table = words.toArrow()
-    key = table.column("key").to_numpy()
-    order = np.argsort(key)
-    n = table.column("n").to_numpy()
-    del table
-    return key[order], (n.astype(np.int32) if n.max(initial=0) < 2**31 else n)[order]
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(documents(spark, sf_dir))
