@@ -40,7 +40,7 @@ def _redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, placed in sequences, a null text as an empty one; fewer token parts are kept, as earlier stages share the executors' memory."""
-    return packing.pack(docs, kept=150_000)
+    return packing.pack(docs, kept=40_000)
 
 
 STAGES = [("quality_rules", _quality), ("near_dup", _near_dup), ("decontaminate", _decontaminate), ("pii", _redact), ("packing", _pack)]
