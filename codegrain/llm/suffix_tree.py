@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import _LOWER, documents, fold, mapped, mix, pieces, release, staged, utf8, word_hashes
+from codegrain.llm.common import _LOWER, documents, dropped, fold, mapped, mix, pieces, release, staged, utf8, word_hashes
 
 FOLDS, HELD_OUT = 7, 2
 DEPTH = 5
@@ -391,9 +391,8 @@ def _answers(table: pa.Table, asked: pa.Table) -> pa.Table:
 
 
 def _answered(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """block, kind, keys, values: the answers to all blocks of ``rows`` from ``table`` (kind, key, value)."""
+    """block, kind, keys, values: the answers to all blocks of ``rows`` from the staged ``table`` (kind, key, value)."""
     spark = rows.sparkSession
-    table = staged(table, "values")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table.count() // RUNS)
     asked = staged(mapped(rows.select("block", "text"), lambda batches: _asked(batches, buckets), "block long, kind int, bucket long, m long, keys binary"), "asked")
     # So many parts of a bucket that a part is asked for ASKED keys, about.
@@ -461,6 +460,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     n_words, n_tokens = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     scores = run_scores(counts.where("kind = 1").select("key", "n"))
     table = words.select(F.lit(0).alias("kind"), "key", F.col("n").cast("double").alias("value")).union(scores.select(F.lit(1), "key", F.col("score").cast("double")))
+    table = staged(table, "values")
+    dropped(counts, scores)
     answers = _answered(rows, table)
     kinds = dict(zip(_SCORED.replace(",", "").split()[::2], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())))
 
