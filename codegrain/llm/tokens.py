@@ -36,7 +36,7 @@ SPLITS = {
     "post_processor": None,
 }
 #: Parts and runs kept at most, some 400 bytes for both, and characters of one that is kept.
-KEPT, _LONG = 400_000, 64
+KEPT, _LONG = 120_000, 64
 #: A part of printable ASCII but the apostrophe, and of Latin letters with accents, which normalising leaves but for case.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*", re.ASCII)
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
@@ -52,9 +52,10 @@ class PartEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        config = json.loads(self._tokenizer.to_str())
+        # Of these parts alone: the whole configuration has the vocabulary in it.
+        config = {k: json.loads(part.__getstate__()) if (part := getattr(self._tokenizer, k)) is not None else None for k in SPLITS}
         #: Whether parts may be encoded one by one.
-        self.by_parts = all(config.get(k) == v for k, v in SPLITS.items()) and config["model"].get("end_of_word_suffix") == "</w>"
+        self.by_parts = config == SPLITS and getattr(self._model, "end_of_word_suffix", None) == "</w>"
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         chars = [chr(c) for c in (*range(33, 127), *range(192, 256))]
         self._bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in chars}
