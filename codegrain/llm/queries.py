@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from codegrain.llm import (
     decontaminate,
+    fill_middle,
     language_id,
     near_dup,
     packing,
@@ -13,6 +14,7 @@ from codegrain.llm import (
     repeats,
     suffix_tree,
     token_counts,
+    token_files,
 )
 
 MODULES = {
@@ -26,6 +28,8 @@ MODULES = {
     "op8_packing": packing,
     "op9_near_dup": near_dup,
     "op10_repeats": repeats,
+    "op11_token_files": token_files,
+    "op13_fill_middle": fill_middle,
 }
 
 

@@ -15,6 +15,7 @@ Defined results: an empty text has no ids; a text of any length is taken whole.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -77,6 +78,11 @@ class PartEncoder:
         _OPEN[path]._kept = kept
         return _OPEN[path]
 
+    @functools.cached_property
+    def largest(self) -> int:
+        """The largest id."""
+        return max(self._tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+
     def _run_ids(self, run: str) -> bytes:
         got = self._runs.get(run)
         if got is None:
