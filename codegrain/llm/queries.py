@@ -8,6 +8,7 @@ from codegrain.llm import (
     language_id,
     near_dup,
     packing,
+    phrases,
     pii,
     quality_model,
     quality_rules,
@@ -29,6 +30,7 @@ MODULES = {
     "op9_near_dup": near_dup,
     "op10_repeats": repeats,
     "op11_token_files": token_files,
+    "op12_phrases": phrases,
     "op13_fill_middle": fill_middle,
 }
 
