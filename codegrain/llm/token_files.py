@@ -50,15 +50,13 @@ MAGIC = b"CGTOKEN1"
 _HEADER = struct.Struct("<8sIIIIQQQQq")
 
 
-def dump(coded: list[bytes], doc_ids: list[int | None], width: int, part: int, seq: int, before: int) -> bytes:
-    """A file's bytes. ``coded``: each document's ids as little-endian 32-bit numbers; ``doc_ids`` in order, nulls first."""
-    ids = np.frombuffer(b"".join(coded), "<u4")
-    ends = np.cumsum([len(c) // 4 for c in coded])
+def dump(ids: np.ndarray, ends: np.ndarray, doc_ids: list[int | None], width: int, part: int, seq: int, before: int) -> bytes:
+    """A file's bytes, from all ids in a row and where each document ends among them; ``doc_ids`` in order, nulls first."""
     known = [i for i in doc_ids if i is not None]
     least = known[0] if known else 0
-    body = ids.astype("<u2").tobytes() if width == 2 else ids.tobytes()
+    body = ids.astype(f"<u{width}").tobytes()
     named = np.array([i - least for i in known], np.uint64)
-    head = _HEADER.pack(MAGIC, width, part, seq, 0, len(coded), len(ids), before, len(coded) - len(known), least)
+    head = _HEADER.pack(MAGIC, width, part, seq, 0, len(doc_ids), len(ids), before, len(doc_ids) - len(known), least)
     return b"".join([head, body, b"\0" * (-len(body) % 8), EliasFano.dump(ends), EliasFano.dump(named)])
 
 
@@ -100,28 +98,33 @@ class TokenFile:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, file_ids: int = FILE_IDS, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode all documents into files of the new folder ``path``; returns the table of files, which is kept in ``path/_files``."""
     spark = docs.sparkSession
-    last = struct.pack("<I", end)
 
     def run(batches):
         encoder = PartEncoder.of(tokenizer, kept)
         width = 2 if max(encoder.largest, end) < 1 << 16 else 4
         part, seq, before, n = TaskContext.get().partitionId(), 0, 0, 0
-        coded, named = [], []
+        held, named = [], []  # (ids, ends among all of the file) and document ids
 
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([dump(coded, named, width, part, seq, before)], pa.binary())], ["file"])
-
-        for batch in pieces(batches, "text"):
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                one = encoder.ids(text or "") + last
-                if coded and n + len(one) // 4 > file_ids:
+            file = dump(np.concatenate([ids for ids, _ in held]), np.concatenate([ends for _, ends in held]), named, width, part, seq, before)
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], ["file"])
+
+        for batch in pieces(batches, "text", 4 << 20):
+            ids, at = encoder.batch_ids(batch.column("text"))
+            ids, at = np.insert(ids, at[1:], end), at + np.arange(len(at))
+            doc_ids, i = batch.column("doc_id").to_pylist(), 0
+            while i < len(doc_ids):
+                # The documents that fit into the file, one at least if it is empty.
+                j = max(i + (not named), int(np.searchsorted(at, at[i] + file_ids - n, side="right")) - 1)
+                if j > i:
+                    held.append((ids[at[i] : at[j]], at[i + 1 : j + 1] - at[i] + n))
+                    named.extend(doc_ids[i:j])
+                    n, i = n + int(at[j] - at[i]), j
+                if i < len(doc_ids):
                     yield row()
                     seq, before, n = seq + 1, before + n, 0
-                    coded, named = [], []
-                coded.append(one)
-                named.append(doc_id)
-                n += len(one) // 4
-        if coded:
+                    held, named = [], []
+        if named:
             yield row()
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("_tie", F.xxhash64("text"))

@@ -22,6 +22,9 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
+
+from codegrain.llm.common import utf8
 
 TOKENIZER = "word_bpe_49k.json"
 # How a vocabulary normalises and splits for which parts may be encoded one by one.
@@ -36,14 +39,37 @@ SPLITS = {
     },
     "post_processor": None,
 }
-#: Parts and runs kept at most, some 400 bytes for both, and characters of one that is kept.
-KEPT, _LONG = 120_000, 64
+#: Parts and runs kept at most, some 400 bytes for both, those kept until there are as many newer ones, and characters of one that is kept.
+KEPT, RECENT, _LONG = 120_000, 20_000, 64
 #: A part of printable ASCII but the apostrophe, and of Latin letters with accents, which normalising leaves but for case.
 _PLAIN = re.compile(r"[!-&(-~À-ÖØ-öø-ÿ]*", re.ASCII)
 _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: The same for parts in lines.
+_PLAIN_LINES = re.compile(r"[\n!-&(-~À-ÖØ-öø-ÿ]*", re.ASCII)
+_LINE_RUNS = re.compile(r"\n|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
 _OPEN: dict[str, "PartEncoder"] = {}
 
 
+class _Values(dict):
+    """Values of parts: the first ``most`` stay, as what is frequent comes early; others until RECENT newer ones have come."""
+
+    def __init__(self, value, most: int) -> None:
+        self.value, self.most, self.recent = value, most, {}
+
+    def __missing__(self, part: str):
+        got = self.recent.get(part)
+        if got is None:
+            got = self.value(part)
+            if len(part) <= _LONG:
+                if len(self) < self.most:
+                    self[part] = got
+                else:
+                    if len(self.recent) >= RECENT:
+                        self.recent.clear()
+                    self.recent[part] = got
+        return got
+
+
 class PartEncoder:
     """Ids (and places) of texts by a tokenizer, part by part where it drops white space as SPLITS has it."""
 
@@ -60,11 +86,8 @@ class PartEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         chars = [chr(c) for c in (*range(33, 127), *range(192, 256))]
         self._bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in chars}
-        self._kept = KEPT
-        self._ids: dict[str, bytes] = {"": b""}
-        self._spans: dict[str, bytes] = {"": b""}
-        self._runs: dict[str, bytes] = {}
-        self._run_spans: dict[str, list[tuple[int, int]]] = {}
+        self._ids, self._spans = _Values(self._part_ids, KEPT), _Values(self._part_spans, KEPT)
+        self._runs, self._run_spans = _Values(self._run_ids, KEPT), _Values(self._places, KEPT)
 
     @classmethod
     def of(cls, path: str | None, kept: int = KEPT) -> "PartEncoder":
@@ -75,8 +98,10 @@ class PartEncoder:
             path = public_tokenizers.path(TOKENIZER)
         if path not in _OPEN:
             _OPEN[path] = cls(path)
-        _OPEN[path]._kept = kept
-        return _OPEN[path]
+        encoder = _OPEN[path]
+        for values in (encoder._ids, encoder._spans, encoder._runs, encoder._run_spans):
+            values.most = kept
+        return encoder
 
     @functools.cached_property
     def largest(self) -> int:
@@ -84,64 +109,91 @@ class PartEncoder:
         return max(self._tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
 
     def _run_ids(self, run: str) -> bytes:
-        got = self._runs.get(run)
-        if got is None:
-            ids = [t.id for t in self._model.tokenize(run.translate(self._bytes))]
-            got = struct.pack(f"<{len(ids)}I", *ids)
-            if len(run) <= _LONG and len(self._runs) < self._kept:
-                self._runs[run] = got
-        return got
+        ids = [t.id for t in self._model.tokenize(run.translate(self._bytes))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _places(self, run: str) -> list[tuple[int, int]]:
-        got = self._run_spans.get(run)
-        if got is None:
-            # One symbol for each byte; a token that has part of a character has it.
-            of_byte = [i for i, c in enumerate(run) for _ in self._bytes[ord(c)]]
-            at, got = 0, []
-            for t in self._model.tokenize(run.translate(self._bytes)):
-                n = len(t.value.removesuffix("</w>"))
-                got.append((of_byte[at], of_byte[at + n - 1] + 1))
-                at += n
-            if len(run) <= _LONG and len(self._run_spans) < self._kept:
-                self._run_spans[run] = got
+        # One symbol for each byte; a token that has part of a character has it.
+        of_byte = [i for i, c in enumerate(run) for _ in self._bytes[ord(c)]]
+        at, got = 0, []
+        for t in self._model.tokenize(run.translate(self._bytes)):
+            n = len(t.value.removesuffix("</w>"))
+            got.append((of_byte[at], of_byte[at + n - 1] + 1))
+            at += n
         return got
 
     def _part_ids(self, part: str) -> bytes:
         if _PLAIN.fullmatch(part) and "<|" not in part:
-            return b"".join(map(self._run_ids, _RUNS.findall(part.lower())))
+            return b"".join(map(self._runs.__getitem__, _RUNS.findall(part.lower())))
         ids = self._tokenizer.encode(part, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _part_spans(self, part: str) -> bytes:
         if _PLAIN.fullmatch(part) and "<|" not in part:
-            flat = [x + m.start() for m in _RUNS.finditer(part.lower()) for ab in self._places(m[0]) for x in ab]
+            flat = [x + m.start() for m in _RUNS.finditer(part.lower()) for ab in self._run_spans[m[0]] for x in ab]
         else:
             flat = [x for ab in self._tokenizer.encode(part, add_special_tokens=False).offsets for x in ab]
         return struct.pack(f"<{len(flat)}q", *flat)
 
-    def _cached(self, parts: list[str], cache: dict[str, bytes], value) -> list[bytes]:
-        new = set(parts).difference(cache)
-        if new:
-            own = {part: value(part) for part in new}
-            out = [cache[p] if p in cache else own[p] for p in parts]
-            if len(cache) < self._kept:  # what is frequent came early; a full cache stays as it is
-                cache.update(own if len(max(new, key=len)) <= _LONG else {k: v for k, v in own.items() if len(k) <= _LONG})
-            return out
-        return list(map(cache.__getitem__, parts))
-
     def ids(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
         if not self.by_parts:
             ids = self._tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        return b"".join(self._cached(text.replace("\n", " ").split(" "), self._ids, self._part_ids))
+        return b"".join(map(self._ids.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _of_all(self, parts: list[str]) -> list[bytes]:
+        """The ids of different parts; those that aren't kept are cut into runs all at once."""
+        got = list(map(self._ids.get, parts))
+        new = [i for i, ids in enumerate(got) if ids is None]
+        text = "\n".join([parts[i] for i in new])
+        if not _PLAIN_LINES.fullmatch(text) or "<|" in text:
+            for i in new:
+                got[i] = self._ids[parts[i]]
+            return got
+        runs = _LINE_RUNS.findall(text.lower())
+        values = list(map(self._runs.__getitem__, runs))
+        ends = [k for k, run in enumerate(runs) if run == "\n"]
+        start = 0
+        for i, end in zip(new, [*ends, len(runs)]):
+            got[i] = values[start] if end - start == 1 else b"".join(values[start:end])
+            start = end + 1
+        room = self._ids.most - len(self._ids)
+        if room > 0:
+            self._ids.update((parts[i], got[i]) for i in new[:room] if len(parts[i]) <= _LONG)
+        return got
+
+    def batch_ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column in a row, a null text as an empty one, and each text's bounds among them. Every different part is looked up once."""
+        if not self.by_parts:
+            each = [np.frombuffer(self.ids(t or ""), "<u4") for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
+        raw, bounds = utf8(texts)
+        solid = (raw != 32) & (raw != 10)
+        starts = solid.copy()
+        starts[1:] &= ~solid[:-1]
+        firsts = bounds[:-1][np.diff(bounds) > 0]
+        starts[firsts] = solid[firsts]
+        begin = np.flatnonzero(starts)
+        # Parts lie one behind the other once the gaps are left out.
+        filled = np.concatenate([np.zeros(1, np.int64), np.cumsum(solid)])
+        offsets = filled[np.append(begin, len(raw))]
+        coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(raw[solid])).dictionary_encode()
+        values = self._of_all(coded.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(values), "<u4")
+        n = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        of = coded.indices.to_numpy()
+        each = n[of]
+        before = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
+        shift = (np.cumsum(n) - n)[of] - before[:-1]
+        return flat[np.repeat(shift, each) + np.arange(before[-1])], before[np.searchsorted(begin, bounds)]
 
     def spans(self, text: str) -> np.ndarray:
         """First and end character of every token, in order."""
         if not self.by_parts:
             return np.array(self._tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
         parts = text.replace("\n", " ").split(" ")
-        found = self._cached(parts, self._spans, self._part_spans)
+        found = list(map(self._spans.__getitem__, parts))
         at = np.cumsum([0] + [len(p) + 1 for p in parts])[:-1]
         spans = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
         return spans + np.repeat(at, [len(f) // 16 for f in found])[:, None]

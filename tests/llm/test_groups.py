@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -125,6 +126,16 @@ def test_tokens_equal_whole_encoding(spark, sf_dir, tokenizer):
         assert encoder.spans(t).tolist() == [list(x) for x in whole.offsets]
 
 
+@pytest.mark.parametrize("vocabulary", [None, "byte_bpe_50k.json"])
+def test_tokens_of_a_column(spark, sf_dir, vocabulary):
+    encoder = tokens.PartEncoder.of(vocabulary and public_tokenizers.path(vocabulary))
+    texts = [None, *odd_texts(spark, sf_dir), "", None]
+    column = pa.concat_arrays([pa.array(["x", None]), pa.array(texts), pa.array(["y"])])[2:-1]
+    ids, at = encoder.batch_ids(column)
+    assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == [encoder.ids(t or "") for t in texts]
+    assert [x.tolist() for x in encoder.batch_ids(pa.array([], pa.string()))] == [[], [0]]
+
+
 def test_other_vocabularies_are_encoded_whole(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_50k.json")
     other, encoder = Tokenizer.from_file(path), tokens.PartEncoder.of(path)
