@@ -44,7 +44,7 @@ from codegrain.llm.common import documents, mapped, pieces, staged, utf8
 
 LEAST, TOP, WITHIN = 10, 2000, 50
 #: Bytes of a shard; nodes of a block; nodes of a range; words of a stretch's overlap.
-SHARD, BLOCK, RANGE, OVERLAP = 24 << 20, 1 << 16, 4 << 20, 2
+SHARD, BLOCK, RANGE, OVERLAP = 10 << 20, 1 << 16, 3 << 20, 2
 #: First nodes of blocks that bounds are drawn from, about, and bytes of one at most.
 DRAWN, KEY_BYTES = 50_000, 256
 #: Parts that the phrases ending in one word are dealt to.
@@ -146,12 +146,14 @@ def shard_nodes(stretches: list[tuple[str, np.ndarray, int]]) -> Nodes:
     fresh = np.arange(len(begin)) - first[of] >= np.array([s[2] for s in stretches], np.int64)[of]
     offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(end - begin)])
     coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(raw[solid])).dictionary_encode()
+    del raw, solid, starts, ends, offsets, end
     order = pc.sort_indices(coded.dictionary).to_numpy()
     words = coded.dictionary.take(pa.array(order))
     rank = np.empty(len(order), np.uint64)
     rank[order] = np.arange(len(order), dtype=np.uint64)
     w = rank[coded.indices.to_numpy()]
     lang = np.array([number[s[0]] for s in stretches], np.uint64)[of]
+    del begin, of, coded
     shift = np.uint64(32)
 
     k1, at1, _ = _distinct(lang << shift | w)
@@ -166,6 +168,7 @@ def shard_nodes(stretches: list[tuple[str, np.ndarray, int]]) -> Nodes:
     k3, at3, _ = _distinct(node2[i3] << shift | w[i3 + 2])
     n3 = np.bincount(at3[fresh[i3 + 2]], minlength=len(k3))
 
+    del at1, at2, at3, node2, i2, i3, w, lang, piece, go, fresh
     # Each node's place: its own level's nodes before it, and those of the other levels.
     up2, up3 = (k2 >> shift).astype(np.int64), (k3 >> shift).astype(np.int64)
     own1, own2, own3 = (np.arange(len(k)) for k in (k1, k2, k3))
