@@ -40,13 +40,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, mapped, pieces, staged, utf8
+from codegrain.llm.common import documents, mapped, pieces, release, staged, utf8
 
 LEAST, TOP, WITHIN = 10, 2000, 50
 #: Bytes of a shard; nodes of a block; nodes of a range; words of a stretch's overlap.
 SHARD, BLOCK, RANGE, OVERLAP = 10 << 20, 1 << 16, 3 << 20, 2
 #: First nodes of blocks that bounds are drawn from, about, and bytes of one at most.
 DRAWN, KEY_BYTES = 50_000, 256
+#: Bits of a key that numbers of fixed size can hold.
+KEY_BITS = 64
 #: Parts that the phrases ending in one word are dealt to.
 SALTS = 16
 
@@ -105,16 +107,23 @@ class Nodes:
         return sink.getvalue().to_pybytes()
 
     @staticmethod
-    def load(raw) -> "Nodes":
-        with pa.ipc.open_stream(raw) as stream:
+    def load(raw, fields: tuple[str, ...] | None = None) -> "Nodes":
+        """Nodes from their bytes; of the fields that aren't asked for nothing is unpacked."""
+        names = ("langs", "lang", "w", "n", "words")
+        wanted = [names.index(f) for f in fields or names]
+        with pa.ipc.open_stream(raw, options=pa.ipc.IpcReadOptions(included_fields=wanted)) as stream:
             batch = stream.read_next_batch()
-        langs, lang, w, n = (batch.column(c)[0] for c in ("langs", "lang", "w", "n"))
-        lang = np.frombuffer(lang.as_buffer(), "<u4")
-        wide = np.zeros((len(lang), 8), np.uint8)
-        if len(lang):
-            few = np.frombuffer(n.as_buffer(), np.uint8).reshape(len(lang), -1)
-            wide[:, : few.shape[1]] = few
-        return Nodes(langs.values, batch.column("words").flatten(), lang, np.frombuffer(w.as_buffer(), "<u4").reshape(3, -1), wide.view("<u8").ravel().astype(np.int64))
+        get = lambda f: batch.column(f)[0] if f in batch.schema.names else None
+        langs, lang, w, n = map(get, names[:4])
+        numbers = (None,) * 3
+        if lang is not None:
+            lang = np.frombuffer(lang.as_buffer(), "<u4")
+            wide = np.zeros((len(lang), 8), np.uint8)
+            if len(lang):
+                few = np.frombuffer(n.as_buffer(), np.uint8).reshape(len(lang), -1)
+                wide[:, : few.shape[1]] = few
+            numbers = lang, np.frombuffer(w.as_buffer(), "<u4").reshape(3, -1), wide.view("<u8").ravel().astype(np.int64)
+        return Nodes(langs and langs.values, batch.column("words").flatten() if "words" in batch.schema.names else None, *numbers)
 
 
 def _bytes(key: tuple) -> tuple:
@@ -303,40 +312,58 @@ def ranges(blocks: DataFrame, cuts: list[tuple[str, str, str, str]]) -> DataFram
     return mapped(blocks.select("block"), run, "part int, above boolean, block binary")
 
 
-def _merged(runs: list[Nodes]) -> Nodes:
-    """The sorted runs as one, equal nodes added up."""
-    langs = sorted({x for r in runs for x in r.langs.to_pylist()}, key=str.encode)
+def _merged(runs: list) -> tuple[Nodes, np.ndarray, int]:
+    """The serialised, sorted runs as one, equal nodes added up; with the nodes' sorted keys and the bits of a word in them.
+
+    A key is a language's and three words' numbers in one, 64 bits if that is
+    enough and an unbounded integer if it isn't. Words are read first and
+    numbers run by run, so that a range is never there twice.
+    """
+    words = [Nodes.load(raw, ("langs", "words")) for raw in runs]
+    langs = sorted({x for r in words for x in r.langs.to_pylist()}, key=str.encode)
     number = {x: i for i, x in enumerate(langs)}
-    coded = pa.concat_arrays([r.words for r in runs]).dictionary_encode()
+    coded = pa.concat_arrays([r.words for r in words]).dictionary_encode()
+    sizes = [(len(r.words), np.array([number[x] for x in r.langs.to_pylist()], np.uint64)) for r in words]
+    del words
     order = pc.sort_indices(coded.dictionary).to_numpy()
-    rank = np.empty(len(order) + 1, np.uint32)
-    rank[order + 1], rank[0] = np.arange(1, len(order) + 1), 0
-    indices, at = coded.indices.to_numpy(), 0
-    hi, lo = [], []
-    for r in runs:
-        new = np.concatenate([np.zeros(1, np.uint64), rank[indices[at : at + len(r.words)] + 1].astype(np.uint64)])
-        own = np.array([number[x] for x in r.langs.to_pylist()], np.uint64)
-        at += len(r.words)
-        hi.append(own[r.lang] << np.uint64(32) | new[r.w[0]])
-        lo.append(new[r.w[1]] << np.uint64(32) | new[r.w[2]])
-    hi, lo, n = np.concatenate(hi), np.concatenate(lo), np.concatenate([r.n for r in runs])
-    by = np.lexsort((lo, hi))
-    hi, lo = hi[by], lo[by]
-    fresh = np.ones(len(hi), bool)
-    fresh[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
-    n = np.add.reduceat(n[by], np.flatnonzero(fresh)) if len(hi) else n
-    hi, lo = hi[fresh], lo[fresh]
-    low = np.uint64(0xFFFFFFFF)
-    return Nodes(pa.array(langs, pa.string()), coded.dictionary.take(pa.array(order)), (hi >> np.uint64(32)).astype(np.uint32), np.stack([hi & low, lo >> np.uint64(32), lo & low]).astype(np.uint32), n)
-
-
-def _walked(nodes: Nodes) -> tuple[np.ndarray, np.ndarray]:
-    """By node the count of its first word, and of its first two (0 for a node of one word)."""
-    depth = 1 + (nodes.w[1] > 0) + (nodes.w[2] > 0)
-    at = np.arange(len(nodes))
-    last = lambda d: np.maximum.accumulate(np.where(depth == d, at, -1))
-    one, two = last(1), last(2)
-    return nodes.n[one], np.where(depth > 1, nodes.n[two], 0)
+    rank = np.empty(len(order), np.uint64)
+    rank[order] = np.arange(1, len(order) + 1, dtype=np.uint64)
+    indices, sorted_words = coded.indices.to_numpy(), coded.dictionary.take(pa.array(order))
+    del coded, order
+    bits = len(rank).bit_length()
+    kind = np.uint64 if 3 * bits + len(langs).bit_length() <= KEY_BITS else object
+    keys, counts, at = [], [], 0
+    for raw, (n_words, own) in zip(runs, sizes):
+        r = Nodes.load(raw, ("lang", "w", "n"))
+        new = np.concatenate([np.zeros(1, np.uint64), rank[indices[at : at + n_words]]]).astype(kind)
+        key = own[r.lang].astype(kind)
+        for w in r.w:
+            key = key << kind(bits) | new[w] if kind is np.uint64 else (key << bits) | new[w]
+        keys.append(key)
+        counts.append(r.n)
+        at += n_words
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    del keys, counts
+    by = np.argsort(key)
+    key, n = key[by], n[by]
+    del by
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    key, n = key[fresh], np.add.reduceat(n, np.flatnonzero(fresh))
+    low = (1 << bits) - 1
+    part = lambda k: ((key >> kind(k * bits)) & kind(low) if kind is np.uint64 else (key >> k * bits) & low).astype(np.uint32)
+    lang = (key >> kind(3 * bits) if kind is np.uint64 else key >> 3 * bits).astype(np.uint32)
+    return Nodes(pa.array(langs, pa.string()), sorted_words, lang, np.stack([part(2), part(1), part(0)]), n), key, bits
+
+
+def _walked(nodes: Nodes, key: np.ndarray, bits: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the nodes at ``at`` the count of their first word, and of their first two (0 for a node of one word): up the trie, whose nodes lie in order."""
+    up = []
+    for words in (1, 2):
+        low = (3 - words) * bits
+        parent = key[at] >> np.uint64(low) << np.uint64(low) if key.dtype == np.uint64 else key[at] >> low << low
+        up.append(nodes.n[np.searchsorted(key, parent)])
+    return up[0], np.where(nodes.w[1, at] > 0, up[1], 0)
 
 
 def merge(dealt: DataFrame, least: int = LEAST) -> DataFrame:
@@ -344,11 +371,10 @@ def merge(dealt: DataFrame, least: int = LEAST) -> DataFrame:
     schema = "lang string, w1 string, w2 string, w3 string, f long, f1 long, f12 long"
 
     def run(table: pa.Table) -> pa.Table:
-        above, runs = table.column("above").to_pylist(), [Nodes.load(raw.as_buffer()) for raw in table.column("block")]
-        nodes = _merged(runs)
-        f1, f12 = _walked(nodes)
+        above, runs = table.column("above").to_pylist(), [raw.as_buffer() for raw in table.column("block")]
+        nodes, keys, bits = _merged(runs)
         # Nodes above the bound belong to other ranges.
-        lent = {run.key(0) for run, up in zip(runs, above) if up}
+        lent = {Nodes.load(run).key(0) for run, up in zip(runs, above) if up}
         mine = np.ones(len(nodes), bool)
         for key in lent:
             mine[nodes.place(key)] = False
@@ -356,14 +382,21 @@ def merge(dealt: DataFrame, least: int = LEAST) -> DataFrame:
         single = mine & (nodes.w[1] == 0)
         np.add.at(totals, nodes.lang[single], nodes.n[single])
         keep = np.flatnonzero(mine & (nodes.n >= least))
+        f1, f12 = _walked(nodes, keys, bits, keep)
         w = [nodes.words.take(pa.array(nodes.w[k, keep].astype(np.int64) - 1, mask=nodes.w[k, keep] == 0)).cast(pa.string()) for k in range(3)]
         some = np.flatnonzero(totals)
         none, zero = pa.nulls(len(some), pa.string()), pa.array(np.zeros(len(some), np.int64))
         table = lambda *columns: pa.Table.from_arrays(list(columns), ["lang", "w1", "w2", "w3", "f", "f1", "f12"])
-        kept = table(nodes.langs.take(pa.array(nodes.lang[keep])), *w, *[pa.array(x[keep].astype(np.int64)) for x in (nodes.n, f1, f12)])
+        kept = table(nodes.langs.take(pa.array(nodes.lang[keep])), *w, *[pa.array(x.astype(np.int64)) for x in (nodes.n[keep], f1, f12)])
         return pa.concat_tables([kept, table(nodes.langs.take(pa.array(some)), none, none, none, pa.array(totals[some]), zero, zero)])
 
-    return dealt.groupBy("part").applyInArrow(run, schema)
+    def lean(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            release()
+
+    return dealt.groupBy("part").applyInArrow(lean, schema)
 
 
 # ---------------------------------------------------------------- scores

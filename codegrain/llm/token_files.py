@@ -16,9 +16,10 @@ A file, all numbers little-endian:
     doc ids  Elias-Fano: document ids less the least one
     a newline, which the text writer adds and readers leave out
 
-A reader gets any document's place by two select() calls. A small table beside
-the files (``_files``) names them with their first and last id and the number of
-ids before each; readers of everything need of it the sums by range alone.
+A reader gets any document's place by two select() calls. Files know the ids
+before them in their range, so that of all others only the ranges' sums are
+needed: digests() takes them from what it reads, and the other readers from a
+small table of the files that the first of them puts beside these (``_files``).
 
 Defined results: a null text is empty, and has the end id alone; null ids come
 first; repeated ids stand beside each other; texts of any length are encoded
@@ -39,9 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, mapped, pieces, shared_dir, staged
+from codegrain.llm.common import documents, dropped, mapped, pieces, shared_dir, staged
 from codegrain.llm.succinct import EliasFano
 from codegrain.llm.tokens import KEPT, PartEncoder
+from codegrain.sources.records import exists
 
 END = 1
 #: Ids of a file, about; 16 MB.
@@ -82,6 +84,11 @@ class TokenFile:
     def doc_ids(self) -> list[int | None]:
         return [None] * self.n_null + [x + self.least for x in self._named.select(np.arange(self.n_docs - self.n_null)).tolist()]
 
+    def id_range(self) -> tuple[int | None, int | None]:
+        """The first and the last document id that isn't null."""
+        n = self._named.n
+        return tuple(x + self.least for x in self._named.select(np.array([0, n - 1])).tolist()) if n else (None, None)
+
     def ids(self, start: int, end: int) -> np.ndarray:
         return self._ids[start:end].astype("<u4")
 
@@ -95,9 +102,8 @@ class TokenFile:
         return out
 
 
-def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, file_ids: int = FILE_IDS, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode all documents into files of the new folder ``path``; returns the table of files, which is kept in ``path/_files``."""
-    spark = docs.sparkSession
+def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, file_ids: int = FILE_IDS, kept: int = KEPT, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode all documents into files of the new folder ``path``."""
 
     def run(batches):
         encoder = PartEncoder.of(tokenizer, kept)
@@ -109,7 +115,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
             file = dump(np.concatenate([ids for ids, _ in held]), np.concatenate([ends for _, ends in held]), named, width, part, seq, before)
             return pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], ["file"])
 
-        for batch in pieces(batches, "text", 4 << 20):
+        for batch in pieces(batches, "text", 8 << 20):
             ids, at = encoder.batch_ids(batch.column("text"))
             ids, at = np.insert(ids, at[1:], end), at + np.arange(len(at))
             doc_ids, i = batch.column("doc_id").to_pylist(), 0
@@ -131,8 +137,6 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
     ordered = ordered.repartitionByRange(F.asc_nulls_first("doc_id"), "_tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "_tie").select("doc_id", "text")
     # A string column is bytes to Spark's text writer, which adds one newline to each row.
     mapped(ordered, run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
-    _files(spark, path).write.parquet(f"{path}/_files")
-    return spark.read.parquet(f"{path}/_files")
 
 
 def _contents(spark: SparkSession, path: str) -> DataFrame:
@@ -140,34 +144,58 @@ def _contents(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 1").select("path", "content")
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    """By file: path, part, seq, n_docs, n_ids, first_doc, last_doc and start, the ids of all files before it."""
+def _with_base(rows: DataFrame, start: str, n: str) -> DataFrame:
+    """``rows`` (staged) whose ``start`` counts from the beginning of their range, counted from that of all. Ranges are as many as the partitions that wrote them."""
+    sizes = sorted(rows.groupBy("part").agg(F.max(F.col(start) + F.col(n))).collect())
+    bases = list(zip([p for p, _ in sizes], accumulate((n for _, n in sizes), initial=0)))
+    bases = F.broadcast(rows.sparkSession.createDataFrame(bases, "part long, _base long"))
+    return rows.join(bases, "part").withColumn(start, F.col("_base") + F.col(start)).drop("_base")
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for at, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
-                f = TokenFile(raw.as_buffer())
-                named = f._named.select(np.array([0, f._named.n - 1])).tolist() if f._named.n else []
-                out.append((at, f.part, f.seq, f.n_docs, f.n_ids, f.before, *([x + f.least for x in named] or (None, None))))
-            names = ("path", "part", "seq", "n_docs", "n_ids", "before", "first_doc", "last_doc")
-            types = (pa.string(), *[pa.int64()] * 7)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names) if out else pa.RecordBatch.from_arrays([pa.array([], t) for t in types], names)
 
-    found = staged(mapped(_contents(spark, path), run, "path string, part long, seq long, n_docs long, n_ids long, before long, first_doc long, last_doc long"), "heads")
-    # Files know the ids before them in their range; ranges are as many as the partitions that wrote them.
-    sizes = sorted(found.groupBy("part").agg(F.max(F.col("before") + F.col("n_ids"))).collect())
-    bases = spark.createDataFrame([(p, sum_before) for (p, _), sum_before in zip(sizes, accumulate((n for _, n in sizes), initial=0))], "part long, _base long")
-    return found.join(F.broadcast(bases), "part").withColumn("start", F.col("_base") + F.col("before")).drop("_base", "before")
+def files(spark: SparkSession, path: str) -> DataFrame:
+    """By file: path, part, seq, n_docs, n_ids, first_doc, last_doc (of those with an id) and start, the ids of all files before it; made by the first reader."""
+    if not exists(spark, f"{path}/_files/_SUCCESS"):
+
+        def run(batches):
+            for batch in batches:
+                out = []
+                for at, raw in zip(batch.column("path").to_pylist(), batch.column("content")):
+                    f = TokenFile(raw.as_buffer())
+                    out.append((at, f.part, f.seq, f.n_docs, f.n_ids, f.before, *f.id_range()))
+                names = ("path", "part", "seq", "n_docs", "n_ids", "start", "first_doc", "last_doc")
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in out], pa.schema([("path", pa.string()), *[(c, pa.int64()) for c in names[1:]]]))
+
+        found = staged(mapped(_contents(spark, path), run, "path string, part long, seq long, n_docs long, n_ids long, start long, first_doc long, last_doc long"), "heads")
+        _with_base(found, "start", "n_ids").write.mode("overwrite").parquet(f"{path}/_files")
+        dropped(found)
+    return spark.read.parquet(f"{path}/_files")
 
 
 def _bases(spark: SparkSession, path: str) -> dict[int, int]:
     """Ids before each range: a number for each partition that wrote."""
-    return {r[0]: r[1] for r in spark.read.parquet(f"{path}/_files").groupBy("part").agg(F.min("start")).collect()}
+    return {r[0]: r[1] for r in files(spark, path).groupBy("part").agg(F.min("start")).collect()}
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 (of the ids as 32-bit numbers) of every document; the files are read once."""
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column("content"):
+                f = TokenFile(raw.as_buffer())
+                at, named = f.bounds(), f.doc_ids()
+                for i, j in _steps(at, 1 << 20):
+                    ids, first = f.ids(int(at[i]), int(at[j])), int(at[i])
+                    crcs = [zlib.crc32(ids[a - first : b - first]) for a, b in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist())]
+                    cols = [pa.array(named[i:j], pa.int64()), pa.array(np.full(j - i, f.part)), pa.array(at[i:j] + f.before), pa.array(np.diff(at[i : j + 1])), pa.array(crcs, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "part", "start", "n_tokens", "ids_crc32"])
+
+    rows = staged(mapped(_contents(spark, path), run, "doc_id long, part long, start long, n_tokens long, ids_crc32 long"), "digests")
+    return _with_base(rows, "start", "n_tokens").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids of every document; with ``digest`` their crc32 in place of the ids."""
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids of every document."""
     bases = _bases(spark, path)
 
     def run(batches):
@@ -177,14 +205,10 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 at, named = f.bounds(), f.doc_ids()
                 # The documents of a file in batches of bounded bytes.
                 for i, j in _steps(at, 1 << 20):
-                    if digest:
-                        last = pa.array([zlib.crc32(f.ids(a, b).tobytes()) for a, b in zip(at[i:j].tolist(), at[i + 1 : j + 1].tolist())], pa.int64())
-                    else:
-                        last = pa.ListArray.from_arrays(pa.array(at[i : j + 1] - at[i], pa.int32()), pa.array(f.ids(int(at[i]), int(at[j])).astype(np.int64)))
-                    cols = [pa.array(named[i:j], pa.int64()), pa.array(at[i:j] + bases[f.part] + f.before), pa.array(np.diff(at[i : j + 1])), last]
-                    yield pa.RecordBatch.from_arrays(cols, ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
+                    ids = pa.ListArray.from_arrays(pa.array(at[i : j + 1] - at[i], pa.int32()), pa.array(f.ids(int(at[i]), int(at[j])).astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(named[i:j], pa.int64()), pa.array(at[i:j] + bases[f.part] + f.before), pa.array(np.diff(at[i : j + 1])), ids], ["doc_id", "start", "n_tokens", "ids"])
 
-    return mapped(_contents(spark, path), run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids array<long>"))
+    return mapped(_contents(spark, path), run, "doc_id long, start long, n_tokens long, ids array<long>")
 
 
 def _steps(at: np.ndarray, most: int):
@@ -198,8 +222,7 @@ def _steps(at: np.ndarray, most: int):
 
 def lookup(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
     """doc_id, start, n_tokens, ids of the documents of a few ids: only files whose range of ids has one of them are opened."""
-    listed = spark.read.parquet(f"{path}/_files")
-    held = listed.where(F.exists(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (w >= F.col("first_doc")) & (w <= F.col("last_doc"))))
+    held = files(spark, path).where(F.exists(F.array(*[F.lit(w).cast("long") for w in wanted]), lambda w: (w >= F.col("first_doc")) & (w <= F.col("last_doc"))))
     paths, bases = [r[0] for r in held.select("path").collect()], _bases(spark, path)
 
     def run(batches):
@@ -220,4 +243,4 @@ def lookup(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/codegrain/token-files-{uuid.uuid4().hex}"
     write(documents(spark, sf_dir), path)
-    return read(spark, path, digest=True)
+    return digests(spark, path)

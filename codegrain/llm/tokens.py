@@ -47,6 +47,7 @@ _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: The same for parts in lines.
 _PLAIN_LINES = re.compile(r"[\n!-&(-~À-ÖØ-öø-ÿ]*", re.ASCII)
 _LINE_RUNS = re.compile(r"\n|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
+_PACKS = [struct.Struct(f"<{n}I").pack for n in range(33)]
 _OPEN: dict[str, "PartEncoder"] = {}
 
 
@@ -109,8 +110,9 @@ class PartEncoder:
         return max(self._tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
 
     def _run_ids(self, run: str) -> bytes:
-        ids = [t.id for t in self._model.tokenize(run.translate(self._bytes))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        # ASCII stands for its own bytes.
+        ids = [t.id for t in self._model.tokenize(run if run.isascii() else run.translate(self._bytes))]
+        return _PACKS[len(ids)](*ids) if len(ids) < len(_PACKS) else struct.pack(f"<{len(ids)}I", *ids)
 
     def _places(self, run: str) -> list[tuple[int, int]]:
         # One symbol for each byte; a token that has part of a character has it.

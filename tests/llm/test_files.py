@@ -55,13 +55,14 @@ def listed_ids(listed):
 def test_token_files_round_trip(spark, tmp_path, file_ids):
     listed = [*rows(), (-5, "below nought", None, None, 1, 7, "z", 1, "h", 0)]
     want = listed_ids(listed)
-    files = token_files.write(frame(spark, listed).repartition(3), f"{tmp_path}/t", file_ids=file_ids)
+    token_files.write(frame(spark, listed).repartition(3), f"{tmp_path}/t", file_ids=file_ids)
     got = sorted(token_files.read(spark, f"{tmp_path}/t").collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [w[0] for w in want]
     assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
     assert Counter((r.doc_id, tuple(r.ids)) for r in got) == Counter((d, tuple(ids)) for d, ids in want)
+    files = token_files.files(spark, f"{tmp_path}/t")
     assert sum(r.n_docs for r in files.collect()) == len(want) and (file_ids > 1 or files.count() == len(want))
-    crcs = Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.read(spark, f"{tmp_path}/t", digest=True).collect())
+    crcs = Counter((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_files.digests(spark, f"{tmp_path}/t").collect())
     assert crcs == Counter((r.doc_id, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in got)
     some = token_files.lookup(spark, f"{tmp_path}/t", [3, 8, -5, 10**6])
     assert Counter((r.doc_id, r.start, tuple(r.ids)) for r in some.collect()) == Counter((r.doc_id, r.start, tuple(r.ids)) for r in got if r.doc_id in (3, 8, -5))

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,22 @@ def test_sql_gives_the_same_rows(spark, sf_dir):
     got = ph.query(spark, sf_dir)
     want = con.sql(f"select {', '.join(got.columns)} from ({ph.ORACLE_SQL})").fetchall()
     assert {tuple(r) for r in got.collect()} == set(want) and len(want) > 100
+
+
+def test_keys_beyond_64_bits():
+    """As if there were very many words in one range: the same merge over unbounded integers."""
+    texts = [np.frombuffer((" ".join(f"w{i}" for i in range(a, 3000, 7)) + " w1 w2 w1 w2").encode(), np.uint8) for a in (0, 2)]
+    runs = [ph.shard_nodes([("en", t, 0)]) for t in texts]
+    want = Counter()
+    for r in runs:
+        for i in range(len(r)):
+            want[r.key(i)] += int(r.n[i])
+    small, keys, _ = ph._merged([pa.py_buffer(r.dump()) for r in runs])
+    assert {small.key(i): int(small.n[i]) for i in range(len(small))} == want and keys.dtype == np.uint64
+    kept, ph.KEY_BITS = ph.KEY_BITS, 8
+    try:
+        wide, keys, bits = ph._merged([pa.py_buffer(r.dump()) for r in runs])
+        assert {wide.key(i): int(wide.n[i]) for i in range(len(wide))} == want and keys.dtype == object
+        assert [x.tolist() for x in ph._walked(wide, keys, bits, np.arange(len(wide)))] == [x.tolist() for x in ph._walked(small, np.array([int(k) for k in keys], object), bits, np.arange(len(small)))]
+    finally:
+        ph.KEY_BITS = kept
