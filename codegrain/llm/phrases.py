@@ -44,7 +44,7 @@ from codegrain.llm.common import documents, mapped, pieces, release, staged, utf
 
 LEAST, TOP, WITHIN = 10, 2000, 50
 #: Bytes of a shard; nodes of a block; nodes of a range; words of a stretch's overlap.
-SHARD, BLOCK, RANGE, OVERLAP = 10 << 20, 1 << 16, 3 << 20, 2
+SHARD, BLOCK, RANGE, OVERLAP = 5 << 20, 1 << 16, 2 << 20, 2
 #: First nodes of blocks that bounds are drawn from, about, and bytes of one at most.
 DRAWN, KEY_BYTES = 50_000, 256
 #: Bits of a key that numbers of fixed size can hold.
