@@ -16,7 +16,9 @@ from codegrain.functions.text import byte_length, canonical_json
 from codegrain.operators import chunks as ch
 from codegrain.operators import relations as rel
 from codegrain.operators import scoring
+from codegrain.operators.ordering import source_order
 from codegrain.operators.structure import CAP, FACTS, chunk_files, extract_files
+from codegrain.sources.staging import staged
 
 # Prefixes of ids, the most bytes of a batch, and the unit in which batches are measured.
 PREFIXES = {"chunk": "C1-", "batch": "B1-", "symbol": "S1-", "call": "E1-", "include": "I1-"}
@@ -71,29 +73,14 @@ def file_status(outcome: Column, encoding: Column) -> Column:
     return F.when(encoding != "utf-8", "NO_AST_NON_UTF8").when(outcome == "PARSE_SUCCESS", "INDEXED").when(F.col("fallback_reason") == "empty_blob", "INDEXED").otherwise("PARTIAL_DIAGNOSTIC")
 
 
-def source_order(df: DataFrame, *order: str, name: str = "ordinal") -> DataFrame:
-    """Adds the place of each row in the order of UTF-8 bytes, from 0: rows are range-sorted, and partitions' sizes added up."""
-    spark = df.sparkSession
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id() % F.lit(1 << 33))
-    sizes = {r[0]: r[1] for r in dealt.groupBy("_p").count().collect()}  # a row for each partition
-    before, at = [], 0
-    for p in range(max(sizes, default=-1) + 1):
-        before.append(at)
-        at += sizes.get(p, 0)
-    if not before:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    start = F.broadcast(spark.createDataFrame(list(enumerate(before)), "_q int, _before long"))
-    return dealt.join(start, F.col("_p") == F.col("_q")).withColumn(name, F.col("_before") + F.col("_n")).drop("_p", "_q", "_n", "_before")
-
-
-def batch_records(ordered: DataFrame, target: Target, cap: int = BATCH_CAP) -> DataFrame:
+def batch_records(ordered: DataFrame, target: Target, cap: int = BATCH_CAP, stage=staged) -> DataFrame:
     """Batches of chunk records that have ``ordinal`` (their place in source order): next-fit by frame bytes.
 
     batch_id, batch_ordinal, chunk_ids (in order), chunk_count, ordered and
     payload hashes, payload_bytes, evidence (the frames joined).
     """
     sized = ordered.select("ordinal", "frame_bytes", "chunk_id", "chunk_identity_sha256", "frame")
-    dealt = ch.next_fit(sized, "ordinal", "frame_bytes", cap)
+    dealt = ch.next_fit(sized, "ordinal", "frame_bytes", cap, stage=stage)
     # A batch is bounded by its cap, so its frames come together.
     one = F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id", "chunk_identity_sha256", "frame")))
     per = dealt.groupBy("batch_ordinal").agg(one.alias("l")).select(
@@ -284,8 +271,8 @@ def build(files: DataFrame, target: Target, stage, seed: str = "0", cap: int = C
     wrong = records.where("outcome = 'TERMINAL_ERROR' or covered_bytes <> file_bytes").select("path", "outcome", "fallback_reason").limit(5).collect()
     if wrong:
         raise ValueError(f"files that can't be covered: {wrong}")
-    ordered = stage(source_order(chunks.withColumnRenamed("ordinal", "file_ordinal"), "path", "start_byte", "end_byte", "chunk_id"), "ordered")
-    batches = stage(batch_records(ordered, target, batch_cap), "batches")
+    ordered = source_order(chunks.withColumnRenamed("ordinal", "file_ordinal"), "path", "start_byte", "end_byte", "chunk_id", stage=stage)
+    batches = stage(batch_records(ordered, target, batch_cap, stage), "batches")
     chosen = stage(selection(batches, seed), "selection")
     idx = index(files, records, chunks, target, stage)
     return {"files": records, "chunks": chunks, "batches": batches, "selection": chosen, **idx, "batch_map": batch_map(chosen, batches, chunks, idx), "ranked": rank(batches, chunks, idx["calls"], idx["symbols"])}

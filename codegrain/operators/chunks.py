@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codegrain.functions.text import canonical_json, hex_id, line_windows
+from codegrain.operators.ordering import source_order
+from codegrain.sources.staging import staged
 
 
 def windows(docs: DataFrame, cap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,108 +89,170 @@ def interval_union(spans: DataFrame, key: str, start: str, end: str) -> DataFram
 # ---------------------------------------------------------------- packing
 
 
-def _walk(sizes: np.ndarray, cap: int, fill: int) -> tuple[np.ndarray, int]:
-    """Batches' offsets of items in next-fit from an open batch that holds ``fill``; and the fill at the end."""
-    out, batch = np.empty(len(sizes), np.int64), 0
-    for i, s in enumerate(sizes.tolist()):
-        if fill + s > cap and fill:
-            batch, fill = batch + 1, 0
-        fill += s
-        out[i] = batch
-    return out, fill
+def _jumps(after: np.ndarray, cap: int) -> np.ndarray:
+    """For each item, taken as the first of a batch, the first that doesn't fit in any more; ``after`` are the sums before each and of all."""
+    return np.searchsorted(after, after[:-1] + cap, side="right") - 1
 
 
-def _passage(sizes: np.ndarray, cap: int) -> list[tuple[int, int, int]]:
-    """What a block of items does to any open batch: (least fill at the start, fill at the end, batches closed), by start fill.
+def _walk(sizes: np.ndarray, cap: int, fill: int) -> tuple[np.ndarray, int]:
+    """Batches' offsets of items in next-fit from an open batch that holds ``fill``; and the fill at the end.
 
-    A start fill only decides which item opens the first new batch; from there on
-    all walks that open a batch at one item are one walk.
+    The firsts of batches are found by doubling: what 2, 4, 8 ... jumps lead to.
     """
-    after = np.concatenate([[0], np.cumsum(sizes)])
     n = len(sizes)
+    after = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    first = int(np.searchsorted(after, cap - fill, side="right")) - 1
+    if first >= n:
+        return np.zeros(n, np.int64), fill + int(after[n])
+    jump = np.append(_jumps(after, cap), n)
+    firsts = np.array([first])
+    while firsts[-1] < n:
+        firsts = np.concatenate([firsts, jump[firsts]])
+        jump = jump[jump]
+    firsts = firsts[firsts < n]
+    opened = np.zeros(n, np.int64)
+    opened[firsts] = 1
+    return np.cumsum(opened), int(after[n] - after[firsts[-1]])
+
+
+class Passage:
+    """What a run of items does to any open batch: from a fill of ``least`` on, the ``fill`` at its end and how many batches it ``closed``; ``total`` is added where it closed none.
+
+    Passages of runs that follow each other compose, and composing is
+    associative, so that any number of runs can be joined in any grouping.
+    """
 
-    @lru_cache(None)
-    def step(i: int) -> int:
-        return int(bisect_right(after, after[i] + cap)) - 1
+    SCHEMA = "least array<long>, fill array<long>, closed array<long>, total long"
+
+    def __init__(self, least: np.ndarray, fill: np.ndarray, closed: np.ndarray, total: int) -> None:
+        same = np.zeros(len(least), bool)
+        same[1:] = (closed[1:] > 0) & (fill[1:] == fill[:-1]) & (closed[1:] == closed[:-1])
+        self.least, self.fill, self.closed, self.total = least[~same], fill[~same], closed[~same], int(total)
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, cap: int) -> "Passage":
+        """Of a run's items. A fill only decides which item opens the first new batch; all walks that open one there are one walk."""
+        n = len(sizes)
+        after = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        end = np.append(_jumps(after, cap), n)
+        closed = (end < n).astype(np.int64)
+        end = np.where(end < n, end, np.arange(n + 1))  # a batch that nothing closes stays open
+        while True:
+            further = end[end]
+            if (further == end).all():
+                break
+            closed, end = closed + closed[end], further
+        # The first item that doesn't fit, for each fill at which that is another one.
+        least = np.unique(np.clip(np.append(0, cap - after[1:] + 1), 0, cap))
+        first = np.searchsorted(after, cap - least, side="right") - 1
+        fits = first >= n
+        return cls(least, np.where(fits, 0, after[n] - after[end[first]]), np.where(fits, 0, 1 + closed[first]), int(after[n]))
 
-    ends: dict[int, tuple[int, int]] = {}
+    def after(self, fill: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Fills at the end, and batches closed, from these fills."""
+        row = np.searchsorted(self.least, fill, side="right") - 1
+        return np.where(self.closed[row] > 0, self.fill[row], fill + self.total), self.closed[row]
 
-    def walk(i: int) -> tuple[int, int]:
-        trail = []
-        while i not in ends:
-            j = step(i)
-            if j >= n:
-                ends[i] = (int(after[n] - after[i]), 0)
-                break
-            trail.append((i, j))
-            i = j
-        for a, b in reversed(trail):
-            fill, closed = ends[b]
-            ends[a] = (fill, closed + 1)
-            i = a
-        return ends[i]
-
-    out, fill = [], 0
-    while fill <= cap:
-        j = int(bisect_right(after, cap - fill)) - 1  # the first item that doesn't fit any more
-        if j >= n:
-            top = cap - int(after[n])
-            out.append((fill, -1, 0))  # all fit: the fill grows by the block's sum
-        else:
-            top = cap - int(after[j])
-            end, closed = walk(j)
-            out.append((fill, end, closed + 1))
-        fill = top + 1
-    return out
+    def then(self, other: "Passage") -> "Passage":
+        """Of this run and the one behind it."""
+        most = int(self.least[1]) if len(self.least) > 1 and not self.closed[0] else None
+        shifted = other.least - self.total if not self.closed[0] else np.zeros(0, np.int64)
+        shifted = shifted[(shifted > 0) & (shifted < most if most is not None else True)]
+        least = np.unique(np.concatenate([self.least, shifted]))
+        middle, closed = self.after(least)
+        fill, more = other.after(middle)
+        return Passage(least, fill, closed + more, self.total + other.total)
 
+    def row(self) -> dict:
+        return {"least": self.least, "fill": self.fill, "closed": self.closed, "total": self.total}
 
-#: Items of a block, about.
-BLOCK_ITEMS = 250_000
+    @classmethod
+    def read(cls, row: dict) -> "Passage":
+        return cls(*(np.asarray(row[c], np.int64) for c in ("least", "fill", "closed")), row["total"])
 
 
-def next_fit(items: DataFrame, order_col: str, size_col: str, cap: int, blocks: int | None = None) -> DataFrame:
-    """Next-fit in the order of a numeric column: ``items`` with ``batch_ordinal``.
+#: Items of a block; blocks that are composed in one step.
+BLOCK_ITEMS, FAN = 250_000, 64
 
-    Items are cut into blocks by ranges of the order. A block's effect on
-    whatever batch is open before it is a short table, made in parallel; the
-    driver joins these tables, one look-up for each block, and every block then
-    knows how it starts. A block has BLOCK_ITEMS items, about. Items above
-    ``cap``, and orders or sizes that are null, are an error; items of one order
-    are taken by size, so that the result doesn't depend on how they lie.
-    """
-    bad = (F.col(size_col) > cap) | F.col(size_col).isNull() | F.col(order_col).isNull()
-    n, n_bad = items.agg(F.count("*"), F.coalesce(F.sum(bad.cast("long")), F.lit(0))).first()
-    if n_bad:
-        raise ValueError(f"{n_bad} items are larger than {cap}, or without a size or an order")
-    blocks = blocks or max(16, -(-n // BLOCK_ITEMS))
-    cuts = sorted(set(items.approxQuantile(order_col, [i / blocks for i in range(1, blocks)], 0.001)))
-    block = F.lit(0)
-    if cuts:
-        block = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order_col)))
-    dealt = items.withColumn("_block", block)
 
-    def effect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sizes = pdf.sort_values([order_col, size_col], kind="stable")[size_col].to_numpy()
-        rows = _passage(sizes, cap)
-        return pd.DataFrame({"block": key[0], "least": [r[0] for r in rows], "fill": [r[1] for r in rows], "closed": [r[2] for r in rows], "total": int(sizes.sum())})
+def _composed(level: DataFrame) -> DataFrame:
+    """The passages of FAN neighbours as one each: one step up."""
 
-    table = dealt.select("_block", order_col, size_col).groupBy("_block").applyInPandas(effect, "block int, least long, fill long, closed long, total long").toPandas()
-    starts, fill, batch = {}, 0, 0
-    for b, rows in table.sort_values(["block", "least"]).groupby("block"):
-        starts[b] = (fill, batch)
-        row = rows.iloc[int(np.searchsorted(rows["least"].to_numpy(), fill, side="right")) - 1]
-        fill, batch = (fill + int(row.total) if row.closed == 0 else int(row.fill)), batch + int(row.closed)
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one = reduce(Passage.then, map(Passage.read, pdf.sort_values("block").to_dict("records")))
+        return pd.DataFrame([{"block": int(key[0]), **one.row()}])
 
-    names = [f.name for f in items.schema.fields]
+    return level.groupBy(F.floor(F.col("block") / FAN)).applyInPandas(run, f"block long, {Passage.SCHEMA}")
 
-    def assign(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fill, first = starts[key[0]]
-        pdf = pdf.sort_values([order_col, size_col], kind="stable")
-        offsets, _ = _walk(pdf[size_col].to_numpy(), cap, fill)
-        return pdf[names].assign(batch_ordinal=offsets + first)
 
+def _begun(level: DataFrame, starts: DataFrame) -> DataFrame:
+    """How each of a level's runs begins (block, fill, batch), from how the runs of FAN of them do: one step down."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fill, batch, out = int(pdf["start_fill"].iloc[0]), int(pdf["start_batch"].iloc[0]), []
+        for row in pdf.sort_values("block").to_dict("records"):
+            out.append((row["block"], fill, batch))
+            (fill,), (closed,) = Passage.read(row).after(np.array([fill]))
+            batch += int(closed)
+        return pd.DataFrame(out, columns=["block", "fill", "batch"])
+
+    above = starts.select(F.col("block").alias("_of"), F.col("fill").alias("start_fill"), F.col("batch").alias("start_batch"))
+    return level.join(above, F.floor(F.col("block") / FAN) == F.col("_of")).groupBy("_of").applyInPandas(run, "block long, fill long, batch long")
+
+
+def next_fit(items: DataFrame, order_col: str, size_col: str, cap: int, block: int = BLOCK_ITEMS, stage=staged) -> DataFrame:
+    """Next-fit in the order of a column: ``items`` with ``batch_ordinal``.
+
+    Items get their places and are cut into blocks of ``block`` by them. Of each
+    block a task makes its passage, what it does to any batch that is open before
+    it. Passages are composed FAN at a time, level by level, until one is left;
+    then, level by level down, each block learns how it begins, and all blocks
+    are walked at once, in streams. The driver holds no table of blocks. Items
+    above ``cap``, below nought, or without a size or an order are an error;
+    items of one order are taken by size. An empty table gives an empty table.
+    """
+    size = F.col(size_col).cast("long")
+    bad = (size > cap) | (size < 0) | size.isNull() | F.col(order_col).isNull()
+    n, n_bad = items.agg(F.count("*"), F.coalesce(F.sum(bad.cast("long")), F.lit(0))).first()
+    if n_bad:
+        raise ValueError(f"{n_bad} items are larger than {cap}, below nought, or without a size or an order")
+    placed = source_order(items, order_col, size_col, name="_place", stage=stage).withColumn("_block", F.floor(F.col("_place") / block))
+
+    def effect(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{"block": int(key[0]), **Passage.of(pdf.sort_values("_place")["_size"].to_numpy(np.int64), cap).row()}])
+
+    levels = [stage(placed.select("_block", "_place", size.alias("_size")).groupBy("_block").applyInPandas(effect, f"block long, {Passage.SCHEMA}"), "passages")]
+    runs = -(-n // block)
+    while runs > FAN:
+        levels.append(stage(_composed(levels[-1]), "passages"))
+        runs = -(-runs // FAN)
+    starts = items.sparkSession.createDataFrame([(0, 0, 0)], "block long, fill long, batch long")
+    for level in reversed(levels):
+        starts = _begun(level, starts)
+
+    names = items.columns
+
+    def assign(batches):
+        now, fill, batch = None, 0, 0
+        for rows in batches:
+            blocks, sizes = rows.column("_block").to_numpy(), rows.column("_size").to_numpy()
+            out = np.empty(len(blocks), np.int64)
+            # Runs of one block within the rows; a block may go on in the next ones.
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]]) if len(blocks) else [0]
+            for i, j in zip(edges[:-1], edges[1:]):
+                if blocks[i] != now:
+                    now, fill, batch = blocks[i], rows.column("fill")[int(i)].as_py(), rows.column("batch")[int(i)].as_py()
+                offsets, fill = _walk(sizes[i:j], cap, fill)
+                out[i:j] = batch + offsets
+                batch = int(out[j - 1])
+            yield pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], pa.array(out)], [*names, "batch_ordinal"])
+
+    begun = starts.withColumnRenamed("block", "_block")
+    # By block and fill, of which a block has one: a repartition by what the join goes by would be taken out as needless, and
+    # the join's own exchange may be read by other bounds at run time.
+    dealt = placed.withColumn("_size", size).join(begun, "_block").repartition("_block", "fill").sortWithinPartitions("_block", "_place")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields) + ", batch_ordinal long"
-    return dealt.groupBy("_block").applyInPandas(assign, schema)
+    return dealt.drop("_place").mapInArrow(assign, schema)
 
 
 def pack_skip(cap: int, extra: int = 0):

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codegrain.operators.ordering import last_before
+from codegrain.sources.staging import staged
+
 # What a call's and an include's candidates amount to.
 CALL_RESOLUTIONS = (
     "INDIRECT_OR_DYNAMIC",
@@ -172,41 +175,68 @@ def callers(wanted: DataFrame, resolved: DataFrame, symbols: DataFrame) -> DataF
     return joined.where(F.col("local_symbol_id").isNull() | (F.col("local_symbol_id") == F.col("symbol_id")))
 
 
-#: Characters of a cell that points and spans are dealt to before they are compared.
+def asof(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, size: str, stage=staged) -> DataFrame:
+    """Each point with the span of its key that holds it; a point at the very end belongs to the last byte's span.
+
+    For spans that don't overlap, as those of a partition: the last one that
+    begins at or before the point, from one sorted pass over both. Spans are
+    neither copied nor brought together, however many a key has.
+    """
+    p = points.withColumn("_held", F.when(F.col(at) == F.col(size), F.col(at) - 1).otherwise(F.col(at)))
+    return last_before(p, spans, key, "_held", start, stage).where(F.col("_held") < F.col(end)).drop("_held")
+
+
+#: Places of a smallest cell.
 CELL = 4096
 
 
-def _cells(start: Column, end: Column, cell: int) -> Column:
-    return F.explode(F.sequence(F.floor(start / cell), F.floor(F.greatest(start, end - 1) / cell)))
+def _cover(start: Column, end: Column) -> Column:
+    """The fewest dyadic cells, (level, cell) with cells of CELL * 2**level places, that a span lies in: two a level at most, none for null ends."""
+    shift = lambda x, n: F.call_function("shiftright", x, n)
+    a, b = F.floor(start / CELL), F.floor(F.greatest(start, end - 1) / CELL) + 1
+
+    def cells(level):
+        low, high = shift(a + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level), shift(b, level)
+        some = low < high
+        one = lambda when, cell: F.when(some & when, F.struct(level.alias("level"), cell.alias("cell")))
+        return F.array(one(low.bitwiseAND(F.lit(1)) == 1, low), one(high.bitwiseAND(F.lit(1)) == 1, high - 1))
+
+    # A cell of a level has to fit, so the span's length bounds the levels.
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((b - a).cast("double"))).cast("int"))
+    return F.filter(F.flatten(F.transform(levels, cells)), lambda x: x.isNotNull())
 
 
-def asof(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, size: str, cell: int = CELL) -> DataFrame:
-    """Each point with the span that holds it; a point at the very end belongs to the last byte's span.
+def held(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
+    """Pairs of points and the spans of their key that hold them; spans may overlap.
 
-    Points and spans meet by key and cell of ``cell`` places, so that the work
-    grows with the spans of a cell, not with those of a file.
+    A span is put into the few dyadic cells that cover it, a point asks for the
+    cells above it on the levels that have any (some 50 at most). The cells of a
+    span don't overlap, so no pair is found twice.
     """
-    p = points.withColumn("_at", F.when(F.col(at) == F.col(size), F.col(at) - 1).otherwise(F.col(at))).withColumn("_cell", F.floor(F.col("_at") / cell))
-    s = spans.withColumnRenamed(key, "_key").withColumn("_of", _cells(F.col(start), F.col(end), cell))
-    return p.join(s, (p[key] == s["_key"]) & (p["_cell"] == s["_of"]) & (p["_at"] >= s[start]) & (p["_at"] < s[end])).drop("_key", "_at", "_cell", "_of")
+    s = spans.withColumnRenamed(key, "_key").withColumn("_cell", F.explode(_cover(F.col(start), F.col(end)))).withColumns({"_level": F.col("_cell.level"), "_cell": F.col("_cell.cell")})
+    levels = sorted(r[0] for r in s.select("_level").distinct().collect())
+    up = lambda n: F.struct(F.lit(n).alias("n"), F.call_function("shiftright", F.floor(F.col(at) / CELL), F.lit(n)).alias("c"))
+    asked = F.explode(F.array(*map(up, levels))) if levels else F.lit(None).cast("struct<n:int,c:bigint>")
+    p = points.withColumn("_up", asked)
+    inside = (F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))
+    return p.join(s, (p[key] == s["_key"]) & (F.col("_up.n") == F.col("_level")) & (F.col("_up.c") == F.col("_cell")) & inside).drop("_key", "_up", "_level", "_cell")
 
 
-def overlaps(a: DataFrame, b: DataFrame, key: str, how: str = "inner", cell: int = CELL) -> DataFrame:
-    """Pairs of spans (a_start, a_end) and (b_start, b_end) of one key that share something; a semi join for how='left_semi'.
+def overlaps(a: DataFrame, b: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Pairs of spans (a_start, a_end) and (b_start, b_end) of one key that share something; for how='left_semi' the rows of ``a`` that share something with any.
 
-    Spans meet by key and cell; a pair that shares several cells is taken in the
-    one in which the later of the two begins.
+    Of two such spans one begins in the other, so the pairs are those of each
+    one's starts and the other's spans.
     """
     touch = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start"))
-    mine = a.withColumn("_cell", _cells(F.col("a_start"), F.col("a_end"), cell))
-    other = b.withColumnRenamed(key, "_key").withColumn("_of", _cells(F.col("b_start"), F.col("b_end"), cell))
-    first = F.col("_cell") == F.floor(F.greatest("a_start", "b_start") / cell)
-    joined = mine.join(other, (mine[key] == other["_key"]) & (F.col("_cell") == F.col("_of")) & touch & first, how)
-    if how != "left_semi":
-        return joined.drop("_key", "_cell", "_of")
-    # A span may be kept in several cells, by several others; equal spans are in the same cells.
-    per = joined.groupBy(*a.columns, "_cell").agg(F.count("*").alias("_n")).groupBy(*a.columns).agg(F.max("_n").alias("_n"))
-    return per.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).drop("_n")
+    if how == "left_semi":
+        spans = [key, "a_start", "a_end"]
+        found = overlaps(a.select(*spans).distinct(), b.select(key, "b_start", "b_end").distinct(), key).select(*spans).distinct()
+        return a.join(found, spans, "left_semi")
+    columns = [F.col(c) for c in (*a.columns, *[c for c in b.columns if c != key])]
+    later = held(a, b, key, "a_start", "b_start", "b_end").where(touch).select(columns)
+    earlier = held(b, a, key, "b_start", "a_start", "a_end").where(touch & (F.col("a_start") < F.col("b_start"))).select(columns)
+    return later.unionByName(earlier)
 
 
 def suffixes(names: DataFrame, qualified: str = "qualified_name", name: str = "name") -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codegrain.operators import ordering
+from codegrain.sources.staging import staged
+
 # Names of C functions that deserve a look, with category and weight.
 SENSITIVE = (
     ("strcpy", "memory_string", 12),
@@ -91,17 +94,10 @@ def priority(calls: DataFrame, batch: str, extra: tuple[str, ...] = ()) -> DataF
     return per.select("*", *[c.alias(f"score_{k}" if k != "priority_score" else k) for k, c in cols.items()])
 
 
-def ranked(scores: DataFrame, id_col: str, score_col: str = "priority_score") -> DataFrame:
-    """Adds ``priority_rank``: by falling score, then id, 1 to N.
-
-    A global rank in parallel: rows of one score are ranked among themselves,
-    and the scores (few, as the score is capped) are offset by a running count.
-    """
-    per = scores.groupBy(score_col).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy(F.desc(score_col)).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per = per.withColumn("_before", before).select(F.col(score_col).alias("_s"), "_before")
-    own = F.row_number().over(Window.partitionBy(score_col).orderBy(id_col))
-    return scores.withColumn("_own", own).join(F.broadcast(per), F.col(score_col) == F.col("_s")).withColumn("priority_rank", (F.col("_before") + F.col("_own")).cast("long")).drop("_own", "_s", "_before")
+def ranked(scores: DataFrame, id_col: str, score_col: str = "priority_score", stage=staged) -> DataFrame:
+    """Adds ``priority_rank``: by falling score, then id, 1 to N. Rows of one score, however many, are spread like all others."""
+    rows = ordering.ranked(scores, F.desc(score_col), id_col, name="priority_rank", stage=stage)
+    return rows.withColumn("priority_rank", F.col("priority_rank").cast("long"))
 
 
 def hash_rank(df: DataFrame, id_col: str, domain: str, seed: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from codegrain.functions import text as fn
 from codegrain.operators import chunks as ch
 from codegrain.operators import relations as rel
-from codegrain.operators import build, rollup, scoring, validate, workflow
+from codegrain.operators import build, ordering, rollup, scoring, validate, workflow
 from codegrain.plans import tables as t
 from codegrain.plans.text_plans import query
 
@@ -58,7 +58,7 @@ UNION ALL SELECT 'all', o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n
 UNION ALL SELECT 'selected', o_orderkey, row_number() OVER (ORDER BY sha256('codegrain/selection' || chr(0) || '{t.SEED}' || chr(0) || o_orderkey), o_orderkey) AS n FROM orders QUALIFY n <= 3""",
 )
 def _(spark, d):
-    batches = build.source_order(t.table(spark, d, "orders").select(F.col("o_orderkey").alias("batch_id")), "batch_id", name="batch_ordinal")
+    batches = ordering.source_order(t.table(spark, d, "orders").select(F.col("o_orderkey").alias("batch_id")), "batch_id", name="batch_ordinal")
     drawn = build.selection(batches, t.SEED)
     ranked = scoring.ranked(_scores(spark, d), "l_orderkey").withColumnRenamed("l_orderkey", "batch_id")
     of = lambda mode: workflow.batches_of(mode, batches, drawn, ranked, 50).select(F.lit(mode).alias("mode"), "batch_id", F.col("batch_ordinal").alias("n"))
@@ -412,7 +412,7 @@ def _(spark, d):
 
 @query("source_order", f"WITH {t.FILES_SQL} SELECT path, doc_id, row_number() OVER (ORDER BY path, doc_id) - 1 AS ordinal FROM files")
 def _(spark, d):
-    return build.source_order(t.files(spark, d).select("path", "doc_id"), "path", "doc_id")
+    return ordering.source_order(t.files(spark, d).select("path", "doc_id"), "path", "doc_id")
 
 
 @query("symbol_identity", f"WITH {t.SYMBOLS_SQL} SELECT symbol_id, 'S-' || left(sha256('codegrain/symbol' || chr(0) || json_object('linkage', linkage, 'name', name, 'path', path, 'qualified_name', qualified_name, 'role', role, 'start_byte', start_byte, 'symbol_id', symbol_id, 'symbol_kind', symbol_kind)::VARCHAR), 24) AS id FROM symbols")

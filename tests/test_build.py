@@ -126,8 +126,8 @@ def test_batch_map_and_empty_chunks(built):
     assert "other/b.h" in empty and "src/b.c" not in empty
 
 
-def test_source_order_is_global(built):
-    ordered = build.source_order(built["chunks"].drop("ordinal"), "path", "start_byte").orderBy("ordinal").collect()
+def test_source_order_is_global(built, stage):
+    ordered = build.source_order(built["chunks"].drop("ordinal"), "path", "start_byte", stage=stage).orderBy("ordinal").collect()
     assert [r.ordinal for r in ordered] == list(range(len(ordered)))
     keys = [(r.path.encode(), r.start_byte) for r in ordered]
     assert keys == sorted(keys)

@@ -67,10 +67,10 @@ def test_next_fit_equals_the_plain_walk(spark):
     import random
 
     rng = random.Random(7)
-    for cap, blocks in ((100, 7), (50, 64)):
+    for cap, block in ((100, 100), (50, 11)):
         sizes = [rng.randint(1, 50) for _ in range(700)]
         items = spark.createDataFrame(list(enumerate(sizes)), "i long, s long")
-        got = {r.i: r.batch_ordinal for r in ch.next_fit(items, "i", "s", cap, blocks).collect()}
+        got = {r.i: r.batch_ordinal for r in ch.next_fit(items, "i", "s", cap, block).collect()}
         batch = fill = 0
         for i, s in enumerate(sizes):
             if fill + s > cap:
