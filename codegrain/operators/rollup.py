@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codegrain.functions.text import collapse_space
+from codegrain.operators.ordering import source_order
+from codegrain.sources.staging import staged
 
 
 def telemetry(calls: DataFrame, agent: str, n_bytes: str, order: str) -> DataFrame:
@@ -50,11 +55,56 @@ def prefix_faults(df: DataFrame, key: str, order: str, value: str, total: str) -
 def ordered_hash(df: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
     """By key: sha256 of the values in order, joined by NUL, and their number.
 
-    A key's values come together in one row, so keys must be bounded, as batches
-    are by their budget.
+    A hash of this kind takes its values one after the other, so a key is one
+    task's work; but that streams over them, sorted, and holds a batch of them at
+    a time, whatever the key's size. tree_hash() is the digest for sets that one
+    task should not read. Null values are left out of the text, and counted.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rows = df.select(*key, *[F.col(o).alias(f"_o{i}") for i, o in enumerate(order)], F.col(value).cast("string").alias("_v"))
+    by = [f"_o{i}" for i in range(len(order))]
+    # By a hash of the key too: a repartition by the key alone would be taken out where rows already lie by it.
+    dealt = rows.repartition(*key, F.xxhash64(*key)).sortWithinPartitions(*key, *by).select(*key, "_v")
+
+    def run(batches):
+        now, state, n, some = None, None, 0, False
+
+        def row():
+            return pa.RecordBatch.from_arrays([*[pa.array([x], t) for x, t in zip(now, types)], pa.array([state.hexdigest()]), pa.array([n], pa.int64())], [*key, "ordered_hash", "n"])
+
+        for batch in batches:
+            columns = [batch.column(c) for c in key]
+            types = [c.type for c in columns]
+            keys, values = list(zip(*[c.to_pylist() for c in columns])), batch.column("_v").to_pylist()
+            for k, v in zip(keys, values):
+                if k != now:
+                    if now is not None:
+                        yield row()
+                    now, state, n, some = k, hashlib.sha256(), 0, False
+                n += 1
+                if v is not None:
+                    state.update(b"\0" + v.encode() if some else v.encode())
+                    some = True
+        if now is not None:
+            yield row()
+
+    return dealt.mapInArrow(run, ", ".join(f"`{k}` {fields[k]}" for k in key) + ", ordered_hash string, n long")
+
+
+def tree_hash(df: DataFrame, key: str, order: list[str], value: str, leaf: int = 4096, stage=staged) -> DataFrame:
+    """By key: the sha256 of the hashes, in order and joined by NUL, of each ``leaf`` values in order, joined by NUL; and the values' number.
+
+    Another digest than ordered_hash(), which any number of tasks share: values
+    get their places, a leaf is a row of bounded size, and what comes together
+    for a key is one hash for each of its leaves. Null values are left out of the
+    text, and take a place.
     """
-    listed = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda x: x["_v"])
-    return df.groupBy(*key).agg(F.sha2(F.array_join(listed, "\0"), 256).alias("ordered_hash"), F.count("*").alias("n"))
+    placed = source_order(df.select(key, *order, F.col(value).cast("string").alias("_v")), key, *order, name="_place", stage=stage)
+    first = placed.groupBy(F.col(key).alias("_k")).agg(F.min("_place").alias("_first"))
+    nth = placed.join(first, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_nth", F.col("_place") - F.col("_first"))
+    listed = lambda by, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, x))), lambda y: y[x]), "\0")
+    leaves = nth.groupBy(key, F.floor(F.col("_nth") / leaf).alias("_leaf")).agg(F.sha2(listed("_nth", "_v"), 256).alias("_h"), F.count("*").alias("_n"))
+    return leaves.groupBy(key).agg(F.sha2(listed("_leaf", "_h"), 256).alias("tree_hash"), F.sum("_n").alias("n"))
 
 
 def bundle_hash(parts: DataFrame, name: str, digest: str, domain: str) -> DataFrame:

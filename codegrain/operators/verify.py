@@ -33,33 +33,57 @@ def kind_fault(kind: Column, node_type: Column, kinds: Column, outcome: Column)
     return wrong | (kind == "STRUCTURAL_GROUP") & F.arrays_overlap(kinds, F.array(*map(F.lit, PROTECTED)))
 
 
+def _places(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """By path and place where a chunk begins or ends: n_before (newlines before it) and line_start (where its line begins).
+
+    A file is cut at these places once; a piece's newlines are counted in it, and
+    a running sum over the pieces gives those before each place.
+    """
+    own = chunks.select("path", F.explode(F.array("start_byte", "end_byte")).alias("place")).groupBy("path").agg(F.collect_set("place").alias("places"))
+    size = F.octet_length("raw").cast("long")
+    cuts = F.array_sort(F.filter(F.array_union(F.array(F.lit(0).cast("long"), size), "places"), lambda p: (p >= 0) & (p <= size)))
+    pieces = files.join(own, "path").withColumn("cuts", cuts).select("path", "raw", "cuts", F.posexplode("cuts").alias("i", "place"))
+    piece = F.expr("decode(substring(raw, cast(place + 1 as int), cast(coalesce(get(cuts, i + 1), place) - place as int)), 'ISO-8859-1')")  # a character for each byte
+    text = pieces.select("path", "place", piece.alias("text"))
+    n = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    counted = text.select("path", "place", n.cast("long").alias("n"), F.when(n > 0, F.col("place") + F.length("text") - F.length(F.substring_index("text", "\n", -1))).alias("last"))
+    before = Window.partitionBy("path").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select("path", "place", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n_before"), F.coalesce(F.max("last").over(before), F.lit(0)).alias("line_start"))
+
+
+def _sliced(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """chunk_id, true_oid, file_size and bytes of every chunk: a file meets the list of its chunks, and each gets its own bytes only."""
+    listed = chunks.groupBy("path").agg(F.collect_list(F.struct("chunk_id", "start_byte", "end_byte")).alias("spans"))
+    rows = listed.join(files.select("path", F.col("git_blob_oid").alias("true_oid"), "raw"), "path", "left").select("true_oid", "raw", F.explode("spans").alias("s"))
+    part = F.expr("substring(raw, cast(s.start_byte + 1 as int), cast(s.end_byte - s.start_byte as int))")
+    return rows.select("s.chunk_id", "true_oid", F.octet_length("raw").alias("file_size"), part.alias("bytes"))
+
+
 def chunk_faults(files: DataFrame, records: DataFrame, chunks: DataFrame, batches: DataFrame, selection: DataFrame, target: build.Target, seed: str, cap: int = CAP, batch_cap: int = build.BATCH_CAP) -> DataFrame:
     """What is wrong with chunks, batches and selection, reckoned anew from the files' bytes."""
     raw = files.select("path", F.col("git_blob_oid").alias("true_oid"), "raw")
-    own = chunks.join(raw, "path", "left")
     at, end = F.col("start_byte"), F.col("end_byte")
-    bytes_ = F.substring(F.col("raw"), (at + 1).cast("int"), (end - at).cast("int"))
-    # One character for each byte, so that newlines can be counted up to any place.
-    breaks = F.expr("filter(transform(sequence(1, greatest(octet_length(raw), 1)), i -> if(substring(raw, i, 1) = x'0A', i - 1, null)), i -> i is not null)")
-    lines = files.select("path", breaks.alias("breaks"))
-    own = own.withColumn("bytes", bytes_)
+    own = chunks.join(_sliced(files, chunks), "chunk_id")
     utf8 = F.col("encoding") == "utf-8"
     rules = [
-        _rule(own, "file", F.col("raw").isNull() | (F.col("true_oid") != F.col("git_blob_oid")), "chunk_id"),
-        _rule(own, "range", ~((at >= 0) & (at < end) & (end <= F.octet_length("raw"))), "chunk_id"),
+        _rule(own, "file", F.col("file_size").isNull() | (F.col("true_oid") != F.col("git_blob_oid")), "chunk_id"),
+        _rule(own, "range", ~((at >= 0) & (at < end) & (end <= F.col("file_size"))), "chunk_id"),
         _rule(own, "raw content hash", F.sha2("bytes", 256) != F.col("raw_sha256"), "chunk_id"),
         _rule(own, "content", utf8 & (F.col("bytes").cast("string") != F.col("content")) | (F.octet_length("content") != F.col("content_bytes")), "chunk_id"),
         _rule(own, "unit", ~((F.col("unit_start_byte") <= at) & (end <= F.col("unit_end_byte"))), "chunk_id"),
         _rule(chunks, "kind and node type", kind_fault(F.col("kind"), F.col("node_type"), F.col("kinds"), F.col("outcome")), "chunk_id"),
         _rule(chunks, "cap", F.col("content_bytes") > cap, "chunk_id"),
     ]
-    before = lambda place: F.size(F.filter("breaks", lambda b: b < place))
-    column = lambda place: place - F.coalesce(F.array_max(F.filter("breaks", lambda b: b < place)) + 1, F.lit(0))
-    placed = chunks.join(lines, "path")
+    places = _places(files, chunks)
+    of = lambda name: places.select("path", F.col("place").alias(name), F.col("n_before").alias(f"{name}_n"), F.col("line_start").alias(f"{name}_line"))
+    placed = chunks.join(of("start_byte"), ["path", "start_byte"]).join(of("end_byte"), ["path", "end_byte"])
+    # The last byte's line is that of the end, but for a newline that stands there.
+    ends_line = (F.col("end_byte_line") == end).cast("long")
     rules.append(
         _rule(
             placed, "lines",
-            (F.col("start_line") != before(at) + 1) | (F.col("start_column") != column(at)) | (F.col("end_line") != before(end - 1) + 1) | (F.col("end_point_line") != before(end) + 1) | (F.col("end_column") != column(end)), "chunk_id",
+            (F.col("start_line") != F.col("start_byte_n") + 1) | (F.col("start_column") != at - F.col("start_byte_line")) | (F.col("end_line") != F.col("end_byte_n") + 1 - ends_line)
+            | (F.col("end_point_line") != F.col("end_byte_n") + 1) | (F.col("end_column") != end - F.col("end_byte_line")), "chunk_id",
         )
     )
     full = build.identity(target, "chunk", path=F.col("path"), git_blob_oid=F.col("git_blob_oid"), kind=F.col("kind"), start_byte=at, end_byte_exclusive=end, raw_content_sha256=F.col("raw_sha256"))

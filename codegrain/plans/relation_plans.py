@@ -364,6 +364,11 @@ def _(spark, d):
     return rollup.ordered_hash(t.files(spark, d), ["source"], ["path"], "path")
 
 
+@query("tree_hash", f"WITH {t.FILES_SQL}, l AS (SELECT source, b, sha256(string_agg(path, chr(0) ORDER BY path)) AS h, count(*) AS n FROM (SELECT source, path, (row_number() OVER (PARTITION BY source ORDER BY path) - 1) // 16 AS b FROM files) GROUP BY ALL) SELECT source, sha256(string_agg(h, chr(0) ORDER BY b)) AS tree_hash, sum(n)::BIGINT AS n FROM l GROUP BY source")
+def _(spark, d):
+    return rollup.tree_hash(t.files(spark, d), "source", ["path"], "path", leaf=16)
+
+
 @query("prefix_delta", f"WITH {t.TURNS_SQL}, c AS (SELECT conv_id, turn, sum(n_bytes) OVER (PARTITION BY conv_id ORDER BY turn) AS x FROM turns) SELECT conv_id, turn, x::BIGINT AS x, (x - coalesce(lag(x) OVER (PARTITION BY conv_id ORDER BY turn), 0))::BIGINT AS delta FROM c")
 def _(spark, d):
     running = F.sum("n_bytes").over(Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0))
