@@ -45,12 +45,13 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
 
     def run(batches):
         encoder = PartEncoder.of(tokenizer, kept)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", 8 << 20):
             ids, cols = batch.column("doc_id"), [[], [], [], [], []]
-            for row, text in enumerate(batch.column("text").to_pylist()):
-                coded = encoder.ids(text or "") + END
-                for k, at in enumerate(range(0, len(coded), 4 * capacity)):
-                    part = coded[at : at + 4 * capacity]
+            coded, bounds = encoder.batch_ids(batch.column("text"))
+            for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                whole = coded[a:b].tobytes() + END
+                for k, at in enumerate(range(0, len(whole), 4 * capacity)):
+                    part = whole[at : at + 4 * capacity]
                     for col, x in zip(cols, (row, k, at // 4, len(part) // 4, zlib.crc32(part))):
                         col.append(x)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
