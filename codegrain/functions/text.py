@@ -221,6 +221,12 @@ def is_iso_datetime(text: str) -> bool:
     return not pd.isna(pd.to_datetime(text, format="ISO8601", errors="coerce", utc=True))
 
 
+def iso_datetime(col: Column) -> Column:
+    """Whether a text is a date, a time of day with seconds, and an offset or Z; in the JVM."""
+    clock = r"^[0-9-]{10}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])\z"
+    return iso_date(F.substring(col, 1, 10)) & col.rlike(clock)
+
+
 def register(spark: SparkSession, cap: int = 3000) -> None:
     """Make the scanning functions callable from SQL."""
     spark.udf.register("line_windows", line_windows(cap))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,23 +84,6 @@ def contract_errors(schema: dict, at: str = "$") -> list[str]:
     return out
 
 
-def json_schema_errors(schema: dict):
-    """An Arrow UDF: a JSON text to the list of its faults under the schema."""
-    import json
-
-    from codegrain.functions.text import strict_json
-
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        def one(text):
-            wrong = strict_json(text)
-            return [wrong] if wrong else schema_errors(json.loads(text), schema)
-
-        return texts.map(one)
-
-    return run
-
-
 def cap_gate(sizes: dict[str, tuple[Column, int]], total_cap: int) -> tuple[Column, Column]:
     """(total bytes, first component over its cap, "total" for the sum, null if all fit)."""
     total = sum((c for c, _ in sizes.values()), F.lit(0).cast("long"))

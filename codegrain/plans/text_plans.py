@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import functions as F
 
+from codegrain.functions import json_rules as jr
 from codegrain.functions import text as fn
 from codegrain.operators import chunks as ch
 from codegrain.operators import rollup, scope, scoring, validate, verify
 from codegrain.plans import tables as t
 from codegrain.sources import records
+from codegrain.sources.staging import shared_dir, staged
 
 QUERIES, SQL = {}, {}
 
@@ -29,7 +34,75 @@ def _(spark, d):
 @query("events_props_json", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, NULL::VARCHAR AS fault FROM events")
 def _(spark, d):
     e = t.table(spark, d, "events")
-    return e.select("event_id", F.from_json("props", "k long").getField("k").alias("k"), fn.json_error()(F.col("props")).alias("fault"))
+    return e.select("event_id", F.from_json("props", "k long").getField("k").alias("k"), jr.object_fault(F.col("props")).alias("fault"))
+
+
+#: Ways to spoil a line of JSON, by event_id % 11; those beyond are left whole.
+_SPOILT = {0: "{l}{l}", 1: "[{l}]", 2: '{{"event_id": {id}, "event_id": 0}}', 3: "{l}\r", 4: "\ufeff{l}", 5: '{{"event_id": {id}, "v": NaN}}', 6: "{l}]"}
+_SPOILT_FAULTS = {0: "invalid, or a key twice", 1: "not an object", 2: "invalid, or a key twice", 3: "carriage return", 4: "byte order mark", 5: "invalid, or a key twice", 6: "invalid, or a key twice"}
+
+
+@query("jsonl_faults", f"SELECT event_id, CASE event_id % 11 {' '.join(f"WHEN {k} THEN '{v}'" for k, v in _SPOILT_FAULTS.items())} END AS fault FROM events WHERE event_id % 11 < 7")
+def _(spark, d):
+    line, i = F.to_json(F.struct("event_id", "props")), F.col("event_id")
+    text = line
+    for k, form in _SPOILT.items():
+        parts = re.split(r"(\{l\}|\{id\})", form)
+        spoilt = F.concat(*[line if p == "{l}" else i.cast("string") if p == "{id}" else F.lit(p.replace("{{", "{").replace("}}", "}")) for p in parts])
+        text = F.when(i % 11 == k, spoilt).otherwise(text)
+    at = f"{shared_dir(spark)}/codegrain/lines-{uuid.uuid4().hex}"
+    t.table(spark, d, "events").select(text.alias("value")).write.text(at, lineSep="\n")
+    found = records.faults(spark, at)
+    return found.select(F.regexp_extract("value", r'"event_id":\s*(\d+)', 1).cast("long").alias("event_id"), "fault")
+
+
+_EVENT_RULES = {
+    "type": "object",
+    "properties": {
+        "id": {"type": "integer", "minimum": 100},
+        "type": {"enum": ["click", "view", "error"]},
+        "value": {"type": "number", "maximum": 50},
+        "props": {"type": "object", "properties": {"k": {"type": "integer", "maximum": 89}}, "required": ["k"], "additionalProperties": False},
+        "tags": {"type": "array", "items": {"type": "string", "pattern": "[a-m].*", "maxLength": 6}, "uniqueItems": True, "minItems": 1},
+    },
+    "required": ["id", "tags"],
+    "additionalProperties": False,
+}
+
+
+@query(
+    "json_rules",
+    """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), f AS (
+  SELECT event_id, '$.id: range' AS fault FROM e WHERE event_id < 100
+  UNION ALL SELECT event_id, '$.type: not one of the values' FROM e WHERE event_type NOT IN ('click', 'view', 'error')
+  UNION ALL SELECT event_id, '$.value: range' FROM e WHERE value > 50
+  UNION ALL SELECT event_id, '$.props.k: range' FROM e WHERE k > 89 AND event_id % 5 <> 0
+  UNION ALL SELECT event_id, '$.props: missing k' FROM e WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id, '$.props: extra kk' FROM e WHERE event_id % 5 = 0
+  UNION ALL SELECT event_id, '$.tags: repeated item' FROM e WHERE user_id % 3 = 0
+  UNION ALL SELECT event_id, '$.tags[' || i || ']: pattern' FROM e, (VALUES (0), (1)) t(i) WHERE NOT regexp_full_match(event_type, '[a-m].*') AND (i = 0 OR user_id % 3 = 0)
+  UNION ALL SELECT event_id, '$.tags[' || i || ']: length ' || length(event_type) FROM e, (VALUES (0), (1)) t(i) WHERE length(event_type) > 6 AND (i = 0 OR user_id % 3 = 0))
+SELECT event_id, fault FROM f""",
+)
+def _(spark, d):
+    e, kind = t.table(spark, d, "events"), F.col("event_type")
+    props = F.when(F.col("event_id") % 5 == 0, F.regexp_replace("props", '"k"', '"kk"')).otherwise(F.col("props"))
+    tags = F.when(F.col("user_id") % 3 == 0, F.array(kind, kind)).otherwise(F.array(kind, F.lit("last")))
+    head = F.to_json(F.struct(F.col("event_id").alias("id"), kind.alias("type"), "value", tags.alias("tags")))
+    text = F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(', "props": '), props, F.lit("}"))
+    return e.select("event_id", F.explode(jr.text_faults(text, _EVENT_RULES)).alias("fault"))
+
+
+@query(
+    "stand_in_places",
+    r"""SELECT doc_id, '$.' || CASE WHEN doc_id % 2 = 0 THEN 'lines' ELSE 'text.lines' END || '[' || (i - 1) || ']' AS place FROM (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL) WHERE regexp_matches(line, '(?i)\b(worthless|idiot)\b')""",
+)
+def _(spark, d):
+    lines = F.struct(F.split("text", "\n").alias("lines"))
+    text = F.when(F.col("doc_id") % 2 == 0, F.to_json(lines)).otherwise(F.to_json(F.struct(lines.alias("text"))))
+    docs = t.table(spark, d, "documents").where("text is not null").select("doc_id", jr.value_of(text).alias("v"))
+    return jr.places_of(docs, "doc_id", "v", staged, r"(?i)\b(worthless|idiot)\b")
 
 
 #: Texts of Latin letters with accents, which are written in one byte each.

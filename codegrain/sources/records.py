@@ -5,21 +5,34 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from codegrain.functions.json_rules import object_fault
 from codegrain.functions.text import json_error
 
 
+def _lines(spark: SparkSession, path: str, canonical: bool) -> DataFrame:
+    """value, fault, file, block, at: lines split at newlines only, read in byte ranges; ``at`` rises with a range's lines."""
+    value = F.col("value")
+    fault = object_fault(value)
+    if canonical:
+        fault = F.coalesce(fault, json_error(True)(value))
+    own = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    return spark.read.text(path, lineSep="\n").select("value", fault.alias("fault"), *own, F.monotonically_increasing_id().alias("at"))
+
+
 def read_strict(spark: SparkSession, path: str, schema: str | T.StructType, canonical: bool = False) -> DataFrame:
     """Records of a JSONL file; a line that isn't a strict (or canonical) object of the schema is an error.
 
-    Repeated keys, byte order marks, carriage returns, blank lines and NaN are
-    rejected, which the built-in reader lets pass.
+    Repeated keys, byte order marks, carriage returns, blank lines, bytes that
+    aren't UTF-8 and NaN are rejected, which the built-in reader lets pass. A file
+    is read in byte ranges by several tasks, and checked in the JVM; only
+    ``canonical`` sends lines through an Arrow UDF besides.
     """
-    lines = spark.read.text(path, lineSep="\n").select("value", json_error(canonical)(F.col("value")).alias("fault"))
-    checked = F.when(F.col("fault").isNotNull(), F.raise_error(F.concat(F.lit(f"{path}: "), F.col("fault")))).otherwise(F.col("value"))
+    lines = _lines(spark, path, canonical)
+    checked = F.when(F.col("fault").isNotNull(), F.raise_error(F.concat(F.col("file"), F.lit(": "), F.col("fault")))).otherwise(F.col("value"))
     return lines.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
@@ -28,8 +41,21 @@ def read_lenient(spark: SparkSession, path: str, schema: str | T.StructType) ->
 
 
 def faults(spark: SparkSession, path: str, canonical: bool = False) -> DataFrame:
-    """The lines that read_strict() would reject, and why."""
-    return spark.read.text(path, lineSep="\n").select("value", json_error(canonical)(F.col("value")).alias("fault")).where("fault is not null")
+    """value, fault, file, line: the lines that read_strict() would reject, why, and where (lines from 1).
+
+    A line's number is its place in its byte range plus the lines of the ranges
+    before it in the file. Places and sizes are of two passes over one listing of
+    files, which Spark cuts alike; were a range read by another task, it is an error.
+    """
+    lines = _lines(spark, path, canonical)
+    ranges = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    found = lines.where("fault is not null").join(ranges, ["file", "block"], "left")
+    task = lambda c: F.shiftright(c, 33)
+    moved = F.col("first").isNull() | (task(F.col("at")) != task(F.col("first")))
+    line = F.when(moved, F.raise_error(F.concat(F.col("file"), F.lit(": read in other ranges")))).otherwise(F.col("before") + F.col("at") - F.col("first") + 1)
+    return found.select("value", "fault", "file", line.cast("long").alias("line"))
 
 
 def canonical_lines(df: DataFrame) -> DataFrame:
