@@ -1,8 +1,8 @@
 """Command line: build, rank, analyse and verify a repository's tables.
 
-    python -m codegrain.cli build --repository DIR --commit SHA --out DIR [--seed N] [--check-repeats] [--frozen-by DIR]
+    python -m codegrain.cli build --repository DIR --commit SHA --out DIR [--seed N] [--check-repeats] [--frozen-by DIR] [--refreeze]
     python -m codegrain.cli rank --tables DIR [--top N]
-    python -m codegrain.cli analyse --tables DIR --out DIR --mode {selected,priority,all} [--limit N] [--resume] [--dry-run]
+    python -m codegrain.cli analyse --tables DIR --out DIR --mode {selected,priority,all} [--limit N] [--resume] [--dry-run] [--repository DIR --commit SHA]
     python -m codegrain.cli verify --tables DIR --repository DIR --commit SHA [--seed N] [--lock FILE]
 
 Each prints one JSON object and ends with 0 if its status is PASS or COMPLETE.
@@ -45,15 +45,16 @@ def stage_in(spark: SparkSession, folder: str) -> Callable[[DataFrame, str], Dat
     return stage
 
 
-def build_tables(spark: SparkSession, repository: str, commit: str, out: str, seed: str = "0", check_repeats: bool = False, frozen_by: str | None = None) -> dict:
+def build_tables(spark: SparkSession, repository: str, commit: str, out: str, seed: str = "0", check_repeats: bool = False, frozen_by: str | None = None, refreeze: bool = False) -> dict:
     stage, target = stage_in(spark, f"{out}.staged"), build.Target(commit)
     files = stage(source_files(spark, repository, commit), "source")
-    make = lambda: build.build(files, target, stage, seed)
+    upstream = lambda *t: verify.chunk_faults(*t, target, seed)
+    make = lambda checked=None: build.build(files, target, stage, seed, upstream=checked)
     differ = build.twice(make, KEYS) if check_repeats else {}
     if any(differ.values()):
         return {"status": "FAIL", "differ": differ}
-    tables = make()
-    build.save(tables, out, frozen_by)
+    tables = make(upstream)
+    build.save(tables, out, frozen_by, refreeze)
     got = build.load(spark, out)
     return {"status": "PASS", "reproducible": bool(check_repeats), "counts": build.coverage(got["files"], got["chunks"], got["batches"]).first().asDict(True)}
 
@@ -62,14 +63,14 @@ def rank_tables(spark: SparkSession, tables: str, top: int = 20) -> dict:
     return build.rank_summary(build.load(spark, tables)["ranked"], top)
 
 
-def analyse_tables(spark: SparkSession, tables: str, out: str, make, mode: str = "selected", limit: int | None = None, resumed: bool = False, dry_run: bool = False) -> dict:
+def analyse_tables(spark: SparkSession, tables: str, out: str, make, mode: str = "selected", limit: int | None = None, resumed: bool = False, dry_run: bool = False, files: DataFrame | None = None) -> dict:
     t = build.load(spark, tables)
     if dry_run:
         listed = workflow.batches_of(mode, t["batches"], t["selection"], t["ranked"], limit)
-        faults = workflow.render_faults(listed, t["chunks"]).count()
+        faults = (workflow.render_faults(listed, t["chunks"]) if files is None else workflow.rendered_batches(listed, t["chunks"], files).where("fault is not null")).count()
         size = workflow.dry_run(listed).agg(F.count("*").alias("n"), F.coalesce(F.sum("evidence_bytes"), F.lit(0)).alias("b")).first()
         return {"status": "FAIL" if faults else "PASS", "mode": mode, "batch_count": size.n, "evidence_bytes": size.b, "faulty": faults}
-    return workflow.analyse(spark, t, make, out, mode, limit, resumed)
+    return workflow.analyse(spark, t, make, out, mode, limit, resumed, files=files)
 
 
 def verify_tables(spark: SparkSession, tables: str, repository: str, commit: str, seed: str = "0", lock: dict | None = None, most: int = 20) -> dict:
@@ -86,9 +87,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, make=
     parser = argparse.ArgumentParser(prog="codegrain", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = parser.add_subparsers(dest="command", required=True)
     options = {
-        "build": (("--repository", {}), ("--commit", {}), ("--out", {}), ("--seed", {"default": "0"}), ("--check-repeats", {"action": "store_true"}), ("--frozen-by", {"default": None})),
+        "build": (("--repository", {}), ("--commit", {}), ("--out", {}), ("--seed", {"default": "0"}), ("--check-repeats", {"action": "store_true"}), ("--frozen-by", {"default": None}), ("--refreeze", {"action": "store_true"})),
         "rank": (("--tables", {}), ("--top", {"type": int, "default": 20})),
-        "analyse": (("--tables", {}), ("--out", {}), ("--mode", {"choices": workflow.MODES, "default": "selected"}), ("--limit", {"type": int, "default": None}), ("--resume", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--url", {"default": "http://127.0.0.1:11434"}), ("--model", {"default": ""})),
+        "analyse": (("--tables", {}), ("--out", {}), ("--mode", {"choices": workflow.MODES, "default": "selected"}), ("--limit", {"type": int, "default": None}), ("--resume", {"action": "store_true"}), ("--dry-run", {"action": "store_true"}), ("--url", {"default": "http://127.0.0.1:11434"}), ("--model", {"default": ""}), ("--repository", {"default": None}), ("--commit", {"default": None})),
         "verify": (("--tables", {}), ("--repository", {}), ("--commit", {}), ("--seed", {"default": "0"}), ("--lock", {"default": None})),
     }
     for name, listed in options.items():
@@ -98,11 +99,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, make=
     a = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("codegrain").getOrCreate()
     if a.command == "build":
-        got = build_tables(spark, a.repository, a.commit, a.out, a.seed, a.check_repeats, a.frozen_by)
+        got = build_tables(spark, a.repository, a.commit, a.out, a.seed, a.check_repeats, a.frozen_by, a.refreeze)
     elif a.command == "rank":
         got = rank_tables(spark, a.tables, a.top)
     elif a.command == "analyse":
-        got = analyse_tables(spark, a.tables, a.out, make or (lambda: workflow.HttpProvider(a.url, a.model)), a.mode, a.limit, a.resume, a.dry_run)
+        files = source_files(spark, a.repository, a.commit) if a.repository and a.commit else None
+        got = analyse_tables(spark, a.tables, a.out, make or (lambda: workflow.HttpProvider(a.url, a.model)), a.mode, a.limit, a.resume, a.dry_run, files)
     else:
         lock = None if a.lock is None else json.loads(records.read_text(spark, a.lock))
         got = verify_tables(spark, a.tables, a.repository, a.commit, a.seed, lock)

@@ -101,6 +101,15 @@ def decode(raw: bytes | None) -> tuple[str | None, str | None, str | None]:
         return None, None, "undecodable"
 
 
+#: Where cp1252 differs from Latin-1; the five bytes that it leaves open, which decode() refuses, stay as they are.
+_CP1252 = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")}
+
+
+def from_cp1252(raw: Column) -> Column:
+    """Bytes of a text that decode() found to be cp1252, decoded in the JVM."""
+    return F.translate(F.decode(raw, "ISO-8859-1"), "".join(_CP1252), "".join(_CP1252.values()))
+
+
 def decode_bytes():
     """An Arrow UDF: bytes to text, with the encoding that fitted or the reason why none did."""
 

@@ -18,6 +18,7 @@ from codegrain.operators import relations as rel
 from codegrain.operators import scoring
 from codegrain.operators.ordering import source_order
 from codegrain.operators.structure import CAP, FACTS, chunk_files, extract_files
+from codegrain.sources import committed, records
 from codegrain.sources.staging import staged
 
 # Prefixes of ids, the most bytes of a batch, and the unit in which batches are measured.
@@ -137,8 +138,16 @@ def _anchored(rows: DataFrame, chunks: DataFrame) -> DataFrame:
     return at.join(touched, ["path", "start_byte", "end_byte"])
 
 
-def index(files: DataFrame, file_records: DataFrame, chunks: DataFrame, target: Target, stage) -> dict[str, DataFrame]:
-    """symbols, calls, includes, chunk_facts, file_index of ``files`` (path, git_blob_oid, raw). ``stage`` writes a table and reads it back."""
+def in_order(rows: DataFrame, ordered: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """``rows`` sorted by their chunk's place in source order, which they get as ``chunk_ordinal``."""
+    return rows.join(ordered.select(key, F.col("ordinal").alias("chunk_ordinal")), key).orderBy("chunk_ordinal")
+
+
+def index(files: DataFrame, file_records: DataFrame, chunks: DataFrame, ordered: DataFrame, target: Target, stage) -> dict[str, DataFrame]:
+    """symbols, calls, includes, chunk_facts, file_index of ``files`` (path, git_blob_oid, raw). ``stage`` writes a table and reads it back.
+
+    ``ordered``: chunk_id and ordinal, its place in source order; chunk_facts are written in that order.
+    """
     readable = files.join(file_records.where("encoding = 'utf-8'").select("path"), "path").select("path", F.col("raw").cast("string").alias("text"))
     found = stage(extract_files(readable), "extracted")
     oids = files.select("path", "git_blob_oid")
@@ -163,7 +172,7 @@ def index(files: DataFrame, file_records: DataFrame, chunks: DataFrame, target:
     includes = stage(rel.resolve_links(_anchored(i, chunks), files.select("path")), "includes")
 
     points = found.where("tag = 'fact'").select("path", F.col("name").alias("fact"), "start_byte")
-    facts = stage(chunk_facts(points, chunks, symbols, calls, file_records), "chunk-facts")
+    facts = stage(in_order(chunk_facts(points, chunks, symbols, calls, file_records), ordered), "chunk-facts")
     count = lambda df, name: df.groupBy("path").agg(F.count("*").alias(name))
     records = file_records.select("path", "language", "encoding", "outcome", "chunk_count", file_status(F.col("outcome"), F.col("encoding")).alias("index_status"))
     for df, name in ((symbols, "symbol_count"), (calls, "call_count"), (includes, "include_count")):
@@ -264,8 +273,12 @@ def rank_summary(ranked: DataFrame, top: int = 20) -> dict:
 # ---------------------------------------------------------------- whole builds
 
 
-def build(files: DataFrame, target: Target, stage, seed: str = "0", cap: int = CAP, batch_cap: int = BATCH_CAP) -> dict[str, DataFrame]:
-    """All tables of ``files`` (path, git_blob_oid, raw): files, chunks, batches, selection, the index, batch_map and ranked."""
+def build(files: DataFrame, target: Target, stage, seed: str = "0", cap: int = CAP, batch_cap: int = BATCH_CAP, upstream=None) -> dict[str, DataFrame]:
+    """All tables of ``files`` (path, git_blob_oid, raw): files, chunks, batches, selection, the index, batch_map and ranked.
+
+    ``upstream(files, records, chunks, batches, selection)``: a table of faults;
+    the index is built only where it is empty.
+    """
     records, chunks = chunk_records(files, target, cap)
     records, chunks = stage(records, "files"), stage(chunks, "chunks")
     wrong = records.where("outcome = 'TERMINAL_ERROR' or covered_bytes <> file_bytes").select("path", "outcome", "fallback_reason").limit(5).collect()
@@ -274,7 +287,9 @@ def build(files: DataFrame, target: Target, stage, seed: str = "0", cap: int = C
     ordered = source_order(chunks.withColumnRenamed("ordinal", "file_ordinal"), "path", "start_byte", "end_byte", "chunk_id", stage=stage)
     batches = stage(batch_records(ordered, target, batch_cap, stage), "batches")
     chosen = stage(selection(batches, seed), "selection")
-    idx = index(files, records, chunks, target, stage)
+    if upstream and (wrong := upstream(files, records, chunks, batches, chosen).limit(5).collect()):
+        raise ValueError(f"no index of faulty chunks: {[tuple(r) for r in wrong]}")
+    idx = index(files, records, chunks, ordered, target, stage)
     return {"files": records, "chunks": chunks, "batches": batches, "selection": chosen, **idx, "batch_map": batch_map(chosen, batches, chunks, idx), "ranked": rank(batches, chunks, idx["calls"], idx["symbols"])}
 
 
@@ -288,14 +303,23 @@ def twice(make, keys: dict[str, list[str]]) -> dict[str, int]:
 TABLES = ("files", "chunks", "batches", "selection", "symbols", "calls", "includes", "chunk_facts", "file_index", "batch_map", "ranked")
 
 
-def save(tables: dict[str, DataFrame], folder: str, frozen_by: str | None = None) -> None:
-    """Publish the tables in one step; refused once ``frozen_by`` exists."""
-    from codegrain.sources.records import publish
+def save(tables: dict[str, DataFrame], folder: str, frozen_by: str | None = None, refreeze: bool = False) -> int:
+    """Commit the tables together; gives the version.
 
+    Tables that are there already are replaced only with ``refreeze``, and only
+    while they are as they were committed. Nothing is written once ``frozen_by``,
+    the results made from them, exists.
+    """
     spark = next(iter(tables.values())).sparkSession
-    publish(spark, folder, lambda at: [df.write.parquet(f"{at}/{name}") for name, df in tables.items()], frozen_by)
+    if frozen_by and records.exists(spark, frozen_by):
+        raise FileExistsError(f"{frozen_by} exists; what it was made from is frozen")
+    last = committed.latest(spark, folder)
+    if last and refreeze:
+        committed.folder(spark, folder)
+    return committed.commit(spark, folder, lambda at: [df.write.parquet(f"{at}/{name}") for name, df in tables.items()], last["version"] if last and refreeze else 0)
 
 
 def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables of a saved build."""
-    return {name: spark.read.parquet(f"{folder}/{name}") for name in TABLES}
+    """The tables of the last build that was committed."""
+    at = committed.folder(spark, folder)
+    return {name: spark.read.parquet(f"{at}/{name}") for name in TABLES}

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codegrain.functions.text import from_cp1252
 from codegrain.operators import build, scoring, validate
 from codegrain.operators.scope import PROTECTED
 from codegrain.operators.structure import CAP, FACTS
@@ -59,6 +60,26 @@ def _sliced(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("s.chunk_id", "true_oid", F.octet_length("raw").alias("file_size"), part.alias("bytes"))
 
 
+def rendered(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """chunk_id, frame, fault: evidence made anew from the files' bytes, and the first thing in which it isn't what was recorded.
+
+    A file's bytes meet the list of its wanted chunks once. A chunk whose file is
+    missing or another has no frame; nor have bytes of another hash.
+    """
+    part = _sliced(files, chunks)
+    own = chunks.select("chunk_id", "path", "start_byte", "end_byte", "kind", "start_line", "end_line", "encoding", "git_blob_oid", "raw_sha256", "frame_sha256", "frame_bytes").join(part, "chunk_id", "left")
+    content = F.when(F.col("encoding") == "utf-8", F.col("bytes").cast("string")).when(F.col("encoding") == "cp1252", from_cp1252(F.col("bytes")))
+    made = own.withColumn("frame", build.frame(content))
+    fault = (
+        F.when(F.col("file_size").isNull(), "file").when(~F.col("true_oid").eqNullSafe(F.col("git_blob_oid")), "blob")
+        .when(~F.col("encoding").isin("utf-8", "cp1252"), "encoding")
+        .when(~F.sha2("bytes", 256).eqNullSafe(F.col("raw_sha256")), "raw hash")
+        .when(~F.sha2("frame", 256).eqNullSafe(F.col("frame_sha256")), "frame hash")
+        .when(~F.octet_length("frame").eqNullSafe(F.col("frame_bytes").cast("int")), "frame size")
+    )
+    return made.select("chunk_id", "frame", fault.alias("fault")).withColumn("frame", F.when(F.col("fault").isNull(), F.col("frame")))
+
+
 def chunk_faults(files: DataFrame, records: DataFrame, chunks: DataFrame, batches: DataFrame, selection: DataFrame, target: build.Target, seed: str, cap: int = CAP, batch_cap: int = build.BATCH_CAP) -> DataFrame:
     """What is wrong with chunks, batches and selection, reckoned anew from the files' bytes."""
     raw = files.select("path", F.col("git_blob_oid").alias("true_oid"), "raw")

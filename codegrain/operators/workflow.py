@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 from codegrain.functions.text import dump_canonical, strict_json
 from codegrain.operators import chunks as ch
 from codegrain.operators import relations as rel
-from codegrain.operators import preflight, rollup
+from codegrain.operators import preflight, rollup, verify
 from codegrain.operators.rollup import finding_id
 from codegrain.operators.validate import schema_errors
+from codegrain.sources.staging import staged
 
 
 class ProviderError(Exception):
@@ -277,17 +278,40 @@ def render_faults(batches: DataFrame, chunks: DataFrame) -> DataFrame:
     return held.unionByName(batches.where(wrong).select("batch_id", F.lit("payload").alias("fault"))).distinct()
 
 
-def analyse(spark: SparkSession, tables: dict[str, DataFrame], make: Callable[[], Provider], out: str, mode: str = "selected", limit: int | None = None, resumed: bool = False, wave: int = 64, waits=(0.1, 0.5)) -> dict:
+def rendered_batches(batches: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """``batches`` with their evidence made from the files' bytes (path, git_blob_oid, raw), and ``fault``: the first of a chunk's, or of the payload's hash, size and cap.
+
+    Only files of the batches' chunks are read through. A batch is bounded by its cap, so its frames come together.
+    """
+    of = batches.select("batch_id", F.posexplode("chunk_ids").alias("position", "chunk_id"))
+    wanted = chunks.join(of.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    held = of.join(verify.rendered(wanted, files), "chunk_id", "left").withColumn("fault", F.when(F.col("frame").isNull(), F.coalesce("fault", F.lit("chunk"))))
+    per = held.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("position", F.coalesce("frame", F.lit("")).alias("frame")))).alias("l"), F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("position"))).alias("of_chunk"))
+    made = batches.drop("evidence").join(per.select("batch_id", "of_chunk", F.array_join(F.transform("l", lambda x: x["frame"]), "").alias("evidence")), "batch_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+    fault = (
+        F.when(F.col("of_chunk").isNotNull(), F.col("of_chunk")).when(F.octet_length("evidence") != F.col("payload_bytes"), "payload size")
+        .when(F.sha2("evidence", 256) != F.col("payload_sha256"), "payload hash").when(F.col("payload_bytes") > PACK_CAP, "payload cap")
+    )
+    return made.select(*[c for c in batches.columns if c != "evidence"], "evidence", fault.alias("fault"))
+
+
+def analyse(spark: SparkSession, tables: dict[str, DataFrame], make: Callable[[], Provider], out: str, mode: str = "selected", limit: int | None = None, resumed: bool = False, wave: int = 64, waits=(0.1, 0.5), files: DataFrame | None = None) -> dict:
     """Review the batches of a mode, wave by wave, and write findings, telemetry and a summary to ``out``; gives the summary.
 
     ``tables``: of build(). Each wave of ``wave`` batches is written before the
     next begins; ``resumed`` leaves out batches that have a result. What a
-    stopped run has finished stays, and its summary says so.
+    stopped run has finished stays, and its summary says so. With ``files`` (path,
+    git_blob_oid, raw), evidence is made from their bytes, once for all waves.
     """
     from codegrain.sources import records
 
     listed = batches_of(mode, tables["batches"], tables["selection"], tables["ranked"], limit)
-    if wrong := render_faults(listed, tables["chunks"].select("chunk_id", "frame", "frame_sha256", "frame_bytes")).limit(5).collect():
+    if files is None:
+        wrong = render_faults(listed, tables["chunks"].select("chunk_id", "frame", "frame_sha256", "frame_bytes"))
+    else:
+        listed = staged(rendered_batches(listed, tables["chunks"], files), "rendered")
+        wrong = listed.where("fault is not null").select("batch_id", "fault")
+    if wrong := wrong.limit(5).collect():
         raise ValueError(f"evidence isn't as recorded: {wrong}")
     chunk = lambda df: df.withColumnRenamed("anchor_chunk_id", "chunk_id")
     total, top = listed.count(), f"{out}/waves"

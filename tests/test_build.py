@@ -1,12 +1,14 @@
 """A small repository, from files to ranked batches, and the checks of each table."""
 
 import uuid
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from codegrain.functions.text import blob_oid
-from codegrain.operators import build, verify
+from codegrain.functions.text import blob_oid, from_cp1252
+from codegrain.operators import build, verify, workflow
+from codegrain.sources import committed
 
 FILES = {
     "src/a.c": '#include "a.h"\n#include "util/b.h"\nstatic int local(int n)\n{\n    return n + 1;\n}\n\nint shared(int n) { return local(n) + twice(n) + MAX(n, 2); }\n\nstruct box { int v; };\n',
@@ -141,3 +143,47 @@ def test_saved_tables_load_and_freeze(built, spark, tmp_path):
         build.save(some, f"{tmp_path}/out")
     with pytest.raises(FileExistsError):
         build.save(some, f"{tmp_path}/new", frozen_by=f"{tmp_path}/out")
+    less = {**some, "calls": some["calls"].limit(1)}
+    assert build.save(less, f"{tmp_path}/out", refreeze=True) == 2 and build.load(spark, f"{tmp_path}/out")["calls"].count() == 1
+    with pytest.raises(FileExistsError):
+        build.save(some, f"{tmp_path}/out", frozen_by=f"{tmp_path}/out", refreeze=True)
+    next(Path(committed.folder(spark, f"{tmp_path}/out"), "calls").glob("part-*.parquet")).unlink()
+    with pytest.raises(committed.Damaged):
+        build.save(some, f"{tmp_path}/out", refreeze=True)
+
+
+def test_facts_are_in_the_order_of_chunks(built):
+    rows = built["chunk_facts"].orderBy("chunk_ordinal").collect()
+    places = {r.chunk_id: (r.path.encode(), r.start_byte) for r in built["chunks"].collect()}
+    assert [r.chunk_ordinal for r in rows] == list(range(len(places))) and [places[r.chunk_id] for r in rows] == sorted(places.values())
+
+
+def test_no_index_of_faulty_chunks(files, stage):
+    bad = lambda f, records, chunks, batches, chosen: verify.chunk_faults(f, records, chunks.withColumn("start_line", F.col("start_line") + 1), batches, chosen, TARGET, "0", 120, 700)
+    with pytest.raises(ValueError, match="lines"):
+        build.build(files, TARGET, stage, cap=120, batch_cap=700, upstream=bad)
+
+
+def test_evidence_is_rendered_from_the_bytes_of_files(built, files, spark):
+    frames = {r.chunk_id: r.frame for r in built["chunks"].collect()}
+    assert {r.chunk_id: (r.frame, r.fault) for r in verify.rendered(built["chunks"], files).collect()} == {i: (f, None) for i, f in frames.items()}
+    got = workflow.rendered_batches(built["batches"], built["chunks"], files).collect()
+    assert {r.batch_id: (r.evidence, r.fault) for r in got} == {r.batch_id: (r.evidence, None) for r in built["batches"].collect()}
+
+    def faults(chunks=built["chunks"], files=files, batches=built["batches"]):
+        return {r.fault for r in workflow.rendered_batches(batches, chunks, files).collect()}
+
+    is_b = F.col("path") == "src/b.c"
+    assert "raw hash" in faults(files=files.withColumn("raw", F.when(is_b, F.regexp_replace(F.col("raw").cast("string"), "system", "sYstem").cast("binary")).otherwise(F.col("raw"))))
+    assert "blob" in faults(files=files.withColumn("git_blob_oid", F.when(is_b, F.lit("0")).otherwise(F.col("git_blob_oid"))))
+    assert "file" in faults(files=files.where(~is_b))
+    assert "frame hash" in faults(chunks=built["chunks"].withColumn("end_line", F.col("end_line") + 1))
+    assert "chunk" in faults(chunks=built["chunks"].where(~is_b))
+    assert faults(batches=built["batches"].withColumn("payload_sha256", F.lit("0"))) == {"payload hash"}
+    assert faults(batches=built["batches"].withColumn("payload_bytes", F.col("payload_bytes") + 1)) == {"payload size"}
+    assert faults(batches=built["batches"].limit(0)) == set()
+
+
+def test_cp1252_in_the_jvm(spark):
+    raw = bytes(b for b in range(1, 256) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+    assert spark.createDataFrame([(raw,)], "b binary").select(from_cp1252(F.col("b"))).first()[0] == raw.decode("cp1252")

@@ -46,5 +46,6 @@ def test_build_rank_analyse_verify(spark, tmp_path, capsys):
     assert code == 0 and len(got["top_batches"]) == 1
     code, got = call("analyse", "--tables", tables, "--out", f"{tmp_path}/out", "--mode", "priority", "--dry-run")
     assert code == 0 and got["batch_count"] >= 1 and got["evidence_bytes"] > 0
-    code, got = call("analyse", "--tables", tables, "--out", f"{tmp_path}/out", "--mode", "all")
+    assert call("analyse", "--tables", tables, "--out", f"{tmp_path}/out", "--mode", "all", "--dry-run", "--repository", str(repo), "--commit", commit)[0] == 0
+    code, got = call("analyse", "--tables", tables, "--out", f"{tmp_path}/out", "--mode", "all", "--repository", str(repo), "--commit", commit)
     assert code == 0 and got["finding_status_counts"] == {"VERIFIED": got["batch_count"]}
