@@ -31,7 +31,10 @@ def kind_of(v: Column) -> Column:
 
 def object_fault(text: Column) -> Column:
     """What is wrong with the text of a JSON object, the first that holds; null if nothing is. A null text is blank."""
-    value = value_of(text)
+    return _object_fault(text, value_of(text))
+
+
+def _object_fault(text: Column, value: Column) -> Column:
     return (
         F.when(text.isNull() | ~text.rlike(r"[^\s]"), "blank")
         .when(~F.is_valid_utf8(text), "not UTF-8")
@@ -202,8 +205,10 @@ def rule_faults(v: Column, schema: dict) -> Column:
 
 def text_faults(text: Column, schema: dict) -> Column:
     """array<string>: what is wrong with a JSON object's text, or where its value breaks the schema."""
-    wrong = object_fault(text)
-    return F.when(wrong.isNotNull(), F.array(wrong)).otherwise(rule_faults(value_of(text), schema))
+    parsed = F.struct(text.alias("x"), value_of(text).alias("v"))
+    checked = lambda p: F.struct(_object_fault(p["x"], p["v"]).alias("wrong"), p["v"].alias("v"))
+    told = lambda c: F.when(c["wrong"].isNotNull(), F.array(c["wrong"])).otherwise(_value(c["v"], schema, F.lit("$")))
+    return _bound(parsed, lambda p: _bound(checked(p), told))
 
 
 def places_of(df: DataFrame, key: str, v: str, stage, pattern: str = PLACEHOLDER) -> DataFrame:
