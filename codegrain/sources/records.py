@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,6 +25,36 @@ def _lines(spark: SparkSession, path: str, canonical: bool) -> DataFrame:
     return spark.read.text(path, lineSep="\n").select("value", fault.alias("fault"), *own, F.monotonically_increasing_id().alias("at"))
 
 
+#: A byte order mark; files whose first bytes are looked at together.
+MARK, LOOKS = "\ufeff", 32
+
+
+def marked(spark: SparkSession, path: str) -> list[tuple[str, bool]]:
+    """The files that begin with a byte order mark, and whether they have nothing else.
+
+    Hadoop's line reader drops a mark at the start of a file, so no line shows
+    it. The driver reads four bytes of each file, unpacked.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def look(name: str) -> tuple[str, bytes]:
+        at = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name))
+        codec, raw = codecs.getCodec(at), at.getFileSystem(conf).open(at)
+        try:
+            # -1 at the end of a file, which no byte is.
+            stream, begun = codec.createInputStream(raw) if codec else raw, []
+            while len(begun) < 4 and (byte := stream.read()) >= 0:
+                begun.append(byte)
+            return name, bytes(begun)
+        finally:
+            raw.close()
+
+    with ThreadPoolExecutor(LOOKS) as pool:
+        firsts = list(pool.map(look, spark.read.text(path).inputFiles()))
+    return [(name, len(first) == 3) for name, first in firsts if first.startswith(MARK.encode())]
+
+
 def read_strict(spark: SparkSession, path: str, schema: str | T.StructType, canonical: bool = False) -> DataFrame:
     """Records of a JSONL file; a line that isn't a strict (or canonical) object of the schema is an error.
 
@@ -31,7 +63,9 @@ def read_strict(spark: SparkSession, path: str, schema: str | T.StructType, cano
     is read in byte ranges by several tasks, and checked in the JVM; only
     ``canonical`` sends lines through an Arrow UDF besides.
     """
-    lines = _lines(spark, path, canonical)
+    lines, wrong = _lines(spark, path, canonical), [name for name, _ in marked(spark, path)]
+    if wrong:
+        raise ValueError(f"{wrong[0]}: byte order mark")
     checked = F.when(F.col("fault").isNotNull(), F.raise_error(F.concat(F.col("file"), F.lit(": "), F.col("fault")))).otherwise(F.col("value"))
     return lines.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
@@ -46,16 +80,24 @@ def faults(spark: SparkSession, path: str, canonical: bool = False) -> DataFrame
     A line's number is its place in its byte range plus the lines of the ranges
     before it in the file. Places and sizes are of two passes over one listing of
     files, which Spark cuts alike; were a range read by another task, it is an error.
+    A byte order mark that a file begins with is put back to its first line.
     """
-    lines = _lines(spark, path, canonical)
+    lines, starts = _lines(spark, path, canonical), marked(spark, path)
     ranges = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    found = lines.where("fault is not null").join(ranges, ["file", "block"], "left")
+    # Spark writes an empty authority in one place and not in the other.
+    plain = F.regexp_replace("file", "^([^:/]+):///", "$1:/")
+    opening = plain.isin([re.sub("^([^:/]+):///", r"\1:/", name) for name, _ in starts]) & (F.col("block") == 0)
+    found = lines.where(F.col("fault").isNotNull() | opening).join(ranges, ["file", "block"], "left")
     task = lambda c: F.shiftright(c, 33)
     moved = F.col("first").isNull() | (task(F.col("at")) != task(F.col("first")))
     line = F.when(moved, F.raise_error(F.concat(F.col("file"), F.lit(": read in other ranges")))).otherwise(F.col("before") + F.col("at") - F.col("first") + 1)
-    return found.select("value", "fault", "file", line.cast("long").alias("line"))
+    begins, whole = opening & (F.col("at") == F.col("first")), F.concat(F.lit(MARK), "value")
+    value, fault = F.when(begins, whole).otherwise(F.col("value")), F.when(begins, object_fault(whole)).otherwise(F.col("fault"))
+    out = found.select(value.alias("value"), fault.alias("fault"), "file", line.cast("long").alias("line")).where("fault is not null")
+    bare = [(MARK, "byte order mark", name, 1) for name, only in starts if only]
+    return out.unionByName(spark.createDataFrame(bare, out.schema)) if bare else out
 
 
 def canonical_lines(df: DataFrame) -> DataFrame:

@@ -1,7 +1,9 @@
 """Rules over VARIANT against the plain walk, strict lines with their places, and stand-ins in nested values."""
 
+import gzip
 import json
 import random
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,6 +109,20 @@ def test_lines_keep_file_and_place_over_many_splits(spark, tmp_path):
     assert records.faults(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_byte_order_mark_at_the_start_of_a_file(spark, tmp_path):
+    """The reader of lines drops it there, and only there."""
+    mark = b"\xef\xbb\xbf"
+    files = {"a.jsonl": mark + b'{"n":1}\n{"n":2}\n' + mark + b"{}\n", "b.jsonl": b'{"n":1}\n', "c d.jsonl": mark, "e.jsonl": mark + b"\n{}\n", "f.jsonl": mark + b'{"n":"\xff"}\n{"n":1', "g.jsonl.gz": gzip.compress(mark + b'{"n":1}\n{"n":2}\n')}
+    for name, raw in files.items():
+        (tmp_path / name).write_bytes(raw)
+    got = {(unquote(r.file.rsplit("/", 1)[1]), r.line, r.fault) for r in records.faults(spark, str(tmp_path)).collect()}
+    mark = "byte order mark"
+    assert got == {("a.jsonl", 1, mark), ("a.jsonl", 3, mark), ("c d.jsonl", 1, mark), ("e.jsonl", 1, mark), ("f.jsonl", 1, "not UTF-8"), ("f.jsonl", 2, "invalid, or a key twice"), ("g.jsonl.gz", 1, mark)}
+    assert records.read_strict(spark, str(tmp_path / "b.jsonl"), "n long").count() == 1
+    with pytest.raises(Exception, match="byte order mark"):
+        records.read_strict(spark, str(tmp_path / "g.jsonl.gz"), "n long").collect()
+
+
 def test_places_of_stand_ins(spark):
     values = [{"a": ["x", {"b": "TODO"}], "c": "fine"}, {"a": {"a": {"a": {"a": ["tbd", "\nfixme"]}}}}, {}, {"TODO": 1}, "placeholder", [[["lorem ipsum"]]]]
     df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)] + [(99, None)], "i int, x string").select("i", jr.value_of(F.col("x")).alias("v"))
