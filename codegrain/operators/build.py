@@ -232,14 +232,34 @@ def batch_map(chosen: DataFrame, batches: DataFrame, chunks: DataFrame, idx: dic
 def cross_targets(calls: DataFrame, symbols: DataFrame, paths: DataFrame, batch: str) -> DataFrame:
     """By batch, how many distinct candidates of its calls are defined in files that the batch has no part of.
 
-    ``calls``: resolved calls with ``batch``; ``paths``: batch, path. Goes by
-    pools: those of a batch are distinct before they meet their symbols.
+    ``calls``: resolved calls with ``batch``; ``paths``: batch, path; a symbol_id
+    is one symbol's. No batch meets the symbols of its pools: a batch adds up its
+    pools' sizes and takes off what they have in its own files. A symbol can be
+    in two pools, that of its name and that of its qualified name; what is in
+    both is counted once by taking it off again. The rows are a batch's pools
+    times its files, both bounded by the batch.
     """
-    wanted = calls.where("via is not null").select(batch, "via", "pool", "local_symbol_id").distinct()
-    pool = rel.pools(symbols).where("use = 'DEFINITION'").select("via", "pool", "symbol_id", "path")
-    held = wanted.join(pool, ["via", "pool"]).where(F.col("local_symbol_id").isNull() | (F.col("local_symbol_id") == F.col("symbol_id")))
-    outside = held.where("path <> ''").select(batch, "symbol_id", "path").distinct().join(paths.select(batch, "path").distinct(), [batch, "path"], "left_anti")
-    return outside.groupBy(batch).agg(F.count("*").alias("cross_file_target_count"))
+    wanted = staged(calls.where("via is not null").select(batch, "via", "pool", "local_symbol_id").distinct(), "wanted-pools")
+    whole = wanted.where("local_symbol_id is null").select(batch, "via", "pool")
+    defined = symbols.where("symbol_kind = 'FUNCTION' and role = 'DEFINITION' and path <> ''").select("symbol_id", "name", "qualified_name", "path").distinct()
+    # Groups of symbols: a pool, or two pools' common part; how many there are in each file, and in all, whose path is ''.
+    group = lambda via, pool, name: F.struct(F.lit(via).alias("via"), pool.alias("pool"), name.alias("name"))
+    none, name, qualified = F.lit(""), F.col("name"), F.col("qualified_name")
+    groups = F.explode(F.array(group("name", name, none), group("qualified", qualified, none), group("both", qualified, name)))
+    sizes = defined.select(groups.alias("g"), F.explode(F.array(F.col("path"), none)).alias("path")).where("g.pool is not null and g.name is not null").groupBy("g.via", "g.pool", "g.name", "path").agg(F.count("*").alias("n"))
+    both = defined.where("name is not null").select(F.col("qualified_name").alias("pool"), "name").distinct()
+    both = whole.where("via = 'qualified'").join(both, "pool").join(whole.where("via = 'name'").select(batch, F.col("pool").alias("name")), [batch, "name"], "left_semi")
+    asked = whole.select(batch, "via", "pool", none.alias("name"), F.lit(1).alias("sign")).unionByName(both.select(batch, F.lit("both").alias("via"), "pool", "name", F.lit(-1).alias("sign")))
+    own = paths.select(batch, "path")
+    places = own.where("path <> ''").unionByName(whole.select(batch, none.alias("path"))).distinct()
+    n = F.col("sign") * F.when(F.col("path") == "", F.col("n")).otherwise(-F.col("n"))
+    pooled = asked.join(places, batch).join(sizes, ["via", "pool", "name", "path"]).select(batch, n.alias("n"))
+    # Symbols that a file has for itself, where no pool of the batch has them.
+    alone = wanted.where("local_symbol_id is not null").select(batch, F.col("local_symbol_id").alias("symbol_id")).distinct().join(defined, "symbol_id").join(own.distinct(), [batch, "path"], "left_anti")
+    for via, c in (("name", "name"), ("qualified", "qualified_name")):
+        alone = alone.join(whole.where(F.col("via") == via).select(batch, F.col("pool").alias(c)), [batch, c], "left_anti")
+    alone = alone.select(batch, F.lit(1).cast("long").alias("n"))
+    return pooled.unionByName(alone).groupBy(batch).agg(F.sum("n").alias("cross_file_target_count")).where("cross_file_target_count > 0")
 
 
 def rank(batches: DataFrame, chunks: DataFrame, calls: DataFrame, symbols: DataFrame) -> DataFrame:

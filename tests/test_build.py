@@ -1,5 +1,6 @@
 """A small repository, from files to ranked batches, and the checks of each table."""
 
+import random
 import uuid
 from pathlib import Path
 
@@ -187,3 +188,34 @@ def test_evidence_is_rendered_from_the_bytes_of_files(built, files, spark):
 def test_cp1252_in_the_jvm(spark):
     raw = bytes(b for b in range(1, 256) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
     assert spark.createDataFrame([(raw,)], "b binary").select(from_cp1252(F.col("b"))).first()[0] == raw.decode("cp1252")
+
+
+def _joined(plan) -> int:
+    """Rows that the joins of a plan that has run gave."""
+    kind = plan.getClass().getSimpleName()
+    below = [plan.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [plan.plan()] if kind.endswith("QueryStageExec") else [plan.children().apply(i) for i in range(plan.children().size())]
+    return (plan.metrics().apply("numOutputRows").value() if "Join" in kind else 0) + sum(map(_joined, below))
+
+
+def test_cross_targets_of_a_name_that_many_share(spark):
+    """Against sets; and no batch meets the symbols of a pool, of which this has 4 million pairs."""
+    rng = random.Random(3)
+    names, files = [None, "", "a", "b", "f::a"], ["", "x", "y", "z"]
+    symbols = [(i, rng.choice(names), rng.choice(["a", "q::a", "q::b", "f::a", None]), rng.choice(["FUNCTION", "FUNCTION", "STRUCT"]), rng.choice(["DEFINITION", "DEFINITION", "DECLARATION"]), rng.choice(files)) for i in range(60)]
+    calls = [(rng.randrange(40), *rng.choice([("name", rng.choice(names)), ("qualified", rng.choice(["a", "q::a", "q::b", "f::a"])), (None, None)]), None) for _ in range(120)]
+    defined = {s[0]: s for s in symbols if s[3:5] == ("FUNCTION", "DEFINITION")}
+    held = lambda c: [s for s in defined.values() if c[2] is not None and c[2] == s[1 if c[1] == "name" else 2]]
+    calls += [(c[0], c[1], c[2], rng.choice(held(c))[0]) for c in calls if c[1] and held(c) and rng.random() < 0.6]
+    calls = [c for c in calls if c[3] is not None or rng.random() < 0.5]
+    paths = [(rng.randrange(40), rng.choice([*files, None])) for _ in range(50)]
+    want = {}
+    for b in {c[0] for c in calls}:
+        found = {s[0] for c in calls if c[0] == b for s in held(c) if c[3] in (None, s[0]) and s[5] != "" and (b, s[5]) not in paths}
+        want |= {b: len(found)} if found else {}
+    frames = lambda c, s, p: (spark.createDataFrame(c, "b long, via string, pool string, local_symbol_id long"), spark.createDataFrame(s, "symbol_id long, name string, qualified_name string, symbol_kind string, role string, path string").withColumns({"start_byte": F.lit(0), "linkage": F.lit("EXTERNAL")}), spark.createDataFrame(p, "b long, path string"))
+    assert {r.b: r.cross_file_target_count for r in build.cross_targets(*frames(calls, symbols, paths), "b").collect()} == want and len(want) > 20
+
+    n = 2000
+    got = build.cross_targets(*frames([(b, "name", "init", None) for b in range(n)], [(i, "init", f"s{i}::init", "FUNCTION", "DEFINITION", f"f{i}") for i in range(n)], [(b, f"f{b}") for b in range(n)]), "b")
+    assert {r.cross_file_target_count for r in got.collect()} == {n - 1}
+    assert _joined(got._jdf.queryExecution().executedPlan()) < 20 * n
