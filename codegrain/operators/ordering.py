@@ -25,6 +25,21 @@ def _hash(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
 
 
+#: Rows of a task that groups or joins what was dealt by a key.
+DEALT = 500_000
+
+
+def dealt_by(df: DataFrame, *key: str, n: int | None = None, rows: int | None = None) -> DataFrame:
+    """``df`` (of ``n`` rows; counted where that isn't given) dealt by a key, about ``rows`` (DEALT) of them to a task.
+
+    Spark joins small partitions by their compressed bytes, and 64 MB of those
+    can be millions of rows. A number that is asked for stays, and a join and a
+    grouping by the key take it over.
+    """
+    n = df.count() if n is None else n
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // (rows or DEALT))), *key)
+
+
 def source_order(df: DataFrame, *order: str | Column, name: str = "ordinal", stage=staged) -> DataFrame:
     """Adds the place of each row in the order (UTF-8 bytes for texts), from 0 on without a gap.
 

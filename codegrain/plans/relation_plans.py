@@ -17,11 +17,14 @@ _WEIGHT = "CASE p_type WHEN 'PROMO' THEN 9 WHEN 'STANDARD' THEN 3 WHEN 'LARGE' T
 
 def _scored_calls(spark, d):
     li, o, c, p, s = (t.table(spark, d, n) for n in ("lineitem", "orders", "customer", "part", "supplier"))
-    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"])
-    return rows.select(
-        "l_orderkey", F.coalesce(scoring.rule(F.col("p_type"), t.TYPE_RULES, t.TYPE_PREFIXES).getField("weight"), F.lit(0)).alias("weight"), F.col("l_partkey").alias("target"),
-        (F.col("s_nationkey") != F.col("c_nationkey")).alias("is_cross"), ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("is_indirect"), (F.col("l_returnflag") == "A").alias("is_ambiguous"),
+    rows = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).select(
+        "l_orderkey", F.coalesce(scoring.rule(F.col("p_type"), t.TYPE_RULES, t.TYPE_PREFIXES).getField("weight"), F.lit(0)).alias("weight"), F.col("l_partkey").alias("target"), "s_nationkey",
+        ((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")).alias("is_indirect"), (F.col("l_returnflag") == "A").alias("is_ambiguous"),
     )
+    homes = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_nationkey")
+    # The join by order is the last one, so that the scores' grouping needs no other deal.
+    rows = ordering.dealt_by(rows, "l_orderkey", n=li.count()).join(homes.hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select("l_orderkey", "weight", "target", (F.col("s_nationkey") != F.col("c_nationkey")).alias("is_cross"), "is_indirect", "is_ambiguous")
 
 
 def _scores(spark, d):

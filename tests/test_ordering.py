@@ -182,3 +182,12 @@ def test_equal_tables_move_digests_alone(spark):
     assert tuple(relations.equal_tables(a, b).first()) == want and min(want) > 0
     assert tuple(relations.equal_tables(a, b, 1).first()) == want
     assert tuple(relations.equal_tables(a.limit(0), a.limit(0)).first()) == (0, 0)
+
+
+def test_priority_calls_are_dealt_in_bounded_parts(spark, sf_dir, monkeypatch):
+    """The number of tasks that score batches rises with the calls, and Spark doesn't join them again."""
+    monkeypatch.setattr(ordering, "DEALT", 500)
+    import __spark_entry__
+
+    scores = __spark_entry__.queries()["priority_score"](spark, sf_dir)
+    assert scores.rdd.getNumPartitions() >= -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
