@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from codegrain.functions.text import canonical_json, hex_id, line_windows
 from codegrain.operators.ordering import source_order
-from codegrain.sources.staging import staged
+from codegrain.sources.staging import small_batches, staged
 
 
 def windows(docs: DataFrame, cap: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Line windows of every text: id, ordinal, spans in bytes and characters, n_bytes, sha256 of the content, newlines in it, and whether it ends with one."""
-    w = docs.select(id_col, text_col, F.posexplode(line_windows(cap)(F.col(text_col))).alias("ordinal", "w"))
+    w = small_batches(docs).select(id_col, text_col, F.posexplode(line_windows(cap)(F.col(text_col))).alias("ordinal", "w"))
     part = F.substring(F.col(text_col), (F.col("w.start_char") + 1).cast("int"), (F.col("w.end_char") - F.col("w.start_char")).cast("int"))
     return w.select(id_col, F.col("ordinal").cast("long").alias("ordinal"), "w.*", (F.col("w.end_byte") - F.col("w.start_byte")).alias("n_bytes"), F.sha2(part, 256).alias("sha"), (F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit("")))).cast("long").alias("n_breaks"), part.endswith("\n").alias("ends_line"))
 

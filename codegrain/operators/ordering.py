@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codegrain.sources.staging import staged
+from codegrain.sources.staging import small_batches, staged
 
 
 def _hash(df: DataFrame) -> Column:
@@ -118,7 +118,7 @@ def last_before(rows: DataFrame, marks: DataFrame, key: str, at: str, mark_at: s
             blank = pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in kinds], kept)
             yield out(blank, carried, None)
 
-    found = stage(dealt.mapInArrow(run, schema), "last-before")
+    found = stage(small_batches(dealt).mapInArrow(run, schema), "last-before")
     ends = found.where("_lb_open is null").select("_lb_p", "_lb_own", *names)
     # One row for each range: what the ranges before it hand on.
     listed = sorted(ends.collect(), key=lambda r: r[0])

@@ -202,7 +202,7 @@ def _points(spark, d):
 
 @query("asof_chunk", f"WITH RECURSIVE {t.CHUNKS_SQL}, {_POINTS_SQL} SELECT p.doc_id, k, pos, ordinal FROM pts p JOIN chunks c ON p.doc_id = c.doc_id AND CASE WHEN pos = size THEN pos - 1 ELSE pos END >= start_char AND CASE WHEN pos = size THEN pos - 1 ELSE pos END < end_char")
 def _(spark, d):
-    return rel.asof(_points(spark, d), t.chunks(spark, d).select("doc_id", "ordinal", "start_char", "end_char"), "doc_id", "pos", "start_char", "end_char", "size").select("doc_id", "k", "pos", "ordinal")
+    return rel.asof(_points(spark, d).drop("l"), t.chunks(spark, d).select("doc_id", "ordinal", "start_char", "end_char"), "doc_id", "pos", "start_char", "end_char", "size").select("doc_id", "k", "pos", "ordinal")
 
 
 def _spans(spark, d):
@@ -436,7 +436,7 @@ _LINE_KIND = "CASE WHEN strpos(l, '|') > 0 THEN 'TABLE' WHEN length(l) < 60 THEN
 
 def _lines(spark, d):
     kind = F.when(F.instr("l", "|") > 0, "TABLE").when(F.length("l") < 60, "SHORT").otherwise("PROSE")
-    return _points(spark, d).withColumn("fact", kind)
+    return _points(spark, d).withColumn("fact", kind).drop("l")
 
 
 @query(
@@ -454,6 +454,6 @@ def _(spark, d):
 )
 def _(spark, d):
     c = t.chunks(spark, d).select("doc_id", "ordinal", "start_char", "end_char")
-    held = rel.asof(_points(spark, d), c, "doc_id", "pos", "start_char", "end_char", "size")
+    held = rel.asof(_points(spark, d).drop("l"), c, "doc_id", "pos", "start_char", "end_char", "size")
     listed = build.attached(held, ["doc_id", "ordinal"], "k", "ids", c.select("doc_id", "ordinal"))
     return listed.select("doc_id", "ordinal", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))

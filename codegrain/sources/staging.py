@@ -40,3 +40,15 @@ def unstaged(*tables: DataFrame) -> None:
             if "/codegrain/" in path:
                 at = spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bytes of an Arrow batch that a Python worker gets, about.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session sends Python workers batches of bounded bytes from now on: 10,000 rows, Spark's bound, can be any number of bytes."""
+    conf = df.sparkSession.conf
+    if int(str(conf.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) > BATCH_BYTES:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df

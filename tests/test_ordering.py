@@ -191,3 +191,15 @@ def test_priority_calls_are_dealt_in_bounded_parts(spark, sf_dir, monkeypatch):
 
     scores = __spark_entry__.queries()["priority_score"](spark, sf_dir)
     assert scores.rdd.getNumPartitions() >= -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // 500)
+
+
+def test_python_workers_get_batches_of_bounded_bytes(spark, sf_dir):
+    import __spark_entry__
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    try:
+        assert __spark_entry__.queries()["chunk_facts"](spark, sf_dir).count() > 0
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
