@@ -138,3 +138,10 @@ def test_many_rules_stay_in_the_jvm(spark):
 @pytest.mark.parametrize("text,holds", [("2024-02-29T23:59:59Z", True), ("2023-02-29T00:00:00Z", False), ("2024-01-01T24:00:00Z", False), ("2024-01-01T00:00:00", False), ("2024-01-01T00:00:00.123-23:59", True), ("2024-01-01T00:00:00Z\n", False)])
 def test_date_times(spark, text, holds):
     assert spark.range(1).select(fn.iso_datetime(F.lit(text))).first()[0] is holds and fn.is_iso_datetime(text) is holds
+
+
+def test_rules_of_events_run_on_all_cores(spark, sf_dir):
+    """However few pieces the file has."""
+    import __spark_entry__
+
+    assert __spark_entry__.queries()["json_rules"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
