@@ -21,7 +21,9 @@ scores are decimals and whole division.
 At scale: a range has RANGE nodes whatever the corpus; a node that every shard
 has costs one number for each shard. The bounds, one for each range, are sent to
 the tasks: about a million words' worth for 100 TB. The joins have the counted
-phrases alone; a word that very many phrases end in is salted.
+phrases alone; a word that very many phrases end in is salted. They are sort-merge
+joins at every size: a broadcast would be chosen by a staged table's bytes, of
+which its rows, salted or spread, have a hundred times as many in the driver.
 
 Defined results: a null text has no words, a null language is ``und``; a text of
 any length is cut into stretches that overlap by two words, so nothing is lost
@@ -415,13 +417,13 @@ def scored(nodes: DataFrame, within: int = WITHIN) -> DataFrame:
     # Phrases that end in one word are dealt to SALTS parts, each of which has the word.
     one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     two = nodes.where("w2 is not null and w3 is null").withColumn("salt", F.pmod(F.xxhash64("w1"), F.lit(SALTS)).cast("int"))
-    two = two.join(one.withColumnRenamed("last", "w2"), ["lang", "w2", "salt"]).select("lang", "w1", "w2", "f", "f1", "f_last")
+    two = two.join(one.withColumnRenamed("last", "w2").hint("merge"), ["lang", "w2", "salt"]).select("lang", "w1", "w2", "f", "f1", "f_last")
     three = nodes.where("w3 is not null")
     ends = two.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f").alias("f_last_two"), "f_last")
-    three = three.join(ends, ["lang", "w2", "w3"]).select("lang", "w1", "w2", "w3", "f", "f1", "f12", "f_last_two", "f_last")
+    three = three.join(ends.hint("merge"), ["lang", "w2", "w3"]).select("lang", "w1", "w2", "w3", "f", "f1", "f12", "f_last_two", "f_last")
     longer = three.select("lang", "f", F.explode(F.array(F.struct("w1", "w2"), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"))
     longer = longer.groupBy("lang", "p.w1", "p.w2").agg(F.max("f").alias("f_longer"))
-    kept = two.join(longer, ["lang", "w1", "w2"], "left").where(f"f_longer is null or 100 * f_longer < {within} * f")
+    kept = two.join(longer.hint("merge"), ["lang", "w1", "w2"], "left").where(f"f_longer is null or 100 * f_longer < {within} * f")
     pairs = kept.select("lang", F.concat_ws(" ", "w1", "w2").alias("phrase"), F.col("f").alias("a"), F.col("f1").alias("l"), F.col("f_last").alias("r"), _score(F.col("f"), F.col("f1"), F.col("f_last")).alias("score"))
     early, late = _score(F.col("f"), F.col("f1"), F.col("f_last_two")), _score(F.col("f"), F.col("f12"), F.col("f_last"))
     cut = F.col("early") <= F.col("late")

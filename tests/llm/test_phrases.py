@@ -123,3 +123,11 @@ def test_keys_beyond_64_bits():
         assert [x.tolist() for x in ph._walked(wide, keys, bits, np.arange(len(wide)))] == [x.tolist() for x in ph._walked(small, np.array([int(k) for k in keys], object), bits, np.arange(len(small)))]
     finally:
         ph.KEY_BITS = kept
+
+
+def test_joins_of_phrases_are_never_broadcast(spark):
+    """However small the staged nodes look, the driver gets none of them."""
+    nodes = spark.createDataFrame([("en", "a", None, None, 30, 30, 0), ("en", "b", None, None, 30, 30, 0), ("en", "a", "b", None, 20, 30, 20), ("en", "a", "b", "a", 12, 30, 20), ("en", "b", "a", None, 12, 30, 12)], "lang string, w1 string, w2 string, w3 string, f long, f1 long, f12 long")
+    found = ph.scored(staged(nodes, "nodes"))
+    assert {r.phrase for r in found.collect()} == {"a b a"}
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
