@@ -56,10 +56,10 @@ def dump(ids: np.ndarray, ends: np.ndarray, doc_ids: list[int | None], width: in
     """A file's bytes, from all ids in a row and where each document ends among them; ``doc_ids`` in order, nulls first."""
     known = [i for i in doc_ids if i is not None]
     least = known[0] if known else 0
-    body = ids.astype(f"<u{width}").tobytes()
+    body = ids.astype(f"<u{width}", copy=False)
     named = np.array([i - least for i in known], np.uint64)
     head = _HEADER.pack(MAGIC, width, part, seq, 0, len(doc_ids), len(ids), before, len(doc_ids) - len(known), least)
-    return b"".join([head, body, b"\0" * (-len(body) % 8), EliasFano.dump(ends), EliasFano.dump(named)])
+    return b"".join([head, body, b"\0" * (-body.nbytes % 8), EliasFano.dump(ends), EliasFano.dump(named)])
 
 
 class TokenFile:
@@ -112,12 +112,16 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
         held, named = [], []  # (ids, ends among all of the file) and document ids
 
         def row():
-            file = dump(np.concatenate([ids for ids, _ in held]), np.concatenate([ends for _, ends in held]), named, width, part, seq, before)
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], ["file"])
-
-        for batch in pieces(batches, "text", 8 << 20):
+            ids, ends = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            file = dump(ids, ends, named, width, part, seq, before)
+            # The column is the file's own bytes, not a copy.
+            column = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, len(file)], np.int32)), pa.py_buffer(file)])
+            return pa.RecordBatch.from_arrays([column], ["file"])
+
+        for batch in pieces(batches, "text", 2 << 20):
             ids, at = encoder.batch_ids(batch.column("text"))
-            ids, at = np.insert(ids, at[1:], end), at + np.arange(len(at))
+            ids, at = np.insert(ids.astype(f"<u{width}", copy=False), at[1:], end), at + np.arange(len(at))
             doc_ids, i = batch.column("doc_id").to_pylist(), 0
             while i < len(doc_ids):
                 # The documents that fit into the file, one at least if it is empty.

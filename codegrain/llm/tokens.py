@@ -47,10 +47,27 @@ _RUNS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: The same for parts in lines.
 _PLAIN_LINES = re.compile(r"[\n!-&(-~À-ÖØ-öø-ÿ]*", re.ASCII)
 _LINE_RUNS = re.compile(r"\n|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
+#: Bytes of texts whose parts are looked up at once; numpy and Python take some 15 times as much for them, whatever the length of the column.
+_AT_ONCE = 2 << 20
 _PACKS = [struct.Struct(f"<{n}I").pack for n in range(33)]
 _OPEN: dict[str, "PartEncoder"] = {}
 
 
+def _blocks(raw: np.ndarray, bounds: np.ndarray):
+    """First and end byte of blocks of _AT_ONCE bytes at most that end with white space or a text, so that no part is in two; only one with a longer part has more."""
+    lo, n, size = 0, len(raw), _AT_ONCE
+    while lo < n:
+        hi = min(lo + size, n)
+        if hi < n:
+            gaps = np.flatnonzero((raw[lo:hi] == 32) | (raw[lo:hi] == 10))
+            hi = max(lo + int(gaps[-1]) + 1 if len(gaps) else lo, int(bounds[np.searchsorted(bounds, hi, side="right") - 1]))
+        if hi > lo:
+            yield lo, hi
+            lo, size = hi, _AT_ONCE
+        else:
+            size *= 2
+
+
 class _Values(dict):
     """Values of parts: the first ``most`` stay, as what is frequent comes early; others until RECENT newer ones have come."""
 
@@ -171,24 +188,33 @@ class PartEncoder:
             each = [np.frombuffer(self.ids(t or ""), "<u4") for t in texts.to_pylist()]
             return np.concatenate([np.zeros(0, "<u4"), *each]), np.cumsum([0, *map(len, each)])
         raw, bounds = utf8(texts)
+        at, found, total = np.zeros(len(bounds), np.int64), [np.zeros(0, "<u4")], 0
+        for lo, hi in _blocks(raw, bounds):
+            a, b = np.searchsorted(bounds, [lo, hi])
+            ids, before = self._block_ids(raw[lo:hi], bounds[a:b] - lo)
+            found.append(ids)
+            at[a:b], total = before + total, total + len(ids)
+        at[np.searchsorted(bounds, len(raw)) :] = total
+        return np.concatenate(found), at
+
+    def _block_ids(self, raw: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of a block, and how many of them come before each of ``firsts``, where texts begin in it."""
         solid = (raw != 32) & (raw != 10)
         starts = solid.copy()
         starts[1:] &= ~solid[:-1]
-        firsts = bounds[:-1][np.diff(bounds) > 0]
         starts[firsts] = solid[firsts]
         begin = np.flatnonzero(starts)
         # Parts lie one behind the other once the gaps are left out.
-        filled = np.concatenate([np.zeros(1, np.int64), np.cumsum(solid)])
-        offsets = filled[np.append(begin, len(raw))]
+        offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.add.reduceat(solid, begin, dtype=np.int64))])
         coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(raw[solid])).dictionary_encode()
-        values = self._of_all(coded.dictionary.to_pylist())
+        values = self._of_all(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         flat = np.frombuffer(b"".join(values), "<u4")
         n = np.fromiter(map(len, values), np.int64, len(values)) // 4
         of = coded.indices.to_numpy()
         each = n[of]
         before = np.concatenate([np.zeros(1, np.int64), np.cumsum(each)])
         shift = (np.cumsum(n) - n)[of] - before[:-1]
-        return flat[np.repeat(shift, each) + np.arange(before[-1])], before[np.searchsorted(begin, bounds)]
+        return flat[np.repeat(shift, each) + np.arange(before[-1])], before[np.searchsorted(begin, firsts)]
 
     def spans(self, text: str) -> np.ndarray:
         """First and end character of every token, in order."""

@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -78,6 +81,47 @@ def test_token_files_of_nothing_and_of_other_vocabularies(spark, tmp_path):
     assert got == Counter((r[0], (*t.encode(r[1] or "", add_special_tokens=False).ids, 70_000)) for r in rows())
 
 
+def most_held(run):
+    """The most bytes that Python and numpy hold during run(), and what it gives."""
+    tracemalloc.start()
+    try:
+        got = run()
+        return tracemalloc.get_traced_memory()[1], got
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_task_holds_few_times_its_text(spark, tmp_path, monkeypatch):
+    text = prose(100_000, 4)
+    size = 8 << 20
+    text = (text + "\n") * (2 * size // len(text.encode()) + 1)
+    encoder = tokens.PartEncoder.of(None)
+    encoder.ids(text)
+    held, (ids, at) = most_held(lambda: encoder.batch_ids(pa.array([text])))
+    assert held < 8 * 2 * size and ids.tobytes() == encoder.ids(text) and at.tolist() == [0, len(ids)]
+    runs = []
+    monkeypatch.setattr(token_files, "mapped", lambda df, run, schema: runs.append(run) or spark.createDataFrame([], schema))
+    monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 5)))
+    token_files.write(frame(spark, []), f"{tmp_path}/t")
+    lines = text.splitlines()
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(lines))), pa.array(lines)], ["doc_id", "text"])
+    held, (row,) = most_held(lambda: [b.column("file")[0].as_buffer() for b in runs[0](iter([batch]))])
+    assert held < 6 * 2 * size
+    f = token_files.TokenFile(row)
+    assert (f.part, f.n_docs, f.n_ids) == (5, len(lines), len(ids) + len(lines))
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_ids_of_columns_in_blocks(monkeypatch, at_once):
+    texts = [None, "", " ", *[r[1] for r in rows()], *[t[: at_once * 300] for t in TEXTS], "", "x" * 5000, "y", "中文" * 700, "\n", None]
+    encoder = tokens.PartEncoder.of(None)
+    want = [encoder.ids(t or "") for t in texts]
+    monkeypatch.setattr(tokens, "_AT_ONCE", at_once)
+    for column in (pa.array(texts), pa.array(["before", *texts, "behind"]).slice(1, len(texts)), pa.array(texts[:1])):
+        ids, at = encoder.batch_ids(column)
+        assert [ids[a:b].tobytes() for a, b in zip(at, at[1:])] == want[: len(column)] and at[0] == 0 and at[-1] == len(ids)
+
+
 def turned(doc_id, text):
     """The contract, word for word."""
     text = text or ""
