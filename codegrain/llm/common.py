@@ -74,11 +74,12 @@ def release() -> None:
         pass
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow(run, schema) in batches of bounded bytes.
+def mapped(df: DataFrame, run, schema: str, most: int = BATCH_BYTES) -> DataFrame:
+    """df.mapInArrow(run, schema) in batches of ``most`` bytes, about.
 
     Workers are kept for later tasks, beside an executor whose own memory is
-    fixed; so after its last batch a task gives back what it has freed.
+    fixed; so after its last batch a task gives back what it has freed. A session keeps
+    the smallest ``most`` it was given; only sizes of batches depend on it.
     """
 
     @functools.wraps(run)
@@ -89,8 +90,8 @@ def mapped(df: DataFrame, run, schema: str) -> DataFrame:
             release()
 
     bound = df.sparkSession.conf
-    if int(str(bound.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) > BATCH_BYTES:
-        bound.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    if int(str(bound.get("spark.sql.execution.arrow.maxBytesPerBatch")).rstrip("b")) > most:
+        bound.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     return df.mapInArrow(lean, schema)
 
 

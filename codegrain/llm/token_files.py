@@ -139,8 +139,9 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = E
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("_tie", F.xxhash64("text"))
     ordered = ordered.repartitionByRange(F.asc_nulls_first("doc_id"), "_tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "_tie").select("doc_id", "text")
+    # Small batches, as the executor has every one outside of its heap too, beside the files that come back.
     # A string column is bytes to Spark's text writer, which adds one newline to each row.
-    mapped(ordered, run, "file binary").select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    mapped(ordered, run, "file binary", 2 << 20).select(F.col("file").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def _contents(spark: SparkSession, path: str) -> DataFrame:

@@ -100,7 +100,7 @@ def test_a_task_holds_few_times_its_text(spark, tmp_path, monkeypatch):
     held, (ids, at) = most_held(lambda: encoder.batch_ids(pa.array([text])))
     assert held < 8 * 2 * size and ids.tobytes() == encoder.ids(text) and at.tolist() == [0, len(ids)]
     runs = []
-    monkeypatch.setattr(token_files, "mapped", lambda df, run, schema: runs.append(run) or spark.createDataFrame([], schema))
+    monkeypatch.setattr(token_files, "mapped", lambda df, run, schema, *_: runs.append(run) or spark.createDataFrame([], schema))
     monkeypatch.setattr(token_files, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 5)))
     token_files.write(frame(spark, []), f"{tmp_path}/t")
     lines = text.splitlines()
