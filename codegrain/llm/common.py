@@ -60,8 +60,11 @@ def dropped(*tables: DataFrame) -> None:
         spark._jvm.System.gc()
 
 
-#: Bytes of an Arrow batch that a worker gets, about.
-BATCH_BYTES = 8 << 20
+#: Bytes of an Arrow batch that a worker gets, about, and where several operators share the executors' memory.
+BATCH_BYTES, SMALL_BATCH = 8 << 20, 2 << 20
+#: What drops the values that a process keeps from task to task, and the function whose tasks it had last.
+KEPT_VALUES: list = []
+_LAST = [""]
 
 
 def release() -> None:
@@ -74,16 +77,28 @@ def release() -> None:
         pass
 
 
+def taken_over(by: str) -> None:
+    """Drop what this process keeps for the tasks of another function than ``by``."""
+    if _LAST[0] != by:
+        _LAST[0] = by
+        for drop in KEPT_VALUES:
+            drop()
+        release()
+
+
 def mapped(df: DataFrame, run, schema: str, most: int = BATCH_BYTES) -> DataFrame:
     """df.mapInArrow(run, schema) in batches of ``most`` bytes, about.
 
     Workers are kept for later tasks, beside an executor whose own memory is
-    fixed; so after its last batch a task gives back what it has freed. A session keeps
-    the smallest ``most`` it was given; only sizes of batches depend on it.
+    fixed; so after its last batch a task gives back what it has freed, and what one
+    function's tasks keep for each other goes when a task of another function comes. A
+    session keeps the smallest ``most`` it was given; only sizes of batches depend on it.
     """
+    name = f"{run.__module__}.{run.__qualname__}"
 
     @functools.wraps(run)
     def lean(batches):
+        taken_over(name)
         try:
             yield from run(batches)
         finally:
@@ -120,6 +135,7 @@ _LOWER[65:91] += 32
 _BYTE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
+KEPT_VALUES.append(_POWERS.clear)
 #: Bytes that are hashed at once.
 _BLOCK = 1 << 20
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, dropped, mapped, mix, pieces, row_key, staged, utf8, word_hashes
+from codegrain.llm.common import SMALL_BATCH, documents, dropped, mapped, mix, pieces, row_key, staged, utf8, word_hashes
 from codegrain.llm.components import components
 
 WORDS = 5
@@ -180,7 +180,7 @@ def _sets_of(ids: DataFrame, nodes: DataFrame, texts: DataFrame, repeated: bool)
     """node, shingles of a staged table of nodes; ``repeated``: whether ids occur more than once in ``texts``."""
     ids = ids.join(nodes.select("node", "doc", "d1", "d2"), "node")
     found = texts.join(F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids, texts["doc_id"] == ids["doc"])
-    sets = mapped(found.select("node", "d1", "d2", "text"), _sets, "node long, shingles array<long>")
+    sets = mapped(found.select("node", "d1", "d2", "text"), _sets, "node long, shingles array<long>", SMALL_BATCH)
     return sets.dropDuplicates(["node"]) if repeated else sets
 
 
@@ -189,7 +189,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
     a = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("regs").alias("ra"))
     b = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("regs").alias("rb"))
     sized = pairs.join(a, "a").join(b, "b").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    likely = staged(mapped(sized.select("a", "b", "na", "nb", "ra", "rb"), lambda x: _likely(x, percent), "a long, b long"), "likely")
+    likely = staged(mapped(sized.select("a", "b", "na", "nb", "ra", "rb"), lambda x: _likely(x, percent), "a long, b long", SMALL_BATCH), "likely")
     ids = staged(likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), "ids")
     sets = staged(_sets_of(ids, nodes, texts, repeated), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -235,7 +235,7 @@ def near_dup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     """One row for each row of ``docs``: doc_id, n_shingles, component_id (long), kept (boolean); linked from ``percent`` of similarity on."""
     rows = band_rows(percent)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    signed = staged(mapped(texts, lambda x: _sign(x, rows), _SIGNED), "signed")
+    signed = staged(mapped(texts, lambda x: _sign(x, rows), _SIGNED, SMALL_BATCH), "signed")
     solid = signed.where("n_shingles > 0 and doc_id is not null")
     named = solid.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc")).withColumn("node", F.monotonically_increasing_id())
     named = staged(named, "named")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, mapped, pieces, staged
+from codegrain.llm.common import SMALL_BATCH, documents, mapped, pieces, staged
 from codegrain.llm.tokens import KEPT, PartEncoder
 
 CAPACITY = 2048
@@ -56,7 +56,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None,
                         col.append(x)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int32()), *[pa.array(c, pa.int64()) for c in cols[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, "doc_id long, piece int, start long, length long, ids_crc32 long", SMALL_BATCH)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -118,7 +118,7 @@ def best_fit(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = sharded.withColumn("nth", F.row_number().over(order) - 1).join(F.broadcast(sizes) if shards <= 50 else sizes, ["length", "shard"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return mapped(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return mapped(ranked, place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long", SMALL_BATCH)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, kept: int = KEPT) -> DataFrame:

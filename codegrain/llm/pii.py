@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, mapped, pieces
+from codegrain.llm.common import KEPT_VALUES, SMALL_BATCH, documents, mapped, pieces
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -128,6 +128,7 @@ def _shape(word: str) -> str:
 
 #: Shapes of words that are not too long to be kept.
 _known = lru_cache(50_000)(_shape)
+KEPT_VALUES.append(_known.cache_clear)
 
 #: The labelled table: lines with the words of each span in braces, the kind in front. They are varied by _table().
 _LINES = (
@@ -434,7 +435,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
             clean = [None if t is None else redacted(t, spans) for t, (_, spans) in zip(texts, all_spans([t or "" for t in texts], field.value))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(clean, batch.schema.field(at).type), *batch.columns[at + 1 :]], batch.schema.names)
 
-    return mapped(docs, run, docs.schema)
+    return mapped(docs, run, docs.schema, SMALL_BATCH)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 
-from codegrain.llm.common import utf8
+from codegrain.llm.common import KEPT_VALUES, utf8
 
 TOKENIZER = "word_bpe_49k.json"
 # How a vocabulary normalises and splits for which parts may be encoded one by one.
@@ -51,6 +51,7 @@ _LINE_RUNS = re.compile(r"\n|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9\n]+")
 _AT_ONCE = 2 << 20
 _PACKS = [struct.Struct(f"<{n}I").pack for n in range(33)]
 _OPEN: dict[str, "PartEncoder"] = {}
+KEPT_VALUES.append(_OPEN.clear)
 
 
 def _blocks(raw: np.ndarray, bounds: np.ndarray):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from codegrain.llm import near_dup, packing, repeats, token_counts, tokens
+from codegrain.llm import common, near_dup, packing, pii, repeats, token_counts, tokens
 from codegrain.llm.components import components
 from tests.llm.fixtures import SCHEMA, ascii_lower, frame, prose, rows, split
 
@@ -297,3 +298,30 @@ def test_near_dup_at_another_threshold(spark):
     assert near_dup.near_dup(docs, percent=80).where("not kept").count() == 20
     assert near_dup.keep(spark, docs, percent=80).count() == 20
     assert [near_dup.band_rows(p) for p in (85, 80)] == [5, 4]
+
+
+def test_workers_keep_values_for_one_function_only(spark):
+    """A worker's encoder stays for later tasks of its function, and goes when another function's task comes."""
+    here = SimpleNamespace(sparkSession=spark, mapInArrow=lambda run, schema: run)  # tasks run in this process
+
+    def counts(batches):
+        yield len(tokens._OPEN) + len(common._POWERS) + pii._known.cache_info().currsize
+
+    def fills(batches):
+        yield len(tokens._OPEN)
+        tokens.PartEncoder.of(None), common._powers(10), pii.shape("word")
+
+    tasks = [common.mapped(here, run, "n long") for run in (fills, fills, counts)]
+    assert [list(run([])) for run in tasks] == [[0], [1], [0]]
+
+
+@pytest.mark.parametrize("step", [near_dup.near_dup, pii.redact, packing.pack])
+def test_steps_of_the_pipeline_take_small_batches(spark, step):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(common.BATCH_BYTES))
+    try:
+        step(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"))
+        assert int(spark.conf.get(key)) <= 2 << 20
+    finally:
+        spark.conf.set(key, before)
