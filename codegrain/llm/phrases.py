@@ -5,9 +5,11 @@
    number and a word's number, so that counting is sorting numbers. The sorted
    nodes are serialised in blocks of BLOCK nodes, each with the words it uses.
 2. ranges(): bounds that cut all nodes into ranges of about RANGE nodes are
-   drawn from the blocks' first nodes, which only decides how work is dealt.
-   Every block is cut at the bounds that fall into it. A range also gets the two
-   nodes above its bound, wherever they lie, so that walks need no other range.
+   chosen among nodes drawn at random, one in each block, which only decides how
+   work is dealt. (Blocks' first nodes won't do: shards alike have them at the same
+   places, and nothing would cut what lies between.) Every block is cut at the
+   bounds that fall into it. A range also gets the counts of the two nodes above
+   its bound, wherever they lie, so that walks need no other range.
 3. merge(): a range's sorted runs are merged, equal nodes added up. A walk down
    the merged trie gives each node the counts of its left parts, which are its
    parents; nodes below the least count go, as no phrase with them can stay.
@@ -18,12 +20,13 @@
 Counts are exact: words are told apart by their bytes, nothing is hashed, and
 scores are decimals and whole division.
 
-At scale: a range has RANGE nodes whatever the corpus; a node that every shard
-has costs one number for each shard. The bounds, one for each range, are sent to
-the tasks: about a million words' worth for 100 TB. The joins have the counted
-phrases alone; a word that very many phrases end in is salted. They are sort-merge
-joins at every size: a broadcast would be chosen by a staged table's bytes, of
-which its rows, salted or spread, have a hundred times as many in the driver.
+At scale: a range has about RANGE nodes whatever the corpus, as some 32 drawn nodes
+fall into each; a node that every shard has costs one number for each shard. The
+bounds, one for each range, are sent to the tasks. Every shard has a piece of nearly
+every range, so that pieces grow with the square of the corpus. The joins have the
+counted phrases alone; a word that very many phrases end in is salted. They are
+sort-merge joins at every size: a broadcast would be chosen by a staged table's bytes,
+of which its rows, salted or spread, have a hundred times as many in the driver.
 
 Defined results: a null text has no words, a null language is ``und``; a text of
 any length is cut into stretches that overlap by two words, so nothing is lost
@@ -39,16 +42,17 @@ from bisect import bisect_left, bisect_right
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codegrain.llm.common import documents, mapped, pieces, release, staged, utf8
+from codegrain.llm.common import SMALL_BATCH, documents, mapped, pieces, release, staged, utf8
 
 LEAST, TOP, WITHIN = 10, 2000, 50
 #: Bytes of a shard; nodes of a block; nodes of a range; words of a stretch's overlap.
 SHARD, BLOCK, RANGE, OVERLAP = 5 << 20, 1 << 16, 2 << 20, 2
-#: First nodes of blocks that bounds are drawn from, about, and bytes of one at most.
-DRAWN, KEY_BYTES = 50_000, 256
+#: Drawn nodes that bounds are chosen from, about, at most, and bytes of one at most.
+DRAWN, KEY_BYTES = 1 << 20, 256
 #: Bits of a key that numbers of fixed size can hold.
 KEY_BITS = 64
 #: Parts that the phrases ending in one word are dealt to.
@@ -93,9 +97,10 @@ class Nodes:
 
     def dump(self) -> bytes:
         """Only the words that the nodes use, then the numbers in as few bytes as they need, compressed."""
-        used = np.unique(self.w)
-        used = used[used > 0]
-        w = np.searchsorted(used, self.w).astype(np.uint32) + (self.w > 0)
+        flags = np.zeros(len(self.words) + 1, bool)
+        flags[self.w] = True
+        flags[0] = False
+        used, w = np.flatnonzero(flags), np.cumsum(flags, dtype=np.uint32)[self.w]
         lang = self.lang.astype(np.uint32)
         size = min(8, max(1, (int(self.n.max(initial=0)).bit_length() + 7) // 8))
         count = self.n.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
@@ -104,7 +109,7 @@ class Nodes:
             ["langs", "lang", "w", "n", "words"],
         )
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
             out.write_batch(batch)
         return sink.getvalue().to_pybytes()
 
@@ -113,7 +118,7 @@ class Nodes:
         """Nodes from their bytes; of the fields that aren't asked for nothing is unpacked."""
         names = ("langs", "lang", "w", "n", "words")
         wanted = [names.index(f) for f in fields or names]
-        with pa.ipc.open_stream(raw, options=pa.ipc.IpcReadOptions(included_fields=wanted)) as stream:
+        with pa.ipc.open_stream(raw, options=pa.ipc.IpcReadOptions(included_fields=wanted, use_threads=False)) as stream:
             batch = stream.read_next_batch()
         get = lambda f: batch.column(f)[0] if f in batch.schema.names else None
         langs, lang, w, n = map(get, names[:4])
@@ -233,28 +238,28 @@ def _stretches(lang: str, raw: np.ndarray, most: int):
 
 
 def tries(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """The serialised tries of all shards: n (nodes), lang, w1, w2, w3 (the first node of a block) and block."""
+    """The serialised tries of all shards: n (nodes), lang, w1, w2, w3 (a node of a block, drawn at random) and block."""
 
-    def rows(stretches):
+    def rows(stretches, draw):
         nodes = shard_nodes(stretches)
         for i in range(0, len(nodes), block):
             part = nodes.part(i, min(i + block, len(nodes)))
-            cols = [[len(part)], *[[x] for x in part.key(0)], [part.dump()]]
+            cols = [[len(part)], *[[x] for x in part.key(int(draw.integers(len(part))))], [part.dump()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), *[pa.string()] * 4, pa.binary()))], ["n", "lang", "w1", "w2", "w3", "block"])
 
     def run(batches):
-        held, size = [], 0
+        held, size, draw = [], 0, np.random.default_rng(TaskContext.get().partitionId())
         for batch in pieces(batches, "text"):
             raw, bounds = utf8(batch.column("text"))
             for lang, a, b in zip(batch.column("lang").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 for stretch in _stretches(lang, raw[a:b], shard):
                     if held and size + len(stretch[1]) > shard:
-                        yield from rows(held)
+                        yield from rows(held, draw)
                         held, size = [], 0
                     held.append(stretch)
                     size += len(stretch[1]) + 1
         if held:
-            yield from rows(held)
+            yield from rows(held, draw)
 
     return mapped(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, "n long, lang string, w1 string, w2 string, w3 string, block binary")
 
@@ -263,22 +268,26 @@ def tries(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard
 
 
 def bounds(blocks: DataFrame, nodes: int = RANGE) -> list[tuple[str, str, str, str]]:
-    """First nodes of ranges of about ``nodes`` nodes, the first range's left out; from some DRAWN of the blocks' first nodes."""
+    """First nodes of ranges of about ``nodes`` nodes, the first range's left out; from the blocks' drawn nodes, or some DRAWN of them. A drawn node stands for its block's number of nodes."""
     n_blocks, total = blocks.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     n_ranges = -(-total // nodes)
     if n_ranges < 2:
         return []
-    key = ("lang", "w1", "w2", "w3")
-    drawn = blocks.select(*key).where(F.octet_length(F.concat(*key)) <= KEY_BYTES)
+    key = ["lang", "w1", "w2", "w3"]
+    drawn = blocks.select(*key, "n").where(F.octet_length(F.concat(*key)) <= KEY_BYTES)
     if n_blocks > DRAWN:
         drawn = drawn.sample(DRAWN / n_blocks, 7)
-    firsts = sorted({tuple(r) for r in drawn.collect()}, key=_bytes)
-    at = np.linspace(0, len(firsts), min(n_ranges, len(firsts) + 1), endpoint=False).astype(int)[1:]
-    return [firsts[i] for i in at]
+    drawn = drawn.toArrow().sort_by([(k, "ascending") for k in key])
+    if not len(drawn):
+        return []
+    reached = np.cumsum(drawn.column("n").to_numpy())
+    at = np.searchsorted(reached, np.arange(1, n_ranges) * (int(reached[-1]) / n_ranges))
+    chosen = drawn.select(key).take(pa.array(np.unique(at))).to_pylist()
+    return list(dict.fromkeys(tuple(c[k] for k in key) for c in chosen))
 
 
 def ranges(blocks: DataFrame, cuts: list[tuple[str, str, str, str]]) -> DataFrame:
-    """Blocks cut at the bounds: part (the range), above (whether these are nodes above a range's bound, for walks alone) and block."""
+    """Blocks cut at the bounds: part (the range) and block; and without a block, lang, w1, w2 and n of nodes above a range's bound, for walks alone."""
     sorted_cuts = [_bytes(c) for c in cuts]
     above: dict[tuple, list[int]] = {}
     for part, cut in enumerate(cuts, 1):
@@ -288,6 +297,7 @@ def ranges(blocks: DataFrame, cuts: list[tuple[str, str, str, str]]) -> DataFram
                 above.setdefault(up, []).append(part)
     ups = sorted(above, key=_bytes)
     sorted_ups = [_bytes(u) for u in ups]
+    none = (None,) * 4
 
     def run(batches):
         for batch in batches:
@@ -298,20 +308,21 @@ def ranges(blocks: DataFrame, cuts: list[tuple[str, str, str, str]]) -> DataFram
                 part, at = bisect_right(sorted_cuts, first), 0
                 while part < len(cuts) and sorted_cuts[part] <= last:
                     end = nodes.place(cuts[part])
-                    out.append((part, False, nodes.part(at, end).dump()))
+                    if end > at:
+                        out.append((part, *none, nodes.part(at, end).dump()))
                     at, part = end, part + 1
-                out.append((part, False, nodes.part(at, len(nodes)).dump() if at else raw.as_py()))
+                out.append((part, *none, nodes.part(at, len(nodes)).dump() if at else raw.as_py()))
                 i = bisect_left(sorted_ups, first)
                 while i < len(ups) and sorted_ups[i] <= last:
                     at = nodes.place(ups[i])
                     if nodes.key(at) == ups[i]:
-                        one = nodes.part(at, at + 1).dump()
-                        out.extend((part, True, one) for part in above[ups[i]])
+                        one = (*ups[i][:3], int(nodes.n[at]), None)
+                        out.extend((part, *one) for part in above[ups[i]])
                     i += 1
-            cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.bool_(), pa.binary()))], ["part", "above", "block"])
+            cols = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), *[pa.string()] * 3, pa.int64(), pa.binary()))], ["part", "lang", "w1", "w2", "n", "block"])
 
-    return mapped(blocks.select("block"), run, "part int, above boolean, block binary")
+    return mapped(blocks.select("block"), run, "part int, lang string, w1 string, w2 string, n long, block binary", SMALL_BATCH)
 
 
 def _merged(runs: list) -> tuple[Nodes, np.ndarray, int]:
@@ -368,15 +379,24 @@ def _walked(nodes: Nodes, key: np.ndarray, bits: int, at: np.ndarray) -> tuple[n
     return up[0], np.where(nodes.w[1, at] > 0, up[1], 0)
 
 
+def _lent(above: pa.Table) -> dict[tuple[str, str, str, str], Nodes]:
+    """The nodes above a range's bound by their keys, equal ones added up."""
+    out = {}
+    for r in above.select(["lang", "w1", "w2", "n"]).group_by(["lang", "w1", "w2"]).aggregate([("n", "sum")]).to_pylist():
+        words = sorted({r["w1"], r["w2"]} - {""}, key=str.encode)
+        w = np.array([[words.index(x) + 1 if x else 0] for x in (r["w1"], r["w2"], "")], np.uint32)
+        out[r["lang"], r["w1"], r["w2"], ""] = Nodes(pa.array([r["lang"]], pa.string()), pa.array(words, pa.large_string()), np.zeros(1, np.uint32), w, np.array([r["n_sum"]], np.int64))
+    return out
+
+
 def merge(dealt: DataFrame, least: int = LEAST) -> DataFrame:
     """The nodes of ``least`` occurrences and more: lang, w1, w2, w3 (null for none), f, f1 (of the first word), f12 (of the first two); and for every range and language a row without words, whose f is the number of all words."""
     schema = "lang string, w1 string, w2 string, w3 string, f long, f1 long, f12 long"
 
     def run(table: pa.Table) -> pa.Table:
-        above, runs = table.column("above").to_pylist(), [raw.as_buffer() for raw in table.column("block")]
-        nodes, keys, bits = _merged(runs)
         # Nodes above the bound belong to other ranges.
-        lent = {Nodes.load(run).key(0) for run, up in zip(runs, above) if up}
+        lent = _lent(table.filter(pc.is_null(table.column("block"))))
+        nodes, keys, bits = _merged([*[raw.as_buffer() for raw in table.column("block").drop_null()], *[pa.py_buffer(one.dump()) for one in lent.values()]])
         mine = np.ones(len(nodes), bool)
         for key in lent:
             mine[nodes.place(key)] = False

@@ -131,3 +131,33 @@ def test_joins_of_phrases_are_never_broadcast(spark):
     found = ph.scored(staged(nodes, "nodes"))
     assert {r.phrase for r in found.collect()} == {"a b a"}
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def _range_sizes(blocks, nodes):
+    """Nodes of each range, without those above its bound."""
+    dealt = ph.ranges(blocks, ph.bounds(blocks, nodes)).where("block is not null").collect()
+    sizes = Counter()
+    for r in dealt:
+        sizes[r.part] += len(ph.Nodes.load(pa.py_buffer(bytes(r.block))))
+    return sizes
+
+
+def test_no_range_grows_with_the_number_of_shards_alike(spark):
+    """Shards that begin, and are cut into blocks, at nearly the same nodes: ranges have about the nodes asked for, however many shards there are."""
+    words = sorted({f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"})
+    texts = [(i, "\n".join(random.Random(i).sample(words, 100)), "en", *FILL) for i in range(150)]
+    blocks = staged(ph.tries(frame(spark, texts).repartition(3, "doc_id"), shard=350, block=40), "tries")
+    sizes = _range_sizes(blocks, 400)
+    total = sum(sizes.values())
+    assert total == blocks.agg(F.sum("n")).first()[0] and total > 10_000
+    assert max(sizes.values()) < 4 * 400
+
+
+def test_nodes_above_a_bound_are_one_number_for_each_shard(spark):
+    docs = [(i, " ".join(f"hot w{(i + j) % 40:02}" for j in range(40)), "en", *FILL) for i in range(40)]
+    blocks = staged(ph.tries(frame(spark, docs), shard=500, block=16), "tries")
+    dealt = ph.ranges(blocks, ph.bounds(blocks, 100))
+    lent = dealt.where("block is null").groupBy("part", "lang", "w1", "w2").agg(F.sum("n").alias("n")).collect()
+    f, _ = counted(docs)
+    assert lent and all(r.n == f[(r.lang, *[w for w in (r.w1, r.w2) if w])] for r in lent)
+    assert {(r.lang, *[w for w in (r.w1, r.w2, r.w3) if w is not None]): r.f for r in ph.merge(dealt, 1).where("w1 is not null").collect()} == dict(f)
