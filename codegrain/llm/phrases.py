@@ -140,9 +140,15 @@ def _bytes(key: tuple) -> tuple:
 # ---------------------------------------------------------------- shards
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, their number for each key, and counts."""
-    return np.unique(keys, return_inverse=True, return_counts=True)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and their number for each key, in 32 bits."""
+    by = np.argsort(keys).astype(np.uint32)
+    keys = keys[by]
+    fresh = np.ones(len(keys), bool)
+    fresh[1:] = keys[1:] != keys[:-1]
+    at = np.empty(len(keys), np.int32)
+    at[by] = np.cumsum(fresh, dtype=np.int32) - 1
+    return keys[fresh], at
 
 
 def shard_nodes(stretches: list[tuple[str, np.ndarray, int]]) -> Nodes:
@@ -156,49 +162,57 @@ def shard_nodes(stretches: list[tuple[str, np.ndarray, int]]) -> Nodes:
     starts[1:] &= ~solid[:-1]
     ends[:-1] &= ~solid[1:]
     begin, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    of = np.searchsorted(bounds, begin, side="right") - 1
-    piece = np.cumsum(_BREAK[raw], dtype=np.int32)[begin]
+    of = (np.searchsorted(bounds, begin, side="right") - 1).astype(np.int32)
+    piece = np.searchsorted(np.flatnonzero(_BREAK[raw]), begin).astype(np.int32)
     first = np.searchsorted(begin, bounds[:-1])
     fresh = np.arange(len(begin)) - first[of] >= np.array([s[2] for s in stretches], np.int64)[of]
     offsets = np.concatenate([np.zeros(1, np.int64), np.cumsum(end - begin)])
     coded = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(raw[solid])).dictionary_encode()
-    del raw, solid, starts, ends, offsets, end
+    del raw, solid, starts, ends, offsets, end, first
     order = pc.sort_indices(coded.dictionary).to_numpy()
     words = coded.dictionary.take(pa.array(order))
-    rank = np.empty(len(order), np.uint64)
-    rank[order] = np.arange(len(order), dtype=np.uint64)
+    rank = np.empty(len(order), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
     w = rank[coded.indices.to_numpy()]
-    lang = np.array([number[s[0]] for s in stretches], np.uint64)[of]
+    lang = np.array([number[s[0]] for s in stretches], np.uint32)[of]
     del begin, of, coded
     shift = np.uint64(32)
 
-    k1, at1, _ = _distinct(lang << shift | w)
+    joined = lambda up, word: up.astype(np.uint64) << shift | word
+    k1, at1 = _distinct(joined(lang, w))
+    del lang
     n1 = np.bincount(at1[fresh], minlength=len(k1))
     go = piece[1:] == piece[:-1]
-    i2 = np.flatnonzero(go)
-    k2, at2, _ = _distinct(at1[i2].astype(np.uint64) << shift | w[i2 + 1])
+    del piece
+    i2 = np.flatnonzero(go).astype(np.int32)
+    k2, at2 = _distinct(joined(at1[i2], w[i2 + 1]))
+    del at1
     n2 = np.bincount(at2[fresh[i2 + 1]], minlength=len(k2))
-    node2 = np.zeros(len(w), np.uint64)
+    node2 = np.zeros(len(w), np.int32)
     node2[i2] = at2
-    i3 = np.flatnonzero(go[:-1] & go[1:])
-    k3, at3, _ = _distinct(node2[i3] << shift | w[i3 + 2])
+    del i2, at2
+    i3 = np.flatnonzero(go[:-1] & go[1:]).astype(np.int32)
+    k3, at3 = _distinct(joined(node2[i3], w[i3 + 2]))
     n3 = np.bincount(at3[fresh[i3 + 2]], minlength=len(k3))
 
-    del at1, at2, at3, node2, i2, i3, w, lang, piece, go, fresh
-    # Each node's place: its own level's nodes before it, and those of the other levels.
-    up2, up3 = (k2 >> shift).astype(np.int64), (k3 >> shift).astype(np.int64)
-    own1, own2, own3 = (np.arange(len(k)) for k in (k1, k2, k3))
-    top3 = up2[up3] if len(up3) else up3
-    place1 = own1 + np.searchsorted(up2, own1) + np.searchsorted(top3, own1)
-    place2 = own2 + up2 + 1 + np.searchsorted(up3, own2)
-    place3 = own3 + up3 + 1 + top3 + 1
+    del at3, node2, i3, w, go, fresh
+    # Each node's place: its own level's nodes before it, and those of the other levels. What a level needs goes before the next.
     total = len(k1) + len(k2) + len(k3)
     out = Nodes(pa.array(langs, pa.string()), words, np.empty(total, np.uint32), np.zeros((3, total), np.uint32), np.empty(total, np.int64))
     low = lambda k: (k & np.uint64(0xFFFFFFFF)).astype(np.uint32) + np.uint32(1)
+    up2, up3 = (k2 >> shift).astype(np.int32), (k3 >> shift).astype(np.int32)
     l1, w1, w2, w3 = (k1 >> shift).astype(np.uint32), low(k1), low(k2), low(k3)
-    for place, up, n in ((place1, own1, n1), (place2, up2, n2), (place3, top3, n3)):
-        out.lang[place], out.w[0, place], out.n[place] = l1[up], w1[up], n
-    out.w[1, place2], out.w[1, place3], out.w[2, place3] = w2, w2[up3], w3
+    del k1, k2, k3
+    top3 = up2[up3] if len(up3) else up3
+    own = lambda n: np.arange(len(n), dtype=np.int32)
+    place = own(n3) + up3 + top3 + 2
+    out.lang[place], out.w[0, place], out.w[1, place], out.w[2, place], out.n[place] = l1[top3], w1[top3], w2[up3], w3, n3
+    del w3, n3
+    place = own(n2) + up2 + 1 + np.searchsorted(up3, own(n2)).astype(np.int32)
+    out.lang[place], out.w[0, place], out.w[1, place], out.n[place] = l1[up2], w1[up2], w2, n2
+    del w2, n2
+    place = own(n1) + np.searchsorted(up2, own(n1)).astype(np.int32) + np.searchsorted(top3, own(n1)).astype(np.int32)
+    out.lang[place], out.w[0, place], out.n[place] = l1, w1, n1
     return out
 
 
@@ -261,7 +275,7 @@ def tries(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", shard
         if held:
             yield from rows(held, draw)
 
-    return mapped(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, "n long, lang string, w1 string, w2 string, w3 string, block binary")
+    return mapped(docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, "n long, lang string, w1 string, w2 string, w3 string, block binary", SMALL_BATCH)
 
 
 # ---------------------------------------------------------------- merging
